@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from loomstone.llm import decontaminate
+from loomstone.llm import decontaminate, nearest, ngram_join
 
 QUERIES = {
+    "op1_nearest": nearest.op1_nearest,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
 }
 
 SQL = {
+    "op1_nearest": nearest.OP1_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op6_ngram_join": ngram_join.OP6_SQL,
 }

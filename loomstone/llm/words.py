@@ -129,7 +129,7 @@ def code_points(raw: np.ndarray) -> np.ndarray:
 
 
 def shingles(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row: (hash, row, bytes of the shingle).
+    """Distinct shingle hashes of each row: (hash, row, bytes of the shingle's words).
 
     A row of fewer than ``k`` words, but at least one, gives its whole sequence
     as one shingle. Rows come in order, hashes ascending inside a row.
@@ -151,7 +151,9 @@ def shingles(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = np.where(ok, (h ^ chunk.hash[at]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(j + 1), h)
             h ^= h >> np.uint64(29)
         h = mix(h)
-    length = chunk.end[begin + long - 1] - chunk.start[begin]
+    letters = np.zeros(total + 1, dtype=np.int64)
+    np.cumsum(chunk.end - chunk.start, out=letters[1:])
+    length = letters[begin + long] - letters[begin]
     order = np.lexsort((h, row))
     h, row, length = h[order], row[order], length[order]
     fresh = np.ones(len(h), dtype=bool)
