@@ -1,8 +1,74 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages
+the documents are written as Parquet in the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstone.llm.common import store, table
+from loomstone.llm.decontaminate import decontaminate, remove_spans
+from loomstone.llm.ngram_join import ngram_join
+from loomstone.llm.packing import pack
+from loomstone.llm.pii import find_pii, mask_pii
+from loomstone.llm.quality import score, train
+from loomstone.llm.tokens import token_counts
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifiers find good and not toxic."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).where("keep").select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that links by five-word shingles at 0.8."""
+    groups = ngram_join(docs, k=5, num=80, den=100)
+    dropped = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages: hit spans are cut out.
+
+    Should a cut bring words together that make a window again, the document goes.
+    """
+    benchmark = table(spark, sf_dir, "benchmark")
+    cut = remove_spans(decontaminate(docs, benchmark))
+    again = decontaminate(cut.select(docs.columns), benchmark).where("size(spans) = 0")
+    return again.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by the name of its kind."""
+    masked = mask_pii(find_pii(docs))
+    return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens, bucket, batch and slot."""
+    return pack(store(token_counts(docs.select("doc_id", "text")).select("doc_id", "n_tokens"), "lengths"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("PII", pii_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier is a trained model, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = store(docs, f"stage{k}")
+    return docs

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from loomstone.llm import decontaminate, nearest, ngram_join
+from loomstone.llm import chat, decontaminate, html_text, nearest, ngram_join, packing, pii, quality, tokens, url_filter
 
 QUERIES = {
     "op1_nearest": nearest.op1_nearest,
+    "op2_html_text": html_text.op2_html_text,
+    "op3_chat": chat.op3_chat,
+    "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_packing": packing.op8_packing,
+    "op9_tokens": tokens.op9_tokens,
+    "op10_pii": pii.op10_pii,
 }
 
 SQL = {
     "op1_nearest": nearest.OP1_SQL,
+    "op3_chat": chat.OP3_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_ngram_join": ngram_join.OP6_SQL,
+    "op10_pii": pii.OP10_SQL,
 }
