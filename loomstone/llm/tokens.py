@@ -7,7 +7,8 @@ automaton walks all distinct words of a chunk together, a byte at a time.
 
 Words are runs of letters (ASCII letters and any non-ASCII character), single
 ASCII digits, and runs of other ASCII characters but white space; A-Z are
-lower-cased. A piece may end a word only as the vocabulary's word-end form.
+lower-cased. Word-end forms of the vocabulary count as plain strings, so a
+piece may stand anywhere in a word.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from loomstone.llm.common import map_columns, table
 from loomstone.llm.words import FOLD, chunks, mix
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
-END = 256  # the symbol after a word's last byte
 
 _CLASS = np.full(256, 3, dtype=np.uint8)  # 0 white space, 1 letter, 2 digit, 3 other
 _CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
@@ -33,7 +33,7 @@ _ANY = _CLASS > 0
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[tuple[int, ...]]:
-    """The pieces of a byte-level vocabulary with word ends, as byte symbols and END."""
+    """The pieces of a byte-level vocabulary as bytes, without word-end marks."""
     with open(path, encoding="utf-8") as f:
         names = json.load(f)["model"]["vocab"]
     # byte-level vocabularies write printable Latin-1 bytes as themselves and the others from U+0100 on
@@ -44,10 +44,9 @@ def read_vocabulary(path: str = VOCABULARY) -> list[tuple[int, ...]]:
     for name in names:
         if name.startswith("<|"):
             continue
-        ends = name.endswith("</w>")
-        body = name[:-4] if ends else name
+        body = name.removesuffix("</w>")
         if body and all(c in byte for c in body):
-            pieces.append((*[byte[c] for c in body], *[END] * ends))
+            pieces.append(tuple(byte[c] for c in body))
     return sorted(set(pieces))
 
 
@@ -81,11 +80,11 @@ class LongestMatch:
                     z = fail[z]
                 if z >= 0:
                     fail[v], pops[v] = child[z][c], n
-        edges = sorted((u * 257 + c, v) for u, cs in enumerate(child) for c, v in cs.items())
+        edges = sorted((u * 256 + c, v) for u, cs in enumerate(child) for c, v in cs.items())
         self.key = np.array([e[0] for e in edges], dtype=np.int64)
         self.to = np.array([e[1] for e in edges], dtype=np.int32)
         self.fail, self.pops = np.array(fail, dtype=np.int32), np.array(pops, dtype=np.int32)
-        self.root = np.full(257, -1, dtype=np.int32)
+        self.root = np.full(256, -1, dtype=np.int32)
         for c, v in child[0].items():
             self.root[c] = v
 
@@ -94,7 +93,7 @@ class LongestMatch:
         go = live
         while len(go):
             s, c = state[go], symbol[go]
-            key = s.astype(np.int64) * 257 + c
+            key = s.astype(np.int64) * 256 + c
             at = np.searchsorted(self.key, key)
             at[at == len(self.key)] = 0
             found = np.where(s == 0, self.root[c], np.where(self.key[at] == key, self.to[at], -1))
@@ -114,22 +113,19 @@ class LongestMatch:
         state, count = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64)
         symbol = np.zeros(n, dtype=np.int64)
         live = np.argsort(-size, kind="stable")
-        sizes, step = size[live], 0
-        while len(live):
-            inside = sizes > step
-            symbol[live] = np.where(inside, data[np.minimum(start[live] + step, len(data) - 1)], END)
-            ended = live[~inside]
+        step = 0
+        while len(live := live[size[live] > step]):
+            symbol[live] = data[start[live] + step]
             live = self._step(state, symbol, count, live)
-            good = ended[count[ended] >= 0]
-            while len(good := good[state[good] > 0]):
-                lost = self.fail[state[good]] < 0
-                count[good[lost]] = -1
-                good = good[~lost]
-                count[good] += self.pops[state[good]]
-                state[good] = self.fail[state[good]]
-            live = live[size[live] > step]
-            sizes = size[live]
             step += 1
+        rest = np.flatnonzero((count >= 0) & (state > 0))  # pop what is left at the word's end
+        while len(rest):
+            lost = self.fail[state[rest]] < 0
+            count[rest[lost]] = -1
+            rest = rest[~lost]
+            count[rest] += self.pops[state[rest]]
+            state[rest] = self.fail[state[rest]]
+            rest = rest[state[rest] > 0]
         return np.where(count < 0, 1, count)
 
 
