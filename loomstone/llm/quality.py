@@ -5,8 +5,8 @@ metadata (source, language, length and line layout). Both start from labelled
 rows; over rounds each labels the unlabelled rows that it is surest of and gives
 them to the other. On held-out labelled rows both are calibrated and a logistic
 combination is fitted, which then scores every document. This runs for quality
-and again for toxicity; a document stays if it is probably good and probably not
-toxic.
+and again for toxicity. Each head's threshold is the one with the best F1 for its
+rarer class on the held-out rows; a document stays if it is good and not toxic.
 
 Fitting uses at most ``LABELLED`` labelled and ``UNLABELLED`` unlabelled rows,
 drawn by a hash of their ids; that bound keeps what the driver holds fixed.
@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from loomstone.llm.common import map_columns, table
 from loomstone.llm.words import ALNUM, Chunk, chunks
 
-LABELLED = 6000
+LABELLED = 10_000
 UNLABELLED = 3000
 ROUNDS = 3
 SURE = 0.97  # calibrated probability from which a view labels a row
 PER_ROUND = 300  # rows of a class that a view may label in a round
 MIN_DOCS = 4  # sampled documents that must hold a word
+TELLING = 3.0  # z score of a word's log odds from which the text view takes it
 SOURCES, LANGS = 64, 16  # hashed slots of the metadata view
 
 _CLASSES = [np.zeros(256, dtype=bool) for _ in range(7)]
@@ -101,7 +102,7 @@ class Rows:
 class Logistic:
     """Logistic regression on dense columns and word presence, by Adam on all rows."""
 
-    def __init__(self, words: int = 0, l2: float = 1e-3, steps: int = 160, rate: float = 0.08):
+    def __init__(self, words: int = 0, l2: float = 1e-3, steps: int = 240, rate: float = 0.08):
         self.words, self.l2, self.steps, self.rate = words, l2, steps, rate
 
     def fit(self, x: Rows, y: np.ndarray) -> Logistic:
@@ -159,7 +160,7 @@ class CoTrained:
         rows, labels = [known, known], [y[known], y[known]]
         taken = [np.zeros(len(y), dtype=bool), np.zeros(len(y), dtype=bool)]
         for turn in range(self.rounds + 1):
-            self.views = [Logistic(self.words if i == 0 else 0).fit(views[i].take(r), lab.astype(np.float64)) if _plain(r) else None for i, (r, lab) in enumerate(zip(self._unique(rows), labels, strict=True))]
+            self.views = [Logistic(self.words if i == 0 else 0).fit(views[i].take(rows[i]), labels[i].astype(np.float64)) for i in (0, 1)]
             self.platt = [self._calibrate(self.views[i].logit(views[i].take(out)), y[out]) for i in (0, 1)]
             if turn == self.rounds or not len(free):
                 break
@@ -177,9 +178,6 @@ class CoTrained:
         self.mixer = Logistic(l2=1e-2, steps=300).fit(Rows(z), y[out].astype(np.float64))
         return self
 
-    def _unique(self, rows: list[np.ndarray]) -> list[np.ndarray]:
-        return rows
-
     @staticmethod
     def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         fit = Logistic(l2=1e-2, steps=300).fit(Rows(z[:, None]), y.astype(np.float64))
@@ -192,21 +190,28 @@ class CoTrained:
         return _sigmoid(self.mixer.logit(Rows(self._calibrated(text, meta))))
 
 
-def _plain(rows: np.ndarray) -> bool:
-    return len(rows) > 0
+@dataclass
+class Head:
+    """One target: the words that tell it, and its co-trained views."""
+
+    vocabulary: np.ndarray
+    views: CoTrained | Constant
+    threshold: float = 0.5
+
+    def probability(self, c: Chunk, dense: np.ndarray, meta: Rows) -> np.ndarray:
+        row, word = _known_words(c, self.vocabulary)
+        return self.views.combined(Rows(dense, row, word), meta)
 
 
 @dataclass
 class Model:
-    vocabulary: np.ndarray
-    quality: CoTrained | Constant
-    toxic: CoTrained | Constant
+    quality: Head
+    toxic: Head
 
     def score(self, c: Chunk, sources: list, langs: list) -> tuple[np.ndarray, np.ndarray]:
         dense, layout = _measures(c)
-        row, word = _known_words(c, self.vocabulary)
-        text, meta = Rows(dense, row, word), Rows(_meta(layout, sources, langs))
-        return self.quality.combined(text, meta), self.toxic.combined(text, meta)
+        meta = Rows(_meta(layout, sources, langs))
+        return self.quality.probability(c, dense, meta), self.toxic.probability(c, dense, meta)
 
 
 def _known_words(c: Chunk, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,12 +225,43 @@ def _known_words(c: Chunk, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pair // len(vocabulary), pair % len(vocabulary)
 
 
-def _fit_head(words: int, text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray) -> CoTrained | Constant:
+def _telling(row: np.ndarray, word: np.ndarray, words: int, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Words whose share of documents differs between the classes of the given rows."""
+    label = np.full(len(y), -1)
+    label[rows] = y[rows]
+    yes, no = (np.bincount(word[label[row] == v], minlength=words) + 0.5 for v in (1, 0))
+    n_yes, n_no = ((label == v).sum() + 1.0 for v in (1, 0))
+    odds = np.log(yes / (n_yes - yes + 0.5)) - np.log(no / (n_no - no + 0.5))
+    return np.flatnonzero(np.abs(odds) / np.sqrt(1 / yes + 1 / no) >= TELLING)
+
+
+def _fit_head(vocabulary: np.ndarray, text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray) -> Head:
     known = y >= 0
     sides = [np.unique(y[known & h]) for h in (held, ~held)]
     if any(len(s) < 2 for s in sides):
-        return Constant(y[known])
-    return CoTrained(words).fit(text, meta, y, held)
+        return Head(vocabulary[:0], Constant(y[known]))
+    words = _telling(text.row, text.word, len(vocabulary), y, np.flatnonzero(known & ~held))
+    place = np.full(len(vocabulary), -1)
+    place[words] = np.arange(len(words))
+    use = place[text.word] >= 0
+    text = Rows(text.dense, text.row[use], place[text.word[use]])
+    views = CoTrained(len(words)).fit(text, meta, y, held)
+    out = np.flatnonzero(known & held)
+    return Head(vocabulary[words], views, best_threshold(views.combined(text.take(out), meta.take(out)), y[out]))
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the widest gap of probabilities that cuts with the best F1 of the rarer class."""
+    rare = int(2 * (y == 1).sum() <= len(y))
+    side = p if rare else 1 - p
+    order = np.argsort(-side, kind="stable")
+    hits, n = np.cumsum(y[order] == rare), np.arange(1, len(y) + 1)
+    f1 = 2 * hits / (n + (y == rare).sum())
+    side = np.append(side[order], 0.0)
+    good = np.flatnonzero((f1 >= f1.max() - 0.005) & (side[:-1] > side[1:]))
+    at = good[np.argmax(side[good] - side[good + 1])]
+    cut = float((side[at] + side[at + 1]) / 2)
+    return cut if rare else 1 - cut
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     got = rows.mapInArrow(_sample_features, schema).toArrow().sort_by("doc_id")
     n = got.num_rows
     if not n:
-        return Model(np.zeros(0, np.uint64), Constant(np.zeros(0)), Constant(np.zeros(0)))
+        return Model(*[Head(np.zeros(0, np.uint64), Constant(np.zeros(0)))] * 2)
     words = got.column("words").combine_chunks()
     counts = np.diff(words.offsets.to_numpy())
     flat = words.flatten().to_numpy().view(np.uint64)
@@ -265,15 +301,15 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     text = Rows(dense, np.repeat(np.arange(n), counts)[use], place[inverse[use]])
     meta = Rows(_meta(layout, got.column("source").to_pylist(), got.column("lang").to_pylist()))
     held = np.array([zlib.crc32(str(d).encode()) % 4 == 0 for d in got.column("doc_id").to_pylist()])
-    heads = [_fit_head(int(keep.sum()), text, meta, np.array([-1 if v is None else int(v > 0) for v in got.column(c).to_pylist()]), held) for c in ("quality", "toxic")]
-    return Model(seen[keep], *heads)
+    heads = [_fit_head(seen[keep], text, meta, np.array([-1 if v is None else int(v > 0) for v in got.column(c).to_pylist()]), held) for c in ("quality", "toxic")]
+    return Model(*heads)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Append p_quality, p_toxic, score and keep to each row of ``docs`` (text, source, lang).
 
-    ``score`` is p_quality * (1 - p_toxic); ``keep`` asks for p_quality of at
-    least 0.5 and p_toxic under 0.5. Null texts count as empty, null metadata as
+    ``score`` is p_quality * (1 - p_toxic); ``keep`` asks for p_quality at or
+    over and p_toxic under the heads' thresholds. Null texts count as empty, null metadata as
     an own value; every row is kept, repeated ones too. Columns of ``docs``
     called like an added one are replaced. Without labels of both classes a
     head gives the smoothed share of its class everywhere.
@@ -286,7 +322,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for c in chunks(batch.column("text"), ALNUM):
             at = slice(c.first, c.first + c.rows)
             quality[at], toxic[at] = shared.value.score(c, sources[at], langs[at])
-        keep = (quality >= 0.5) & (toxic < 0.5)
+        keep = (quality >= shared.value.quality.threshold) & (toxic < shared.value.toxic.threshold)
         return {"p_quality": pa.array(quality), "p_toxic": pa.array(toxic), "score": pa.array(quality * (1 - toxic)), "keep": pa.array(keep)}
 
     return map_columns(docs, run, "p_quality double, p_toxic double, score double, keep boolean")
