@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,11 +39,17 @@ from loomstone.llm.words import NONSPACE, chunks, mix, shingles
 BLOCK_DOCS = 1024  # classes searched in one task at once
 BLOCK_SHINGLES = 500_000  # and their shingles
 PILOTS = 8  # classes of a large leader that go to every block
+EXTRA = 24  # signature shingles beyond those that the threshold asks for
+MERGED = 64  # sets up to which a heap merges the lists; more are counted in one scan
 MU = 0.0085  # DivideSkip's weight of a probe against a merge step
 
 _META = "doc_id bigint, n int, fp1 bigint, fp2 bigint, prefix array<bigint>"
 
 
+def _common_column(n: Column, num: int, den: int) -> Column:
+    return F.floor(n * (den - num) / (den * 2)) + F.least(F.floor(n * 3 / 10), F.lit(EXTRA)) + 1
+
+
 def _ceil(n, num: int, den: int):
     return -((-n * num) // den)
 
@@ -54,8 +60,12 @@ def prefix_size(n, num: int, den: int):
 
 
 def common(n, num: int, den: int):
-    """Common signature shingles that two linked sets of at least n must have."""
-    return n * (den - num) // (den * 2) + 1
+    """Common signature shingles that two linked sets of at least n must have.
+
+    Half as many again as may differ, and up to ``EXTRA`` more: short texts that
+    share a line or a passage then fall short of it. It never falls with n.
+    """
+    return n * (den - num) // (den * 2) + np.minimum(n * 3 // 10, EXTRA) + 1
 
 
 def _signatures(text_col: str, k: int, num: int, den: int):
@@ -274,12 +284,25 @@ def search_group(values: np.ndarray, bounds: np.ndarray, labels: np.ndarray, num
             which, docs = rest(which, docs)
             if not len(docs):
                 continue
-        cut = np.flatnonzero(np.diff(which)) + 1
-        lists = [x.tolist() for x in np.split(docs, cut)]
-        for other, hits in merge_skip(lists, need - long_lists):
-            if joined.find(other) == joined.find(r):
-                continue
-            if linked(hits + probe(long, other), r, other):
+        # sets that too few short lists hold cannot reach the overlap that their size asks for
+        seen = np.bincount(docs, minlength=r)
+        others = np.flatnonzero(seen)
+        pair_need = -((-num * (n + size[others])) // (num + den))
+        others = others[seen[others] >= pair_need - long_lists]
+        if not len(others):
+            continue
+        if len(others) <= MERGED:
+            keep = np.isin(docs, others)
+            which, docs = which[keep], docs[keep]
+            lists = [x.tolist() for x in np.split(docs, np.flatnonzero(np.diff(which)) + 1)]
+            found = [(other, hits + probe(long, other)) for other, hits in merge_skip(lists, max(1, need - long_lists))]
+        else:
+            length = df[mine]
+            flat = np.repeat(head[mine] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
+            total = np.bincount(listed[flat], minlength=m)
+            found = [(other, overlap) for other, overlap in zip(others.tolist(), total[others].tolist(), strict=True)]
+        for other, overlap in found:
+            if joined.find(other) != joined.find(r) and linked(overlap, r, other):
                 links.append((int(order[r]), int(order[other])))
                 joined.parent[joined.find(r)] = joined.find(other)
     return links
@@ -330,6 +353,63 @@ def _links(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Dat
     return full.repartition("gkey").sortWithinPartitions("gkey").mapInArrow(_search_sorted(k, num, den), "u bigint, v bigint")
 
 
+def _open(named: DataFrame) -> DataFrame:
+    """Rows of leaders with more than one component, with the largest one's name."""
+    main = named.groupBy("leader", "label").count().groupBy("leader").agg(F.max_by("label", "count").alias("main"), F.count("*").alias("kinds"))
+    return checkpoint(named.join(main.where("kinds > 1"), "leader").drop("kinds"))
+
+
+def _across(large: DataFrame, found: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """Links between the blocks of large leaders that the search inside blocks left unconnected.
+
+    First every set's shingles that another set of its leader has are counted:
+    one with fewer than any link needs has no link there. The rest meet: the
+    leader's largest component stays in its blocks and all others go to each.
+    """
+    named = large.join(found, large["doc_id"] == found["node"], "left").select("leader", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    named = _open(named)
+    if not named.limit(1).count():
+        return None
+    keyed = named.withColumn("key", F.xxhash64("leader", "doc_id"))
+    postings = keyed.join(texts, "doc_id").select("leader", "key", "text").mapInArrow(_all_shingles(k), "s bigint, fp1 bigint, n int")
+    shared = postings.repartition("s").sortWithinPartitions("s", "fp1").mapInArrow(_leaders, "leader bigint, fp1 bigint, n int, shared bigint")
+    enough = shared.groupBy("fp1").agg(F.sum("shared").alias("shared"), F.first("n").alias("n"))
+    enough = enough.where(F.col("shared") >= F.expr(f"(n * {num} + {den - 1}) div {den}")).select(F.col("fp1").alias("key"))
+    named = _open(keyed.join(enough, "key").select("leader", "doc_id", "label"))
+    if not named.limit(1).count():
+        return None
+    blocks = named.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
+    own, everywhere = _own_block(), _all_blocks()
+    spread = F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(everywhere)
+    keyed = named.join(blocks, "leader").select("leader", "doc_id", "label", F.explode(spread).alias("block"))
+    return _links(keyed.select(F.xxhash64("leader", "block").alias("gkey"), "doc_id", "label"), texts, k, num, den)
+
+
+def _own_block() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "leader"), F.col("blocks")).cast("int")
+
+
+def _all_blocks() -> Column:
+    return F.sequence(F.lit(0), F.col("blocks") - 1)
+
+
+def _all_shingles(k: int):
+    """Rows (leader, key, text) -> (shingle within the leader, key, shingles of the text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leader, key = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+            for c in chunks(batch.column(2), NONSPACE):
+                h, row, _ = shingles(c, k)
+                n = np.bincount(row, minlength=c.rows)
+                at = row + c.first
+                with np.errstate(over="ignore"):
+                    s = mix(h ^ mix(leader[at].view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(key[at]), pa.array(n[row].astype(np.int32))], names=["s", "fp1", "n"])
+
+    return run
+
+
 def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``.
 
@@ -352,31 +432,26 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_co
     postings = meta.where("size(prefix) > 0").select(F.explode("prefix").alias("s"), "fp1", "n")
     shared = postings.repartition("s").sortWithinPartitions("s", "fp1").mapInArrow(_leaders, "leader bigint, fp1 bigint, n int, shared bigint")
     shared = checkpoint(shared.groupBy("leader", "fp1").agg(F.sum("shared").alias("shared"), F.first("n").alias("n")))
-    least = F.floor(F.ceil(F.col("n") * num / den) * (den - num) / (den * 2)) + 1
+    least = _common_column(F.expr(f"(n * {num} + {den - 1}) div {den}"), num, den)
     suspects = shared.groupBy("fp1").agg(F.sum("shared").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least).select("fp1")
     members = shared.select("leader", "fp1").join(suspects, "fp1")
     members = checkpoint(members.join(classes, "fp1").select("leader", F.col("rep").alias("doc_id"), "n"))
     sizes = members.groupBy("leader").agg(F.count("*").alias("count"), F.sum("n").alias("total")).where("count > 1")
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("count") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int"))
     members = checkpoint(members.join(sizes, "leader"))
-    own = F.pmod(F.xxhash64("doc_id", "leader"), F.col("blocks")).cast("int")
-    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # from here on only the texts of suspects move
+    texts = store(known.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "suspects")
     pilot = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.floor(F.col("count") / PILOTS))) == 0
-    blocks = F.when(pilot, everywhere).otherwise(F.array(own))
+    blocks = F.when(pilot, _all_blocks()).otherwise(F.array(_own_block()))
     keyed = members.select("leader", "doc_id", F.explode(blocks).alias("block"))
     first = keyed.select(F.xxhash64("leader", "block").alias("gkey"), "doc_id", F.col("doc_id").alias("label"))
-    edges = checkpoint(_links(first, known, k, num, den).distinct())
+    edges = checkpoint(_links(first, texts, k, num, den).distinct())
     large = members.where("blocks > 1")
     again = None
     if large.limit(1).count():
         found = components(edges)
-        named = large.join(found, large["doc_id"] == found["node"], "left").select("leader", "doc_id", "blocks", F.coalesce("component", "doc_id").alias("label"))
-        named = checkpoint(named)
-        main = named.groupBy("leader", "label").count().groupBy("leader").agg(F.max_by("label", "count").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-        open_ = named.join(main, "leader")
-        blocks = F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(everywhere)
-        keyed = open_.select("leader", "doc_id", "label", F.explode(blocks).alias("block"))
-        again = _links(keyed.select(F.xxhash64("leader", "block").alias("gkey"), "doc_id", "label"), known, k, num, den)
+        again = _across(large, found, texts, k, num, den)
+        edges = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     # rows that share an id are one document: their classes hang together
     twins = meta.where("n > 0").select("doc_id", "fp1", "fp2").join(classes, ["fp1", "fp2"]).where("doc_id <> rep")
     twice = meta.groupBy("doc_id").count().where("count > 1").select("doc_id")
