@@ -1,4 +1,5 @@
 """Registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from loomstone.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
