@@ -5,8 +5,8 @@ context, and only its reply is trainable. Turns that follow the last assistant
 turn (all turns, where there is none) make one more example without a target,
 so no turn is lost.
 
-A turn reads ``<|role|>\\ntext<|end|>\\n``. Inside roles and texts ``&``, ``<``
-and ``[`` are escaped, so neither this template's control strings nor common
+A turn reads ``<|role|>\\ntext<|end|>\\n``. Inside roles and texts ``&``,
+``<``, ``>`` and ``[`` are escaped, so neither this template's control strings nor common
 ones of others (``</s>``, ``[INST]``) can arise from a text; unescaping gives
 the text back exactly.
 
@@ -30,15 +30,15 @@ TARGET_ROLE = "assistant"
 FLUSH_CHARS = 4 << 20  # characters of examples in one output batch
 
 _EXAMPLES = "conv_id bigint, example bigint, formatted string, loss_start bigint, loss_end bigint"
-_TURN = re.compile(r"<\|([^<]*)\|>\n([^<]*)<\|end\|>\n")
+_TURN = re.compile(r"<\|([^<>]*)\|>\n([^<>]*)<\|end\|>\n")
 
 
 def escape(text: str) -> str:
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace("[", "&lsqb;")
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("[", "&lsqb;")
 
 
 def unescape(text: str) -> str:
-    return text.replace("&lsqb;", "[").replace("&lt;", "<").replace("&amp;", "&")
+    return text.replace("&lsqb;", "[").replace("&gt;", ">").replace("&lt;", "<").replace("&amp;", "&")
 
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
@@ -156,8 +156,8 @@ WITH c AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), t AS (
-  SELECT *, 13 + len(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;'))
-              + len(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')) AS size
+  SELECT *, 13 + len(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[', '&lsqb;'))
+              + len(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[', '&lsqb;')) AS size
   FROM c
 ), r AS (
   SELECT *, sum(size) OVER w AS sofar, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n
