@@ -5,7 +5,8 @@ other urls every host gets a tree of path templates: segments that look variable
 (numbers, dates, hex, long mixed names) become wildcards, then segments of which
 a parent has too many different values. Sibling templates whose labelled block
 rates do not differ significantly merge. A template is rejected where the
-smoothed labelled purity of its branch reaches ``REJECT``.
+smoothed labelled purity of its branch reaches ``REJECT``; one without labels
+stays.
 
 Everything is DataFrame work on (host, template) counts, which aggregate before
 they are shuffled, so a host with a third of all urls stays small.
@@ -102,7 +103,8 @@ def judge_templates(urls: DataFrame) -> DataFrame:
     branch = branch.join(merged, ["host", "parent"], "left")
     pick = lambda m, own: F.when(F.col("similar"), F.col(m)).otherwise(F.col(own))
     purity = (pick("m_blocked", "blocked") + PRIOR_WEIGHT * prior) / (pick("m_labelled", "labelled") + PRIOR_WEIGHT)
-    judged = branch.select("host", "final", (purity >= REJECT).alias("rejected"))
+    rejected = (pick("m_labelled", "labelled") > 0) & (purity >= REJECT)
+    judged = branch.select("host", "final", rejected.alias("rejected"))
     return stats.select("host", "template", "final").join(judged, ["host", "final"]).select("host", "template", "rejected")
 
 
