@@ -22,5 +22,6 @@ SQL = {
     "op3_chat": chat.OP3_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_ngram_join": ngram_join.OP6_SQL,
+    "op7_url_filter": url_filter.OP7_SQL,
     "op10_pii": pii.OP10_SQL,
 }

@@ -131,3 +131,60 @@ def filter_urls(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFram
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    levels = ""
+    for k in range(1, LEVELS + 1):
+        literal = f"final[{k + 1}]"
+        levels += f"""
+w{k} AS (
+  SELECT host, parent FROM (SELECT host, final[1:{k}] AS parent, {literal} AS lit, sum(n) AS n FROM s{k - 1}
+    WHERE {literal} IS NOT NULL AND NOT starts_with({literal}, '*') GROUP BY ALL)
+  GROUP BY host, parent HAVING count(*) >= {VARIETY} AND count(*) >= sum(n) * {SPREAD}
+), s{k} AS (
+  SELECT s.host, s.template, s.n, s.labelled, s.blocked,
+         CASE WHEN w{k}.host IS NOT NULL AND {literal} IS NOT NULL AND NOT starts_with({literal}, '*')
+              THEN list_concat(list_concat(final[1:{k}], ['*']), final[{k + 2}:]) ELSE final END AS final
+  FROM s{k - 1} s LEFT JOIN w{k} ON w{k}.host = s.host AND w{k}.parent = s.final[1:{k}]
+),"""
+    ending = r"'^(.*?)(\.[A-Za-z][A-Za-z0-9]{0,4})?$'"
+    stem = f"regexp_extract(x, {ending}, 1)"
+    return rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r AS (
+  SELECT rid, arg_max(h || q, (len(h || q), h || q)) AS rule, arg_max(v, (len(h || q), h || q)) AS said
+  FROM p JOIN (VALUES {rules}) AS rules(h, q, v) ON (p.host = h OR suffix(p.host, '.' || h)) AND starts_with(p.path, q)
+  GROUP BY rid
+), u AS MATERIALIZED (
+  SELECT p.*, r.rule, r.said,
+         list_transform(string_split(path, '/'), lambda x: CASE WHEN regexp_matches({stem}, '^[0-9][0-9_.-]*$') OR regexp_matches({stem}, '^[0-9a-fA-F-]{{8,}}$')
+           OR (regexp_matches({stem}, '[0-9]') AND regexp_matches({stem}, '[A-Za-z]') AND regexp_matches({stem}, '^[A-Za-z0-9_-]{{12,}}$'))
+           THEN '*' || regexp_extract(x, {ending}, 2) ELSE x END) AS template
+  FROM p LEFT JOIN r USING (rid)
+), s0 AS (
+  SELECT host, template, template AS final, count(*) AS n, count(said) AS labelled, count(*) FILTER (WHERE said = 'block') AS blocked
+  FROM u GROUP BY host, template
+), prior AS (SELECT (sum(blocked) + 1) / (sum(labelled) + 2) AS prior FROM s0),{levels}
+b AS (SELECT host, final, final[1:len(final) - 1] AS parent, sum(labelled) AS labelled, sum(blocked) AS blocked FROM s{LEVELS} GROUP BY host, final),
+a AS (SELECT host, parent, sum(labelled) AS al, sum(blocked) AS ab FROM b WHERE labelled >= {MIN_LABELS} GROUP BY host, parent),
+c AS (
+  SELECT b.*, coalesce(labelled >= {MIN_LABELS} AND abs(blocked / labelled - ab / al) <= {SIMILAR_Z} * sqrt(ab / al * (1 - ab / al) / labelled), false) AS alike
+  FROM b LEFT JOIN a USING (host, parent)
+), m AS (SELECT host, parent, sum(labelled) AS ml, sum(blocked) AS mb FROM c WHERE alike GROUP BY host, parent),
+j AS (
+  SELECT c.host, c.final FROM c LEFT JOIN m USING (host, parent), prior
+  WHERE CASE WHEN alike THEN ml ELSE labelled END > 0
+    AND (CASE WHEN alike THEN mb ELSE blocked END + {PRIOR_WEIGHT} * prior) / (CASE WHEN alike THEN ml ELSE labelled END + {PRIOR_WEIGHT}) >= {REJECT}
+), x AS (SELECT DISTINCT s.host, s.template FROM s{LEVELS} s JOIN j ON j.host = s.host AND j.final = s.final)
+SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.said, CASE WHEN x.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN x ON x.host = u.host AND x.template = u.template
+"""
+
+
+OP7_SQL = _sql()

@@ -16,7 +16,7 @@ from tests.oracle import assert_same
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op3_chat", "op5_decontaminate", "op10_pii"])
+@pytest.mark.parametrize("name", ["op3_chat", "op5_decontaminate", "op7_url_filter", "op10_pii"])
 def test_sql(spark, name):
     from loomstone.llm import registry
 
@@ -238,6 +238,23 @@ def test_templates(spark):
     assert judged["/a/new3x"] and judged["/a/item3x"] and not judged["/b/*.html"] and not judged["/c"]
 
 
+def test_templates_equal_sql(spark):
+    import duckdb
+
+    rng = random.Random(8)
+    hosts = ["a.example.com", "b.example.net", "x.org", "y.net", "z.com"]
+    parts = ["en", "de", "es", "fr", "7", "8x", "news"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(parts)}/{rng.choice([*parts, f'n{rng.randrange(400)}q', str(rng.randrange(900))])}{rng.choice(['', '/', '.html', '/x?y'])}" for _ in range(1500)]
+    urls += [f"http://x.org/es/t{i}/a" for i in range(60)] + [f"http://x.org/{rng.choice(['es', 'fr'])}/t{i}z/a" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    want = sorted(map(str, con.execute(url_filter.OP7_SQL).fetchall()))
+    got = url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+
+
 # -- packing
 
 
