@@ -46,3 +46,8 @@ def first_by(rows: DataFrame, on: str, n: int, unlimited: bool = True) -> DataFr
 def sample_exact(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """Exactly k rows (all, if fewer), the same for a seed whatever the partitioning; no global sort."""
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(k)
+
+
+def flatten_lists(rows: DataFrame, items: str, keep: list[str]) -> DataFrame:
+    """One row per element of a list of structs, with the kept columns; empty and null lists give none."""
+    return rows.select(*keep, F.inline(items))

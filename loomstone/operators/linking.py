@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.functions.text import canonical_uri
+from loomstone.functions.records import kind_of
+from loomstone.functions.text import canonical_uri, is_blank
 
 APPROACHES = ("none", "naive", "embedding", "cross-encoder", "ef", "mcp")
 
@@ -40,6 +41,66 @@ def enrich(labels: DataFrame, links: DataFrame, label_col: str = "label") -> Dat
     return labels.join(named, label_col, "left")
 
 
+# fixed values: the fields that carry labels and links
+PLAIN = ("hasProperty", "hasMatrix", "hasObjectOfInterest", "hasContextObject")
+NESTED = ("hasMatrix", "hasObjectOfInterest", "hasContextObject")
+MEMBERS = ("AsymmetricSystem", "SymmetricSystem", "hasSource", "hasTarget")
+
+_PATHS = "array<struct<path:string,pos:int,label:string>>"
+
+
+def label_paths(doc: Column) -> Column:
+    """(path, pos, label) of every text of a record that can be linked.
+
+    Plain roles give their text; systems give their members and, by position,
+    their parts. A role with a system has no label of its own.
+    """
+    at = lambda path, kind="string": F.try_variant_get(doc, f"$.{path}", kind)
+    one = lambda path, label: F.struct(F.lit(path).alias("path"), F.lit(-1).alias("pos"), label.alias("label"))
+    plain = [one(p, F.when(kind_of(doc, p) == "string", at(p))) for p in PLAIN]
+    inner = [one(f"{r}.{m}", at(f"{r}.{m}")) for r in NESTED for m in MEMBERS]
+    of = lambda r: F.transform(at(f"{r}.hasPart", "array<string>"), lambda x, i: F.struct(F.lit(f"{r}.hasPart").alias("path"), i.alias("pos"), x.alias("label")))
+    parts = [of(r) for r in NESTED]
+    every = F.concat(F.array(*plain, *inner), *[F.coalesce(p, F.expr(f"cast(array() as {_PATHS})")) for p in parts])
+    return F.filter(every, lambda x: ~is_blank(x["label"]) | (x["pos"] >= 0))
+
+
+def enriched(records: DataFrame, links: DataFrame, key: str, doc: str = "doc") -> DataFrame:
+    """(key, uris): a map from URI path to URI of each record.
+
+    Labels explode, each distinct one is linked once, and the links come back by
+    a join. Lists of part URIs keep their nulls and go where all are null; they
+    are given as JSON text.
+    """
+    rows = records.select(key, F.explode(label_paths(F.col(doc))).alias("l")).select(key, "l.*")
+    rows = enrich(rows, links)
+    lists = F.array_sort(F.collect_list(F.struct("pos", "uri")))
+    cells = rows.groupBy(key, "path").agg(F.max("pos").alias("last"), F.max("uri").alias("uri"), lists.alias("all"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: F.coalesce(F.concat(F.lit('"'), x["uri"], F.lit('"')), F.lit("null"))), ","), F.lit("]"))
+    cells = cells.where("uri is not null").select(key, F.when(F.col("last") < 0, F.concat("path", F.lit("URI"))).otherwise(F.concat("path", F.lit("URIs"))).alias("path"), F.when(F.col("last") < 0, F.col("uri")).otherwise(text).alias("uri"))
+    found = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("path", "uri"))).alias("uris"))
+    return records.select(key).join(found, key, "left")
+
+
+def uri_assertions(doc: Column) -> Column:
+    """(path, expected) of the URIs that a ground-truth record asserts; the modifier's is not asserted. Part lists are JSON text."""
+    at = lambda path: F.nullif(F.try_variant_get(doc, f"$.{path}", "string"), F.lit(""))
+    cell = lambda path, value: F.struct(F.lit(path).alias("path"), value.alias("expected"))
+    plain = [cell(f"{p}URI", at(f"{p}URI")) for p in PLAIN]
+    inner = [cell(f"{r}.{m}URI", at(f"{r}.{m}URI")) for r in NESTED for m in MEMBERS]
+    parts = [cell(f"{r}.hasPartURIs", F.to_json(F.try_variant_get(doc, f"$.{r}.hasPartURIs", "array<string>"))) for r in NESTED]
+    return F.filter(F.array(*plain, *inner, *parts), lambda x: x["expected"].isNotNull())
+
+
+def rerank_query(query: Column, prefix: str, instruction: str) -> Column:
+    """A reranker's query in a chat template that begins with ``prefix``."""
+    return F.format_string("%s<Instruct>: %s\n<Query>: %s\n", F.lit(prefix), F.lit(instruction), query)
+
+
+def rerank_document(document: Column, suffix: str) -> Column:
+    return F.format_string("<Document>: %s%s", document, F.lit(suffix))
+
+
 def same_uri(a: Column, b: Column) -> Column:
     return F.coalesce(canonical_uri(a) == canonical_uri(b), F.lit(False))
 

@@ -89,6 +89,19 @@ def test_links(spark):
     assert (linking.uri_scores(empty, ["k"]).first().accuracy, linking.uri_scores(empty, ["k"]).first().coverage) == (1, 1)
 
 
+def test_enrichment(spark):
+    doc = {"hasProperty": "depth", "hasMatrix": {"SymmetricSystem": "s1", "hasPart": ["a", "", "b"]}, "hasObjectOfInterest": {"AsymmetricSystem": "s2", "hasSource": "snow"}}
+    rows = spark.createDataFrame([(1, json.dumps(doc)), (2, "{}")], "k int, raw string").withColumn("doc", records.parsed(F.col("raw")))
+    links = spark.createDataFrame([("depth", "Q1"), ("b", "Q2"), ("snow", "Q3")], "term string, id string")
+    wiki = "https://www.wikidata.org/wiki/"
+    got = {r.k: r.uris for r in linking.enriched(rows, links, "k").collect()}
+    assert got == {1: {"hasPropertyURI": wiki + "Q1", "hasMatrix.hasPartURIs": f'[null,null,"{wiki}Q2"]', "hasObjectOfInterest.hasSourceURI": wiki + "Q3"}, 2: None}
+    truth = {"hasPropertyURI": "u", "hasStatisticalModifierURI": "m", "hasMatrixURI": "", "hasMatrix": {"hasPartURIs": ["p", None], "hasTargetURI": "t"}}
+    found = one(spark, linking.uri_assertions(records.parsed(F.col("c"))), c=json.dumps(truth))
+    assert [(x.path, x.expected) for x in found] == [("hasPropertyURI", "u"), ("hasMatrix.hasTargetURI", "t"), ("hasMatrix.hasPartURIs", '["p",null]')]
+    assert one(spark, linking.rerank_document(F.col("c"), "!"), c="d") == "<Document>: d!"
+
+
 def test_turtle(spark, tmp_path):
     (tmp_path / "g.ttl").write_text('@prefix ex: <http://e/> . # c\nex:a a ex:T ; ex:p "x;y"@en , """long "q" text""" ; ex:q [ ex:r ex:b ] .\n<http://e/c> ex:p 5 .\n')
     got = {(r.s, r.p, r.o) for r in scans.turtle(spark, str(tmp_path)).collect()}
