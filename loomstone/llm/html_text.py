@@ -238,7 +238,7 @@ class BiLSTM:
             g |= {f"x{d}": gx, f"h{d}": gh, f"c{d}": gc}
         return g, loss
 
-    def fit(self, batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int, rate: float = 0.01) -> float:
+    def fit(self, batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int, rate: float = 0.012) -> float:
         """Adam over the padded batches; returns the last epoch's mean loss."""
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -288,13 +288,21 @@ _JUNK = {
 }
 
 
+@lru_cache(maxsize=1)
+def _lexicon() -> list[str]:
+    """Invented words of one to three syllables."""
+    at = np.random.default_rng(5).integers(0, len(_SYLLABLES), (6000, 3))
+    return ["".join(_SYLLABLES[j] for j in row[: 1 + i % 3]) for i, row in enumerate(at)]
+
+
 def _element(tag: str, name: str, inner: str, rng: np.random.Generator) -> str:
     kind = "id" if rng.random() < 0.25 else "class"
     return f'<{tag}{f" {kind}={chr(34)}{name}{chr(34)}" if name else ""}>{inner}</{tag}>'
 
 
 def _prose(rng: np.random.Generator, low: int, high: int) -> str:
-    words = ["".join(rng.choice(_SYLLABLES, rng.integers(1, 4))) for _ in range(int(rng.integers(low, high)))]
+    lexicon = _lexicon()
+    words = [lexicon[i] for i in rng.integers(0, len(lexicon), int(rng.integers(low, high)))]
     style = rng.random()
     if style < 0.08:  # noisy texts, as the web has them
         words = [w + ("***", "###", "%%%", "$$$", "&amp;&amp;")[int(rng.integers(5))] for w in words]
@@ -367,7 +375,7 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> B
     each = np.split(x, cuts)
     net = BiLSTM(DIM, HIDDEN)
     batches = []
-    for place in np.array_split(rng.permutation(pages), max(1, pages // 32)):
+    for place in np.array_split(rng.permutation(pages), max(1, pages // 48)):
         for part, xs, mask in padded([each[i] for i in place]):
             y = np.zeros(mask.shape, dtype=np.float32)
             for row, i in enumerate(part):
