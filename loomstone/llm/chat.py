@@ -11,7 +11,8 @@ ones of others (``</s>``, ``[INST]``) can arise from a text; unescaping gives
 the text back exactly.
 
 Turns are sorted by conversation inside partitions and streamed, so a task
-holds one conversation at a time.
+holds one conversation at a time; one conversation is one task's work, as each
+example continues the one before it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import table
+from loomstone.llm.common import arrow, table
 
 TARGET_ROLE = "assistant"
 FLUSH_CHARS = 4 << 20  # characters of examples in one output batch
@@ -109,7 +110,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
     plain = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_expand_sorted, _EXAMPLES)
+    return arrow(dealt.select("conv_id", "role", "text"), _expand_sorted, _EXAMPLES)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

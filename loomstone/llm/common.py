@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -33,6 +34,22 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch between the JVM and Python
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of few megabytes, as texts can be long.
+
+    Spark bounds batches by a session setting; it is lowered where it is higher.
+    """
+    conf = df.sparkSession.conf
+    size = re.match(r"(\d+)([bkmg]?)", conf.get(_BATCH_CONF, "64m").lower())
+    if size is None or int(size[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[size[2]] > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def map_columns(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], dict[str, pa.Array]],
@@ -60,7 +77,7 @@ def map_columns(
                 names=kept_names + names,
             )
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import checkpoint, store, table
+from loomstone.llm.common import arrow, checkpoint, store, table
 from loomstone.llm.components import components
 from loomstone.llm.words import NONSPACE, chunks, mix, shingles
 
@@ -350,7 +350,7 @@ def _search_sorted(k: int, num: int, den: int):
 def _links(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Search each gkey of ``rows`` (gkey, doc_id, label) over the texts."""
     full = rows.join(texts, "doc_id").select("gkey", "doc_id", "label", "text")
-    return full.repartition("gkey").sortWithinPartitions("gkey").mapInArrow(_search_sorted(k, num, den), "u bigint, v bigint")
+    return arrow(full.repartition("gkey").sortWithinPartitions("gkey"), _search_sorted(k, num, den), "u bigint, v bigint")
 
 
 def _open(named: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_co
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = plain.where("doc_id is not null")
-    meta = store(known.mapInArrow(_signatures("text", k, num, den), T._parse_datatype_string(_META)), "signatures")
+    meta = store(arrow(known, _signatures("text", k, num, den), T._parse_datatype_string(_META)), "signatures")
     classes = checkpoint(meta.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
     postings = meta.where("size(prefix) > 0").select(F.explode("prefix").alias("s"), "fp1", "n")
     shared = postings.repartition("s").sortWithinPartitions("s", "fp1").mapInArrow(_leaders, "leader bigint, fp1 bigint, n int, shared bigint")

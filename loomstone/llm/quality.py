@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import map_columns, table
+from loomstone.llm.common import arrow, map_columns, table
 from loomstone.llm.words import ALNUM, Chunk, chunks
 
-LABELLED = 10_000
-UNLABELLED = 3000
+LABELLED = 6000
+UNLABELLED = 2000
 ROUNDS = 3
 SURE = 0.97  # calibrated probability from which a view labels a row
 PER_ROUND = 300  # rows of a class that a view may label in a round
@@ -285,8 +285,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     known = F.col("quality").isNotNull() | F.col("toxic").isNotNull()
     sample = ids.where(known).orderBy(*order).limit(labelled).union(ids.where(~known).orderBy(*order).limit(unlabelled))
     rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "source", "lang", "quality", "toxic")
+    rows = rows.dropDuplicates(["doc_id"])  # one row for each sampled id keeps the bound
     schema = "doc_id bigint, source string, lang string, quality int, toxic int, dense array<double>, layout array<double>, words array<bigint>"
-    got = rows.mapInArrow(_sample_features, schema).toArrow().sort_by("doc_id")
+    got = arrow(rows, _sample_features, schema).toArrow().sort_by("doc_id")
     n = got.num_rows
     if not n:
         return Model(*[Head(np.zeros(0, np.uint64), Constant(np.zeros(0)))] * 2)
@@ -298,10 +299,14 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     place = np.cumsum(keep) - 1
     use = keep[inverse]
     dense, layout = (np.array(got.column(c).to_pylist()) for c in ("dense", "layout"))
-    text = Rows(dense, np.repeat(np.arange(n), counts)[use], place[inverse[use]])
-    meta = Rows(_meta(layout, got.column("source").to_pylist(), got.column("lang").to_pylist()))
-    held = np.array([zlib.crc32(str(d).encode()) % 4 == 0 for d in got.column("doc_id").to_pylist()])
-    heads = [_fit_head(seen[keep], text, meta, np.array([-1 if v is None else int(v > 0) for v in got.column(c).to_pylist()]), held) for c in ("quality", "toxic")]
+    text = Rows(dense, np.repeat(np.arange(n, dtype=np.int32), counts)[use], place[inverse[use]].astype(np.int32))
+    sources, langs, marks = (got.column(c).to_pylist() for c in ("source", "lang", "doc_id"))
+    targets = [np.array([-1 if v is None else int(v > 0) for v in got.column(c).to_pylist()]) for c in ("quality", "toxic")]
+    del got, words, flat, inverse, use
+    pa.default_memory_pool().release_unused()
+    meta = Rows(_meta(layout, sources, langs))
+    held = np.array([zlib.crc32(str(d).encode()) % 4 == 0 for d in marks])
+    heads = [_fit_head(seen[keep], text, meta, y, held) for y in targets]
     return Model(*heads)
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,11 @@ def read_vocabulary(path: str = VOCABULARY) -> list[tuple[int, ...]]:
     return sorted(set(pieces))
 
 
+@lru_cache(maxsize=2)
+def automaton_of(path: str) -> LongestMatch:
+    return LongestMatch(read_vocabulary(path))
+
+
 class LongestMatch:
     """Trie, failure links and popped counts, as arrays."""
 
@@ -175,7 +181,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCA
     is read on the driver and broadcast as arrays. A column called ``into`` is
     replaced; every row is kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(LongestMatch(read_vocabulary(vocabulary)))
+    shared = docs.sparkSession.sparkContext.broadcast(automaton_of(vocabulary))
     return map_columns(docs, lambda b: {into: pa.array(count_tokens(b.column(text_col), shared.value))}, f"{into} bigint")
 
 

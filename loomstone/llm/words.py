@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  # bytes of text handled at once; one longer text makes its own chunk
+CHUNK_BYTES = 1 << 20  # bytes of text handled at once; one longer text makes its own chunk
 
 _M = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _M_INV = np.uint64(pow(int(_M), -1, 1 << 64))
