@@ -32,14 +32,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages: hit spans are cut out.
-
-    Should a cut bring words together that make a window again, the document goes.
-    """
-    benchmark = table(spark, sf_dir, "benchmark")
-    cut = remove_spans(decontaminate(docs, benchmark))
-    again = decontaminate(cut.select(docs.columns), benchmark).where("size(spans) = 0")
-    return again.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    """Documents without benchmark passages: a mark stands where a hit span was."""
+    cut = remove_spans(decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

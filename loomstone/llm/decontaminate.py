@@ -266,12 +266,16 @@ def _late(shared, text_col: str):
     return lambda batch: _search_batch(shared.value, text_col)(batch)
 
 
-def remove_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Cut the spans found by ``decontaminate`` out of the text."""
+def remove_spans(docs: DataFrame, text_col: str = "text", marker: str = " \u2026 ") -> DataFrame:
+    """Put ``marker`` in place of each span that ``decontaminate`` found.
+
+    The marker holds a word of its own, so the words on both sides of a cut can
+    not make a window together, as long as no benchmark item has that word.
+    """
     start = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("spans", lambda s: s["char_end"]))
     end = F.concat(F.transform("spans", lambda s: s["char_start"]), F.array(F.length(text_col).cast("bigint")))
     pieces = F.transform(F.arrays_zip(start.alias("s"), end.alias("e")), lambda p: F.substring(F.col(text_col), p["s"].cast("int") + 1, (p["e"] - p["s"]).cast("int")))
-    return docs.withColumn(text_col, F.when(F.size("spans") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col)))
+    return docs.withColumn(text_col, F.when(F.size("spans") > 0, F.array_join(pieces, marker)).otherwise(F.col(text_col)))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

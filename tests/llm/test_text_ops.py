@@ -71,7 +71,8 @@ def test_decontamination(spark, monkeypatch, block_bytes):
         for s in r.spans:
             assert words(r.text[s.char_start : s.char_end]) == words(r.text)[s.word_start : s.word_end]
     cut = decontaminate.remove_spans(found).select("doc_id", "text").collect()
-    assert {r.text for r in cut if r.doc_id == 103} == {""} and [r.text for r in cut if r.doc_id == 102] == ["x  x"]
+    assert {r.text for r in cut if r.doc_id == 103} == {" … "} and [r.text for r in cut if r.doc_id == 102] == ["x  …  x"]
+    assert decontaminate.decontaminate(decontaminate.remove_spans(found).drop("spans"), b, window=4).where("size(spans) > 0").count() == 0
     assert decontaminate.decontaminate(d.where("false"), b).count() == 0
     assert decontaminate.decontaminate(d, b.where("false")).where("size(spans) > 0").count() == 0
 
