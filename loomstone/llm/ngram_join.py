@@ -15,9 +15,9 @@
    already connected need no further check, so a task emits a spanning forest
    and never all pairs.
 4. A leader with many classes is dealt into blocks by hash, with a few pilots in
-   every block. What the first search leaves unconnected there is searched
-   across all blocks: a class outside the leader's largest component goes to
-   every block, so each pair that may still link meets in one.
+   every block. What the first search leaves unconnected there is keyed anew by
+   the rarest of its shingles within the leader, so classes that share only what
+   all share part; each new group is searched in tiles of two bounded blocks.
 5. Components come from alternating stars over the forest.
 """
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -363,34 +363,70 @@ def _across(large: DataFrame, found: DataFrame, texts: DataFrame, k: int, num: i
     """Links between the blocks of large leaders that the search inside blocks left unconnected.
 
     First every set's shingles that another set of its leader has are counted:
-    one with fewer than any link needs has no link there. The rest meet: the
-    leader's largest component stays in its blocks and all others go to each.
+    one with fewer than any link needs has no link there. The others order their
+    shingles by how many of them have each, rarest first: two linked sets have a
+    common one among their first ``n - ceil(t n) + 1``. Only sets that do meet.
     """
     named = large.join(found, large["doc_id"] == found["node"], "left").select("leader", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     named = _open(named)
     if not named.limit(1).count():
         return None
+    need = F.expr(f"(n * {num} + {den - 1}) div {den}")
     keyed = named.withColumn("key", F.xxhash64("leader", "doc_id"))
-    postings = keyed.join(texts, "doc_id").select("leader", "key", "text").mapInArrow(_all_shingles(k), "s bigint, fp1 bigint, n int")
-    shared = postings.repartition("s").sortWithinPartitions("s", "fp1").mapInArrow(_leaders, "leader bigint, fp1 bigint, n int, shared bigint")
+    shared = _led(_postings(keyed, texts, k))
     enough = shared.groupBy("fp1").agg(F.sum("shared").alias("shared"), F.first("n").alias("n"))
-    enough = enough.where(F.col("shared") >= F.expr(f"(n * {num} + {den - 1}) div {den}")).select(F.col("fp1").alias("key"))
+    enough = enough.where(F.col("shared") >= need).select(F.col("fp1").alias("key"))
     named = _open(keyed.join(enough, "key").select("leader", "doc_id", "label"))
     if not named.limit(1).count():
         return None
-    blocks = named.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
-    own, everywhere = _own_block(), _all_blocks()
-    spread = F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(everywhere)
-    keyed = named.join(blocks, "leader").select("leader", "doc_id", "label", F.explode(spread).alias("block"))
-    return _links(keyed.select(F.xxhash64("leader", "block").alias("gkey"), "doc_id", "label"), texts, k, num, den)
+    keyed = named.withColumn("key", F.xxhash64("leader", "doc_id"))
+    postings = store(_postings(keyed, texts, k), "postings")
+    often = postings.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1")
+    mine = Window.partitionBy("fp1")
+    rare = postings.join(often, "s").select("s", "fp1", "n", F.count("*").over(mine).alias("shared"), F.row_number().over(mine.orderBy("sets", "s")).alias("rank"))
+    # a set's own shingles come before all shared ones, whose ranks so begin after n - shared
+    rare = rare.where(F.col("rank") <= F.col("shared") - need + 1).select("s", "fp1", "n")
+    groups = _led(rare).groupBy("leader", "fp1").agg(F.first("n").alias("n")).select(F.col("leader").alias("rarest"), F.col("fp1").alias("key"), "n")
+    named = _open(keyed.join(groups, "key").select(F.col("rarest").alias("leader"), "doc_id", "label", "n"))
+    if not named.limit(1).count():
+        return None
+    return _links(_tiles(named), texts, k, num, den)
+
+
+def _postings(keyed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    return keyed.join(texts, "doc_id").select("leader", "key", "text").mapInArrow(_all_shingles(k), "s bigint, fp1 bigint, n int")
+
+
+def _led(postings: DataFrame) -> DataFrame:
+    return postings.repartition("s").sortWithinPartitions("s", "fp1").mapInArrow(_leaders, "leader bigint, fp1 bigint, n int, shared bigint")
+
+
+def _tiles(named: DataFrame) -> DataFrame:
+    """(leader, doc_id, label, main, n) -> rows (gkey, doc_id, label) in which any two sets of a leader whose labels differ meet.
+
+    The largest component and the others are dealt into blocks of half a task
+    each. A tile holds a block of either, or two blocks of others; sets of the
+    largest component need not meet each other.
+    """
+    parts = named.withColumn("side", F.col("label") == F.col("main"))
+    blocks = F.greatest(F.ceil(F.count("*") / (BLOCK_DOCS / 2)), F.ceil(F.sum("n") / (BLOCK_SHINGLES / 2))).cast("int")
+    sizes = parts.groupBy("leader", "side").agg(blocks.alias("blocks")).groupBy("leader")
+    sizes = sizes.agg(F.max(F.when(F.col("side"), F.col("blocks"))).alias("mains"), F.max(F.when(~F.col("side"), F.col("blocks"))).alias("others"))
+    pair = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    mine = F.transform(_all_blocks("others"), lambda j: pair("main", F.col("own"), j))
+    theirs = F.transform(_all_blocks("mains"), lambda i: pair("main", i, F.col("own")))
+    among = F.transform(F.filter(_all_blocks("others"), lambda j: j != F.col("own")), lambda j: pair("others", F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
+    parts = parts.join(sizes, "leader").withColumn("blocks", F.when(F.col("side"), F.col("mains")).otherwise(F.col("others"))).withColumn("own", _own_block())
+    parts = parts.select("leader", "doc_id", "label", F.explode(F.when(F.col("side"), mine).otherwise(F.concat(theirs, among))).alias("tile"))
+    return parts.select(F.xxhash64("leader", "tile.kind", "tile.a", "tile.b").alias("gkey"), "doc_id", "label")
 
 
 def _own_block() -> Column:
     return F.pmod(F.xxhash64("doc_id", "leader"), F.col("blocks")).cast("int")
 
 
-def _all_blocks() -> Column:
-    return F.sequence(F.lit(0), F.col("blocks") - 1)
+def _all_blocks(count: str = "blocks") -> Column:
+    return F.sequence(F.lit(0), F.col(count) - 1)
 
 
 def _all_shingles(k: int):

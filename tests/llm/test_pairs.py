@@ -83,6 +83,53 @@ def test_join(spark, monkeypatch, k, num, den, block):
     assert got == brute(docs, k, num, den)
 
 
+def boilerplate_clusters(rng, clusters, size):
+    """Clusters of near copies that share one line of long words, and no other."""
+    line, out = " ".join(f"licence{i:020d}" for i in range(30)), []
+    for c in range(clusters):
+        base = [f"c{c}w{i}" for i in range(60)]
+        for _ in range(size):
+            w = list(base)
+            w[rng.randrange(60)] = f"v{len(out)}"
+            out.append((len(out), line + " " + " ".join(w)))
+    return out
+
+
+def test_join_shared_boilerplate(spark, monkeypatch):
+    """No task of either search holds more than a block, though one line leads all clusters."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(ngram_join, "PILOTS", 1)
+    held, links = [], ngram_join._links
+
+    def watched(rows, *args):
+        held.append(max([r["count"] for r in rows.distinct().groupBy("gkey").count().collect()], default=0))
+        return links(rows, *args)
+
+    monkeypatch.setattr(ngram_join, "_links", watched)
+    docs = boilerplate_clusters(random.Random(3), 60, 4)
+    random.Random(4).shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df, 3, 80, 100).collect()}
+    assert got == brute(docs, 3, 80, 100)
+    assert len(held) == 2 and max(held) <= 3 * 16
+
+
+def test_tiles_meet_and_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 1000)
+    rows = [(1, i, 0 if i < 90 else i, 0, 30) for i in range(200)] + [(2, i, i % 2, 0, 400) for i in range(12)]
+    named = spark.createDataFrame(rows, "leader long, doc_id long, label long, main long, n int")
+    tiles = {}
+    for r in ngram_join._tiles(named).collect():
+        tiles.setdefault(r.gkey, []).append(r.doc_id)
+    size = {1: 30, 2: 400}
+    met = {(a, b) for t in tiles.values() for a in t for b in t}
+    for leader in size:
+        mine = [(i, label) for g, i, label, _, _ in rows if g == leader]
+        assert all((a, b) in met for a, x in mine for b, y in mine if x != y)
+    assert max(len(t) for t in tiles.values()) <= 3 * 20  # blocks are dealt by hash, so they vary
+
+
 def test_join_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (1, "p q r s"), (2, "p q r s")], "doc_id long, text string")
     rows = ngram_join.ngram_join(df).collect()
