@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from loomstone.functions.text import ROLES, canonical_target, is_blank, normalis
 
 ENTITY = "struct<kind:string,text:string,system:string,source:string,target:string,numerator:string,denominator:string,parts:array<string>>"
 CONSTRAINTS = "array<struct<label:string,on:string>>"
+LEAVES = "array<struct<path:string,text:string>>"
 
 
 def parsed(text: Column) -> Column:
@@ -114,20 +118,33 @@ def atoms(prop: Column, modifier: Column, obj: Column, items: Column, mode: str
     return F.array_distinct(F.filter(chosen, lambda x: x.isNotNull() & (x != "")))
 
 
-def string_leaves(doc: Column, depth: int = 4) -> Column:
-    """(path, text) of string leaves of a JSON text of up to ``depth`` levels of objects, in document order of keys."""
-    empty = F.expr("cast(array() as array<struct<path:string,text:string>>)")
+def _strings(value) -> list[tuple[str, str]]:
+    """(path, text) of the strings in a parsed JSON value; a stack, so that depth costs no recursion."""
+    out, todo = [], [("", value)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            todo += [(f"{path}.{k}" if path else k, v) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(value)))]
+        elif isinstance(value, str):
+            out.append(tuple(x.encode("utf-8", "replace").decode() for x in (path, value)))
+    return out
+
+
+def string_leaves(doc: Column) -> Column:
+    """(path, text) of every string in a JSON text, in document order; text that is no JSON has none.
 
-    def level(text: Column, prefix: Column, left: int) -> Column:
-        keys = F.coalesce(F.json_object_keys(text), F.expr("cast(array() as array<string>)"))
-        values = F.from_json(text, "map<string,string>")
+    Objects and lists of any depth are walked (``a.b[0].c``), in Arrow batches on the workers. Numbers, booleans and nulls are no strings.
+    """
 
-        def one(k: Column) -> Column:
-            value = F.try_element_at(values, k)
-            path = F.when(prefix == "", k).otherwise(F.concat(prefix, F.lit("."), k))
-            leaf = F.when(value.isNull(), empty).otherwise(F.array(F.struct(path.alias("path"), value.alias("text"))))
-            return leaf if left <= 1 else F.when(value.startswith("{"), level(value, path, left - 1)).otherwise(leaf)
+    def leaves(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[dict]:
+            try:
+                return [{"path": p, "text": t} for p, t in _strings(json.loads(text))] if text is not None else []
+            except ValueError:
+                return []
 
-        return F.flatten(F.transform(keys, one))
+        return texts.map(one)
 
-    return level(doc, F.lit(""), depth)
+    return F.pandas_udf(leaves, LEAVES)(doc)

@@ -68,6 +68,41 @@ def test_json(spark):
     assert [(x.path, x.text) for x in leaves] == [("a.b", "x"), ("c", "y")]
 
 
+def strings(value, path=""):
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in strings(v, f"{path}.{k}" if path else k)]
+    if isinstance(value, list):
+        return [x for i, v in enumerate(value) for x in strings(v, f"{path}[{i}]")]
+    return [(path, value)] if isinstance(value, str) else []
+
+
+def test_string_leaves_of_lists_and_deep_records(spark):
+    deep = "s"
+    for i in range(12):
+        deep = {"k": deep} if i % 2 else [1, deep]
+    record = {"z": "last first", "hasConstraint": [{"label": "l", "on": "o"}, {"label": "m", "on": None}], "hasPart": ["p", ["q", 3, True]], "n": 4, "b": False, "deep": deep, "text": "[1]", "e": ""}
+    cases = [json.dumps(record), "[\"a\", {\"b\": \"c\"}]", "\"root\"", "7", "no json", "", None, "{}"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, c string").select("k", records.string_leaves(F.col("c")).alias("x")).collect()
+    want = [strings(json.loads(c)) if c and c != "no json" else [] for c in cases]
+    assert [[(x.path, x.text) for x in r.x] for r in sorted(rows)] == want
+
+
+def test_conformance_by_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from loomstone.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.row_id: (r.path, r.best, round(r.score, 6)) for r in QUERIES["q_conformance"](spark, sf).collect()}
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    for r in parts:
+        listed = r.p_partkey % 3 == 0
+        path = "d.x.y.z.hasPart[1]" if listed else "a.label"
+        ratio = SequenceMatcher(None, r.p_name.lower(), r.p_name.upper().lower()).ratio()
+        assert got[r.p_partkey] == (path, r.p_name.upper(), round(ratio, 6))
+    assert len(got) == len(parts)
+
+
 def test_metrics(spark):
     flags = metrics.hallucinations(F.col("a"), F.col("b"))
     row = spark.createDataFrame([('{"hasProperty":"p","hasMatrix":" "}', '{"hasProperty":"q","hasMatrix":"m","hasConstraint":[]}')], "a string, b string").select(*flags).first()
