@@ -36,6 +36,7 @@ PER_ROUND = 300  # rows of a class that a view may label in a round
 MIN_DOCS = 4  # sampled documents that must hold a word
 TELLING = 3.0  # z score of a word's log odds from which the text view takes it
 SOURCES, LANGS = 64, 16  # hashed slots of the metadata view
+ACCEPTS = (0.0, 2.0)  # thresholds of quality and toxicity that reject nothing
 
 _CLASSES = [np.zeros(256, dtype=bool) for _ in range(7)]
 _CLASSES[0][65:91] = True  # upper case
@@ -235,11 +236,25 @@ def _telling(row: np.ndarray, word: np.ndarray, words: int, y: np.ndarray, rows:
     return np.flatnonzero(np.abs(odds) / np.sqrt(1 / yes + 1 / no) >= TELLING)
 
 
-def _fit_head(vocabulary: np.ndarray, text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray) -> Head:
+def _both_sides(y: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """``held`` with a row moved where all of a class of two or more are on one side."""
+    held = held.copy()
+    for label in (0, 1):
+        rows = np.flatnonzero(y == label)
+        if len(rows) > 1 and held[rows].all():
+            held[rows[0]] = False
+        elif len(rows) > 1 and not held[rows].any():
+            held[rows[: max(1, len(rows) // 4)]] = True
+    return held
+
+
+def _fit_head(vocabulary: np.ndarray, text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray, accepts: float) -> Head:
+    """``accepts`` is the threshold with which a head that cannot be fitted rejects nothing."""
     known = y >= 0
+    held = _both_sides(y, held)
     sides = [np.unique(y[known & h]) for h in (held, ~held)]
     if any(len(s) < 2 for s in sides):
-        return Head(vocabulary[:0], Constant(y[known]))
+        return Head(vocabulary[:0], Constant(y[known]), accepts)
     words = _telling(text.row, text.word, len(vocabulary), y, np.flatnonzero(known & ~held))
     place = np.full(len(vocabulary), -1)
     place[words] = np.arange(len(words))
@@ -290,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     got = arrow(rows, _sample_features, schema).toArrow().sort_by("doc_id")
     n = got.num_rows
     if not n:
-        return Model(*[Head(np.zeros(0, np.uint64), Constant(np.zeros(0)))] * 2)
+        return Model(*[Head(np.zeros(0, np.uint64), Constant(np.zeros(0)), t) for t in ACCEPTS])
     words = got.column("words").combine_chunks()
     counts = np.diff(words.offsets.to_numpy())
     flat = words.flatten().to_numpy().view(np.uint64)
@@ -306,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     pa.default_memory_pool().release_unused()
     meta = Rows(_meta(layout, sources, langs))
     held = np.array([zlib.crc32(str(d).encode()) % 4 == 0 for d in marks])
-    heads = [_fit_head(seen[keep], text, meta, y, held) for y in targets]
+    heads = [_fit_head(seen[keep], text, meta, y, held, t) for y, t in zip(targets, ACCEPTS, strict=True)]
     return Model(*heads)
 
 
@@ -316,8 +331,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ``score`` is p_quality * (1 - p_toxic); ``keep`` asks for p_quality at or
     over and p_toxic under the heads' thresholds. Null texts count as empty, null metadata as
     an own value; every row is kept, repeated ones too. Columns of ``docs``
-    called like an added one are replaced. Without labels of both classes a
-    head gives the smoothed share of its class everywhere.
+    called like an added one are replaced. Without two labels of each class a
+    head gives the smoothed share of its class everywhere and rejects nothing.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

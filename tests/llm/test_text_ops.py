@@ -309,6 +309,22 @@ def test_quality(spark):
     assert quality.score(odd.where("false"), flat).count() == 0
 
 
+def test_quality_without_labels_keeps_all(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}", "s", "en") for i in range(40)], "doc_id long, text string, source string, lang string")
+    schema = "doc_id long, quality int, toxic int"
+    for rows in ([], [(1000 + i, i % 2, i % 2) for i in range(9)], [(i, 1, None) for i in range(20)], [(i, 0, 0) for i in range(20)]):
+        model = quality.train(docs, spark.createDataFrame(rows, schema))
+        assert quality.score(docs, model).where("keep").count() == 40
+    assert quality.score(docs, quality.train(docs.where("false"), spark.createDataFrame([], schema))).where("keep").count() == 40
+
+
+def test_held_rows_have_both_classes():
+    y = np.array([1] * 20 + [0] * 4 + [-1] * 5)
+    for held in (np.arange(29) % 4 == 0, np.arange(29) < 20, np.arange(29) >= 20, np.zeros(29, bool), np.ones(29, bool)):
+        got = quality._both_sides(y, held)
+        assert all(set(y[(y >= 0) & side]) == {0, 1} for side in (got, ~got))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
     from loomstone.llm.common import store
