@@ -1,30 +1,33 @@
 """N-gram Jaccard join (operator 6): T-occurrence search with DivideSkip.
 
 1. One pass over the texts gives each document its number of shingles, a
-   128-bit digest of its shingle set and its signature: the first shingles in a
-   fixed global order, longest (so mostly rarest) first. Equal sets form a class
+   128-bit digest of its shingle set and its signature. Equal sets form a class
    at once, so exact copies never meet again.
-2. Two linked sets of sizes n and m share at least ``need`` shingles, so their
-   first ``n - ceil(t n) + c`` shingles hold the first ``c`` common ones on both
-   sides. Signatures are sorted by shingle and streamed: every class on a shared
-   shingle is joined to the first class there (the leader of the list), and
-   classes with fewer shared signature shingles than any link needs go.
-3. Classes of one leader are searched together: an inverted index over the
-   group, for every set a heap merge of its short lists, binary probes into its
-   long ones, and a link where the overlap reaches the threshold. Sets that are
-   already connected need no further check, so a task emits a spanning forest
-   and never all pairs.
-4. A leader with many classes is dealt into blocks by hash, with a few pilots in
-   every block. What the first search leaves unconnected there is keyed anew by
-   the rarest of its shingles within the leader, so classes that share only what
-   all share part; each new group is searched in tiles of two bounded blocks.
+2. Two linked sets of at most ``u`` shingles differ in at most ``d(u)`` of them.
+   A signature deals the set by hash into ``d + c`` parts and keeps one hash of
+   each part's content: linked sets agree in ``c`` parts or more. A part holds
+   several shingles, so unrelated texts hardly ever agree in one, however large
+   the corpus. Lists of a part are streamed in sorted order; those of one class
+   go at once. A class with fewer shared parts than a link needs goes too, and of
+   the others only the rarest parts stay that a link can not do without. Each
+   class is joined to the first class (the leader) of its lists.
+3. Every class is first searched in its largest group alone: an inverted index,
+   a heap merge of the short lists, binary probes into the long ones, and a link
+   where the overlap reaches the threshold. Sets that are already connected need
+   no further check, so a task emits a spanning forest and never all pairs.
+4. Only groups that still hold several components are searched again. Where one
+   is larger than a block, its classes meet on the rarest shingles within the
+   group by the same rule as in step 2, in tiles of two bounded blocks.
 5. Components come from alternating stars over the forest.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -38,177 +41,269 @@ from loomstone.llm.words import NONSPACE, chunks, mix, shingles
 
 BLOCK_DOCS = 1024  # classes searched in one task at once
 BLOCK_SHINGLES = 500_000  # and their shingles
-PILOTS = 8  # classes of a large leader that go to every block
-EXTRA = 24  # signature shingles beyond those that the threshold asks for
-MERGED = 64  # sets up to which a heap merges the lists; more are counted in one scan
+PILOTS = 8  # classes of a large group that go to every block
+SPARE = 5  # a link keeps one part more than it must for each so many that may differ
 MU = 0.0085  # DivideSkip's weight of a probe against a merge step
 
-_META = "doc_id bigint, n int, fp1 bigint, fp2 bigint, prefix array<bigint>"
+_META = "doc_id bigint, n int, fp1 bigint, fp2 bigint, keys array<bigint>, tags array<int>"
+_TAG = 256  # a tag is the number of shared parts that a link needs, times this, plus the band of sizes
 
 
-def _common_column(n: Column, num: int, den: int) -> Column:
-    return F.floor(n * (den - num) / (den * 2)) + F.least(F.floor(n * 3 / 10), F.lit(EXTRA)) + 1
+def size_bands(most: int) -> np.ndarray:
+    """Largest sizes of the bands up to ``most``: each half as large again as the one before."""
+    limits = [1]
+    while limits[-1] < most:
+        limits.append(max(limits[-1] + 1, limits[-1] * 3 // 2))
+    return np.array(limits, dtype=np.int64)
 
 
-def _ceil(n, num: int, den: int):
-    return -((-n * num) // den)
+def parts(limit: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, parts that two linked sets of at most ``limit`` shingles agree in at least)."""
+    differ = 2 * limit * (den - num) // (den + num)
+    agree = 1 + differ // SPARE
+    return differ + agree, agree
 
 
-def prefix_size(n, num: int, den: int):
-    """Signature length of a set of n: ``n - ceil(t n) + common(n)``."""
-    return n - _ceil(n, num, den) + common(n, num, den)
+def digests(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, two 64-bit digests of the shingle set) of each row."""
+    n = np.bincount(row, minlength=rows)
+    fp = np.zeros((2, rows), dtype=np.uint64)
+    some = np.flatnonzero(n)
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    if len(some):
+        with np.errstate(over="ignore"):
+            for i, salt in enumerate((0x51ED270B7A2C91F3, 0xA24BAED4963EE407)):
+                fp[i, some] = mix(np.add.reduceat(mix(h ^ np.uint64(salt)), first[some]) + n[some].astype(np.uint64))
+    return n, fp
 
 
-def common(n, num: int, den: int):
-    """Common signature shingles that two linked sets of at least n must have.
+def part_keys(h: np.ndarray, row: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, tag) of the parts of each row, for every band in which the row can meet an equal or larger set.
 
-    Half as many again as may differ, and up to ``EXTRA`` more: short texts that
-    share a line or a passage then fall short of it. It never falls with n.
+    Empty parts agree too but have no content to meet on, so a row needs fewer
+    agreeing parts by its empty ones; where that leaves none to ask for, its
+    empty parts get keys as well.
     """
-    return n * (den - num) // (den * 2) + np.minimum(n * 3 // 10, EXTRA) + 1
-
-
-def _signatures(text_col: str, k: int, num: int, den: int):
+    limits = size_bands(int(n.max(initial=1)) * den // num + 1)
+    count, agree = parts(limits, num, den)
+    low, high = np.searchsorted(limits, n), np.searchsorted(limits, n * den // num)
+    with np.errstate(over="ignore"):
+        content = mix(h ^ np.uint64(0x2B7E151628AED2A6))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for step in range(int((high - low).max(initial=0)) + 1):
+        band = np.minimum(low + step, len(limits) - 1)
+        live = (low + step <= high) & (n > 0)
+        size = np.where(live, count[band], 0)
+        base = np.concatenate([[0], np.cumsum(size)])
+        use = live[row]
+        r = row[use]
+        with np.errstate(over="ignore"):
+            spread = mix(h[use] + band[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            part = base[r] + ((spread * size[r].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+            total = np.zeros(base[-1], dtype=np.uint64)
+            np.add.at(total, part, content[use])
+        filled = np.bincount(part, minlength=base[-1])
+        owner = np.repeat(np.arange(len(n)), size)
+        missing = np.bincount(owner[filled == 0], minlength=len(n))
+        need = agree[band] - missing
+        keep = (filled > 0) | (need < 1)[owner]
+        own = owner[keep]
+        with np.errstate(over="ignore"):
+            place = (np.flatnonzero(keep) - base[own]).astype(np.uint64) * np.uint64(_TAG) + band[own].astype(np.uint64)
+            key = mix(total[keep] ^ mix(place + np.uint64(1)))
+        found.append((own, key, np.maximum(1, need)[own] * _TAG + band[own]))
+    own, key, tag = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(own, kind="stable")
+    return own[order], key[order], tag[order]
+
+
+def _signatures(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # one signature for each set of a task is enough
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64) if batch.num_rows else None
-            for c in chunks(batch.column(text_col), NONSPACE):
-                h, row, length = shingles(c, k)
-                n = np.bincount(row, minlength=c.rows)
-                fp = np.zeros((2, c.rows), dtype=np.uint64)
-                some = np.flatnonzero(n)
-                first = np.concatenate([[0], np.cumsum(n)[:-1]])
-                with np.errstate(over="ignore"):
-                    for i, salt in enumerate((0x51ED270B7A2C91F3, 0xA24BAED4963EE407)):
-                        if len(some):
-                            fp[i, some] = mix(np.add.reduceat(mix(h ^ np.uint64(salt)), first[some]) + n[some].astype(np.uint64))
-                order = np.lexsort((h, -length, row))
-                rank = np.arange(len(h)) - first[row[order]]
-                keep = rank < prefix_size(n, num, den)[row[order]]
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) if batch.num_rows else None
+            for c in chunks(batch.column(1), NONSPACE):
+                h, row, _ = shingles(c, k)
+                n, fp = digests(h, row, c.rows)
                 fresh = np.zeros(c.rows, dtype=bool)
-                fresh[np.unique(fp[0], return_index=True)[1]] = True  # one signature for each set of a chunk is enough
-                fresh &= n > 0
-                keep &= fresh[row[order]]
-                values = h[order][keep].view(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row[order][keep], minlength=c.rows))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[c.first : c.first + c.rows]),
-                        pa.array(n.astype(np.int32)),
-                        pa.array(fp[0].view(np.int64)),
-                        pa.array(fp[1].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    ],
-                    names=["doc_id", "n", "fp1", "fp2", "prefix"],
-                )
+                for i, x in enumerate(fp[0].tolist()):
+                    if n[i] and x not in seen:
+                        seen.add(x)
+                        fresh[i] = True
+                use = fresh[row]
+                own, key, tag = part_keys(h[use], row[use], np.where(fresh, n, 0), num, den)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=c.rows))]).astype(np.int32))
+                columns = [pa.array(ids[c.first : c.first + c.rows]), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in fp)]
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(tag.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp1", "fp2", "keys", "tags"])
 
     return run
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shingle, fp, n) sorted by shingle, fp -> (leader, fp, n, shared), lists of one class left out."""
-    last_s = last_fp = last_n = leader = None
-    alone = True
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (s, fp1, tag) sorted by s, fp1 -> (s, leader, fp1, tag) of every s that two or more classes have."""
+    last_s = last_fp = leader = held = None
     for batch in batches:
-        s, fp, n = (batch.column(i).to_numpy() for i in range(3))
+        s, fp, tag = (batch.column(i).to_numpy() for i in range(3))
+        if held is not None:
+            s, fp, tag = (np.append(a, b) for a, b in zip(held, (s, fp, tag), strict=True))
         if not len(s):
             continue
         fresh = np.ones(len(s), dtype=bool)
         fresh[1:] = (s[1:] != s[:-1]) | (fp[1:] != fp[:-1])
-        fresh[0] = s[0] != last_s or fp[0] != last_fp
-        s, fp, n = s[fresh], fp[fresh], n[fresh]
+        fresh[0] = held is not None or s[0] != last_s or fp[0] != last_fp
+        s, fp, tag = s[fresh], fp[fresh], tag[fresh]
         if not len(s):
             continue
+        goes_on = held is None and s[0] == last_s
         begin = np.ones(len(s), dtype=bool)
         begin[1:] = s[1:] != s[:-1]
-        begin[0] = s[0] != last_s
-        group = np.cumsum(begin) - (1 if begin[0] else 0)
+        begin[0] = not goes_on
+        group = np.cumsum(begin) - (0 if goes_on else 1)
         size = np.bincount(group)
         heads = np.zeros(len(size), dtype=np.int64)
         heads[group[begin]] = fp[begin]
-        late: list[tuple] = []
-        if not begin[0]:
-            heads[0] = leader
-            if alone:
-                late = [(leader, last_fp, last_n)]
         real = size > 1
-        if not begin[0]:
-            real[0] = True
+        if goes_on:
+            heads[0], real[0] = leader, True
+        last_s, last_fp, leader = int(s[-1]), int(fp[-1]), int(heads[-1])
+        held = None if real[-1] else (s[-1:], fp[-1:], tag[-1:])
         use = real[group]
-        a, b, c = heads[group][use], fp[use], n[use]
-        if late:
-            a, b, c = (np.append(x, y) for x, y in zip((a, b, c), late[0], strict=True))
-        leader = int(heads[-1])
-        alone = bool(size[-1] == 1 and (len(size) > 1 or begin[0]))
-        last_s, last_fp, last_n = int(s[-1]), int(fp[-1]), int(n[-1])
-        if len(a):
-            order = np.lexsort((b, a))
-            a, b, c = a[order], b[order], c[order]
-            first = np.ones(len(a), dtype=bool)
-            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            at = np.flatnonzero(first)
-            count = np.diff(np.append(at, len(a)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a[at].astype(np.int64)), pa.array(b[at].astype(np.int64)), pa.array(c[at].astype(np.int32)), pa.array(count.astype(np.int64))],
-                names=["leader", "fp1", "n", "shared"],
-            )
-
-
-class _Union:
-    def __init__(self, labels: np.ndarray):
-        self.parent = np.arange(len(labels))
-        seen: dict = {}
-        for i, x in enumerate(labels.tolist()):
-            self.parent[i] = seen.setdefault(x, i)
+        if use.any():
+            columns = [s[use].astype(np.int64), heads[group][use], fp[use].astype(np.int64), tag[use].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["s", "leader", "fp1", "tag"])
 
-    def find(self, x: int) -> int:
-        p = self.parent
-        while p[x] != x:
-            p[x] = p[p[x]]
-            x = int(p[x])
-        return x
 
-    def roots(self, xs: np.ndarray) -> np.ndarray:
-        p = self.parent
-        r = p[xs]
-        while True:
-            up = p[r]
-            if (up == r).all():
-                return r
-            r = up
+def _meet(postings: DataFrame) -> DataFrame:
+    """(leader, fp1) of the classes that can link, from postings (s, fp1, tag).
+
+    A class keeps its shared keys, rarest first, but for as many of the most
+    frequent as a link needs less one: two linked classes have their rarest common
+    key among those that either keeps.
+    """
+    lists = arrow(postings.repartition("s").sortWithinPartitions("s", "fp1"), _lists, "s bigint, leader bigint, fp1 bigint, tag int")
+    lists = store(lists, "lists")
+    often = lists.groupBy("s").agg(F.count("*").alias("sets"))
+    mine = Window.partitionBy("fp1", "tag")
+    ranked = lists.join(often, "s").select("leader", "fp1", "tag", F.count("*").over(mine).alias("shared"), F.row_number().over(mine.orderBy("sets", "s")).alias("rank"))
+    return ranked.where(F.col("rank") <= F.col("shared") - F.floor(F.col("tag") / _TAG) + 1).select("leader", "fp1").distinct()
 
 
-def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
-    """(element, count) of those in at least ``need`` of the ascending lists.
+def merge_skip(lists: list[list[int]], need: int, least: int = 0) -> Iterator[tuple[int, int]]:
+    """(element, count) of those from ``least`` on in at least ``need`` of the ascending lists.
 
     A heap holds the head of each list; where too few lists agree, the next
     ``need - 1`` heads are popped and their lists skip ahead by binary search.
     """
-    heap = [(x[0], i) for i, x in enumerate(lists) if x]
-    heapq.heapify(heap)
-    at, out = [0] * len(lists), []
+    w = len(lists)
+    at = [bisect_left(x, least) for x in lists] if least else [0] * w
+    heap = [x[at[i]] * w + i for i, x in enumerate(lists) if at[i] < len(x)]
+    heapify(heap)
     while len(heap) >= need:
-        top = heap[0][0]
-        popped = []
-        while heap and heap[0][0] == top:
-            popped.append(heapq.heappop(heap)[1])
+        top = heap[0] // w
+        after, popped = (top + 1) * w, []
+        while heap and heap[0] < after:
+            popped.append(heappop(heap) % w)
         if len(popped) >= need:
-            out.append((top, len(popped)))
+            yield top, len(popped)
             for i in popped:
                 at[i] += 1
                 if at[i] < len(lists[i]):
-                    heapq.heappush(heap, (lists[i][at[i]], i))
+                    heappush(heap, lists[i][at[i]] * w + i)
+            continue
+        while heap and len(popped) < need - 1:
+            popped.append(heappop(heap) % w)
+        if not heap:
+            return
+        target = heap[0] // w
+        for i in popped:
+            at[i] = bisect_left(lists[i], target, at[i])
+            if at[i] < len(lists[i]):
+                heappush(heap, lists[i][at[i]] * w + i)
+
+
+class _Group:
+    """Sets by ascending size, their components, and two inverted indexes.
+
+    One index holds the sets of the largest component, the other all the rest. A
+    set that is linked into the largest component needs no second link there.
+    """
+
+    def __init__(self, size: list[int], labels: list[int], num: int, den: int):
+        self.size, self.num, self.den = size, num, den
+        first: dict[int, int] = {}
+        self.parent = [first.setdefault(x, i) for i, x in enumerate(labels)]
+        often = Counter(labels).most_common(1)
+        self.main = first[often[0][0]] if often and often[0][1] > 1 else None
+        self.lists: tuple[dict, dict] = ({}, {})  # of the largest component, of the rest
+        self.rest: dict[int, list[tuple[int, list[int]]]] = {}  # sets of the other components
+
+    def find(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    def linked(self, r: int, tokens: list[int], which: int) -> Iterator[int]:
+        """Earlier sets of an index that link with set r, by DivideSkip."""
+        index, n = self.lists[which], self.size[r]
+        lists = [x for t in tokens if (x := index.get(t))]
+        need = -((-self.num * n) // self.den)
+        if len(lists) < need:
+            return
+        lists.sort(key=len)
+        long = min(need - 1, int(need / (MU * math.log2(len(lists[-1]) + 1) + 1)))
+        short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
+        for other, hits in merge_skip(short, need - long, bisect_left(self.size, need)):
+            if which and self.find(other) == self.find(r):
+                continue
+            enough = -((-self.num * (n + self.size[other])) // (self.num + self.den))
+            left = long
+            for x in probed:
+                if hits + left < enough:
+                    break
+                j = bisect_left(x, other)
+                hits += j < len(x) and x[j] == other
+                left -= 1
+            if hits >= enough:
+                yield other
+
+    def place(self, r: int, tokens: list[int]) -> list[tuple[int, int]]:
+        """Link set r with the sets before it and take it into an index."""
+        links = []
+        if self.main is not None and self.find(r) != self.find(self.main):
+            other = next(self.linked(r, tokens, 0), None)
+            if other is not None:
+                links.append((r, other))
+                self.join(r, other)
+        for other in list(self.linked(r, tokens, 1)):
+            if self.find(other) != self.find(r):
+                links.append((r, other))
+                self.join(r, other)
+        if self.main is None and links:
+            self.main = r
+        home = self.find(r)
+        if self.main is not None and home == self.find(self.main):
+            for one, its in self.rest.pop(home, []):
+                for t in its:
+                    x = self.lists[1][t]
+                    del x[bisect_left(x, one)]
+                    insort(self.lists[0].setdefault(t, []), one)
+            which = 0
         else:
-            while heap and len(popped) < need - 1:
-                popped.append(heapq.heappop(heap)[1])
-            if not heap:
-                break
-            target = max(heap[0][0], top + 1)
-            for i in popped:
-                at[i] = int(np.searchsorted(lists[i], target, side="left")) if len(lists[i]) > 16 else next((j for j in range(at[i], len(lists[i])) if lists[i][j] >= target), len(lists[i]))
-                if at[i] < len(lists[i]):
-                    heapq.heappush(heap, (lists[i][at[i]], i))
-    return out
+            self.rest.setdefault(home, []).append((r, tokens))
+            which = 1
+        index = self.lists[which]
+        for t in tokens:
+            index.setdefault(t, []).append(r)
+        return links
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.parent[a] = b
+        if moved := self.rest.pop(a, None):
+            self.rest.setdefault(b, []).extend(moved)
 
 
 def search_group(values: np.ndarray, bounds: np.ndarray, labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -217,231 +312,136 @@ def search_group(values: np.ndarray, bounds: np.ndarray, labels: np.ndarray, num
     Set i is ``values[bounds[i]:bounds[i + 1]]``, distinct. Sets with equal
     labels count as connected. Every pair that links is connected afterwards.
     """
-    m = len(bounds) - 1
     size = np.diff(bounds)
     order = np.argsort(size, kind="stable")
-    place = np.empty(m, dtype=np.int64)
-    place[order] = np.arange(m)
-    owner = np.repeat(place, size)
-    token = np.unique(values, return_inverse=True)[1]
-    key = np.sort(token.astype(np.int64) * m + owner)
-    listed = key % m
-    tokens = key // m
-    head = np.searchsorted(tokens, np.arange(tokens[-1] + 2 if len(tokens) else 1))
-    df = np.diff(head)
-    size = size[order]
-    joined, links = _Union(labels[order]), []
-    starts = bounds[:-1][order]
-
-    def linked(overlap: int, a: int, b: int) -> bool:
-        return den * overlap >= num * (int(size[a]) + int(size[b]) - overlap)
-
-    def probe(lists: np.ndarray, other: int) -> int:
-        want = lists * m + other
-        at = np.searchsorted(key, want)
-        at[at == len(key)] = 0
-        return int((key[at] == want).sum())
-
-    for r in range(m):
-        n = int(size[r])
-        if not n:
-            continue
-        mine = token[starts[r] : starts[r] + n]
-        mine = mine[np.argsort(df[mine], kind="stable")]
-        need = _ceil(n, num, den)
-        longest = int(df[mine[-1]])
-        if longest < 2:
-            continue
-        if int((df[mine] > 1).sum()) < need:
-            continue
-        long_lists = min(need - 1, int(need / (MU * np.log2(longest) + 1)))
-        short, long = mine[: n - long_lists], mine[n - long_lists :]
-        least = int(np.searchsorted(size, need))  # smaller sets cannot link
-        count = df[short]
-        keep = count > 1
-        short, count = short[keep], count[keep]
-        if not len(short):
-            continue
-        flat = np.repeat(head[short] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
-        which, docs = np.repeat(np.arange(len(short)), count), listed[flat]
-
-        def rest(which=which, docs=docs, least=least, r=r):
-            use = (docs < r) & (docs >= least)
-            which, docs = which[use], docs[use]
-            if len(docs):
-                use = joined.roots(docs) != joined.find(r)
-                which, docs = which[use], docs[use]
-            return which, docs
-
-        which, docs = rest()
-        if not len(docs):
-            continue
-        likely = int(np.bincount(docs).argmax())
-        overlap = probe(mine, likely)
-        if linked(overlap, r, likely):
-            links.append((int(order[r]), int(order[likely])))
-            joined.parent[joined.find(r)] = joined.find(likely)
-            which, docs = rest(which, docs)
-            if not len(docs):
-                continue
-        # sets that too few short lists hold cannot reach the overlap that their size asks for
-        seen = np.bincount(docs, minlength=r)
-        others = np.flatnonzero(seen)
-        pair_need = -((-num * (n + size[others])) // (num + den))
-        others = others[seen[others] >= pair_need - long_lists]
-        if not len(others):
-            continue
-        if len(others) <= MERGED:
-            keep = np.isin(docs, others)
-            which, docs = which[keep], docs[keep]
-            lists = [x.tolist() for x in np.split(docs, np.flatnonzero(np.diff(which)) + 1)]
-            found = [(other, hits + probe(long, other)) for other, hits in merge_skip(lists, max(1, need - long_lists))]
-        else:
-            length = df[mine]
-            flat = np.repeat(head[mine] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
-            total = np.bincount(listed[flat], minlength=m)
-            found = [(other, overlap) for other, overlap in zip(others.tolist(), total[others].tolist(), strict=True)]
-        for other, overlap in found:
-            if joined.find(other) != joined.find(r) and linked(overlap, r, other):
-                links.append((int(order[r]), int(order[other])))
-                joined.parent[joined.find(r)] = joined.find(other)
+    token, df = np.unique(values, return_inverse=True, return_counts=True)[1:]
+    several = df[token] > 1
+    group = _Group(size[order].tolist(), labels[order].tolist(), num, den)
+    links = []
+    for r, i in enumerate(order.tolist()):
+        mine = token[bounds[i] : bounds[i + 1]][several[bounds[i] : bounds[i + 1]]]
+        if len(mine) and den * len(mine) >= num * int(size[i]):  # fewer shared shingles than any link needs
+            links += [(i, int(order[other])) for _, other in group.place(r, mine.tolist())]
     return links
 
 
 def _search_sorted(k: int, num: int, den: int):
-    """Rows (gkey, doc_id, label, text) sorted by gkey -> links (u, v)."""
+    """Rows (gkey, fp1, label, text) sorted by gkey -> links (u, v) of classes."""
 
-    def flush(ids: list, labels: list, h: list[np.ndarray]) -> pa.RecordBatch | None:
-        if len(ids) < 2:
-            return None
-        ids_a, first = np.unique(np.array(ids, dtype=np.int64), return_index=True)
-        sets = [h[i] for i in first]
-        if len(sets) < 2:
+    def flush(held: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch | None:
+        if len(held) < 2:
             return None
+        ids = np.array(list(held), dtype=np.int64)
+        sets = [x[1] for x in held.values()]
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        links = search_group(np.concatenate(sets), bounds, np.array(labels, dtype=np.int64)[first], num, den)
+        links = search_group(np.concatenate(sets), bounds, np.array([x[0] for x in held.values()], dtype=np.int64), num, den)
         if not links:
             return None
         a = np.array(links)
-        return pa.RecordBatch.from_arrays([pa.array(ids_a[a[:, 0]]), pa.array(ids_a[a[:, 1]])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[a[:, 0]]), pa.array(ids[a[:, 1]])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, labels, sets = None, [], [], []
+        now, held = None, {}
         for batch in batches:
-            keys, docs, label = (batch.column(i).to_pylist() for i in range(3))
+            keys, classes, label = (batch.column(i).to_pylist() for i in range(3))
             for c in chunks(batch.column(3), NONSPACE):
                 h, row, _ = shingles(c, k)
-                bounds = np.searchsorted(row, np.arange(c.rows + 1))
-                for i in range(c.rows):
+                n, fp = digests(h, row, c.rows)
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                for i, digest in enumerate(fp[0].view(np.int64).tolist()):
                     j = c.first + i
                     if keys[j] != now:
-                        if (out := flush(ids, labels, sets)) is not None:
+                        if (out := flush(held)) is not None:
                             yield out
-                        now, ids, labels, sets = keys[j], [], [], []
-                    ids.append(docs[j])
-                    labels.append(label[j])
-                    sets.append(h[bounds[i] : bounds[i + 1]].copy())
-        if (out := flush(ids, labels, sets)) is not None:
+                        now, held = keys[j], {}
+                    if digest == classes[j] and digest not in held:  # an id may come with several texts
+                        held[digest] = (label[j], h[bounds[i] : bounds[i + 1]].copy())
+        if (out := flush(held)) is not None:
             yield out
 
     return run
 
 
 def _links(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Search each gkey of ``rows`` (gkey, doc_id, label) over the texts."""
-    full = rows.join(texts, "doc_id").select("gkey", "doc_id", "label", "text")
+    """Search each gkey of ``rows`` (gkey, doc_id, fp1, label) over the texts."""
+    full = rows.join(texts, "doc_id").select("gkey", "fp1", "label", "text")
     return arrow(full.repartition("gkey").sortWithinPartitions("gkey"), _search_sorted(k, num, den), "u bigint, v bigint")
 
 
-def _open(named: DataFrame) -> DataFrame:
-    """Rows of leaders with more than one component, with the largest one's name."""
-    main = named.groupBy("leader", "label").count().groupBy("leader").agg(F.max_by("label", "count").alias("main"), F.count("*").alias("kinds"))
-    return checkpoint(named.join(main.where("kinds > 1"), "leader").drop("kinds"))
-
+def _blocks(kinds: float = 1) -> Column:
+    """Blocks that a group's classes need, ``kinds`` of them at once in a task."""
+    return F.greatest(F.ceil(F.count("*") * kinds / BLOCK_DOCS), F.ceil(F.sum("n") * kinds / BLOCK_SHINGLES)).cast("int")
 
-def _across(large: DataFrame, found: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """Links between the blocks of large leaders that the search inside blocks left unconnected.
 
-    First every set's shingles that another set of its leader has are counted:
-    one with fewer than any link needs has no link there. The others order their
-    shingles by how many of them have each, rarest first: two linked sets have a
-    common one among their first ``n - ceil(t n) + 1``. Only sets that do meet.
-    """
-    named = large.join(found, large["doc_id"] == found["node"], "left").select("leader", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    named = _open(named)
-    if not named.limit(1).count():
-        return None
-    need = F.expr(f"(n * {num} + {den - 1}) div {den}")
-    keyed = named.withColumn("key", F.xxhash64("leader", "doc_id"))
-    shared = _led(_postings(keyed, texts, k))
-    enough = shared.groupBy("fp1").agg(F.sum("shared").alias("shared"), F.first("n").alias("n"))
-    enough = enough.where(F.col("shared") >= need).select(F.col("fp1").alias("key"))
-    named = _open(keyed.join(enough, "key").select("leader", "doc_id", "label"))
-    if not named.limit(1).count():
-        return None
-    keyed = named.withColumn("key", F.xxhash64("leader", "doc_id"))
-    postings = store(_postings(keyed, texts, k), "postings")
-    often = postings.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1")
-    mine = Window.partitionBy("fp1")
-    rare = postings.join(often, "s").select("s", "fp1", "n", F.count("*").over(mine).alias("shared"), F.row_number().over(mine.orderBy("sets", "s")).alias("rank"))
-    # a set's own shingles come before all shared ones, whose ranks so begin after n - shared
-    rare = rare.where(F.col("rank") <= F.col("shared") - need + 1).select("s", "fp1", "n")
-    groups = _led(rare).groupBy("leader", "fp1").agg(F.first("n").alias("n")).select(F.col("leader").alias("rarest"), F.col("fp1").alias("key"), "n")
-    named = _open(keyed.join(groups, "key").select(F.col("rarest").alias("leader"), "doc_id", "label", "n"))
-    if not named.limit(1).count():
+def _open(named: DataFrame) -> DataFrame:
+    """Rows (leader, fp1, label, ...) of groups with more than one component, with the largest one's name."""
+    main = named.groupBy("leader", "label").count().groupBy("leader").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("kinds"))
+    return named.join(main.where("kinds > 1"), "leader").drop("kinds")
+
+
+def _again(members: DataFrame, cells: DataFrame, found: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """Links inside groups that hold several components and were not searched whole."""
+    named = members.join(found, members["fp1"] == found["node"], "left").select("leader", "doc_id", "fp1", "n", F.coalesce("component", "fp1").alias("label"))
+    cell = named.join(cells, "fp1").groupBy("leader").agg(F.min("cell").alias("a"), F.max("cell").alias("b"), F.count("cell").alias("in_one"), F.count("*").alias("all"))
+    parted = cell.where("a <> b or in_one < all").select("leader")
+    sizes = named.groupBy("leader").agg(_blocks().alias("blocks"))
+    named = checkpoint(_open(named.join(parted, "leader")).join(sizes, "leader"))
+    large = named.where("blocks > 1")
+    rows = named.where("blocks = 1").select(F.xxhash64("leader").alias("gkey"), "doc_id", "fp1", "label")
+    if large.limit(1).count():
+        keyed = large.select("leader", "doc_id", "fp1", "n", "label", F.xxhash64("leader", "fp1").alias("key"))
+        postings = arrow(keyed.join(texts, "doc_id").select("leader", "key", "fp1", "text"), _all_shingles(k, num, den), "s bigint, fp1 bigint, tag int")
+        near = _meet(postings).withColumnsRenamed({"leader": "rarest", "fp1": "key"})
+        near = keyed.join(near, "key").select(F.col("rarest").alias("leader"), "doc_id", "fp1", "n", "label")
+        rows = rows.union(_tiles(checkpoint(_open(near))))
+    elif not rows.limit(1).count():
         return None
-    return _links(_tiles(named), texts, k, num, den)
-
-
-def _postings(keyed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    return keyed.join(texts, "doc_id").select("leader", "key", "text").mapInArrow(_all_shingles(k), "s bigint, fp1 bigint, n int")
-
-
-def _led(postings: DataFrame) -> DataFrame:
-    return postings.repartition("s").sortWithinPartitions("s", "fp1").mapInArrow(_leaders, "leader bigint, fp1 bigint, n int, shared bigint")
+    return _links(rows, texts, k, num, den)
 
 
 def _tiles(named: DataFrame) -> DataFrame:
-    """(leader, doc_id, label, main, n) -> rows (gkey, doc_id, label) in which any two sets of a leader whose labels differ meet.
+    """(leader, doc_id, fp1, label, main, n) -> rows (gkey, doc_id, fp1, label) in which any two sets of a leader whose labels differ meet.
 
     The largest component and the others are dealt into blocks of half a task
     each. A tile holds a block of either, or two blocks of others; sets of the
     largest component need not meet each other.
     """
-    parts = named.withColumn("side", F.col("label") == F.col("main"))
-    blocks = F.greatest(F.ceil(F.count("*") / (BLOCK_DOCS / 2)), F.ceil(F.sum("n") / (BLOCK_SHINGLES / 2))).cast("int")
-    sizes = parts.groupBy("leader", "side").agg(blocks.alias("blocks")).groupBy("leader")
+    sides = named.withColumn("side", F.col("label") == F.col("main"))
+    sizes = sides.groupBy("leader", "side").agg(_blocks(2).alias("blocks")).groupBy("leader")
     sizes = sizes.agg(F.max(F.when(F.col("side"), F.col("blocks"))).alias("mains"), F.max(F.when(~F.col("side"), F.col("blocks"))).alias("others"))
     pair = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
     mine = F.transform(_all_blocks("others"), lambda j: pair("main", F.col("own"), j))
     theirs = F.transform(_all_blocks("mains"), lambda i: pair("main", i, F.col("own")))
     among = F.transform(F.filter(_all_blocks("others"), lambda j: j != F.col("own")), lambda j: pair("others", F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
-    parts = parts.join(sizes, "leader").withColumn("blocks", F.when(F.col("side"), F.col("mains")).otherwise(F.col("others"))).withColumn("own", _own_block())
-    parts = parts.select("leader", "doc_id", "label", F.explode(F.when(F.col("side"), mine).otherwise(F.concat(theirs, among))).alias("tile"))
-    return parts.select(F.xxhash64("leader", "tile.kind", "tile.a", "tile.b").alias("gkey"), "doc_id", "label")
+    sides = sides.join(sizes, "leader").withColumn("blocks", F.when(F.col("side"), F.col("mains")).otherwise(F.col("others"))).withColumn("own", _own_block())
+    sides = sides.select("leader", "doc_id", "fp1", "label", F.explode(F.when(F.col("side"), mine).otherwise(F.concat(theirs, among))).alias("tile"))
+    return sides.select(F.xxhash64("leader", "tile.kind", "tile.a", "tile.b").alias("gkey"), "doc_id", "fp1", "label")
 
 
 def _own_block() -> Column:
-    return F.pmod(F.xxhash64("doc_id", "leader"), F.col("blocks")).cast("int")
+    return F.pmod(F.xxhash64("fp1", "leader"), F.col("blocks")).cast("int")
 
 
 def _all_blocks(count: str = "blocks") -> Column:
     return F.sequence(F.lit(0), F.col(count) - 1)
 
 
-def _all_shingles(k: int):
-    """Rows (leader, key, text) -> (shingle within the leader, key, shingles of the text)."""
+def _all_shingles(k: int, num: int, den: int):
+    """Rows (leader, key, fp1, text) -> (shingle within the leader, key, tag) of the texts of class fp1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leader, key = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-            for c in chunks(batch.column(2), NONSPACE):
+            leader, key, wanted = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2))
+            for c in chunks(batch.column(3), NONSPACE):
                 h, row, _ = shingles(c, k)
-                n = np.bincount(row, minlength=c.rows)
+                n, fp = digests(h, row, c.rows)
+                use = (fp[0].view(np.int64) == wanted[c.first : c.first + c.rows])[row]
+                h, row = h[use], row[use]
                 at = row + c.first
                 with np.errstate(over="ignore"):
                     s = mix(h ^ mix(leader[at].view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(key[at]), pa.array(n[row].astype(np.int32))], names=["s", "fp1", "n"])
+                tag = (-((-n * num) // den) * _TAG)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(key[at]), pa.array(tag.astype(np.int32))], names=["s", "fp1", "tag"])
 
     return run
 
@@ -456,50 +456,45 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_co
     hashes. ``component_id`` is the smallest id reachable by links.
 
     Null and empty texts, and texts without words, have no shingles and link
-    with nothing. Rows sharing an id count as one document for reachability and
-    keep their own ``n_shingles``. A row with a null id links with nothing and
-    gets a null component. Other columns are ignored. Empty tables give none.
+    with nothing. Rows sharing an id count as one document for reachability,
+    whatever their texts, and keep their own ``n_shingles``. A row with a null
+    id links with nothing and gets a null component. Other columns are ignored.
+    Empty tables give none.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = plain.where("doc_id is not null")
-    meta = store(arrow(known, _signatures("text", k, num, den), T._parse_datatype_string(_META)), "signatures")
+    meta = store(arrow(known, _signatures(k, num, den), T._parse_datatype_string(_META)), "signatures")
     classes = checkpoint(meta.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
-    postings = meta.where("size(prefix) > 0").select(F.explode("prefix").alias("s"), "fp1", "n")
-    shared = postings.repartition("s").sortWithinPartitions("s", "fp1").mapInArrow(_leaders, "leader bigint, fp1 bigint, n int, shared bigint")
-    shared = checkpoint(shared.groupBy("leader", "fp1").agg(F.sum("shared").alias("shared"), F.first("n").alias("n")))
-    least = _common_column(F.expr(f"(n * {num} + {den - 1}) div {den}"), num, den)
-    suspects = shared.groupBy("fp1").agg(F.sum("shared").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least).select("fp1")
-    members = shared.select("leader", "fp1").join(suspects, "fp1")
-    members = checkpoint(members.join(classes, "fp1").select("leader", F.col("rep").alias("doc_id"), "n"))
-    sizes = members.groupBy("leader").agg(F.count("*").alias("count"), F.sum("n").alias("total")).where("count > 1")
-    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("count") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int"))
-    members = checkpoint(members.join(sizes, "leader"))
-    # from here on only the texts of suspects move
+    postings = meta.where("size(keys) > 0").select("fp1", F.explode(F.arrays_zip("keys", "tags")).alias("p")).select(F.col("p.keys").alias("s"), "fp1", F.col("p.tags").alias("tag"))
+    members = _meet(postings).join(classes, "fp1").select("leader", F.col("rep").alias("doc_id"), "fp1", "n")
+    members = checkpoint(members)
+    # from here on only the texts of classes that may link move
     texts = store(known.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "suspects")
-    pilot = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.floor(F.col("count") / PILOTS))) == 0
-    blocks = F.when(pilot, _all_blocks()).otherwise(F.array(_own_block()))
-    keyed = members.select("leader", "doc_id", F.explode(blocks).alias("block"))
-    first = keyed.select(F.xxhash64("leader", "block").alias("gkey"), "doc_id", F.col("doc_id").alias("label"))
+    sizes = members.groupBy("leader").agg(F.count("*").alias("count"))
+    home = members.join(sizes, "leader").groupBy("fp1", "doc_id", "n").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    homes = home.groupBy("leader").agg(_blocks().alias("blocks"), F.count("*").alias("count")).where("count > 1")
+    home = checkpoint(home.join(homes, "leader").withColumn("own", _own_block()))
+    pilot = F.pmod(F.xxhash64("fp1"), F.greatest(F.lit(1), F.floor(F.col("count") / PILOTS))) == 0
+    keyed = home.select("leader", "doc_id", "fp1", F.explode(F.when(pilot, _all_blocks()).otherwise(F.array("own"))).alias("block"))
+    first = keyed.select(F.xxhash64("leader", "block").alias("gkey"), "doc_id", "fp1", F.col("fp1").alias("label"))
     edges = checkpoint(_links(first, texts, k, num, den).distinct())
-    large = members.where("blocks > 1")
-    again = None
-    if large.limit(1).count():
-        found = components(edges)
-        again = _across(large, found, texts, k, num, den)
-        edges = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    found = components(edges)
+    cells = members.select("fp1").distinct().join(home.select("fp1", F.xxhash64("leader", "own").alias("cell")), "fp1", "left")
+    again = _again(members, cells, found, texts, k, num, den)
+    edges = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     # rows that share an id are one document: their classes hang together
-    twins = meta.where("n > 0").select("doc_id", "fp1", "fp2").join(classes, ["fp1", "fp2"]).where("doc_id <> rep")
-    twice = meta.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    edges = edges.union(twins.join(twice, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    twins = meta.where("n > 0").groupBy("doc_id").agg(F.min("fp1").alias("u"), F.collect_set("fp1").alias("all")).where("size(all) > 1")
+    edges = edges.union(twins.select("u", F.explode("all").alias("v")))
     found = components(edges if again is None else edges.union(again))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
-    named = checkpoint(named)
+    linked = classes.join(found, classes["fp1"] == found["node"]).select("fp1", "component", "rep")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "component").select("fp1", "least").distinct()
+    named = checkpoint(classes.join(linked, "fp1", "left").select("fp1", "fp2", F.coalesce("least", "rep").alias("component")))
     out = meta.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2"], "left")
     out = out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     nameless = plain.where("doc_id is null")
     if nameless.limit(1).count():
-        lone = nameless.select(F.lit(0).cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures("text", k, num, den), T._parse_datatype_string(_META))
+        lone = arrow(nameless.select(F.lit(0).cast("bigint").alias("doc_id"), "text"), _signatures(k, num, den), T._parse_datatype_string(_META))
         out = out.union(lone.select(F.lit(None).cast("bigint"), F.col("n").cast("bigint"), F.lit(None).cast("bigint")))
     return out
 

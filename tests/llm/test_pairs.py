@@ -118,7 +118,7 @@ def test_tiles_meet_and_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 20)
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 1000)
     rows = [(1, i, 0 if i < 90 else i, 0, 30) for i in range(200)] + [(2, i, i % 2, 0, 400) for i in range(12)]
-    named = spark.createDataFrame(rows, "leader long, doc_id long, label long, main long, n int")
+    named = spark.createDataFrame(rows, "leader long, doc_id long, label long, main long, n int").withColumn("fp1", F.col("doc_id"))
     tiles = {}
     for r in ngram_join._tiles(named).collect():
         tiles.setdefault(r.gkey, []).append(r.doc_id)
@@ -161,7 +161,7 @@ def test_group_search_and_merge():
         lists = [sorted(pick.sample(range(80), pick.randint(0, 60))) for _ in range(9)]
         need = pick.randint(1, 6)
         want = [(x, n) for x in range(80) if (n := sum(x in s for s in lists)) >= need]
-        assert ngram_join.merge_skip(lists, need) == want
+        assert list(ngram_join.merge_skip(lists, need)) == want
 
 
 def test_components(spark):
