@@ -1,6 +1,6 @@
 """Benchmark decontamination (operator 5): an FM-index over each shard.
 
-A shard is a chunk of documents inside a task. Its words become integers over
+A shard is a batch of documents inside a task. Its words become integers over
 the vocabulary of the test phrases; the shard's suffix order gives a
 Burrows-Wheeler transform kept as a wavelet matrix. All test phrases are
 searched backwards together through wavelet ranks, occurrences are located by
@@ -8,28 +8,30 @@ walking to the next sampled suffix position, and hit words merge into spans.
 
 A word that no phrase holds can be in no occurrence. Maximal runs of phrase
 words that are shorter than the shortest phrase are left out of the index for
-the same reason; both steps are lossless.
+the same reason, and phrases with a word that the shard lacks are not searched
+there; these steps are lossless.
 
-There is no shuffle: documents stream through ``mapInArrow``. The phrases reach
-the tasks as a broadcast of at most ``BLOCK_ITEMS_BYTES`` of benchmark text; a
-larger benchmark is dealt into blocks by a hash of the item, and the documents
-pass through one ``mapInArrow`` per block, each merging its spans into the rows.
+Benchmark items are cut into overlapping segments on Spark and dealt into blocks
+of about ``BLOCK_ITEMS_BYTES``. One block at a time is collected, broadcast,
+searched and given up: only the hits of the blocks before the last are stored,
+by the digest of their text. With one block there is no shuffle at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import map_columns, table
+from loomstone.llm.common import arrow, free_name, map_columns, store, table
 from loomstone.llm.words import ALNUM, Chunk, chunks, code_points
 
 WINDOW = 10
-BLOCK_ITEMS_BYTES = 8 << 20
+BLOCK_ITEMS_BYTES = 2 << 20  # of benchmark text that the driver and a task hold at once
+SEGMENT_WORDS = 20_000  # of an item, before the overlap of its neighbours
 SAMPLE = 8  # every so many text positions, the suffix position is stored
 
 ADDED = (
@@ -129,23 +131,29 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items as words of a small vocabulary."""
+    """The windows of a block of benchmark items as words of a small vocabulary.
+
+    ``groups`` holds, for each length, the distinct windows, one a row, and their
+    items: those of window i are ``items[bounds[i]:bounds[i + 1]]``.
+    """
 
     def __init__(self, item_ids: list[int], texts: list[str | None], window: int):
         seqs = []
         for c in chunks(pa.array(texts, pa.large_string()), ALNUM):
             seqs += [c.hash[c.bounds[i] : c.bounds[i + 1]] for i in range(c.rows)]
         self.vocabulary = np.unique(np.concatenate([*seqs, np.zeros(0, np.uint64)]))
-        found: dict[tuple, set[int]] = {}
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, seq in zip(item_ids, seqs, strict=True):
-            ids = np.searchsorted(self.vocabulary, seq) + 1
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(tuple(ids[i : i + size].tolist()), set()).add(item)
-        by_size: dict[int, list[tuple]] = {}
-        for p in sorted(found):
-            by_size.setdefault(len(p), []).append(p)
-        self.groups = [(np.array(ps, dtype=np.int64), [sorted(found[p]) for p in ps]) for _, ps in sorted(by_size.items())]
+            if len(seq):
+                size = min(window, len(seq))
+                ids = (np.searchsorted(self.vocabulary, seq) + 1).astype(np.int32)
+                by_size.setdefault(size, []).append((item, np.lib.stride_tricks.sliding_window_view(ids, size)))
+        self.groups = []
+        for _, found in sorted(by_size.items()):
+            items = np.repeat(np.array([x[0] for x in found], dtype=np.int64), [len(x[1]) for x in found])
+            patterns, owner = np.unique(np.concatenate([x[1] for x in found]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([owner.ravel(), items], axis=1), axis=0)
+            self.groups.append((patterns, np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)), pairs[:, 1]))
         self.shortest = min(by_size, default=0)
 
 
@@ -157,30 +165,42 @@ def _runs(ids: np.ndarray, row: np.ndarray, shortest: int) -> np.ndarray:
     return (np.bincount(run)[run] >= shortest) & (ids > 0)
 
 
-def search_chunk(chunk: Chunk, phrases: Phrases) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(hit flag of each word, and pairs row, item of occurring windows)."""
-    hit = np.zeros(len(chunk.hash), dtype=bool)
-    if not len(hit) or not phrases.groups:
-        return hit, [], []
+def _phrase_words(chunk: Chunk, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """(places, symbols) of the chunk's words that an occurrence can hold."""
+    none = np.zeros(0, dtype=np.int64)
+    if not len(chunk.hash) or not phrases.groups:
+        return none, none
     at = np.searchsorted(phrases.vocabulary, chunk.hash)
     at[at == len(phrases.vocabulary)] = 0
     ids = np.where(phrases.vocabulary[at] == chunk.hash, at + 1, 0)
-    row = chunk.row_of
-    words = np.flatnonzero(_runs(ids, row, phrases.shortest))
+    words = np.flatnonzero(_runs(ids, chunk.row_of, phrases.shortest))
+    return words, ids[words]
+
+
+def search_shard(shard: list[Chunk], phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """(hit flag of each word of all chunks, distinct pairs of row and item that occurs)."""
+    base = np.concatenate([[0], np.cumsum([len(c.hash) for c in shard])]).astype(np.int64)
+    row = np.concatenate([c.row_of + c.first for c in shard]) if shard else np.zeros(0, dtype=np.int64)
+    found = [_phrase_words(c, phrases) for c in shard]
+    words = np.concatenate([base[i] + f[0] for i, f in enumerate(found)]) if found else np.zeros(0, dtype=np.int64)
+    pairs = np.zeros((0, 2), dtype=np.int64)
     if not len(words):
-        return hit, [], []
+        return np.zeros(base[-1], dtype=bool), pairs
+    ids = np.concatenate([f[1] for f in found])
     gap = np.ones(len(words), dtype=np.int64)
     gap[1:] += (np.diff(words) > 1) | (row[words[1:]] != row[words[:-1]])
     place = np.cumsum(gap) - 1
     seq = np.zeros(place[-1] + 1, dtype=np.int64)
-    seq[place] = ids[words]
+    seq[place] = ids
     word_at = np.full(len(seq), -1, dtype=np.int64)
     word_at[place] = words
+    there = np.zeros(len(phrases.vocabulary) + 1, dtype=bool)
+    there[ids] = True
     index = FMIndex(seq, len(phrases.vocabulary))
-    edge = np.zeros(len(chunk.hash) + 1, dtype=np.int64)
-    rows, items = [], []
-    for patterns, owners in phrases.groups:
-        lo, hi = index.ranges(patterns)
+    edge = np.zeros(base[-1] + 1, dtype=np.int64)
+    for patterns, bounds, items in phrases.groups:
+        live = np.flatnonzero(there[patterns].all(axis=1))
+        lo, hi = index.ranges(patterns[live].astype(np.int64))
         which = np.flatnonzero(hi > lo)
         if not len(which):
             continue
@@ -189,57 +209,73 @@ def search_chunk(chunk: Chunk, phrases: Phrases) -> tuple[np.ndarray, list[np.nd
         begin = word_at[index.locate(suffixes)]
         np.add.at(edge, begin, 1)
         np.add.at(edge, begin + patterns.shape[1], -1)
-        pattern = np.repeat(which, count)
-        pair = np.unique(np.stack([row[begin], pattern], axis=1), axis=0)
-        for r, p in pair.tolist():
-            rows.append(np.full(len(owners[p]), r))
-            items.append(np.array(owners[p]))
-    return np.cumsum(edge[:-1]) > 0, rows, items
+        pair = np.unique(np.stack([row[begin], np.repeat(live[which], count)], axis=1), axis=0)
+        owners = np.diff(bounds)[pair[:, 1]]
+        at = np.repeat(bounds[pair[:, 1]] - np.concatenate([[0], np.cumsum(owners)[:-1]]), owners) + np.arange(owners.sum())
+        pairs = np.unique(np.concatenate([pairs, np.stack([np.repeat(pair[:, 0], owners), items[at]], axis=1)]), axis=0)
+    return np.cumsum(edge[:-1]) > 0, pairs
 
 
-def _search_batch(phrases: Phrases, text_col: str) -> Callable[[pa.RecordBatch], dict[str, pa.Array]]:
+def _search_batch(phrases: Phrases, text_col: str, old: tuple[str, str] | None) -> Callable[[pa.RecordBatch], dict[str, pa.Array]]:
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         n_words = np.zeros(batch.num_rows, dtype=np.int64)
-        old = "spans" in batch.schema.names
-        spans = batch.column("spans").to_pylist() if old else [[] for _ in range(batch.num_rows)]
-        found = batch.column("items").to_pylist() if old else [[] for _ in range(batch.num_rows)]
-        for chunk in chunks(batch.column(text_col), ALNUM):
+        spans = [x or [] for x in batch.column(old[0]).to_pylist()] if old else [[] for _ in range(batch.num_rows)]
+        items = [x or [] for x in batch.column(old[1]).to_pylist()] if old else [[] for _ in range(batch.num_rows)]
+        shard = list(chunks(batch.column(text_col), ALNUM))
+        hit, pairs = search_shard(shard, phrases)
+        cuts = np.searchsorted(pairs[:, 0], np.arange(batch.num_rows + 1))
+        base = 0
+        for chunk in shard:
             n_words[chunk.first : chunk.first + chunk.rows] = np.diff(chunk.bounds)
-            hit, rows, items = search_chunk(chunk, phrases)
-            if not rows:
-                continue
-            row, item = np.concatenate(rows), np.concatenate(items)
-            for r in np.unique(row).tolist():
-                a, b = int(chunk.bounds[r]), int(chunk.bounds[r + 1])
+            fresh = np.diff(cuts[chunk.first : chunk.first + chunk.rows + 1]) > 0
+            fresh |= [bool(x) for x in spans[chunk.first : chunk.first + chunk.rows]]
+            for r in np.flatnonzero(fresh).tolist():
+                a, b, i = int(chunk.bounds[r]), int(chunk.bounds[r + 1]), chunk.first + r
                 flags = np.zeros(b - a + 2, dtype=np.int8)
-                flags[1:-1] = hit[a:b]
-                for s in spans[chunk.first + r]:
+                flags[1:-1] = hit[base + a : base + b]
+                for s in spans[i]:
                     flags[1 + s["word_start"] : 1 + s["word_end"]] = 1
                 first = np.flatnonzero(np.diff(flags) == 1)
                 last = np.flatnonzero(np.diff(flags) == -1)
                 lo = int(chunk.row_start[r])
                 points = code_points(chunk.raw[lo : int(chunk.row_start[r + 1])])
-                spans[chunk.first + r] = [
+                spans[i] = [
                     {"word_start": s, "word_end": e, "char_start": int(points[chunk.start[a + s] - lo]), "char_end": int(points[chunk.end[a + e - 1] - lo])}
                     for s, e in zip(first.tolist(), last.tolist(), strict=True)
                 ]
-                found[chunk.first + r] = sorted({*found[chunk.first + r], *item[row == r].tolist()})
-        return {"n_words": pa.array(n_words), "spans": pa.array(spans, _SPAN), "items": pa.array(found, pa.list_(pa.int64()))}
+                items[i] = sorted({*items[i], *pairs[cuts[i] : cuts[i + 1], 1].tolist()})
+            base += len(chunk.hash)
+        return {"n_words": pa.array(n_words), "spans": pa.array(spans, _SPAN), "items": pa.array(items, pa.list_(pa.int64()))}
 
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_ITEMS_BYTES) -> list[Phrases]:
-    """The phrases in blocks of about ``block_bytes`` of benchmark text each."""
+def _segments(window: int, words: int):
+    """Rows (item_id, text) -> (item_id, segment, text): pieces of an item that hold each of its windows whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            for c in chunks(batch.column(1), ALNUM):
+                for r in range(c.rows):
+                    a, n = int(c.bounds[r]), int(c.bounds[r + 1] - c.bounds[r])
+                    for s in range(0, max(n - window, 0) + 1 if n else 0, words):
+                        to = min(n, s + words + window - 1)
+                        out.append((ids[c.first + r], s, c.raw[c.start[a + s] : c.end[a + to - 1]].tobytes().decode()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["item_id", "segment", "text"])
+
+    return run
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int | None = None, words: int = SEGMENT_WORDS) -> Iterator[tuple[bool, Phrases]]:
+    """(whether it is the last, phrases) of each block of about ``block_bytes`` of benchmark text, one at a time."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + int(size) // block_bytes
-    out = []
+    pieces = store(arrow(items, _segments(window, words), "item_id bigint, segment int, text string"), "benchmark")
+    size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 + int(size) // (block_bytes or BLOCK_ITEMS_BYTES)
     for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b)
-        rows = part.distinct().collect()
-        out.append(Phrases([r[0] for r in rows], [r[1] for r in rows], window))
-    return out
+        rows = pieces.where(F.pmod(F.xxhash64("item_id", "segment"), F.lit(n)) == b).select("item_id", "text").distinct().toArrow()
+        yield b == n - 1, Phrases(rows.column(0).to_pylist(), rows.column(1).to_pylist(), window)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -255,22 +291,49 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     get their own result. Empty tables give empty results or no hits. Columns of
     ``docs`` called like an added one are replaced.
     """
+    spark = docs.sparkSession
     out = docs.drop("n_words", "spans", "items")
-    for phrases in benchmark_blocks(benchmark, window):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-        out = map_columns(out, _late(shared, text_col), ADDED)
+    earlier: list[DataFrame] = []
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    for last, phrases in benchmark_blocks(benchmark, window):
+        shared = spark.sparkContext.broadcast(phrases)
+        del phrases
+        if not last:
+            hits = map_columns(out.select(F.col(text_col)), _late(shared, text_col, None), ADDED).where("size(spans) > 0")
+            earlier.append(store(hits.select(digest.alias("digest"), "spans", "items").distinct(), "hits"))
+            shared.destroy()
+            continue
+        old = None
+        if earlier:
+            key, old = free_name(out, "digest"), (free_name(out, "spans_before"), free_name(out, "items_before"))
+            before = earlier[0]
+            for more in earlier[1:]:
+                before = before.union(more)
+            merged = F.array_sort(F.flatten(F.collect_list("spans"))).alias(old[0]), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(old[1])
+            before = before.groupBy(F.col("digest").alias(key)).agg(*merged)
+            out = out.withColumn(key, digest).join(before, key, "left").drop(key)
+        out = map_columns(out, _late(shared, text_col, old), ADDED)
+        out = out.drop(*old) if old else out
     return out
 
 
-def _late(shared, text_col: str):
-    return lambda batch: _search_batch(shared.value, text_col)(batch)
+def _late(shared, text_col: str, old: tuple[str, str] | None):
+    return lambda batch: _search_batch(shared.value, text_col, old)(batch)
+
+
+def free_marker(benchmark: DataFrame) -> str:
+    """Ellipses that stand alone in no benchmark text: one more in a row than any text has."""
+    runs = F.transform(F.regexp_extract_all("text", F.lit("(\u2026+)"), F.lit(1)), F.length)
+    most = benchmark.agg(F.max(F.array_max(runs))).first()[0] or 0
+    return " " + "\u2026" * (most + 1) + " "
 
 
 def remove_spans(docs: DataFrame, text_col: str = "text", marker: str = " \u2026 ") -> DataFrame:
     """Put ``marker`` in place of each span that ``decontaminate`` found.
 
     The marker holds a word of its own, so the words on both sides of a cut can
-    not make a window together, as long as no benchmark item has that word.
+    not make a window together where no benchmark item has that word; see
+    ``free_marker``.
     """
     start = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("spans", lambda s: s["char_end"]))
     end = F.concat(F.transform("spans", lambda s: s["char_start"]), F.array(F.length(text_col).cast("bigint")))

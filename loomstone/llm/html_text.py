@@ -1,18 +1,25 @@
 """HTML extraction (operator 2): a recurrent block labeller.
 
-A page becomes its sequence of text blocks. Each block has a vector of its
-hashed tag path (tags, classes, ids of all open elements), of its hashed words
-and of a few measures; a bidirectional LSTM in numpy reads the whole sequence
-and says of every block whether it belongs to the article. The network is small
-and trained at first use on generated pages with known labels, always from the
-same seed; its weights (some 100 kB, whatever the tables' size) are broadcast.
+A page becomes its sequence of text blocks. Each block has a vector of its tag
+path (tags, classes, ids and roles of all open elements, outer ones fading), of
+its hashed words and of measures of itself, its container and the page; a
+bidirectional LSTM in numpy reads the whole sequence and says of every block
+whether it belongs to the article. The network is small and trained at first use
+on generated pages of many layouts with known labels, always from the same seed;
+its weights (some 200 kB, whatever the tables' size) are broadcast.
+
+Parsing takes time and memory in proportion to a page's length: open elements
+are nodes of a tree that all blocks share, and their vectors come from their
+parents'.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
 
@@ -23,13 +30,22 @@ from pyspark.sql import DataFrame, SparkSession
 from loomstone.llm.common import map_columns, table
 from loomstone.llm.words import ALNUM, chunks
 
-PATH_DIM, WORD_DIM, MEASURES = 192, 16, 7
+PATH_DIM, WORD_DIM, MEASURES = 128, 48, 15
 DIM = PATH_DIM + WORD_DIM + MEASURES
-HIDDEN = 16
-TRAIN_PAGES = 1200
-EPOCHS = 6
+FADE = 0.8  # of an outer element's part in a path vector, for each element inside it
+HIDDEN = 24
+TRAIN_PAGES = 4200
+EPOCHS = 5
 STEP_CELLS = 12_000  # blocks in one padded batch of sequences
 
+#: the most frequent function words of English, German, French, Spanish
+FUNCTION_WORDS = (
+    "the of and to in a is that for it as was with be by on not he this are or his from at which but have an had they you were their one all we can her has there been if more when will would who so no "
+    "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum "
+    "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son ou "
+    "el y los se del las por con no una su para es al lo como o pero sus le ha me si sin sobre este"
+).split()
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea noscript template iframe svg math xmp".split())
 BLOCK = frozenset(
@@ -46,32 +62,47 @@ CLOSES = {t: frozenset({"p"}) for t in BLOCK - {"button", "label", "option", "td
     "th": frozenset({"td", "th"}),
     "option": frozenset({"option"}),
 }
+INLINE = frozenset("a b em i span strong".split())
 _SCOPE = frozenset("ul ol dl table div section article body nav aside form".split())
+_IN_HEAD = frozenset("html head title".split())
 
 _TOKEN = re.compile(r"<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|[^<]+|<", re.S)
-_NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PARTS = re.compile(r"[a-z]+")
+_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+@dataclass
+class Page:
+    """Text blocks in page order, and the tree of the block elements that hold them."""
 
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, characters inside links
+    nodes: list[tuple[int, str]] = field(default_factory=lambda: [(0, "")])  # parent, label; node 0 is the page
 
-def blocks_of(html: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters inside links) of each text block, in page order."""
-    stack: list[tuple[str, str]] = []
-    open_: dict[str, int] = {}
-    out, parts, linked = [], [], 0
-    at, end = 0, len(html)
+
+def blocks_of(html: str) -> Page:
+    """The text blocks of a page; text in the head is none."""
+    page = Page()
+    known: dict[tuple[int, str], int] = {}
+    stack: list[tuple[str, int]] = [("", 0)]  # open elements: name, node
+    open_: dict[str, list[int]] = {}  # their places in the stack
+    scopes: list[int] = [0]
+    parts: list[str] = []
+    linked, at, end = 0, 0, len(html)
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
-            if text:
-                out.append(("/".join(e[1] for e in stack), text, linked))
+            if text and not open_.get("title") and not open_.get("head"):
+                page.blocks.append((stack[-1][1], text, linked))
             parts, linked = [], 0
 
     def pop(name: str) -> None:
-        while stack:
+        while len(stack) > 1:
             gone = stack.pop()[0]
-            open_[gone] -= 1
+            open_[gone].pop()
+            if scopes[-1] == len(stack):
+                scopes.pop()
             if gone == name:
                 return
 
@@ -89,7 +120,7 @@ def blocks_of(html: str) -> list[tuple[str, str, int]]:
                 if open_.get("a"):
                     linked += len(said)
             continue
-        name = name.lower()
+        name, rest = name.lower(), m.group(3) or ""
         if m.group(1):
             if name == "br":
                 parts.append(" ")
@@ -98,78 +129,115 @@ def blocks_of(html: str) -> list[tuple[str, str, int]]:
                     flush()
                 pop(name)
             continue
+        empty = rest.rstrip().endswith("/")
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
-            if not (m.group(3) or "").rstrip().endswith("/"):
+            if not empty:
+                stop = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
                 at = end if stop is None else (html.find(">", stop.end()) + 1 or end)
             continue
         if name in BLOCK:
             flush()
+            if open_.get("head") and name not in _IN_HEAD:
+                pop("head")
             for old in CLOSES.get(name, ()):
-                if open_.get(old):
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == old:
-                            pop(old)
-                            break
-                        if stack[k][0] in _SCOPE:
-                            break
-        elif name in ("br", "img", "input", "wbr"):
-            if name == "br":
-                parts.append(" ")
+                if open_.get(old) and open_[old][-1] > scopes[-1]:
+                    pop(old)
+        elif name == "br":
+            parts.append(" ")
+        if name in VOID or empty or not (name in BLOCK or name in INLINE):
             continue
-        if name in VOID or (m.group(3) or "").endswith("/"):
-            continue
-        label = name
-        if m.group(3):
-            for _, a, b, c in _NAMES.findall(m.group(3)):
-                label += "." + (a or b or c).lower()
-        if name in BLOCK or name in ("a", "b", "span", "em", "i", "strong"):
-            stack.append((name, label if name in BLOCK else name))
-            open_[name] = open_.get(name, 0) + 1
+        node = stack[-1][1]
+        if name in BLOCK:
+            names = [x for found in _NAMES.findall(rest) for part in found if part for x in _PARTS.findall(part)] if rest else []
+            key = (node, " ".join([name, *names]))
+            if key not in known:
+                known[key] = len(page.nodes)
+                page.nodes.append(key)
+            node = known[key]
+        open_.setdefault(name, []).append(len(stack))
+        if name in _SCOPE:
+            scopes.append(len(stack))
+        stack.append((name, node))
     flush()
-    return out
+    return page
 
 
-@lru_cache(maxsize=20_000)
-def path_vector(path: str) -> np.ndarray:
-    """Signed hashed counts of the path's tags and name parts; nearer elements weigh more, the article's own signs last."""
-    v = np.zeros(PATH_DIM)
-    elements = [e for e in path.split("/") if e]
-    for depth, e in enumerate(reversed(elements[-64:])):
-        tag, _, names = e.partition(".")
-        weight = 1.0 / (1 + 0.15 * depth)
-        for word in {tag, *(f".{w}" for w in _PARTS.findall(names))}:
-            h = zlib.crc32(word.encode())
-            for salt in (h, zlib.crc32(b"#" + word.encode())):
-                v[salt % PATH_DIM] += weight if (salt >> 16) & 1 else -weight
+def _label_vector(label: str) -> np.ndarray:
+    """Signed hashed counts of an element's tag and of the parts of its names."""
+    v = np.zeros(PATH_DIM, dtype=np.float32)
+    tag, *names = label.split(" ")
+    for word in {tag, *(f".{w.lower()}" for w in names)}:
+        for salt in (zlib.crc32(word.encode()), zlib.crc32(b"#" + word.encode())):
+            v[salt % PATH_DIM] += 1.0 if (salt >> 16) & 1 else -1.0
     return v
 
 
-def vectors(pages: list[list[tuple[str, str, int]]]) -> np.ndarray:
+@lru_cache(maxsize=1)
+def _function_words() -> np.ndarray:
+    return np.unique(np.concatenate([c.hash for c in chunks(pa.array([" ".join(FUNCTION_WORDS)], pa.large_string()), ALNUM)]))
+
+
+def _tree_sums(page: Page, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node: the sum of ``values`` of its own blocks, and of its whole subtree."""
+    own = np.bincount([b[0] for b in page.blocks], weights=values, minlength=len(page.nodes))
+    total = own.copy()
+    for i in range(len(page.nodes) - 1, 0, -1):  # children come after their parents
+        total[page.nodes[i][0]] += total[i]
+    return own, total
+
+
+def vectors(pages: list[Page]) -> np.ndarray:
     """One row for each block of all pages."""
-    flat = [b for page in pages for b in page]
-    x = np.zeros((len(flat), DIM), dtype=np.float32)
-    if not flat:
+    texts = [b[1] for page in pages for b in page.blocks]
+    x = np.zeros((len(texts), DIM), dtype=np.float32)
+    if not texts:
         return x
-    for i, b in enumerate(flat):
-        x[i, :PATH_DIM] = path_vector(b[0])
-    words = np.zeros(len(flat), dtype=np.int64)
-    for c in chunks(pa.array([b[1] for b in flat], pa.large_string()), ALNUM):
+    words, common = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    for c in chunks(pa.array(texts, pa.large_string()), ALNUM):
         rows = c.row_of + c.first
         slot = (c.hash % np.uint64(WORD_DIM)).astype(np.int64)
         sign = np.where((c.hash >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
         np.add.at(x, (rows, PATH_DIM + slot), sign.astype(np.float32))
-        words += np.bincount(rows, minlength=len(flat))
-    x[:, PATH_DIM : PATH_DIM + WORD_DIM] /= np.maximum(1, words)[:, None]
-    size = np.array([len(b[1]) for b in flat])
-    at = PATH_DIM + WORD_DIM
-    x[:, at] = np.log1p(size) / 5
-    x[:, at + 1] = np.log1p(words) / 4
-    x[:, at + 2] = np.minimum(1, np.array([b[2] for b in flat]) / size)
-    x[:, at + 3] = [b[1][-1] in ".!?:" for b in flat]
-    x[:, at + 4] = np.concatenate([np.linspace(0, 1, len(p)) if p else np.zeros(0) for p in pages])
-    x[:, at + 5] = [sum(map(b[1].count, ".,")) / len(b[1]) * 10 for b in flat]
-    x[:, at + 6] = 1
+        words += np.bincount(rows, minlength=len(texts))
+        common += np.bincount(rows[np.isin(c.hash, _function_words())], minlength=len(texts))
+    x[:, PATH_DIM : PATH_DIM + WORD_DIM] /= np.sqrt(np.maximum(1, words))[:, None]
+    size = np.array([len(t) for t in texts], dtype=np.float64)
+    links = np.array([b[2] for page in pages for b in page.blocks], dtype=np.float64)
+    m = x[:, PATH_DIM + WORD_DIM :]
+    m[:, 0] = np.log1p(size) / 5
+    m[:, 1] = np.log1p(words) / 4
+    m[:, 2] = np.minimum(1, links / size)
+    m[:, 3] = [t[-1] in ".!?:…\"”»" for t in texts]
+    m[:, 4] = [sum(map(t.count, ".,")) / len(t) * 10 for t in texts]
+    m[:, 5] = common / np.maximum(1, words) * 2
+    m[:, 6] = 1
+    labels: dict[str, np.ndarray] = {}
+    at = 0
+    for page in pages:
+        n = len(page.blocks)
+        if not n:
+            continue
+        here, node = slice(at, at + n), np.array([b[0] for b in page.blocks])
+        parent = np.array([p for p, _ in page.nodes])
+        v = np.zeros((len(page.nodes), PATH_DIM), dtype=np.float32)
+        for i, (up, label) in enumerate(page.nodes[1:], 1):
+            if label not in labels:
+                labels[label] = _label_vector(label)
+            v[i] = FADE * v[up] + labels[label]
+        x[here, :PATH_DIM] = v[node]
+        own, whole = _tree_sums(page, size[here])
+        linked = _tree_sums(page, links[here])[1]
+        count = _tree_sums(page, np.ones(n))[1]
+        up, total = parent[node], size[here].sum()
+        m[here, 7] = np.linspace(0, 1, n)
+        m[here, 8] = own[node] / total
+        m[here, 9] = whole[up] / total
+        m[here, 10] = whole[parent[up]] / total
+        m[here, 11] = size[here] / size[here].max()
+        m[here, 12] = np.minimum(1, linked[up] / np.maximum(1, whole[up]))
+        m[here, 13] = np.log1p(whole[up] / np.maximum(1, count[up])) / 5
+        m[here, 14] = [page.nodes[i][1][:2] in ("h1", "h2", "h3", "h4", "h5", "h6") for i in node]
+        at += n
     return x
 
 
@@ -239,12 +307,12 @@ class BiLSTM:
         return g, loss
 
     def fit(self, batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int, rate: float = 0.012) -> float:
-        """Adam over the padded batches; returns the last epoch's mean loss."""
+        """Adam over the padded batches, ever slower; returns the last epoch's mean loss."""
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
         step, loss = 0, 0.0
-        for _ in range(epochs):
-            losses = []
+        for epoch in range(epochs):
+            losses, pace = [], rate * (1 - 0.9 * epoch / epochs)
             for x, mask, y in batches:
                 g, one = self.gradients(x, mask, y)
                 losses.append(one)
@@ -252,7 +320,7 @@ class BiLSTM:
                 for k in self.w:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-                    self.w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    self.w[k] -= (pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             loss = float(np.mean(losses))
         return loss
 
@@ -277,101 +345,202 @@ def padded(pages: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.
 
 # ---- generated training pages -------------------------------------------------------------------------------------
 
-_SYLLABLES = "an er on th in re st ou ti ha es en le que ment eau tion der ung lich sch co ra ado ie la do ß é ü ñ ö".split()
-_ARTICLE = [("article", ""), ("main", ""), ("div", "content"), ("div", "post-body"), ("section", "entry-content"), ("div", "article-text"), ("div", "story"), ("article", "post hentry"), ("div", "main-content")]
-_JUNK = {
-    "ad": [("div", "ad"), ("div", "ads"), ("div", "advert"), ("aside", "ad"), ("div", "banner"), ("div", "promo"), ("div", "sponsored"), ("section", "advertisement"), ("div", "ad-slot"), ("p", "ad"), ("ins", "ad")],
-    "side": [("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "widget"), ("div", "related"), ("div", "recommended"), ("div", "trending"), ("section", "related-posts"), ("div", "side-column")],
-    "notice": [("div", "cookie"), ("div", "cookie-notice"), ("div", "notice"), ("div", "alert"), ("section", "notice"), ("p", "notice"), ("div", "gdpr consent"), ("div", "newsletter"), ("div", "subscribe"), ("div", "popup"), ("div", "paywall"), ("div", "disclaimer"), ("div", "copyright legal")],
-    "comments": [("section", "comments"), ("div", "comments"), ("div", "comment-list"), ("ol", "commentlist"), ("section", "reader-comments"), ("div", "responses"), ("div", "disqus-thread")],
-    "share": [("div", "share"), ("div", "social"), ("div", "meta byline"), ("div", "tags"), ("ul", "share-links"), ("div", "breadcrumb"), ("nav", "breadcrumbs"), ("div", "pagination")],
+_LETTERS = ("b c d f g h k l m n p r s t v w z br ch cl cr dr fl gr pl pr sc sh sp st tr th".split(), "a e i o u y ai ea ie oo ou ä é ö ü".split())
+_MARK = "①"
+_MAIN = "content main post article body text story entry page-content post-body entry-content article-text main-content bodyContent mw-content-text story_body postText primary hentry single reader".split()
+_PLAIN = "wrap wrapper container row col inner outer page layout box grid x1 c12 left center block section group".split()
+_CUES = {
+    "menu": "Home|About us|Contact|News|Products|Services|Blog|FAQ|Log in|Sign up|Archive|Search|Shop|Team|Jobs|Help|Startseite|Über uns|Kontakt|Accueil|À propos|Inicio|Contacto|Next|Previous|Skip to content",
+    "foot": "All rights reserved|Privacy policy|Terms of use|Imprint|Impressum|Datenschutz|Mentions légales|Aviso legal|Powered by|Site map|Cookie settings|Follow us|Back to top|Alle Rechte vorbehalten|Tous droits réservés",
+    "notice": "We use cookies to improve this site.|Accept all cookies|Subscribe to our newsletter|Sign up for updates|Please enable JavaScript|This site is under maintenance|Wir verwenden Cookies.|Nous utilisons des cookies.|Usamos cookies.|You have read all your free articles.",
+    "ad": "Advertisement|Sponsored|Buy now|Special offer|Anzeige|Publicité|Publicidad|Order today|Free shipping|Up to 50% off|Promoted",
+    "side": "Related articles|Most read|Popular posts|Recent posts|You may also like|Trending|More from this section|Mehr zum Thema|À lire aussi|Archives",
+    "comments": "Comments|Leave a reply|Reply|says:|3 comments|Kommentare|Commentaires|Log in to comment|Report",
+    "share": "Share this|Tweet|Posted in|Tags:|Categories:|Filed under|By the editors|Print|E-mail this|2 min read",
+}
+_CUES = {k: v.split("|") for k, v in _CUES.items()}
+_NAMED = {
+    "menu": "menu nav navbar topnav navigation links main-menu site-nav mainMenu",
+    "foot": "footer site-footer bottom foot copyright legal colophon pageFooter",
+    "notice": "cookie cookie-notice notice alert gdpr consent newsletter subscribe popup paywall disclaimer banner-notice",
+    "ad": "ad ads advert advertisement ad-slot adbox sponsored promo banner adsense",
+    "side": "sidebar side widget related recommended trending aside related-posts side-column sideBar",
+    "comments": "comments comment-list commentlist reader-comments responses discussion thread",
+    "share": "share social meta byline tags breadcrumb breadcrumbs pagination post-meta catlinks",
+    "head": "header site-header masthead top branding pageHeader logo",
 }
+_NAMED = {k: v.split() for k, v in _NAMED.items()}
 
 
 @lru_cache(maxsize=1)
 def _lexicon() -> list[str]:
-    """Invented words of one to three syllables."""
-    at = np.random.default_rng(5).integers(0, len(_SYLLABLES), (6000, 3))
-    return ["".join(_SYLLABLES[j] for j in row[: 1 + i % 3]) for i, row in enumerate(at)]
-
-
-def _element(tag: str, name: str, inner: str, rng: np.random.Generator) -> str:
-    kind = "id" if rng.random() < 0.25 else "class"
-    return f'<{tag}{f" {kind}={chr(34)}{name}{chr(34)}" if name else ""}>{inner}</{tag}>'
-
-
-def _prose(rng: np.random.Generator, low: int, high: int) -> str:
-    lexicon = _lexicon()
-    words = [lexicon[i] for i in rng.integers(0, len(lexicon), int(rng.integers(low, high)))]
-    style = rng.random()
-    if style < 0.08:  # noisy texts, as the web has them
-        words = [w + ("***", "###", "%%%", "$$$", "&amp;&amp;")[int(rng.integers(5))] for w in words]
-    elif style < 0.14:
-        words = [w.upper() + "!!" for w in words]
-    elif style < 0.2:
-        words = [w for x in words for w in (x, "|")][:-1]
-    elif style < 0.24:
-        words = words[:1] * len(words)
-    elif style < 0.28:
-        words = [str(int(rng.integers(10_000))) if rng.random() < 0.4 else w for w in words]
-    stops = rng.random(len(words)) < 0.12
-    return " ".join(w + ("." if s else "") for w, s in zip(words, stops, strict=True)).capitalize() + ("." if rng.random() < 0.85 else "")
-
-
-def sample_page(rng: np.random.Generator) -> str:
-    """A page whose article blocks hold the mark U+2460 and no other block does."""
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    mark = "①"
-
-    def junk(kind: str) -> str:
-        tag, name = pick(_JUNK[kind])
+    """Invented words of two to seven sounds."""
+    rng = random.Random(5)
+    return ["".join(rng.choice(_LETTERS[i % 2]) for i in range(rng.randrange(2, 8))) for _ in range(8000)]
+
+
+class _Writer:
+    """One generated page: its language, its habits and the parts it is made of."""
+
+    def __init__(self, rng: random.Random):
+        self.rng = rng
+        self.function = rng.random() < 0.75
+        self.language = rng.randrange(4)
+        self.loose = rng.random() < 0.25  # leaves out end tags
+        self.short = rng.random() < 0.45  # a page of few and short blocks
+        self.style = rng.choice(["plain"] * 6 + ["caps", "marks", "again", "digits", "pipes"])
+
+    def pick(self, xs):
+        return xs[int(self.rng.random() * len(xs))]
+
+    def chance(self, p: float) -> bool:
+        return self.rng.random() < p
+
+    def word(self) -> str:
+        if self.function and self.chance(0.42):
+            cuts = (0, 59, 105, 136, len(FUNCTION_WORDS))
+            return FUNCTION_WORDS[self.rng.randrange(cuts[self.language], cuts[self.language + 1])]
+        return self.pick(_lexicon())
+
+    def prose(self, low: int, high: int) -> str:
+        n = self.rng.randrange(low, high)
+        words = [self.word() for _ in range(n)]
+        if self.style == "caps":
+            words = [w.upper() + "!" * int(self.chance(0.3)) for w in words]
+        elif self.style == "marks":
+            signs = "~^=+_*#@%$&".replace("&", "§")
+            words = [w + self.pick(signs) * 2 if self.chance(0.5) else w for w in words]
+        elif self.style == "again":
+            words = [words[i % self.rng.choice((1, 3))] for i in range(n)] if self.chance(0.5) else words[:1] * n
+        elif self.style == "digits":
+            words = [str(self.rng.randrange(100_000)) if self.chance(0.4) else w for w in words]
+        elif self.style == "pipes":
+            words = [x for w in words for x in (w, self.pick("|/-"))]
+        out, fresh = [], True
+        for w in words:
+            w = w[:1].upper() + w[1:] if fresh else w
+            fresh = self.chance(0.1)
+            out.append(w + ("." if fresh else "," if self.chance(0.07) else ""))
+        return " ".join(out).rstrip(",.") + ("." if self.chance(0.8) else "")
+
+    def open(self, tag: str, names: list[str] | str = "") -> str:
+        name = names if isinstance(names, str) else self.pick(names)
+        kind = self.pick(["class", "class", "id"])
+        return f'<{tag} {kind}="{name}">' if name else f"<{tag}>"
+
+    def element(self, tag: str, names: list[str] | str, inner: str) -> str:
+        return self.open(tag, names) + inner + f"</{tag}>"
+
+    def close(self, tag: str) -> str:
+        return "" if self.loose and tag in ("p", "li", "td", "tr") and self.chance(0.7) else f"</{tag}>"
+
+    def links(self, low: int, high: int, cues: str = "menu") -> list[str]:
+        said = lambda: self.pick(_CUES[cues]) if self.chance(0.6) else self.prose(1, 5).rstrip(".")
+        return [f'<a href="/{i}">{said()}</a>' for i in range(self.rng.randrange(low, high))]
+
+    def listed(self, items: list[str]) -> str:
+        return "<ul>" + "".join(f"<li>{x}{self.close('li')}" for x in items) + "</ul>"
+
+    def menu(self) -> str:
+        items = self.links(2, 9)
+        inner = self.pick([self.listed(items), self.pick([" ", " | ", " · ", "<br>"]).join(items), self.listed([x.split(">")[1][:-3] for x in items])])
+        return self.pick([f"<nav>{inner}</nav>", self.element("div", _NAMED["menu"], inner), self.element("div", "", inner), f"<header><nav>{inner}</nav></header>", inner if inner.startswith("<ul") else f"<p>{inner}</p>", self.element("ul", _NAMED["menu"], inner[4:-5]) if inner.startswith("<ul") else f"<div>{inner}</div>"])
+
+    def junk(self, kind: str, inside: bool = False) -> str:
+        cue = self.pick(_CUES[kind])
+        said = self.pick([cue, f"{cue} {self.prose(1, 14)}", self.prose(2, 30)])
+        if inside and said[:4] not in cue:
+            said = cue
         if kind == "comments":
-            inner = "".join(_element(pick(["div", "li", "article", "p"]), pick(["comment", "comment-body", "reply", ""]), pick(["{}", "<p>{}</p>"]).format(_prose(rng, 2, 40)), rng) for _ in range(int(rng.integers(1, 5))))
-            inner = pick(["", "<h3>" + _prose(rng, 1, 3) + "</h3>"]) + inner
-        elif kind in ("side", "share") and rng.random() < 0.6:
-            inner = pick(["", "<h3>" + _prose(rng, 1, 4) + "</h3>"]) + "<ul>" + "".join(f'<li><a href="/x">{_prose(rng, 1, 6)}</a></li>' for _ in range(int(rng.integers(1, 6)))) + "</ul>"
+            one = lambda: self.element(self.pick(["div", "li", "article"]), ["comment", "comment-body", "reply", ""], f"<b>{self.prose(1, 3)}</b> " + self.pick(["{}", "<p>{}</p>"]).format(self.prose(2, 40)))
+            inner = f"<h3>{cue}</h3>" + "".join(one() for _ in range(self.rng.randrange(1, 5)))
+        elif kind in ("side", "share") and self.chance(0.6):
+            items = self.links(2, 7, kind)
+            inner = self.pick(["", f"<h3>{cue}</h3>", f"<p>{cue}</p>"]) + self.pick([self.listed(items), ", ".join(items)])
         else:
-            inner = pick(["{}", "<p>{}</p>", "<span>{}</span>", "{}<button>OK</button>", "<h4>{}</h4><p>x</p>"]).format(_prose(rng, 2, 24))
-        return _element(tag if tag != "ins" else "div", name, inner, rng)
-
-    def form() -> str:
-        return _element("form", pick(["", "search", "login", "comment-form"]), f'<label>{_prose(rng, 1, 3)}</label><input name="q"><select><option>{_prose(rng, 1, 2)}</option></select><button>{_prose(rng, 1, 2)}</button>', rng)
-
-    def menu() -> str:
-        items = "".join(f'<li><a href="/{i}">{_prose(rng, 1, 3)}</a></li>' for i in range(int(rng.integers(2, 9))))
-        return pick([f"<nav><ul>{items}</ul></nav>", f'<div class="{pick(["menu", "nav", "navbar", "top-menu"])}"><ul>{items}</ul></div>', f"<header><nav><ul>{items}</ul></nav></header>", f"<ul class='menu'>{items}</ul>"])
-
-    def body() -> str:
-        parts = [pick(["", f"<h1>{mark}{_prose(rng, 2, 9)}</h1>"])]
-        for _ in range(int(rng.integers(1, 12))):
-            text = mark + _prose(rng, 1, 90 if rng.random() < 0.8 else 4)
-            parts.append(pick([f"<p>{text}</p>"] * 6 + [f"<p><b>{text}<br>", f"<h2>{text}</h2>", f"<blockquote>{text}</blockquote>", f"<ul><li>{text}</li><li>{mark}{_prose(rng, 1, 9)}</li></ul>", f"<div>{text}</div>", f'<p>{text} <a href="/y">{_prose(rng, 1, 4)}</a></p>', f"<pre>{text}</pre>", f"<table><tr><td>{text}</td></tr></table>", f"<figure><img src=x><figcaption>{text}</figcaption></figure>"]))
-            if rng.random() < 0.12:
-                parts.append(junk(pick(["ad", "notice", "share", "side"])))
-        tag, name = pick(_ARTICLE)
-        return _element(tag, name, "".join(parts), rng)
-
-    top = [menu() for _ in range(int(rng.integers(0, 3)))] + [pick(["", f"<header>{_prose(rng, 1, 8)}</header>", f'<div class="header"><h2>{_prose(rng, 1, 5)}</h2></div>', f'<header class="site-header"><a href="/">{_prose(rng, 1, 3)}</a><p>{_prose(rng, 2, 9)}</p></header>'])]
-    top += [junk(pick(["ad", "notice", "share", "side"])) for _ in range(int(rng.integers(0, 3)))] + [form()] * int(rng.random() < 0.2)
-    low = [junk(k) for k in ("side", "comments", "share", "ad", "notice") if rng.random() < 0.3] + [form()] * int(rng.random() < 0.25)
-    low.append(pick(["", f"<footer>{_prose(rng, 1, 20)}</footer>", f"<footer><p>{_prose(rng, 1, 20)}</p><ul><li><a href='/'>{_prose(rng, 1, 3)}</a></li></ul></footer>", f'<div class="footer">&copy; {_prose(rng, 1, 12)}</div>']))
-    rng.shuffle(top)
-    inner = "".join(top) + body() + "".join(low)
-    inner = pick([inner, f'<div class="{pick(["wrapper", "page", "container", "layout"])}">{inner}</div>', f"<div id='page'><div class='row'>{inner}</div></div>"])
-    return f"<!DOCTYPE html><html><head><title>{_prose(rng, 1, 8)}</title><style>p{{}}</style></head><body>{inner}" + pick(["</body></html>", ""])
+            inner = self.pick(["{}", "<p>{}</p>", "<span>{}</span>", "{} <button>OK</button>", "<h4>{}</h4><p>" + self.prose(2, 9) + "</p>"]).format(said)
+        names = _NAMED[kind] if inside or self.chance(0.8) else ""
+        tags = {"side": ["aside", "div", "div", "section"], "comments": ["section", "div"], "notice": ["div", "p", "section"], "ad": ["div", "div", "aside", "p"]}.get(kind, ["div", "div", "p"])
+        tag = self.pick(tags)
+        return self.element("div" if tag == "p" and "<" in inner.replace("<span", "").replace("</span", "") else tag, names, inner)
+
+    def form(self) -> str:
+        return self.element("form", ["", "search", "login", "comment-form"], f"<label>{self.prose(1, 3)}</label><input name=q><select><option>{self.prose(1, 2)}</option></select><button>{self.pick(['Go', 'Send', 'OK'])}</button>")
+
+    def block(self, link: bool = True) -> str:
+        text = _MARK + self.prose(*((6, 26) if self.short else (1, 80)) if self.chance(0.8) else (1, 6))
+        kinds = [f"<p>{text}{self.close('p')}"] * 8 + [f"<h2>{text}</h2>", f"<h3>{text}</h3>", f"<blockquote>{text}</blockquote>", f"<pre>{text}</pre>", f"<div>{text}</div>"]
+        kinds += [f"<p>{text} <em>{self.prose(1, 4)}</em> <a href=/y>{self.prose(1, 4)}</a>{self.close('p')}", f"<p><strong>{text}</strong><br>{self.prose(2, 20)}{self.close('p')}", f"<dl><dt>{_MARK}{self.prose(1, 3)}<dd>{text}</dl>"]
+        kinds += [f"<{tag}>" + "".join(f"<li>{_MARK}{self.prose(1, self.pick([4, 20]))}{self.close('li')}" for _ in range(self.rng.randrange(2, 6))) + f"</{tag}>" for tag in ("ul", "ol")]
+        kinds += [f"<table><tr><td>{text}{self.close('td')}<td>{_MARK}{self.prose(1, 3)}{self.close('td')}{self.close('tr')}</table>", f"<figure><img src=x><figcaption>{text}</figcaption></figure>"]
+        if link:
+            kinds += [f"<p><a href=/z>{_MARK}{self.prose(10, 40)}</a>{self.close('p')}"] * 2
+        return self.pick(kinds)
+
+    def body(self, bare: bool) -> str:
+        title = f"<h1>{_MARK}{self.prose(2, 9).rstrip('.')}</h1>" if self.chance(0.6) else ""
+        if self.chance(0.1):  # text cut by line breaks alone
+            return title + _MARK + "<br><br>".join(self.prose(15, 60) for _ in range(self.rng.randrange(1, 6)))
+        parts = [title]
+        for i in range(self.rng.randrange(1, 5 if self.short else 12)):
+            parts.append(self.block(link=not bare) if i or not bare else f"<p>{_MARK}{self.prose(10, 24 if self.short else 60)}{self.close('p')}")
+            if not bare and self.chance(0.1):
+                parts.append(self.junk(self.pick(["ad", "notice", "share", "side"]), inside=True))
+        return "".join(parts)
+
+    def nest(self, inner: str, low: int, high: int) -> str:
+        for _ in range(self.rng.randrange(low, high)):
+            inner = self.element("div", [*_PLAIN, ""], inner)
+        return inner
+
+    def some(self, makers: list, p: float) -> str:
+        self.rng.shuffle(makers)
+        return "".join(make() for make in makers if self.chance(p))
+
+    def page(self) -> str:
+        head = lambda: self.pick([self.element("header", ["", *_NAMED["head"]], self.pick([f"<a href=/>{self.prose(1, 3)}</a>", f"<h2>{self.prose(1, 4)}</h2>", f"<p>{self.prose(1, 9)}</p>"])), self.element("div", _NAMED["head"], f"<h2>{self.prose(1, 5)}</h2>")])
+        foot = lambda: self.pick([self.element("footer", ["", *_NAMED["foot"]], inner), self.element("div", _NAMED["foot"], inner)]) if (inner := self.pick([f"&copy; {self.prose(1, 12)}", f"<p>© 20{self.rng.randrange(10, 30)} {self.prose(1, 4)} {self.pick(_CUES['foot'])}</p>", self.listed(self.links(2, 6, "foot")), self.prose(1, 20), " | ".join(self.links(2, 5, "foot"))])) else ""
+        kinds = lambda *names: [lambda k=k: self.junk(k) for k in names]
+        top = self.some([self.menu, head, *kinds("ad", "notice", "share", "side"), self.form], 0.3)
+        low = self.some([foot, *kinds("side", "comments", "share", "ad", "notice"), self.form, self.menu], 0.3) + (foot() if self.chance(0.6) else "")
+        layout = self.pick(["semantic"] * 4 + ["named"] * 4 + ["bare"] * 3 + ["table"] * 3 + ["random"] * 2)
+        if layout == "bare":
+            inner = top + self.body(True) + low
+        elif layout == "table":
+            side = "".join(self.links(2, 8)) if self.chance(0.2) else self.pick([" ", "<br>", " | "]).join(self.links(2, 8))
+            cells = [f"<td>{self.pick([side, self.listed(self.links(2, 8))])}</td>", f"<td>{self.body(True)}</td>"]
+            title = f"<tr><td colspan=2>{self.pick(['<h2>{}</h2>', '<b>{}</b>', '{}']).format(self.prose(1, 5).rstrip('.'))}</td></tr>" if self.chance(0.3) else ""
+            inner = top + f"<table>{title}<tr>" + "".join(cells if self.chance(0.7) else cells[::-1]) + "</tr></table>" + low
+        else:
+            tag, names = {"semantic": (self.pick(["article", "article", "main"]), ["", "", *_MAIN]), "named": (self.pick(["div", "div", "section", "td"]), _MAIN), "random": ("div", [*_PLAIN, ""])}[layout]
+            body = self.element("div" if tag == "td" else tag, names, self.nest(self.body(layout == "random"), 0, 3) if self.chance(0.3) else self.body(layout == "random"))
+            if self.chance(0.25):  # the page's other parts may sit beside the text in the main element
+                body = self.element("main", ["", *_MAIN], self.some(kinds("side", "share", "notice"), 0.4) + body + self.some(kinds("side", "comments"), 0.4))
+            inner = top + self.nest(body, 0, 3) + low
+        inner = self.nest(inner, 0, 3)
+        return f"<!DOCTYPE html><html><head><title>{self.prose(1, 8)}</title><style>p{{}}</style></head><body>{inner}" + self.pick(["</body></html>", ""])
+
+
+def sample_page(rng: random.Random) -> str:
+    """A page whose article blocks hold the mark U+2460 and no other block does."""
+    return _Writer(rng).page()
+
+
+def marked_page(html: str) -> tuple[Page, np.ndarray]:
+    """(blocks without the mark, whether each had it)."""
+    page = blocks_of(html)
+    label = np.array([_MARK in b[1] for b in page.blocks], dtype=np.float32)
+    page.blocks = [(i, t.replace(_MARK, "") or "x", a) for i, t, a in page.blocks]
+    return page, label
 
 
 @lru_cache(maxsize=2)
 def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> BiLSTM:
     """The labeller, from generated pages; the same weights for the same arguments."""
-    rng = np.random.default_rng(seed)
-    parsed, labels = [], []
-    for _ in range(pages):
-        found = blocks_of(sample_page(rng))
-        labels.append(np.array(["①" in b[1] for b in found], dtype=np.float32))
-        parsed.append([(p, t.replace("①", "") or "x", a) for p, t, a in found])
-    x = vectors(parsed)
-    cuts = np.cumsum([len(p) for p in parsed])[:-1]
+    rng, source = np.random.default_rng(seed), random.Random(seed)
+    parsed, labels = zip(*(marked_page(sample_page(source)) for _ in range(pages)), strict=True)
+    x = vectors(list(parsed))
+    cuts = np.cumsum([len(p.blocks) for p in parsed])[:-1]
     each = np.split(x, cuts)
     net = BiLSTM(DIM, HIDDEN)
     batches = []
@@ -387,14 +556,14 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> B
 
 def extract_texts(htmls: list[str | None], net: BiLSTM) -> list[str]:
     """The main text of each page."""
-    pages = [blocks_of(h) if h else [] for h in htmls]
+    pages = [blocks_of(h) if h else Page() for h in htmls]
     x = vectors(pages)
-    each = np.split(x, np.cumsum([len(p) for p in pages])[:-1]) if pages else []
+    each = np.split(x, np.cumsum([len(p.blocks) for p in pages])[:-1]) if pages else []
     out = [""] * len(pages)
     for part, xs, mask in padded(each):
         p = net.forward(xs, mask)[0]
         for row, i in enumerate(part):
-            out[i] = "\n".join(b[1] for b, good in zip(pages[i], p[row] > 0.5, strict=False) if good and not b[0].endswith("head") and "/title" not in b[0])
+            out[i] = "\n".join(b[1] for b, good in zip(pages[i].blocks, p[row] > 0.5, strict=False) if good)
     return out
 
 

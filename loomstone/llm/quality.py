@@ -2,16 +2,19 @@
 
 One view reads the text (its words and character mix), the other the page's
 metadata (source, language, length and line layout). Both start from labelled
-rows; over rounds each labels the unlabelled rows that it is surest of and gives
-them to the other. On held-out labelled rows both are calibrated and a logistic
-combination is fitted, which then scores every document. This runs for quality
-and again for toxicity. Each head's threshold is the one with the best F1 for its
-rarer class on the held-out rows; a document stays if it is good and not toxic.
-
-Fitting uses at most ``LABELLED`` labelled and ``UNLABELLED`` unlabelled rows,
-drawn by a hash of their ids; that bound keeps what the driver holds fixed.
-Words come from those rows, so the broadcast models are bounded too. Scoring is
-one pass over all documents without a shuffle.
+rows. In each round every document that one view is sure of becomes a
+pseudo-labelled row of the other: a pass over the whole table sums the gradient
+and the curvature of those rows, and the view is fitted again on its labelled
+rows plus that quadratic form. Each view is calibrated on a fold of its own, a
+logistic combination is fitted on a second and the threshold with the best F1 for
+the rarer class is taken on a third. This runs for quality and for toxicity
+together; a document stays if it is good and not toxic.
+
+At most ``LABELLED`` labelled rows, drawn by a hash of their ids, and
+``VOCABULARY`` telling words of them reach the driver; the sums have one value
+for each weight. So what the driver holds and what is broadcast is bounded
+whatever the table's size, and all else covers every document. No pass shuffles
+texts.
 """
 
 from __future__ import annotations
@@ -22,19 +25,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import arrow, map_columns, table
+from loomstone.llm.common import arrow, map_columns, store, table
 from loomstone.llm.words import ALNUM, Chunk, chunks
 
-LABELLED = 6000
-UNLABELLED = 2000
+LABELLED = 10_000
+VOCABULARY = 20_000  # telling words of a head
 ROUNDS = 3
 SURE = 0.97  # calibrated probability from which a view labels a row
-PER_ROUND = 300  # rows of a class that a view may label in a round
 MIN_DOCS = 4  # sampled documents that must hold a word
 TELLING = 3.0  # z score of a word's log odds from which the text view takes it
+FOLDS = (3, 0, 4, 1, 5, 2, 6, 7)  # in turn for the rows of a class: 0 calibrates, 1 mixes, 2 sets the threshold, the rest fit
 SOURCES, LANGS = 64, 16  # hashed slots of the metadata view
 ACCEPTS = (0.0, 2.0)  # thresholds of quality and toxicity that reject nothing
 
@@ -100,38 +103,71 @@ class Rows:
         return Rows(self.dense[keep], place[self.row[use]], self.word[use])
 
 
+@dataclass
+class Sums:
+    """Rows of one class: their number, and gradient and curvature at a view's weights."""
+
+    count: float
+    slope: np.ndarray
+    curve: np.ndarray
+
+
 class Logistic:
     """Logistic regression on dense columns and word presence, by Adam on all rows."""
 
     def __init__(self, words: int = 0, l2: float = 1e-3, steps: int = 240, rate: float = 0.08):
         self.words, self.l2, self.steps, self.rate = words, l2, steps, rate
+        self.w: np.ndarray | None = None  # dense columns, constant, words
 
-    def fit(self, x: Rows, y: np.ndarray) -> Logistic:
-        self.mean, self.std = x.dense.mean(axis=0), x.dense.std(axis=0) + 1e-6
+    def _features(self, x: Rows) -> np.ndarray:
         d = (x.dense - self.mean) / self.std
-        self.a, self.b = np.zeros(d.shape[1]), np.zeros(self.words)
-        positive = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.c = float(np.log(positive / (1 - positive)))
-        params = [self.a, self.b, np.array([self.c])]
-        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        return np.concatenate([d, np.ones((len(d), 1))], axis=1)
+
+    def _z(self, d: np.ndarray, x: Rows, w: np.ndarray) -> np.ndarray:
+        z = d @ w[: d.shape[1]]
+        return z + np.bincount(x.row, weights=w[d.shape[1] :][x.word], minlength=len(d)) if self.words else z
+
+    def _spread(self, d: np.ndarray, x: Rows, r: np.ndarray) -> np.ndarray:
+        """The weighted sum of the rows' features."""
+        return np.concatenate([d.T @ r, np.bincount(x.word, weights=r[x.row], minlength=self.words) if self.words else np.zeros(0)])
+
+    def fit(self, x: Rows, y: np.ndarray, more: tuple[Sums, Sums] | None = None) -> Logistic:
+        """``more`` are pseudo-labelled rows of class 0 and 1, summed at this view's weights.
+
+        The pseudo-labelled rows of a class weigh no more than its labelled ones.
+        """
+        if self.w is None:
+            self.mean, self.std = x.dense.mean(axis=0), x.dense.std(axis=0) + 1e-6
+        d = self._features(x)
+        if self.w is None:
+            positive = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+            self.w = np.zeros(d.shape[1] + self.words)
+            self.w[d.shape[1] - 1] = np.log(positive / (1 - positive))
+        decay = np.full(len(self.w), self.l2 * 0.1)
+        decay[: d.shape[1] - 1], decay[d.shape[1] - 1] = self.l2, 0
+        slope, curve = np.zeros(len(self.w)), np.zeros(len(self.w))
+        for label, sums in enumerate(more or ()):
+            weight = min(1.0, float((y == label).sum()) / max(1.0, sums.count)) / len(y)
+            slope, curve = slope + weight * sums.slope, curve + weight * sums.curve
+        start, w = self.w, self.w.copy()
+        m, v = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, self.steps + 1):
-            z = d @ params[0] + params[2][0]
-            if self.words:
-                z = z + np.bincount(x.row, weights=params[1][x.word], minlength=len(d))
-            g = (_sigmoid(z) - y) / len(y)
-            grads = [d.T @ g + self.l2 * params[0], np.bincount(x.word, weights=g[x.row], minlength=self.words) + self.l2 * 0.1 * params[1] if self.words else params[1], np.array([g.sum()])]
-            for i, p in enumerate(params):
-                m[i] = 0.9 * m[i] + 0.1 * grads[i]
-                v[i] = 0.999 * v[i] + 0.001 * grads[i] ** 2
-                p -= self.rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-        self.a, self.b, self.c = params[0], params[1], float(params[2][0])
+            g = self._spread(d, x, (_sigmoid(self._z(d, x, w)) - y) / len(y)) + decay * w + slope + curve * (w - start)
+            m = 0.9 * m + 0.1 * g
+            v = 0.999 * v + 0.001 * g**2
+            w -= self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        self.w = w
         return self
 
+    def sums(self, x: Rows, label: int) -> Sums:
+        """Gradient and a diagonal bound of the curvature of rows of one class."""
+        d = self._features(x)
+        p = _sigmoid(self._z(d, x, self.w))
+        bent = p * (1 - p) * (np.abs(d).sum(axis=1) + np.bincount(x.row, minlength=len(d)))
+        return Sums(len(d), self._spread(d, x, p - label), self._spread(np.abs(d), x, bent))
+
     def logit(self, x: Rows) -> np.ndarray:
-        z = ((x.dense - self.mean) / self.std) @ self.a + self.c
-        if self.words:
-            z = z + np.bincount(x.row, weights=self.b[x.word], minlength=len(x.dense))
-        return z
+        return self._z(self._features(x), x, self.w)
 
 
 class Constant:
@@ -148,41 +184,37 @@ class Constant:
 class CoTrained:
     """Two views, their rounds of exchanged labels and the calibrated combination."""
 
-    def __init__(self, words: int, rounds: int = ROUNDS, sure: float = SURE, per_round: int = PER_ROUND):
-        self.words, self.rounds, self.sure, self.per_round = words, rounds, sure, per_round
+    def __init__(self, text: Rows, meta: Rows, y: np.ndarray, fold: np.ndarray, words: int):
+        """``y`` is 0 or 1; ``fold`` names what a row is for (see ``FOLDS``)."""
+        self.y, self.rows = y, [text, meta]
+        self.fold = {"fit": np.flatnonzero(fold > 2)}
+        held = np.flatnonzero(fold < 3)
+        for at, name in enumerate(("calibrate", "mix", "cut")):
+            own = np.flatnonzero(fold == at)
+            self.fold[name] = own if len(own) and len(np.unique(y[own])) == 2 else held
+        self.views = [Logistic(words), Logistic()]
         self.exchanged = [0, 0]
-
-    def fit(self, text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray) -> CoTrained:
-        """``y`` is 0, 1 or -1 for unlabelled; ``held`` marks labelled rows kept for calibration."""
-        views = [text, meta]
-        known = np.flatnonzero((y >= 0) & ~held)
-        out = np.flatnonzero((y >= 0) & held)
-        free = np.flatnonzero(y < 0)
-        rows, labels = [known, known], [y[known], y[known]]
-        taken = [np.zeros(len(y), dtype=bool), np.zeros(len(y), dtype=bool)]
-        for turn in range(self.rounds + 1):
-            self.views = [Logistic(self.words if i == 0 else 0).fit(views[i].take(rows[i]), labels[i].astype(np.float64)) for i in (0, 1)]
-            self.platt = [self._calibrate(self.views[i].logit(views[i].take(out)), y[out]) for i in (0, 1)]
-            if turn == self.rounds or not len(free):
-                break
-            for i in (0, 1):
-                other = 1 - i
-                p = _sigmoid(self.platt[i][0] * self.views[i].logit(views[i].take(free)) + self.platt[i][1])
-                for label, surety in ((1, p), (0, 1 - p)):
-                    good = np.flatnonzero((surety >= self.sure) & ~taken[other][free])
-                    good = free[good[np.argsort(-surety[good], kind="stable")][: self.per_round]]
-                    taken[other][good] = True
-                    self.exchanged[other] += len(good)
-                    rows[other] = np.concatenate([rows[other], good])
-                    labels[other] = np.concatenate([labels[other], np.full(len(good), label)])
-        z = self._calibrated(text.take(out), meta.take(out))
-        self.mixer = Logistic(l2=1e-2, steps=300).fit(Rows(z), y[out].astype(np.float64))
-        return self
-
-    @staticmethod
-    def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-        fit = Logistic(l2=1e-2, steps=300).fit(Rows(z[:, None]), y.astype(np.float64))
-        return float(fit.a[0] / fit.std[0]), float(fit.c - fit.a[0] * fit.mean[0] / fit.std[0])
+        self.history: list[dict[str, float]] = []
+        self.refit([None, None])
+
+    def refit(self, more: list[tuple[Sums, Sums] | None]) -> None:
+        fit, out = self.fold["fit"], self.fold["calibrate"]
+        for i, view in enumerate(self.views):
+            view.fit(self.rows[i].take(fit), self.y[fit].astype(np.float64), more[i])
+            self.exchanged[i] = int(sum(s.count for s in more[i] or ()))
+        self.platt = [_calibrate(v.logit(x.take(out)), self.y[out]) for v, x in zip(self.views, self.rows, strict=True)]
+        mix, cut = self.fold["mix"], self.fold["cut"]
+        self.mixer = Logistic(l2=1e-2, steps=300).fit(Rows(self._calibrated(*(x.take(mix) for x in self.rows))), self.y[mix].astype(np.float64))
+        held = [x.take(cut) for x in self.rows]
+        p = {"text": _sigmoid(self._calibrated(*held)[:, 0]), "meta": _sigmoid(self._calibrated(*held)[:, 1]), "both": self.combined(*held)}
+        self.threshold = best_threshold(p["both"], self.y[cut])
+        self.history.append({k: best_f1(x, self.y[cut]) for k, x in p.items()} | {"exchanged_text": self.exchanged[0], "exchanged_meta": self.exchanged[1]})
+
+    def lean(self) -> CoTrained:
+        """The same model without its training rows, to broadcast."""
+        out = object.__new__(CoTrained)
+        out.views, out.platt, out.mixer, out.exchanged, out.history, out.threshold = self.views, self.platt, self.mixer, self.exchanged, self.history, self.threshold
+        return out
 
     def _calibrated(self, text: Rows, meta: Rows) -> np.ndarray:
         return np.stack([a * v.logit(x) + b for (a, b), v, x in zip(self.platt, self.views, (text, meta), strict=True)], axis=1)
@@ -190,6 +222,21 @@ class CoTrained:
     def combined(self, text: Rows, meta: Rows) -> np.ndarray:
         return _sigmoid(self.mixer.logit(Rows(self._calibrated(text, meta))))
 
+    def taught(self, text: Rows, meta: Rows) -> dict[tuple[int, int], Sums]:
+        """For each view and class, the sums of the rows that the other view is sure of."""
+        p, out = _sigmoid(self._calibrated(text, meta)), {}
+        for view, x in enumerate((text, meta)):
+            for label in (0, 1):
+                sure = np.flatnonzero((p[:, 1 - view] >= SURE) if label else (p[:, 1 - view] <= 1 - SURE))
+                if len(sure):
+                    out[view, label] = self.views[view].sums(x.take(sure), label)
+        return out
+
+
+def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    fit = Logistic(l2=1e-2, steps=300).fit(Rows(z[:, None]), y.astype(np.float64))
+    return float(fit.w[0] / fit.std[0]), float(fit.w[1] - fit.w[0] * fit.mean[0] / fit.std[0])
+
 
 @dataclass
 class Head:
@@ -199,9 +246,11 @@ class Head:
     views: CoTrained | Constant
     threshold: float = 0.5
 
+    def inputs(self, c: Chunk, dense: np.ndarray) -> Rows:
+        return Rows(dense, *_known_words(c, self.vocabulary))
+
     def probability(self, c: Chunk, dense: np.ndarray, meta: Rows) -> np.ndarray:
-        row, word = _known_words(c, self.vocabulary)
-        return self.views.combined(Rows(dense, row, word), meta)
+        return self.views.combined(self.inputs(c, dense), meta)
 
 
 @dataclass
@@ -226,53 +275,23 @@ def _known_words(c: Chunk, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pair // len(vocabulary), pair % len(vocabulary)
 
 
-def _telling(row: np.ndarray, word: np.ndarray, words: int, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Words whose share of documents differs between the classes of the given rows."""
-    label = np.full(len(y), -1)
-    label[rows] = y[rows]
-    yes, no = (np.bincount(word[label[row] == v], minlength=words) + 0.5 for v in (1, 0))
-    n_yes, n_no = ((label == v).sum() + 1.0 for v in (1, 0))
-    odds = np.log(yes / (n_yes - yes + 0.5)) - np.log(no / (n_no - no + 0.5))
-    return np.flatnonzero(np.abs(odds) / np.sqrt(1 / yes + 1 / no) >= TELLING)
-
-
-def _both_sides(y: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """``held`` with a row moved where all of a class of two or more are on one side."""
-    held = held.copy()
-    for label in (0, 1):
-        rows = np.flatnonzero(y == label)
-        if len(rows) > 1 and held[rows].all():
-            held[rows[0]] = False
-        elif len(rows) > 1 and not held[rows].any():
-            held[rows[: max(1, len(rows) // 4)]] = True
-    return held
-
-
-def _fit_head(vocabulary: np.ndarray, text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray, accepts: float) -> Head:
-    """``accepts`` is the threshold with which a head that cannot be fitted rejects nothing."""
-    known = y >= 0
-    held = _both_sides(y, held)
-    sides = [np.unique(y[known & h]) for h in (held, ~held)]
-    if any(len(s) < 2 for s in sides):
-        return Head(vocabulary[:0], Constant(y[known]), accepts)
-    words = _telling(text.row, text.word, len(vocabulary), y, np.flatnonzero(known & ~held))
-    place = np.full(len(vocabulary), -1)
-    place[words] = np.arange(len(words))
-    use = place[text.word] >= 0
-    text = Rows(text.dense, text.row[use], place[text.word[use]])
-    views = CoTrained(len(words)).fit(text, meta, y, held)
-    out = np.flatnonzero(known & held)
-    return Head(vocabulary[words], views, best_threshold(views.combined(text.take(out), meta.take(out)), y[out]))
-
-
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest gap of probabilities that cuts with the best F1 of the rarer class."""
+def _by_f1(p: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rarer class, its probabilities from the highest, F1 of a cut after each)."""
     rare = int(2 * (y == 1).sum() <= len(y))
     side = p if rare else 1 - p
     order = np.argsort(-side, kind="stable")
     hits, n = np.cumsum(y[order] == rare), np.arange(1, len(y) + 1)
-    f1 = 2 * hits / (n + (y == rare).sum())
-    side = np.append(side[order], 0.0)
+    return rare, np.append(side[order], 0.0), 2 * hits / (n + (y == rare).sum())
+
+
+def best_f1(p: np.ndarray, y: np.ndarray) -> float:
+    _, side, f1 = _by_f1(p, y)
+    return float(f1[side[:-1] > side[1:]].max(initial=0.0))
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the widest gap of probabilities that cuts with the best F1 of the rarer class."""
+    rare, side, f1 = _by_f1(p, y)
     good = np.flatnonzero((f1 >= f1.max() - 0.005) & (side[:-1] > side[1:]))
     at = good[np.argmax(side[good] - side[good + 1])]
     cut = float((side[at] + side[at + 1]) / 2)
@@ -280,48 +299,126 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, source, lang, quality, toxic) -> features for fitting."""
+    """Rows (doc_id, text) -> features for fitting."""
     for batch in batches:
         for c in chunks(batch.column(1), ALNUM):
             dense, layout = _measures(c)
             words = [np.unique(c.hash[c.bounds[i] : c.bounds[i + 1]]).view(np.int64) for i in range(c.rows)]
-            at = slice(c.first, c.first + c.rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[at], batch.column(2)[at], batch.column(3)[at], batch.column(4)[at], batch.column(5)[at], pa.array(list(dense)), pa.array(list(layout)), pa.array(words, pa.list_(pa.int64()))],
-                names=["doc_id", "source", "lang", "quality", "toxic", "dense", "layout", "words"],
-            )
+            columns = [batch.column(0)[c.first : c.first + c.rows], pa.array(list(dense)), pa.array(list(layout)), pa.array(words, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "dense", "layout", "words"])
+
+
+def _fold(target: str) -> Column:
+    """The rows of each class are dealt in turn, so every fold has both where there are enough."""
+    turn = F.row_number().over(Window.partitionBy(target).orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id"))
+    return F.when(F.col(target).isNotNull(), F.element_at(F.array(*map(F.lit, FOLDS)), ((turn - 1) % len(FOLDS) + 1).cast("int")))
+
+
+def _telling(sample: DataFrame, words: DataFrame, target: str) -> np.ndarray:
+    """Words whose share of documents differs between the classes of the rows that fit a head."""
+    fit = sample.where((F.col(f"{target}_fold") > 2)).select("doc_id", (F.col(target) > 0).cast("int").alias("y"))
+    sizes = fit.agg(F.sum("y"), F.count("*")).first()
+    n_yes = (sizes[0] or 0) + 1.0
+    n_no = sizes[1] - n_yes + 2.0
+    seen = words.join(F.broadcast(fit), "doc_id").groupBy("word").agg(F.sum("y").alias("yes"), F.count("*").alias("df")).where(F.col("df") >= MIN_DOCS)
+    yes, no = F.col("yes") + 0.5, F.col("df") - F.col("yes") + 0.5
+    odds = F.log(yes / (n_yes - yes + 0.5)) - F.log(no / (n_no - no + 0.5))
+    z = F.abs(odds) / F.sqrt(1 / yes + 1 / no)
+    top = seen.select("word", z.alias("z")).where(F.col("z") >= TELLING).orderBy(F.desc("z"), "word").limit(VOCABULARY)
+    return np.sort(np.array([r[0] for r in top.select("word").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _rows_of(table: pa.Table, vocabulary: np.ndarray) -> tuple[Rows, Rows]:
+    words = table.column("words").combine_chunks()
+    row = np.repeat(np.arange(table.num_rows), np.diff(words.offsets.to_numpy()))
+    flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    at = np.searchsorted(vocabulary, flat)
+    at[at == len(vocabulary)] = 0
+    use = vocabulary[at] == flat if len(vocabulary) else np.zeros(len(flat), dtype=bool)
+    dense, layout = (np.array(table.column(c).to_pylist()) for c in ("dense", "layout"))
+    return Rows(dense, row[use], at[use]), Rows(_meta(layout, table.column("source").to_pylist(), table.column("lang").to_pylist()))
+
+
+def _exchange(docs: DataFrame, heads: list[Head]) -> list[dict[tuple[int, int], Sums]]:
+    """The pseudo-labelled rows of the whole table for each head, view and class, summed."""
+    sizes = [[len(v.w) for v in h.views.views] if isinstance(h.views, CoTrained) else None for h in heads]
+    shared = docs.sparkSession.sparkContext.broadcast([Head(h.vocabulary, h.views.lean()) if isinstance(h.views, CoTrained) else None for h in heads])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int, int], Sums] = {}
+        for batch in batches:
+            sources, langs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for c in chunks(batch.column(0), ALNUM):
+                dense, layout = _measures(c)
+                at = slice(c.first, c.first + c.rows)
+                meta = Rows(_meta(layout, sources[at], langs[at]))
+                for k, head in enumerate(shared.value):
+                    if head is None:
+                        continue
+                    for (view, label), got in head.views.taught(head.inputs(c, dense), meta).items():
+                        old = total.get((k, view, label))
+                        total[k, view, label] = got if old is None else Sums(old.count + got.count, old.slope + got.slope, old.curve + got.curve)
+        for (k, view, label), one in total.items():
+            use = np.flatnonzero((one.slope != 0) | (one.curve != 0))
+            slot, slope, curve = np.append(use, -1), np.append(one.slope[use], one.count), np.append(one.curve[use], 0.0)
+            key = np.full(len(slot), (k * 2 + view) * 2 + label)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(slope), pa.array(curve)], names=["key", "slot", "slope", "curve"])
+
+    sums = arrow(docs.select("text", "source", "lang"), run, "key int, slot int, slope double, curve double")
+    got = sums.groupBy("key", "slot").agg(F.sum("slope").alias("slope"), F.sum("curve").alias("curve")).toArrow().to_pydict()
+    out: list[dict[tuple[int, int], Sums]] = []
+    for k, size in enumerate(sizes):
+        out.append({(view, label): Sums(0.0, np.zeros(size[view]), np.zeros(size[view])) for view in (0, 1) for label in (0, 1)} if size else {})
+    for key, slot, slope, curve in zip(got["key"], got["slot"], got["slope"], got["curve"], strict=True):
+        one = out[key // 4][key // 2 % 2, key % 2]
+        if slot < 0:
+            one.count = slope
+        else:
+            one.slope[slot], one.curve[slot] = slope, curve
+    return out
+
 
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """Fit both heads on ``docs`` (doc_id, text, source, lang) and ``labels`` (doc_id, quality, toxic).
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """Fit both heads on bounded samples of ``docs`` (doc_id, text, source, lang) and ``labels``."""
+    Of labels that repeat an id the smallest quality and the largest toxic count,
+    of documents that do any one. Labels without a document, null marks and null
+    ids are ignored. A head without two rows of each class is a ``Constant`` that
+    rejects nothing; so are both where a table is empty.
+    """
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(marks, "doc_id", "left")
-    order = [F.xxhash64("doc_id", F.lit(17)), "doc_id"]
-    known = F.col("quality").isNotNull() | F.col("toxic").isNotNull()
-    sample = ids.where(known).orderBy(*order).limit(labelled).union(ids.where(~known).orderBy(*order).limit(unlabelled))
-    rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "source", "lang", "quality", "toxic")
-    rows = rows.dropDuplicates(["doc_id"])  # one row for each sampled id keeps the bound
-    schema = "doc_id bigint, source string, lang string, quality int, toxic int, dense array<double>, layout array<double>, words array<bigint>"
-    got = arrow(rows, _sample_features, schema).toArrow().sort_by("doc_id")
-    n = got.num_rows
-    if not n:
-        return Model(*[Head(np.zeros(0, np.uint64), Constant(np.zeros(0)), t) for t in ACCEPTS])
-    words = got.column("words").combine_chunks()
-    counts = np.diff(words.offsets.to_numpy())
-    flat = words.flatten().to_numpy().view(np.uint64)
-    seen, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = df >= MIN_DOCS
-    place = np.cumsum(keep) - 1
-    use = keep[inverse]
-    dense, layout = (np.array(got.column(c).to_pylist()) for c in ("dense", "layout"))
-    text = Rows(dense, np.repeat(np.arange(n, dtype=np.int32), counts)[use], place[inverse[use]].astype(np.int32))
-    sources, langs, marks = (got.column(c).to_pylist() for c in ("source", "lang", "doc_id"))
-    targets = [np.array([-1 if v is None else int(v > 0) for v in got.column(c).to_pylist()]) for c in ("quality", "toxic")]
-    del got, words, flat, inverse, use
-    pa.default_memory_pool().release_unused()
-    meta = Rows(_meta(layout, sources, langs))
-    held = np.array([zlib.crc32(str(d).encode()) % 4 == 0 for d in marks])
-    heads = [_fit_head(seen[keep], text, meta, y, held, t) for y, t in zip(targets, ACCEPTS, strict=True)]
+    marks = marks.where("quality is not null or toxic is not null")
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(marks, "doc_id")
+    sample = ids.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(labelled)
+    sample = store(sample.select("doc_id", *((F.col(t) > 0).cast("int").alias(t) for t in ("quality", "toxic"))).withColumns({f"{t}_fold": _fold(t) for t in ("quality", "toxic")}), "sample")
+    rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(sample.select("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    rows = store(rows, "sample-texts")
+    features = arrow(rows.select("doc_id", "text"), _sample_features, "doc_id bigint, dense array<double>, layout array<double>, words array<bigint>")
+    features = store(features, "sample-features")
+    words = features.select("doc_id", F.explode("words").alias("word"))
+    heads = []
+    for target, accepts in zip(("quality", "toxic"), ACCEPTS, strict=True):
+        mine = sample.where(F.col(target).isNotNull()).select("doc_id", F.col(target).alias("y"), F.col(f"{target}_fold").alias("fold"))
+        counts = {r["y"]: r["count"] for r in mine.groupBy("y").count().collect()}
+        if min(counts.get(0, 0), counts.get(1, 0)) < 2:
+            y = np.repeat([0, 1], [counts.get(0, 0), counts.get(1, 0)])
+            heads.append(Head(np.zeros(0, np.uint64), Constant(y), accepts))
+            continue
+        vocabulary = _telling(sample, words, target)
+        known = docs.sparkSession.createDataFrame(pa.table({"word": pa.array(vocabulary.view(np.int64))}))
+        kept = words.join(F.broadcast(known), "word").groupBy("doc_id").agg(F.collect_list("word").alias("words"))
+        full = features.drop("words").join(mine, "doc_id").join(rows.select("doc_id", "source", "lang"), "doc_id").join(kept, "doc_id", "left")
+        got = full.withColumn("words", F.coalesce("words", F.array().cast("array<bigint>"))).toArrow().sort_by("doc_id")
+        y, fold = (np.array(got.column(c).to_pylist()) for c in ("y", "fold"))
+        heads.append(Head(vocabulary, CoTrained(*_rows_of(got, vocabulary), y, fold, len(vocabulary))))
+    if any(isinstance(h.views, CoTrained) for h in heads):
+        for _ in range(rounds):
+            for head, sums in zip(heads, _exchange(docs, heads), strict=True):
+                if sums:
+                    head.views.refit([(sums[view, 0], sums[view, 1]) for view in (0, 1)])
+    for head in heads:
+        if isinstance(head.views, CoTrained):
+            head.views, head.threshold = head.views.lean(), head.views.threshold
     return Model(*heads)
 
 
