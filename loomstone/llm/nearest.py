@@ -1,15 +1,18 @@
 """Approximate nearest neighbours (operator 1): a block matrix join.
 
-Vectors are quantised to int8 with one scale each and packed into blocks.
-Query blocks meet candidate blocks in tiles; a tile's int8 product matrix gives
-every inner product up to a bound that follows from the quantisation residuals.
-Pairs whose upper bound reaches the query's k-th best lower bound survive and
-are recomputed in double precision from the original vectors, so the answer is
-exact: recall is 1. Heaps keep the best of a tile and merge the tiles.
-
-Tiles are keyed by (group of query blocks, group of candidate blocks); both
-sides travel as packed rows, and a tile's size is bounded by the two group
-sizes, whatever the tables' sizes are.
+Vectors are quantised once to int8 codes with a scale, the norm of what the
+codes say and the norm of the residual each, and packed into blocks. Query
+blocks meet candidate blocks in tiles; a tile's int8 product matrix gives every
+inner product up to a bound that follows from the residuals. Pairs whose upper
+bound reaches the query's k-th best lower bound survive the tile, then the merge
+of all tiles; only theirs are recomputed in double precision from the original
+vectors, so the answer is exact: recall is 1. Heaps merge the tiles' bounds and
+the recomputed scores.
+
+Only codes travel to the tiles (a byte a component, and 32 bytes a vector);
+originals are joined to the survivors alone. Tiles are keyed by (group of query
+blocks, group of candidate blocks). A tile holds the codes of one query group;
+candidates stream past, so its memory is bounded whatever the tables' sizes are.
 """
 
 from __future__ import annotations
@@ -19,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import table
+from loomstone.llm.common import arrow, checkpoint, table
 
 K = 20
-QUERY_BLOCK = 1024  # queries in one block of a tile
-CANDIDATE_BLOCK = 4096  # candidates in one block of a tile
+BLOCK = 1024  # vectors in one packed row, and on either side of one product
+QUERY_GROUP = 64 * BLOCK  # queries whose codes a tile holds
+TILE_PAIRS = 1 << 33  # pairs of a tile
 
-_RESULT = "query_id bigint, vec_id bigint, score double"
+_CODED = "dim bigint, ids binary, codes binary, measures binary"
+_BOUNDS = "query_id bigint, vec_id bigint, low double, high double"
 
 
 def usable(vector: Column) -> Column:
@@ -46,100 +51,124 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return codes, scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
 
 
-def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products in double precision, summed from the first component on."""
-    out = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        out += a[:, j] * b[:, j]
-    return out
-
-
-def search_tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, heaps: dict[int, list], k: int) -> None:
-    """Push the tile's survivors into the queries' heaps of (score, -vec_id)."""
-    qc, qs, qn, qr = _quantised(q)
-    cc, cs, cn, cr = _quantised(c)
-    kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # holds every int8 product sum exactly
-    about = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64) * qs[:, None] * cs[None, :]
-    slack = (qr[:, None] * (cn + cr)[None, :] + qn[:, None] * cr[None, :]) * (1 + 1e-9) + 1e-300
-    same = qid[:, None] == cid[None, :]
-    about[same] = -np.inf
-    low = about - slack
-    low[same] = -np.inf
-    take = min(k, len(cid))
-    bar = np.partition(low, len(cid) - take, axis=1)[:, len(cid) - take]
-    for i, query in enumerate(qid.tolist()):
-        heap = heaps.setdefault(query, [])
-        if len(heap) == k:
-            bar[i] = max(bar[i], heap[0][0])
-    margin = 1e-9 * (1 + np.abs(bar))
-    row, col = np.nonzero(about + slack >= (bar - margin)[:, None])
-    fine = ~same[row, col]
-    row, col = row[fine], col[fine]
-    score = exact_products(q[row], c[col])
-    order = np.lexsort((cid[col], -score, row))
-    row, col, score = row[order], col[order], score[order]
-    first = np.searchsorted(row, row)
-    best = np.arange(len(row)) - first < k
-    for query, vec, s in zip(qid[row[best]].tolist(), cid[col[best]].tolist(), score[best].tolist(), strict=True):
-        heap = heaps[query]
-        if len(heap) < k:
-            heapq.heappush(heap, (s, -vec))
-        elif (s, -vec) > heap[0]:
-            heapq.heapreplace(heap, (s, -vec))
-
-
-def _pack(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, vector) -> rows (dim, ids, vectors) of up to ``block`` vectors each."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, vector) -> rows (dim, ids, codes, measures) of up to ``BLOCK`` vectors each."""
     held: dict[int, list] = {}
 
     def row(dim: int, n: int) -> pa.RecordBatch:
-        ids = np.concatenate([x[0] for x in held[dim]])
-        vs = np.concatenate([x[1] for x in held[dim]])
-        held[dim] = [(ids[n:], vs[n:])]
-        return pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([ids[:n].tobytes()]), pa.array([vs[:n].tobytes()])], names=["dim", "ids", "vectors"])
+        ids, xs = (np.concatenate([x[i] for x in held[dim]]) for i in (0, 1))
+        held[dim] = [(ids[n:], xs[n:])]
+        codes, *measures = _quantised(xs[:n])
+        columns = [ids[:n].tobytes(), codes.tobytes(), np.stack(measures).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([dim]), *(pa.array([x]) for x in columns)], names=["dim", "ids", "codes", "measures"])
 
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         lists = batch.column(1)
         dims = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         ends = np.cumsum(dims)
         for dim in np.unique(dims).tolist():
             rows = np.flatnonzero(dims == dim)
-            vs = flat[(ends[rows] - dim)[:, None] + np.arange(dim)[None, :]]
-            held.setdefault(dim, []).append((ids[rows], vs))
-            while sum(len(x[0]) for x in held[dim]) >= block:
-                yield row(dim, block)
+            held.setdefault(dim, []).append((ids[rows], flat[(ends[rows] - dim)[:, None] + np.arange(dim)[None, :]]))
+            while sum(len(x[0]) for x in held[dim]) >= BLOCK:
+                yield row(dim, BLOCK)
     for dim in list(held):
         if n := sum(len(x[0]) for x in held[dim]):
             yield row(dim, n)
 
 
-def _tiles(k: int, kind: str):
+class Block:
+    """Coded vectors: ids, codes and their scales, norms and residual norms."""
+
+    def __init__(self, ids: bytes, codes: bytes, measures: bytes):
+        self.ids = np.frombuffer(ids, dtype=np.int64)
+        codes = np.frombuffer(codes, dtype=np.int8).reshape(len(self.ids), -1)
+        # a kind that holds every sum of int8 products exactly
+        self.codes = codes.astype(np.float32 if codes.shape[1] * 127 * 127 < 1 << 24 else np.float64)
+        self.scale, self.norm, self.rest = np.frombuffer(measures, dtype=np.float64).reshape(3, -1)
+
+
+class QueryBlock(Block):
+    """Queries of a tile with the k best lower bounds of each so far, and the pairs that reach them."""
+
+    def __init__(self, ids: bytes, codes: bytes, measures: bytes, k: int):
+        super().__init__(ids, codes, measures)
+        self.best = np.full((len(self.ids), k), -np.inf)
+        self.pairs: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def meet(self, c: Block) -> None:
+        about = (self.codes @ c.codes.T).astype(np.float64) * self.scale[:, None] * c.scale[None, :]
+        slack = (self.rest[:, None] * (c.norm + c.rest)[None, :] + self.norm[:, None] * c.rest[None, :]) * (1 + 1e-9) + 1e-300
+        about[self.ids[:, None] == c.ids[None, :]] = -np.inf
+        low = about - slack
+        k = self.best.shape[1]
+        self.best = np.partition(np.concatenate([self.best, low], axis=1), len(c.ids), axis=1)[:, len(c.ids) :]
+        high = about + slack
+        row, col = np.nonzero((high >= self.bar(k)[:, None]) & (about > -np.inf))
+        self.pairs.append((row, c.ids[col], low[row, col], high[row, col]))
+        self.held += len(row)
+        if self.held > 8 * self.best.size:
+            self.prune()
+
+    def prune(self) -> None:
+        row, vec, low, high = (np.concatenate([p[i] for p in self.pairs]) for i in range(4))
+        keep = high >= self.bar(self.best.shape[1])[row]
+        self.pairs = [(row[keep], vec[keep], low[keep], high[keep])]
+        self.held = int(keep.sum())
+
+    def bar(self, k: int) -> np.ndarray:
+        """What a pair's upper bound must reach, with a margin for rounding."""
+        least = self.best.min(axis=1)
+        return np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)
+
+    def survivors(self) -> pa.RecordBatch | None:
+        if not self.pairs:
+            return None
+        self.prune()
+        row, vec, low, high = self.pairs[0]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(vec), pa.array(low), pa.array(high)], names=["query_id", "vec_id", "low", "high"])
+
+
+def _tiles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (tile, side, ids, vectors), a tile's queries before its candidates."""
-        now, heaps, queries = None, {}, []
-
-        def out() -> pa.RecordBatch:
-            rows = [(q, -v, s) for q, heap in heaps.items() for s, v in heap]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
+        """Rows (tile, side, ids, codes, measures), a tile's queries before its candidates -> pairs that may be among the k best."""
+        now, queries = None, []
         for batch in batches:
-            for tile, side, ids, vs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for tile, side, *packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if tile != now:
-                    if any(heaps.values()):
-                        yield out()
-                    now, heaps, queries = tile, {}, []
-                ids = np.frombuffer(ids, dtype=np.int64)
-                x = np.frombuffer(vs, dtype=kind).reshape(len(ids), -1).astype(np.float64)
+                    yield from (out for q in queries if (out := q.survivors()) is not None)
+                    now, queries = tile, []
                 if side == 0:
-                    queries.append((ids, x))
+                    queries.append(QueryBlock(*packed, k))
+                else:
+                    candidates = Block(*packed)
+                    for q in queries:
+                        q.meet(candidates)
+        yield from (out for q in queries if (out := q.survivors()) is not None)
+
+    return run
+
+
+def _cut(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by query and falling upper bound -> those that may be among the query's k best of all tiles."""
+        now, heap = None, []
+        for batch in batches:
+            keep = []
+            for i, (query, low, high) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 2, 3)), strict=True)):
+                if query != now:
+                    now, heap = query, []
+                if len(heap) < k:
+                    heapq.heappush(heap, low)
+                elif high < heap[0] - 1e-9 * (1 + abs(heap[0])):
                     continue
-                for q_ids, q in queries:
-                    for a in range(0, len(ids), 1024):
-                        search_tile(q_ids, q, ids[a : a + 1024], x[a : a + 1024], heaps, k)
-        if any(heaps.values()):
-            yield out()
+                elif low > heap[0]:
+                    heapq.heapreplace(heap, low)
+                keep.append(i)
+            if keep:
+                yield batch.take(pa.array(keep)).select([0, 1])
 
     return run
 
@@ -184,25 +213,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     share an id count once, with the smallest of their usable vectors. Other
     columns are ignored; empty tables give no rows.
     """
-    kind = "<f8" if "array<double>" in vectors.select(vector_col).dtypes[0][1] else "<f4"
+    spark = vectors.sparkSession
     plain = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     plain = plain.groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min(vector_col).alias("v"), F.max(is_query).alias("q"))
-    packed = "dim bigint, ids binary, vectors binary"
-    queries = plain.where("q").select("id", "v").mapInArrow(lambda b: _pack(b, QUERY_BLOCK), packed)
-    candidates = plain.select("id", "v").mapInArrow(lambda b: _pack(b, CANDIDATE_BLOCK), packed)
-    # groups of blocks: queries are dealt into as many as keep a tile's queries few
-    n = vectors.where(is_query).count()
-    total = vectors.count()
-    q_groups = max(1, n // (4 * QUERY_BLOCK))
-    c_groups = max(1, min(total // (2 * CANDIDATE_BLOCK), 100_000))
-    deal = lambda col, groups: F.pmod(F.xxhash64(col), F.lit(groups)).cast("int")
+    n, total = vectors.agg(F.count_if(is_query), F.count("*")).first()
+    q_groups = -(-max(1, n) // QUERY_GROUP)
+    c_groups = max(-(-total * -(-max(1, n) // q_groups) // TILE_PAIRS), min(spark.sparkContext.defaultParallelism, total // (4 * BLOCK)), 1)
+    deal = lambda groups: F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")
     each = lambda groups: F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    left = queries.withColumn("qg", deal("ids", q_groups)).withColumn("cg", each(c_groups)).withColumn("side", F.lit(0))
-    right = candidates.withColumn("cg", deal("ids", c_groups)).withColumn("qg", each(q_groups)).withColumn("side", F.lit(1))
-    tiles = left.unionByName(right).select(F.xxhash64("dim", "qg", "cg").alias("tile"), "side", "ids", "vectors")
-    found = tiles.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(_tiles(k, kind), _RESULT)
-    best = found.repartition("query_id").sortWithinPartitions("query_id")
-    return best.mapInArrow(_merge(k), "query_id bigint, rank int, vec_id bigint, score double")
+    # of equal vectors only the k smallest ids, besides the query's own, can be among any query's k
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    some = plain.select("id", "v", place.alias("place")).where(F.col("place") <= k + 1).select("id", "v")
+    left = arrow(plain.where("q").select("id", "v"), _pack, _CODED).withColumn("qg", deal(q_groups)).withColumn("cg", each(c_groups)).withColumn("side", F.lit(0))
+    right = arrow(some, _pack, _CODED).withColumn("cg", deal(c_groups)).withColumn("qg", each(q_groups)).withColumn("side", F.lit(1))
+    tiles = left.unionByName(right).select(F.xxhash64("dim", "qg", "cg").alias("tile"), "side", "ids", "codes", "measures")
+    found = arrow(tiles.repartition("tile").sortWithinPartitions("tile", "side"), _tiles(k), _BOUNDS)
+    pairs = arrow(found.repartition("query_id").sortWithinPartitions("query_id", F.desc("high")), _cut(k), "query_id bigint, vec_id bigint")
+    pairs = checkpoint(pairs)
+    original = lambda rows, id_, v: rows.select(F.col("id").alias(id_), F.transform("v", lambda x: x.cast("double")).alias(v))
+    scored = pairs.join(original(some, "vec_id", "c"), "vec_id").join(original(plain.where("q"), "query_id", "q"), "query_id")
+    product = F.aggregate(F.zip_with("q", "c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)  # from the first component on
+    best = scored.select("query_id", "vec_id", product.alias("score")).repartition("query_id").sortWithinPartitions("query_id")
+    return arrow(best, _merge(k), "query_id bigint, rank int, vec_id bigint, score double")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

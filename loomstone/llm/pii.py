@@ -72,10 +72,10 @@ def mod97(m: Column) -> Column:
 _YES = lambda m: F.lit(True)
 
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@"), _YES, False, "mail|contact|write|reach", True),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@"), _YES, False, "e-?mails?|contact|write|reach", True),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", lambda t: t.rlike(r"[0-9]\.[0-9]"), _octets, True, "address|host|server|gateway", True),
-    Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[ -]?[0-9])++", lambda t: t.rlike(r"[0-9][ -]?[0-9]"), _card, True, "card|visa|credit|debit|payment", True),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: t.contains("+"), lambda m: F.length(_digits(m)).between(9, 15), False, "phone|tel|call|mobile|fax", True),
+    Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[ -]?[0-9])++", lambda t: t.rlike(r"[0-9][ -]?[0-9]"), _card, True, "cards?|visa|credit|debit|payment", True),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: t.contains("+"), lambda m: F.length(_digits(m)).between(9, 15), False, "phone|tel|telephone|call|mobile|fax", True),
     Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), mod97, True, "iban|account|bank|transfer", False),
     Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-"), _YES, False, "ssn|social security|insured", False),
 )
@@ -110,7 +110,7 @@ def _spans(text: Column, kind: Kind) -> Column:
         def scored(x: Column) -> Column:
             low = F.greatest(F.lit(0), x["at"] - NEAR)
             around = F.concat(text.substr(low + 1, x["at"] - low), F.lit(" "), text.substr(x["at"] + F.length(x["m"]) + 1, F.lit(NEAR)))
-            score = F.lit(0.8 if kind.checked else 0.5) + F.when(F.lower(around).rlike(kind.context), 0.2).otherwise(0.0)
+            score = F.lit(0.8 if kind.checked else 0.5) + F.when(F.lower(around).rlike(rf"\b(?:{kind.context})\b"), 0.2).otherwise(0.0)
             return F.struct(F.lit(kind.name).alias("kind"), x["at"].alias("start"), (x["at"] + F.length(x["m"])).alias("end"), score.alias("score"))
 
         got = let(running_sums(lens), put)
@@ -187,7 +187,7 @@ def _sql() -> str:
         "card": f"len({bare}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len({bare}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({bare})[i] AS INTEGER) ELSE CAST(reverse({bare})[i] AS INTEGER) * 2 - CASE WHEN reverse({bare})[i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0",
         "phone": "len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15",
         "iban": f"list_reduce(list_prepend(0, list_transform(range(1, len({numeral}) + 1), lambda i: CAST({numeral}[i] AS INTEGER))), lambda a, d: (a * 10 + d) % 97) = 1",
-        "ssn": f"regexp_matches(lower(substr(text, greatest(1, s - {NEAR} + 1), s - greatest(0, s - {NEAR})) || ' ' || substr(text, s + len(m) + 1, {NEAR})), 'ssn|social security|insured')",
+        "ssn": f"regexp_matches(lower(substr(text, greatest(1, s - {NEAR} + 1), s - greatest(0, s - {NEAR})) || ' ' || substr(text, s + len(m) + 1, {NEAR})), '\\b(?:ssn|social security|insured)\\b')",
     }
     parts = []
     for i, k in enumerate(KINDS):

@@ -39,6 +39,25 @@ def test_nearest_edges(spark):
     assert nearest.nearest(empty, F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_nearest_common_vector(spark, monkeypatch):
+    """A vector that most rows share gives a query no more pairs than its k and the bounds' ties."""
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    seen = []
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(1000 + i, [float(x) for x in rng.normal(0, 1, 3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for r in nearest.nearest(df, F.col("vec_id") % 100 == 0, k=5).collect():
+        seen.append((r.query_id, r["rank"], r.vec_id))
+    good = {i: np.float32(v).astype(np.float64) for i, v in rows}
+    want = []
+    for q in [i for i in good if i % 100 == 0]:
+        order = sorted((-sum(good[q] * v), i) for i, v in good.items() if i != q)[:5]
+        want += [(q, k + 1, i) for k, (_, i) in enumerate(order)]
+    assert sorted(seen) == sorted(want)
+    empty = df.where("false")
+    assert nearest.nearest(empty, F.col("vec_id") % 100 == 0).count() == 0
+
+
 def brute(docs, k, num, den):
     sets = {}
     for i, text in docs:
