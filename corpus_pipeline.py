@@ -6,11 +6,11 @@ the documents are written as Parquet in the shared folder and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import store, table
-from loomstone.llm.decontaminate import decontaminate, remove_spans
+from loomstone.llm.decontaminate import decontaminate, free_marker, remove_spans
 from loomstone.llm.ngram_join import ngram_join
 from loomstone.llm.packing import pack
 from loomstone.llm.pii import find_pii, mask_pii
@@ -19,32 +19,61 @@ from loomstone.llm.tokens import token_counts
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifiers find good and not toxic."""
+    """Documents that the co-trained classifiers find good and not toxic.
+
+    A null text is judged as an empty one, null metadata as a value of its own;
+    repeated rows are judged alike. Without labels of both classes nothing goes.
+    Columns beyond those of documents stay, but for p_quality, p_toxic, score
+    and keep, which are replaced.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).where("keep").select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links by five-word shingles at 0.8."""
+    """One document of each group that links by five-word shingles at 0.8: that with the smallest id.
+
+    Rows that repeat this id are one document, of which the first row by source,
+    language and text stays. Texts that are null, empty or without words, and rows
+    with a null id, are in no group and stay. Other columns stay as they are.
+    """
     groups = ngram_join(docs, k=5, num=80, den=100)
     dropped = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    twice = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    same = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length(F.trim("text")) > 0), "source", "lang", "text")) == 1
+    once = kept.join(twice, "doc_id", "left_semi").withColumn("is_first", same).where("is_first").select(docs.columns)
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).union(once)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages: a mark stands where a hit span was."""
-    cut = remove_spans(decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    """Documents without benchmark passages: a mark that no item holds stands where a hit span was.
+
+    Every row stays, also one whose whole text was cut; null and empty texts stay
+    as they are, and so does everything where the benchmark is empty. ``n_chars``
+    is counted again. Columns called n_words, spans or items are replaced.
+    """
+    benchmark = table(spark, sf_dir, "benchmark")
+    cut = remove_spans(decontaminate(docs, benchmark), marker=free_marker(benchmark))
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by the name of its kind."""
+    """Personal data replaced by the name of its kind.
+
+    Every row stays; null and empty texts stay as they are, repeated rows are
+    masked alike. ``n_chars`` is counted again. A column called pii is replaced.
+    """
     masked = mask_pii(find_pii(docs))
     return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens, bucket, batch and slot."""
+    """Every document's tokens, bucket, batch and slot.
+
+    Null and empty texts have no tokens and take a slot too; repeated rows and
+    null ids get slots of their own. Other columns go.
+    """
     return pack(store(token_counts(docs.select("doc_id", "text")).select("doc_id", "n_tokens"), "lengths"))
 
 

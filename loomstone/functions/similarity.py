@@ -23,6 +23,29 @@ def close(a: Column, b: Column, cosine_of: Column) -> Column:
     return F.when(is_falsy(a) | is_falsy(b), 0.0).when(exact(a, b) == 1.0, 1.0).otherwise(F.coalesce(cosine_of, F.lit(0.0)))
 
 
+def fold(x: Column) -> Column:
+    """A text with the form in which it is compared, made once for many comparisons."""
+    return F.struct(x.alias("raw"), strip(F.lower(x)).alias("key"))
+
+
+def same(a: Column, b: Column) -> Column:
+    """``exact`` of two folded texts."""
+    return F.when(is_falsy(a["raw"]) | is_falsy(b["raw"]), 0.0).when(a["key"] == b["key"], 1.0).otherwise(0.0)
+
+
+def near(cosines: Column):
+    """``close`` of two folded texts, with a map from ``pair_key`` to cosines; a pair without one scores 0."""
+
+    def sim(a: Column, b: Column) -> Column:
+        return F.when(is_falsy(a["raw"]) | is_falsy(b["raw"]), 0.0).when(a["key"] == b["key"], 1.0).otherwise(F.coalesce(F.try_element_at(cosines, pair_key(a["key"], b["key"])), F.lit(0.0)))
+
+    return sim
+
+
+def pair_key(a: Column, b: Column) -> Column:
+    return F.concat(a, F.lit("\x1f"), b)
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
@@ -40,14 +63,18 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _indel(a: str, b: str) -> float:
+    """Twice the longest common subsequence over both lengths, one bit of an integer for each character of ``a``."""
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for y in b:
+        hit = free & at.get(y, 0)
+        free = (free + hit | free - hit) & full
+    return 2 * (len(a) - free.bit_count()) / (len(a) + len(b))
 
 
 @F.pandas_udf(DoubleType())
@@ -67,24 +94,25 @@ def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sequence_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def asymmetric(gt: Column, pred: Column, version: str = "parts") -> Column:
+def asymmetric(gt: Column, pred: Column, version: str = "parts", sim=exact) -> Column:
     """Similarity of two systems with a source and a target.
 
     ``labels``: the mean over system, source and target, 0 unless both are
     systems. ``parts``: the system's id is ignored, numerator and denominator
-    stand in for source and target, 0 where all four are empty.
+    stand in for source and target, 0 where all four are empty. ``sim`` compares
+    two texts of the structs.
     """
     if version == "labels":
-        each = [exact(gt[f], pred[f]) for f in ("system", "source", "target")]
+        each = [sim(gt[f], pred[f]) for f in ("system", "source", "target")]
         return F.when(gt.isNull() | pred.isNull(), 0.0).otherwise((each[0] + each[1] + each[2]) / 3)
     first = lambda x: F.coalesce(F.nullif(x["numerator"], F.lit("")), x["source"])
     second = lambda x: F.coalesce(F.nullif(x["denominator"], F.lit("")), x["target"])
     bare = is_falsy(first(gt)) & is_falsy(first(pred)) & is_falsy(second(gt)) & is_falsy(second(pred))
-    return F.when(bare, 0.0).otherwise((exact(first(gt), first(pred)) + exact(second(gt), second(pred))) / 2)
+    return F.when(bare, 0.0).otherwise((sim(first(gt), first(pred)) + sim(second(gt), second(pred))) / 2)
 
 
-def symmetric(gt: Column, pred: Column) -> Column:
+def symmetric(gt: Column, pred: Column, sim=exact) -> Column:
     """Mean of the label's similarity and the parts' Jaccard; 0 where neither has a label."""
     parts = lambda x: F.coalesce(x["parts"], F.expr("cast(array() as array<string>)"))
-    score = (exact(gt["system"], pred["system"]) + jaccard(parts(gt), parts(pred))) / 2
+    score = (sim(gt["system"], pred["system"]) + jaccard(parts(gt), parts(pred))) / 2
     return F.when(is_falsy(gt["system"]) & is_falsy(pred["system"]), 0.0).otherwise(score)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import records, similarity, text
-from loomstone.operators import confusion, graphs, grids, linking, metrics
+from loomstone.operators import confusion, graphs, grids, linking, metrics, scoring
 from loomstone.plans import summary
 from loomstone.sources import scans
 
@@ -115,7 +115,7 @@ def q_url_canon(spark, d):
     return t(spark, d, "pages").select("page_id", text.canonical_uri(uri).alias("uri"))
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS digest FROM documents""")
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents""")
 def q_normalise_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(text.normalise(F.col("text"))).alias("digest"))
 
@@ -152,7 +152,8 @@ def q_structural_overlap(spark, d):
 @query("""SELECT c_custkey, 0 AS "hasStatisticalModifier", 0 AS "hasProperty", 0 AS "hasObjectOfInterest",
        CAST(c_custkey % 2 <> 0 AND c_custkey % 3 = 0 AS INT) AS "hasMatrix", 0 AS "hasContextObject", 0 AS "hasConstraint" FROM customer""")
 def q_hallucination_flags(spark, d):
-    return t(spark, d, "customer").select("c_custkey", *metrics.hallucinations(*_record_pair()))
+    gt, pred = (records.parsed(x) for x in _record_pair())
+    return t(spark, d, "customer").select("c_custkey", gt.alias("gt"), pred.alias("pred")).select("c_custkey", *metrics.hallucinations(F.col("gt"), F.col("pred")))
 
 
 @query("""SELECT p_partkey, 1 AS property_grounded, CAST(contains(lower(p_name), lower(p_type)) AS INT) AS object_of_interest_grounded,
@@ -160,7 +161,7 @@ def q_hallucination_flags(spark, d):
 def q_grounding(spark, d):
     rule = F.array(F.struct(F.col("p_brand").alias("label"), F.lit("hasProperty").alias("on")))
     record = F.to_json(F.struct(F.upper(F.substring("p_name", 1, 4)).alias("hasProperty"), F.col("p_type").alias("hasObjectOfInterest"), rule.alias("hasConstraint")))
-    return t(spark, d, "part").select("p_partkey", *metrics.grounding(record, F.col("p_name")))
+    return t(spark, d, "part").select("p_partkey", "p_name", records.parsed(record).alias("doc")).select("p_partkey", *metrics.grounding(F.col("doc"), F.col("p_name")))
 
 
 @query("""SELECT location, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN event_id % 2 = 0 THEN 'hasProperty' END,
@@ -170,7 +171,8 @@ def q_locate(spark, d):
     here = lambda n: F.when(F.col("event_id") % n == 0, F.col("event_type")).otherwise("-")
     rule = F.array(F.struct(here(5).alias("label"), F.lit("-").alias("on")))
     record = F.to_json(F.struct(here(2).alias("hasProperty"), here(3).alias("hasObjectOfInterest"), rule.alias("hasConstraint")))
-    return metrics.location_counts(t(spark, d, "events").select(metrics.locate(F.col("event_type"), record).alias("found_in")))
+    rows = t(spark, d, "events").select("event_type", records.parsed(record).alias("doc"))
+    return metrics.location_counts(rows.select(metrics.locate(F.col("event_type"), F.col("doc")).alias("found_in")))
 
 
 @query("""WITH s AS (SELECT a.vec_id, a.label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
@@ -195,23 +197,131 @@ def _matched(rows: DataFrame, counts) -> DataFrame:
     return rows.withColumn("c", counts).select("l_orderkey", *[F.round(f"c.{x}", 6).alias(x) for x in ("tp", "fp", "fn", "tn")])
 
 
-@query()
+def _sim_sql(a: str, b: str) -> str:
+    return f"(CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' THEN 0.0 WHEN lower(trim({a})) = lower(trim({b})) THEN 1.0 ELSE 0.0 END)::DOUBLE"
+
+
+def _counts_sql(tp: str, fp: str, fn: str, tn: str) -> str:
+    return f"{{'tp': ({tp})::DOUBLE, 'fp': ({fp})::DOUBLE, 'fn': ({fn})::DOUBLE, 'tn': ({tn})::DOUBLE}}"
+
+
+def _greedy_sql(table: str, keys: str) -> str:
+    """SQL of ``match_constraints`` over a table with lists gt and pred of (label, target), as column c."""
+    pair = f"{{'s': -({_sim_sql('gt[i].label', 'pred[j].label')} + {_sim_sql('gt[i].target', 'pred[j].target')}) / 2, 'i': i, 'j': j, 'l': {_sim_sql('gt[i].label', 'pred[j].label')}, 'o': {_sim_sql('gt[i].target', 'pred[j].target')}}}"
+    unit = "STRUCT(s DOUBLE, i BIGINT, j BIGINT, l DOUBLE, o DOUBLE)[]"
+    return f"""(SELECT {keys}, CASE WHEN len(gt) = 0 AND len(pred) = 0 THEN {_counts_sql('0', '0', '0', '1')} WHEN len(gt) = 0 THEN {_counts_sql('0', '1', '0', '0')}
+    WHEN len(pred) = 0 THEN {_counts_sql('0', '0', '1', '0')} ELSE {_counts_sql('tp / z', 'fp / z', 'fn / z', '0')} END AS c
+  FROM (SELECT *, greatest(1.0, tp + fp + fn) AS z FROM (
+    SELECT *, good / (2.0 * greatest(len(gt), 1)) AS tp, (2 * len(m) - good) / (2.0 * greatest(len(gt), 1)) + greatest(len(pred) - len(m), 0) / greatest(len(gt), 1) AS fp,
+           greatest(len(gt) - len(m), 0) / greatest(len(gt), 1) AS fn
+    FROM (SELECT *, list_sum(list_transform(m, lambda x: CAST(x.l >= 1 AS INT) + CAST(x.o >= 1 AS INT))) AS good FROM (
+      SELECT *, list_reduce(pairs, lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: y.i), x.i) OR list_contains(list_transform(a, lambda y: y.j), x.j) THEN a ELSE list_append(a, x) END, []::{unit}) AS m
+      FROM (SELECT *, list_sort(flatten(list_transform(range(1, len(gt) + 1), lambda i: list_transform(range(1, len(pred) + 1), lambda j: {pair}))))::{unit} AS pairs FROM {table})))))) """
+
+
+_ORDERS_SQL = """(SELECT l_orderkey, list({'label': lower(l_returnflag), 'target': l_linestatus} ORDER BY l_linenumber, l_returnflag, l_linestatus) FILTER (WHERE l_linenumber % 2 = 1) AS g,
+  list({'label': lower(l_returnflag), 'target': l_linestatus} ORDER BY l_linenumber, l_returnflag, l_linestatus) FILTER (WHERE l_linenumber % 2 = 0) AS p FROM lineitem GROUP BY l_orderkey)"""
+_LISTS_SQL = f"(SELECT l_orderkey, coalesce(g, []) AS gt, coalesce(p, []) AS pred FROM {_ORDERS_SQL})"
+_MATCHED_SQL = ", ".join(f"round(c.{x}, 6) AS {x}" for x in ("tp", "fp", "fn", "tn"))
+_GREEDY_SQL = f"SELECT l_orderkey, {_MATCHED_SQL} FROM {_greedy_sql(_LISTS_SQL, 'l_orderkey')}"
+
+
+@query(_GREEDY_SQL)
 def q_matcher_normalised(spark, d):
     rows = _order_constraints(spark, d)
     gt, pred = (records.normal_constraints(F.col(c)) for c in ("gt", "pred"))
     return _matched(rows.select("l_orderkey", gt.alias("gt"), pred.alias("pred")), confusion.match_constraints(F.col("gt"), F.col("pred")))
 
 
-@query()
+@query(_GREEDY_SQL)
 def q_matcher_greedy(spark, d):
     return _matched(_order_constraints(spark, d), confusion.match_constraints(F.col("gt"), F.col("pred")))
 
 
-@query()
+_TURN_STEP = f"""list_append(a, coalesce((list_sort(list_filter(list_transform(range(1, len(pred) + 1), lambda j: {{'s': -({_sim_sql('gt[i].label', 'pred[j].label')} + {_sim_sql('gt[i].target', 'pred[j].target')}) / 2, 'j': j}}),
+  lambda x: x.s < 0 AND NOT list_contains(list_transform(a, lambda y: y.j), x.j))))[1], {{'s': 0.0, 'j': 0}}))"""
+
+
+@query(f"""SELECT l_orderkey, {_MATCHED_SQL} FROM (SELECT l_orderkey, CASE WHEN len(gt) = 0 AND len(pred) = 0 THEN {_counts_sql('0', '0', '0', '1')} WHEN len(gt) = 0 THEN {_counts_sql('0', '1', '0', '0')}
+  WHEN len(pred) = 0 THEN {_counts_sql('0', '0', '1', '0')}
+  ELSE {_counts_sql("len(list_filter(b, lambda x: x.s <= -1)) / len(gt)", "len(list_filter(b, lambda x: x.s < 0 AND x.s > -1)) / len(gt)", "len(list_filter(b, lambda x: x.j = 0)) / len(gt)", "0")} END AS c
+  FROM (SELECT *, list_reduce(range(1, len(gt) + 1), lambda a, i: {_TURN_STEP}, []::STRUCT(s DOUBLE, j BIGINT)[]) AS b FROM {_LISTS_SQL}))""")
 def q_matcher_in_turn(spark, d):
     return _matched(_order_constraints(spark, d), confusion.match_in_turn(F.col("gt"), F.col("pred")))
 
 
+#: a truth and a prediction of mixed shapes for each customer, in SQL that Spark and DuckDB read alike
+_GT_SQL = """concat('{"hasConstraint":', CASE k % 4 WHEN 0 THEN '[]' WHEN 1 THEN concat('[{"label":"Daily  mean","on":"hasMatrix: ', seg, '"},{"label":"', name, '","on":"hasProperty:x"}]')
+  WHEN 2 THEN concat('[{"label":"', seg, '","on":"soil"},{"label":"', seg, '","on":"soil"},{"label":"deep","on":""}]') ELSE 'null' END,
+ ',"hasContextObject":', CASE k % 7 WHEN 0 THEN 'null' WHEN 1 THEN '0' WHEN 2 THEN '7' ELSE concat('"', lower(seg), '"') END,
+ ',"hasMatrix":', CASE k % 6 WHEN 0 THEN concat('{"AsymmetricSystem":"s","hasSource":"', name, '","hasTarget":"', seg, '"}') WHEN 1 THEN concat('{"SymmetricSystem":"', seg, '","hasPart":["a","b"]}')
+  WHEN 2 THEN concat('{"label":"', seg, '"}') WHEN 3 THEN concat('["', seg, '","b"]') WHEN 4 THEN '""' ELSE concat('"', name, '"') END,
+ ',"hasProperty":"', name, '"', CASE WHEN k % 3 = 0 THEN '' ELSE concat(',"hasStatisticalModifier":"', CASE k % 5 WHEN 0 THEN ' ' ELSE 'mean' END, '"') END, '}')"""
+_PRED_SQL = """CASE WHEN k % 31 = 0 THEN 'no record' ELSE concat('{"hasConstraint":', CASE (k * 7) % 5 WHEN 0 THEN '[]' WHEN 1 THEN concat('[{"label":"', upper(name), '","on":"x"},{"label":"daily mean","on":"', lower(seg), '"}]')
+  WHEN 2 THEN concat('["text",{"label":"', lower(seg), '","on":" Soil "}]') WHEN 3 THEN '"none"' ELSE concat('[{"label":"deep","on":"hasMatrix:soil"},{"label":"other","on":"soil"},{"label":"', seg, '","on":"soil"},{"label":"x","on":"y"}]') END,
+ ',"hasContextObject":', CASE k % 3 WHEN 0 THEN 'false' WHEN 1 THEN '7' ELSE concat('"', seg, '"') END,
+ ',"hasMatrix":', CASE (k * 5) % 8 WHEN 0 THEN concat('{"AsymmetricSystem":"S ","hasSource":"', upper(name), '","hasTarget":"-"}') WHEN 1 THEN concat('{"SymmetricSystem":"', lower(seg), '","hasPart":["b","c"]}')
+  WHEN 2 THEN concat('{"label":"', seg, '"}') WHEN 3 THEN concat('["', seg, '","b"]') WHEN 4 THEN '{}' WHEN 5 THEN concat('{"SymmetricSystem":"', seg, '"}') WHEN 6 THEN concat('{"AsymmetricSystem":"s","hasSource":"', name, '","hasTarget":"', seg, '"}') ELSE concat('" ', lower(name), '"') END,
+ CASE WHEN k % 4 = 0 THEN '' ELSE concat(',"hasProperty":"', CASE WHEN k % 2 = 0 THEN lower(name) ELSE 'else' END, '"') END,
+ ',"hasStatisticalModifier":', CASE k % 4 WHEN 0 THEN '""' WHEN 1 THEN '"MEAN"' WHEN 2 THEN '"  "' ELSE '[]' END, '}') END"""
+
+
+def _record_sql() -> str:
+    """The oracle of ``scoring.score_records`` over JSON columns."""
+    none = """('null', '""', '[]', '{}', '0', 'false')"""
+    out = []
+    for role in scoring.PLAIN_ROLES:
+        g, p = f"json_extract(gt, '$.{role}')", f"json_extract(pred, '$.{role}')"
+        empty = lambda x: f"({x} IS NULL OR CAST({x} AS VARCHAR) IN {none})"
+        text = lambda x: f"CASE json_type({x}) WHEN 'VARCHAR' THEN {x} ->> '$' ELSE CAST({x} AS VARCHAR) END"
+        at = lambda x, f: f"({x} ->> '$.{f}')"
+        part = lambda x: f"coalesce(TRY_CAST(json_extract({x}, '$.hasPart') AS VARCHAR[]), [])"
+        label = lambda x: f"CASE WHEN json_extract({x}, '$.hasPart') IS NOT NULL THEN {at(x, 'SymmetricSystem')} END"
+        union = f"len(list_distinct(list_concat({part(g)}, {part(p)})))"
+        shared = f"CASE WHEN {union} = 0 THEN 1.0 ELSE len(list_intersect({part(g)}, {part(p)})) / {union} END"
+        asym = "(" + " + ".join(_sim_sql(at(g, f), at(p, f)) for f in ("AsymmetricSystem", "hasSource", "hasTarget")) + ") / 3"
+        sym = f"CASE WHEN coalesce({label(g)}, '') = '' AND coalesce({label(p)}, '') = '' THEN 0 ELSE ({_sim_sql(label(g), label(p))} + {shared}) / 2 END"
+        score = f"CASE WHEN json_extract({g}, '$.AsymmetricSystem') IS NOT NULL THEN {asym} WHEN json_extract({g}, '$.SymmetricSystem') IS NOT NULL THEN {sym} ELSE {_sim_sql(text(g), text(p))} END"
+        c = f"CASE WHEN {empty(g)} AND {empty(p)} THEN {_counts_sql('0', '0', '0', '1')} WHEN {empty(g)} THEN {_counts_sql('0', '1', '0', '0')} WHEN {empty(p)} THEN {_counts_sql('0', '0', '1', '0')} WHEN {score} >= 1 THEN {_counts_sql('1', '0', '0', '0')} ELSE {_counts_sql('0', '1', '0', '0')} END"
+        out.append(f"SELECT k, '{role}' AS role, {c} AS c FROM r")
+    squeeze = lambda x: f"regexp_replace(lower(trim({x})), '\\s+', ' ', 'g')"
+    target = f"regexp_replace(coalesce(x ->> '$.on', ''), '^\\s*({'|'.join(scoring.ROLES)})\\s*:', '')"
+    items = lambda side: f"CASE WHEN json_type(json_extract({side}, '$.hasConstraint')) = 'ARRAY' THEN list_transform(CAST(json_extract({side}, '$.hasConstraint') AS JSON[]), lambda x: {{'label': {squeeze("coalesce(x ->> '$.label', '')")}, 'target': {squeeze(target)}}}) ELSE [] END"
+    out.append(f"SELECT k, 'hasConstraint' AS role, c FROM {_greedy_sql(f'(SELECT k, {items("gt")} AS gt, {items("pred")} AS pred FROM r)', 'k')}")
+    base = f"SELECT k, seg, CAST({_GT_SQL} AS JSON) AS gt, TRY_CAST({_PRED_SQL} AS JSON) AS pred FROM (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS seg FROM customer)"
+    return f"WITH r AS MATERIALIZED ({base}), s AS ({' UNION ALL '.join(out)})"
+
+
+@query(_record_sql() + " SELECT k, role, round(c.tp, 6) AS tp, round(c.fp, 6) AS fp, round(c.fn, 6) AS fn, round(c.tn, 6) AS tn FROM s")
+def q_record_confusion(spark, d):
+    scored = scoring.score_records(_mixed_records(spark, d), "gt", "pred")
+    return scoring.by_role(scored, ["k"]).select("k", "role", *[F.round(c, 6).alias(c) for c in scoring.COUNTS])
+
+
+@query(_record_sql() + """, t AS (SELECT seg, k, sum(c.tp) AS tp, sum(c.fp) AS fp, sum(c.fn) AS fn, sum(c.tn) AS tn FROM s JOIN r USING (k) GROUP BY seg, k)
+SELECT seg, count(*) AS n, round(sum(tp), 4) AS tp, round(sum(fp), 4) AS fp, round(sum(fn), 4) AS fn, round(sum(tn), 4) AS tn FROM t GROUP BY seg""")
+def q_record_totals(spark, d):
+    scored = scoring.score_records(_mixed_records(spark, d), "gt", "pred")
+    return scored.groupBy("seg").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 4).alias(c) for c in scoring.COUNTS])
+
+
+def _mixed_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "customer").selectExpr("c_custkey AS k", "c_name AS name", "c_mktsegment AS seg")
+    return rows.selectExpr("k", "seg", f"{_GT_SQL} AS gt", f"{_PRED_SQL} AS pred")
+
+
+@query("""WITH t AS (SELECT o_custkey % 50 AS model, o_orderpriority AS shot, a AS approach FROM orders, (VALUES ('ef'), ('mcp'), ('naive')) v(a) WHERE o_orderkey % 3 = 0 GROUP BY ALL),
+a AS (SELECT o_custkey % 50 AS model, o_orderpriority AS shot, count(*) AS answer FROM orders WHERE o_custkey % 5 <> 0 GROUP BY ALL)
+SELECT approach, count(*) AS tasks, count(answer) AS answered, count(*) FILTER (WHERE answer IS NOT NULL AND approach <> 'ef') AS reused, CAST(sum(answer) AS BIGINT) AS total
+FROM t LEFT JOIN a USING (model, shot) GROUP BY approach""")
+def q_reuse(spark, d):
+    orders = t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("model"), F.col("o_orderpriority").alias("shot"), "o_orderkey", "o_custkey")
+    tasks = orders.where("o_orderkey % 3 = 0").select("model", "shot").distinct().select("model", "shot", F.explode(F.array(*map(F.lit, ("ef", "mcp", "naive")))).alias("approach"))
+    answers = orders.where("o_custkey % 5 <> 0").groupBy("model", "shot").agg(F.count("*").alias("answer"))
+    joined = scoring.reuse(tasks, answers, ["model", "shot"], "approach")
+    return joined.groupBy("approach").agg(F.count("*").alias("tasks"), F.count("answer").alias("answered"), F.count_if("reused").alias("reused"), F.sum("answer").alias("total"))
+
+
 @query("""SELECT count(*) AS rows, count(*) FILTER (WHERE value > 50) AS unparsable_json, count(*) FILTER (WHERE user_id % 2 = 0) AS label_overwritten,
        CAST(sum(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS missing_keys FROM events""")
 def q_audit_counters(spark, d):

@@ -1,8 +1,10 @@
-"""Session settings, and the package on the workers' path."""
+"""Session settings, and shipping the package to the workers."""
 
 from __future__ import annotations
 
-import os
+import hashlib
+import io
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -22,8 +24,23 @@ def builder(app: str = "loomstone", cores: str = "*") -> SparkSession.Builder:
 
 
 def share_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    """Ship this package to the Python workers, once for each session.
+
+    Executors need no copy of the repository and share no local folder with the
+    driver: a zip of the sources goes into the shared folder (``spark.checkpoint.dir``,
+    else the warehouse) and from there, through Spark, to every worker.
+    """
+    sc = spark.sparkContext
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(Path(ROOT, "loomstone").rglob("*.py")):
+            archive.writestr(zipfile.ZipInfo(str(file.relative_to(ROOT))), file.read_bytes())
+    name = f"loomstone-{hashlib.sha256(packed.getvalue()).hexdigest()[:16]}.zip"
+    if name in sc._python_includes:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())

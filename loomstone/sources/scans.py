@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,9 +63,13 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, all strings, with quoted line breaks, and the row's place in its file."""
+    """A CSV with a header, all strings, with quoted line breaks, its file's ``path`` and the row's place ``pos`` in it.
+
+    Files with quoted line breaks are not split, so a task reads a file in order and the ids of its rows rise.
+    """
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    rows = rows.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("at")).cast("bigint") - 1).drop("at")
 
 
 def forward_fill(rows: DataFrame, col: str, order: str, by: list[str]) -> DataFrame:
@@ -82,72 +87,149 @@ def distinct_or_list(rows: DataFrame, key: str, value: str, order: str) -> DataF
 
 
 _TURTLE = re.compile(
-    r'#[^\n]*|"""(?P<long>(?:[^"\\]|\\.|"(?!""))*)"""|"(?P<short>(?:[^"\\\n]|\\.)*)"|<(?P<iri>[^>\s]*)>|(?P<dir>@prefix|@base|PREFIX\b|BASE\b)|@(?P<lang>[A-Za-z-]+)|(?P<mark>\^\^|[;,.\[\]()](?![\w])|[\[\]();,])|(?P<name>[\w.\-]*:[\w.\-%]*|\ba\b|_:[\w-]+|true|false|[+-]?\d+(?:\.\d+)?)|\s+'
+    r'''(?P<skip>\s+|\#[^\n]*)
+    |(?P<text>"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^'\\]|\\.|'(?!\'\'))*\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
+    |<(?P<iri>[^<>"{}|^`\s]*)>
+    |(?P<dir>@prefix\b|@base\b|(?i:prefix|base)(?=\s+[^:\s]*:?\s*<))
+    |@(?P<lang>[A-Za-z]+(?:-[A-Za-z0-9]+)*)
+    |(?P<blank>_:[\w](?:[\w.-]*[\w-])?)
+    |(?P<number>[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)|\d*\.\d+|\d+))
+    |(?P<name>(?:[\w](?:[\w.-]*[\w-])?)?:(?:(?:[\w:%-]|\\.)(?:(?:[\w:%.-]|\\.)*(?:[\w:%-]|\\.))?)?)
+    |(?P<word>a\b|true\b|false\b)
+    |(?P<mark>\^\^|[;,.\[\]()])''',
+    re.S | re.X,
 )
-
-
-def turtle_triples(text: str) -> Iterator[tuple[str, str, str, str]]:
-    """(s, p, o, kind) of a Turtle document with prefixes, ``a``, ``;`` and ``,`` lists, blank nodes and literals."""
-    tokens = [m for m in _TURTLE.finditer(text or "") if m.lastgroup]
-    prefixes: dict[str, str] = {}
-    at, blank = 0, 0
-
-    def term() -> tuple[str, str]:
-        nonlocal at, blank
-        m = tokens[at]
-        kind, said = m.lastgroup, m.group(m.lastgroup)
-        at += 1
-        if kind in ("long", "short"):
-            while at < len(tokens) and (tokens[at].lastgroup == "lang" or tokens[at].group() == "^^"):
-                at += 2 if tokens[at].group() == "^^" else 1
-            return said.replace('\\"', '"').replace("\\n", "\n").replace("\\\\", "\\"), "literal"
+_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\(.)", re.S)
+_CONTROLS = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
+_RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+
+
+def _unescaped(said: str) -> str:
+    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _CONTROLS.get(m[3], m[3]), said)
+
+
+class _Turtle:
+    """One pass over the tokens of a document; ``triples`` holds (s, p, o, kind)."""
+
+    def __init__(self, text: str):
+        self.tokens: list[tuple[str, str]] = []
+        at = 0
+        while at < len(text):
+            m = _TURTLE.match(text, at)
+            if m is None:
+                raise ValueError(f"not Turtle at {at}: {text[at : at + 30]!r}")
+            if m.lastgroup != "skip":
+                self.tokens.append((m.lastgroup, m.group(m.lastgroup)))
+            at = m.end()
+        self.written = {said for kind, said in self.tokens if kind == "blank"}
+        self.at = self.blanks = 0
+        self.base, self.prefixes, self.triples = "", {}, []
+        while self.at < len(self.tokens):
+            self.statement()
+
+    def next(self, wanted: str | None = None) -> tuple[str, str]:
+        kind, said = self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
+        if wanted is not None and said != wanted:
+            raise ValueError(f"not Turtle: {said!r} where {wanted!r} was due")
+        self.at += 1
+        return kind, said
+
+    def peek(self) -> str:
+        return self.tokens[self.at][1] if self.at < len(self.tokens) and self.tokens[self.at][0] in ("mark", "dir") else ""
+
+    def fresh(self) -> str:
+        """A blank node that the document does not name itself."""
+        while True:
+            self.blanks += 1
+            if (name := f"_:b{self.blanks}") not in self.written:
+                return name
+
+    def iri(self, said: str) -> str:
+        said = _unescaped(said)
+        return said if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", said) else urljoin(self.base, said)
+
+    def statement(self) -> None:
+        if self.tokens[self.at][0] == "dir":
+            kind = self.next()[1].lower()
+            if kind.endswith("prefix"):
+                name = self.next()[1]
+                self.prefixes[name.partition(":")[0]] = self.iri(self.next()[1])
+            else:
+                self.base = self.iri(self.next()[1])
+            if kind[0] == "@":
+                self.next(".")
+            return
+        opened = self.peek() == "["
+        subject = self.term()[0]
+        if not (opened and self.peek() == "."):
+            self.properties(subject)
+        self.next(".")
+
+    def properties(self, subject: str) -> None:
+        while True:
+            predicate, kind = self.term()
+            if kind != "iri":
+                raise ValueError(f"not Turtle: {predicate!r} as a predicate")
+            while True:
+                self.triples.append((subject, predicate, *self.term()))
+                if self.peek() != ",":
+                    break
+                self.next()
+            while self.peek() == ";":
+                self.next()
+            if self.peek() in (".", "]") or self.tokens[self.at - 1][1] != ";":
+                return
+
+    def term(self) -> tuple[str, str]:
+        kind, said = self.next()
+        if kind == "text":
+            size = 3 if said[:3] in ('"""', "'''") else 1
+            if self.at < len(self.tokens) and self.tokens[self.at][0] == "lang":
+                self.next()
+            elif self.peek() == "^^":
+                self.next()
+                self.term()
+            return _unescaped(said[size:-size]), "literal"
         if kind == "iri":
-            return said, "iri"
+            return self.iri(said), "iri"
+        if kind == "blank":
+            return said, "blank"
+        if kind == "number" or said in ("true", "false") and kind == "word":
+            return said, "literal"
+        if kind == "word":
+            return _RDF + "type", "iri"
+        if kind == "name":
+            prefix, _, local = said.partition(":")
+            if prefix not in self.prefixes:
+                raise ValueError(f"not Turtle: no prefix {prefix!r}")
+            return self.prefixes[prefix] + re.sub(r"\\(.)", r"\1", local), "iri"
         if said == "[":
-            blank += 1
-            node = f"_:b{blank}"
-            found.extend(properties(node, "]"))
-            at += 1
+            node = self.fresh()
+            if self.peek() != "]":
+                self.properties(node)
+            self.next("]")
             return node, "blank"
-        if said == "a":
-            return "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "iri"
-        if said.startswith("_:"):
-            return said, "blank"
-        prefix, colon, local = said.partition(":")
-        return (prefixes.get(prefix, prefix + ":") + local, "iri") if colon else (said, "literal")
-
-    def properties(subject: str, end: str) -> list[tuple[str, str, str, str]]:
-        nonlocal at
-        out = []
-        while at < len(tokens) and tokens[at].group() != end:
-            if tokens[at].group() == ";":
-                at += 1
-                continue
-            predicate = term()[0]
-            while True:
-                value, kind = term()
-                out.append((subject, predicate, value, kind))
-                if at < len(tokens) and tokens[at].group() == ",":
-                    at += 1
-                    continue
-                break
-        return out
-
-    found: list[tuple[str, str, str, str]] = []
-    while at < len(tokens):
-        if tokens[at].lastgroup == "dir":
-            if "prefix" in tokens[at].group().lower():
-                prefixes[tokens[at + 1].group().rstrip(":")] = tokens[at + 2].group("iri")
-                at += 3
-            else:
-                at += 2
-            if at < len(tokens) and tokens[at].group() == ".":
-                at += 1
-            continue
-        subject = term()[0]
-        found.extend(properties(subject, "."))
-        at += 1
-    yield from found
+        if said == "(":
+            items = []
+            while self.peek() != ")":
+                items.append(self.term())
+            self.next(")")
+            nodes = [self.fresh() for _ in items]
+            for i, (node, item) in enumerate(zip(nodes, items, strict=True)):
+                rest = (nodes[i + 1], "blank") if i + 1 < len(nodes) else (_RDF + "nil", "iri")
+                self.triples += [(node, _RDF + "first", *item), (node, _RDF + "rest", *rest)]
+            return (nodes[0], "blank") if nodes else (_RDF + "nil", "iri")
+        raise ValueError(f"not Turtle: {said!r}")
+
+
+def turtle_triples(text: str | None) -> list[tuple[str, str, str, str]]:
+    """(s, p, o, kind) of a Turtle document; kind is iri, blank or literal.
+
+    Prefixes, bases, lists, collections, blank nodes, both kinds of quotes and
+    escapes are read; languages and datatypes are dropped. Null and empty texts
+    have none. Anything else raises ``ValueError``.
+    """
+    return _Turtle(text or "").triples
 
 
 def turtle(spark: SparkSession, path: str) -> DataFrame:
@@ -193,6 +275,28 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def json_array(df: DataFrame, order: str) -> DataFrame:
+    """(value): one JSON array of all records in an order, a line for each, so that its lines can be written from many tasks."""
+    last = F.struct(F.col(order).alias("order"))
+    ends = df.agg(F.min(last).alias("lo"), F.max(last).alias("hi"))
+    line = df.select(F.col(order).alias("order"), F.to_json(F.struct(*df.columns)).alias("json"))
+    rows = line.join(F.broadcast(ends), F.lit(True))  # one row of bounds
+    first, final = F.col("order").eqNullSafe(F.col("lo.order")), F.col("order").eqNullSafe(F.col("hi.order"))
+    value = F.concat(F.when(first, "[").otherwise(""), "json", F.when(final, "]").otherwise(","))
+    return rows.select("order", value.alias("value")).orderBy("order").select("value")
+
+
+def write_one_per_key(df: DataFrame, key: str, path: str) -> None:
+    """A folder ``key=<value>`` with the key's records as JSON lines; the rows of a key meet in one file."""
+    df.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
+
+
+def workbook(spark: SparkSession, paths: list[str], sheet: str) -> DataFrame:
+    """One sheet of several workbooks (folders of Parquet sheets), with the workbook each row is from in ``workbook``."""
+    rows = spark.read.option("basePath", "/").option("mergeSchema", True).parquet(*[f"{p.rstrip('/')}/{sheet}" for p in paths])
+    return rows.withColumn("workbook", F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{re.escape(sheet)}/[^/]*$", 1))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """A one-column table as text, such as N-Triples or an audit log."""
     lines.write.mode("overwrite").text(path)
