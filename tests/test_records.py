@@ -104,15 +104,22 @@ def test_conformance_by_brute_force(spark):
 
 
 def test_metrics(spark):
-    flags = metrics.hallucinations(F.col("a"), F.col("b"))
+    flags = metrics.hallucinations(records.parsed(F.col("a")), records.parsed(F.col("b")))
     row = spark.createDataFrame([('{"hasProperty":"p","hasMatrix":" "}', '{"hasProperty":"q","hasMatrix":"m","hasConstraint":[]}')], "a string, b string").select(*flags).first()
     assert (row.hasProperty, row.hasMatrix, row.hasConstraint) == (0, 1, 0)
-    tags = one(spark, metrics.locate(F.lit("w"), F.col("c")), c='{"hasProperty":"w","hasObjectOfInterest":{"SymmetricSystem":"s","hasPart":["v","w"]}}')
+    tags = one(spark, metrics.locate(F.lit("w"), records.parsed(F.col("c"))), c='{"hasProperty":"w","hasObjectOfInterest":{"SymmetricSystem":"s","hasPart":["v","w"]}}')
     assert tags == ["hasProperty", "hasObjectOfInterest"]
-    row = spark.createDataFrame([('{"hasProperty":"Depth","hasObjectOfInterest":{"label":"x"},"hasConstraint":[{"label":"zz","on":"x"}]}',)], "a string").select(*metrics.grounding(F.col("a"), F.lit("the depth of snow"))).first()
+    row = spark.createDataFrame([('{"hasProperty":"Depth","hasObjectOfInterest":{"label":"x"},"hasConstraint":[{"label":"zz","on":"x"}]}',)], "a string").select(*metrics.grounding(records.parsed(F.col("a")), F.lit("the depth of snow"))).first()
     assert tuple(row) == (1, 0, 1, 0)
 
 
+def test_overlap_of_typed_values(spark):
+    overlap = metrics.structural_overlap(F.col("a"), F.col("b"))
+    assert one(spark, overlap, a='{"x":"[]","y":""}', b='{"x":"t","y":"  "}') == 1.0
+    assert one(spark, overlap, a='{"x":[],"y":{},"z":0,"n":null}', b='{"x":"","y":"t","z":false}') == 0.5
+    assert one(spark, overlap, a="{}", b="{}") is None and one(spark, overlap, a="oops", b=None) is None
+
+
 def test_links(spark):
     rows = [("a", 0, "Q1", "x", 0.2), ("a", 1, "Q2", "a", 0.1), ("a", 2, "Q3", "y", 0.9), ("b", 0, "Q4", "z", 0.3), ("b", 1, "Q5", "z", 0.3)]
     c = spark.createDataFrame(rows, "term string, pos int, id string, label string, score double")
