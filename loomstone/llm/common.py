@@ -100,9 +100,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_stored: dict[str, list[str]] = {}
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it again."""
+    """Write ``df`` once as Parquet in the shared folder and read it again.
+
+    Results read such tables until they are written themselves; then
+    ``drop_stored`` removes them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
     df.write.parquet(path)
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Remove the tables that this application has stored; call it once its results are written. Returns their number."""
+    sc = spark.sparkContext
+    paths = _stored.pop(sc.applicationId, [])
+    for path in paths:
+        there = sc._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
+    return len(paths)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import arrow, checkpoint, table
+from loomstone.llm.common import arrow, store, table
 
 K = 20
 BLOCK = 1024  # vectors in one packed row, and on either side of one product
@@ -215,24 +215,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     """
     spark = vectors.sparkSession
     plain = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    plain = plain.groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min(vector_col).alias("v"), F.max(is_query).alias("q"))
-    n, total = vectors.agg(F.count_if(is_query), F.count("*")).first()
+    plain = store(plain.groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min(vector_col).alias("v"), F.max(is_query).alias("q")), "vectors")
+    n, total = plain.agg(F.count_if("q"), F.count("*")).first()
     q_groups = -(-max(1, n) // QUERY_GROUP)
     c_groups = max(-(-total * -(-max(1, n) // q_groups) // TILE_PAIRS), min(spark.sparkContext.defaultParallelism, total // (4 * BLOCK)), 1)
     deal = lambda groups: F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")
     each = lambda groups: F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     # of equal vectors only the k smallest ids, besides the query's own, can be among any query's k
-    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    some = plain.select("id", "v", place.alias("place")).where(F.col("place") <= k + 1).select("id", "v")
+    digests = [F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2")]
+    place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
+    last = plain.select("id", *digests).withColumn("place", place).where(F.col("place") <= k + 1).where(F.col("place") == k + 1).select("h1", "h2", F.col("id").alias("last"))
+    some = plain.select("id", "v", *digests).join(last, ["h1", "h2"], "left").where("last is null or id <= last").select("id", "v")
     left = arrow(plain.where("q").select("id", "v"), _pack, _CODED).withColumn("qg", deal(q_groups)).withColumn("cg", each(c_groups)).withColumn("side", F.lit(0))
     right = arrow(some, _pack, _CODED).withColumn("cg", deal(c_groups)).withColumn("qg", each(q_groups)).withColumn("side", F.lit(1))
     tiles = left.unionByName(right).select(F.xxhash64("dim", "qg", "cg").alias("tile"), "side", "ids", "codes", "measures")
     found = arrow(tiles.repartition("tile").sortWithinPartitions("tile", "side"), _tiles(k), _BOUNDS)
-    pairs = arrow(found.repartition("query_id").sortWithinPartitions("query_id", F.desc("high")), _cut(k), "query_id bigint, vec_id bigint")
-    pairs = checkpoint(pairs)
-    original = lambda rows, id_, v: rows.select(F.col("id").alias(id_), F.transform("v", lambda x: x.cast("double")).alias(v))
-    scored = pairs.join(original(some, "vec_id", "c"), "vec_id").join(original(plain.where("q"), "query_id", "q"), "query_id")
-    product = F.aggregate(F.zip_with("q", "c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)  # from the first component on
+    pairs = store(arrow(found.repartition("query_id").sortWithinPartitions("query_id", F.desc("high")), _cut(k), "query_id bigint, vec_id bigint"), "pairs")
+    original = lambda rows, id_, v: rows.select(F.col("id").alias(id_), F.col("v").alias(v))
+    scored = pairs.join(original(plain, "vec_id", "c"), "vec_id").join(original(plain.where("q"), "query_id", "q"), "query_id")
+    product = F.aggregate(F.zip_with("q", "c", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)  # from the first component on
     best = scored.select("query_id", "vec_id", product.alias("score")).repartition("query_id").sortWithinPartitions("query_id")
     return arrow(best, _merge(k), "query_id bigint, rank int, vec_id bigint, score double")
 

@@ -82,7 +82,9 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens
     plain = lengths.select(F.col(id_col), F.coalesce(F.col(length_col), F.lit(0)).cast("bigint").alias(length_col))
     ends = boundaries(plain, length_col, buckets)
     case = lambda values: F.expr("CASE " + " ".join(f"WHEN `{length_col}` <= {e} THEN {v}" for (e, _), v in zip(ends, values, strict=True)) + " END") if ends else F.lit(0)
-    rows = plain.withColumns(
+    # equal rows are told apart by nothing, so they travel once with their number
+    rows = plain.groupBy(id_col, length_col).agg(F.count("*").alias("_times"))
+    rows = rows.withColumns(
         {
             "bucket": case(range(len(ends))).cast("int"),
             "padded_len": case([e for e, _ in ends]).cast("bigint"),
@@ -90,13 +92,13 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens
             "_salt": F.pmod(F.xxhash64(id_col, length_col), case([1 + n // GROUP_ROWS for _, n in ends]).cast("bigint")),
         }
     )
-    groups = rows.groupBy("bucket", "_salt").agg(F.count("*").alias("_n"))
+    groups = rows.groupBy("bucket", "_salt").agg(F.sum("_times").alias("_n"))
     before = Window.partitionBy("bucket").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("bucket", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy("bucket", "_salt").orderBy(id_col, length_col)
-    rows = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(groups, ["bucket", "_salt"])
-    place = F.col("_rank") + F.col("_shift")
-    return rows.select(id_col, length_col, "bucket", "padded_len", F.expr("(_rank + _shift) div _per").alias("batch"), (place % F.col("_per")).alias("slot"))
+    inside = Window.partitionBy("bucket", "_salt").orderBy(id_col, length_col).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_rank", F.coalesce(F.sum("_times").over(inside), F.lit(0))).join(groups, ["bucket", "_salt"])
+    rows = rows.withColumn("_place", F.explode(F.sequence(F.col("_rank") + F.col("_shift"), F.col("_rank") + F.col("_shift") + F.col("_times") - 1)))
+    return rows.select(id_col, length_col, "bucket", "padded_len", F.expr("_place div _per").alias("batch"), (F.col("_place") % F.col("_per")).alias("slot"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

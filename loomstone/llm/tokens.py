@@ -174,13 +174,15 @@ def _word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, into: str = "n_tokens") -> DataFrame:
+def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, into: str = "n_tokens") -> DataFrame:
     """Append ``into``, the number of greedy longest-match tokens of each whole text.
 
-    Null and empty texts have 0. The vocabulary (a fixed file of some megabytes)
+    Null and empty texts have 0. The vocabulary (a fixed file of some megabytes;
+    by default the session's ``spark.loomstone.vocabulary``, else ``VOCABULARY``)
     is read on the driver and broadcast as arrays. A column called ``into`` is
-    replaced; every row is kept.
+    replaced; every row is kept, and repeated rows count alike.
     """
+    vocabulary = vocabulary or docs.sparkSession.conf.get("spark.loomstone.vocabulary", VOCABULARY)
     shared = docs.sparkSession.sparkContext.broadcast(automaton_of(vocabulary))
     return map_columns(docs, lambda b: {into: pa.array(count_tokens(b.column(text_col), shared.value))}, f"{into} bigint")
 

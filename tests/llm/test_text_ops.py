@@ -123,6 +123,20 @@ def test_tokens(spark):
     got = {r.doc_id: r.n_tokens for r in tokens.token_counts(df).collect()}
     assert got[1] == 2 and got[2] == got[3] == got[4] == 0 and got[5] > 1000
     assert tokens.token_counts(df.where("false")).count() == 0
+    odd = df.union(df).withColumn("n_tokens", F.lit("mine")).withColumn("other", F.lit(1))
+    rows = tokens.token_counts(odd).collect()
+    assert len(rows) == 10 and all(r.n_tokens == got[r.doc_id] and r.other == 1 for r in rows)
+
+
+def test_words_of():
+    text = "ab1 c!!d\té2"
+    rows = [text, "", "x", "yz"]
+    data = np.frombuffer("".join(rows).encode(), dtype=np.uint8)
+    starts = np.concatenate([[0], np.cumsum([len(r.encode()) for r in rows])])
+    start, end = tokens.words_of(data, starts)
+    said = [bytes(data[a:b]).decode(errors="replace") for a, b in zip(start, end, strict=True)]
+    assert "".join(said) == "".join(rows).replace(" ", "").replace("\t", "")
+    assert all(not any(a < s < b for s in starts) for a, b in zip(start, end, strict=True))
 
 
 # -- personal data
@@ -154,7 +168,7 @@ def test_pii(spark):
             assert [(s.start, s.end) for s in r.pii if s.kind == kind] == want.get(kind, []), (kind, (r.text or "")[:200])
     masked = pii.mask_pii(found).collect()
     for r in masked:
-        kinds = [k for k in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[IBAN]", "[SSN]") if k in (r.text or "")]
+        kinds = [k for k in pii.BASE + ["iban", "ssn"] if f"[{k.upper()}]" in (r.text or "") or f"[{k}]" in (r.text or "")]
         assert bool(r.pii) == bool(kinds)
     added = spark.createDataFrame([(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "DE89 3704 0044 0532 0130 01"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789"), (5, "ssnake 123-45-6789"), (6, None), (3, "ssn 123-45-6789")], "doc_id long, text string")
     got = {r.doc_id: [s.kind for s in r.pii if s.kind in ("iban", "ssn")] for r in pii.find_pii(added).collect()}
@@ -358,6 +372,19 @@ def test_pack(spark, monkeypatch):
             assert len(rs) == per or b == max(bucket)
             assert all(r.n_tokens <= r.padded_len for r in rs)
     assert packing.pack(df.where("false")).count() == 0
+    same = spark.createDataFrame([(None, 60)] * 70 + [(4, 60)] * 90, "doc_id long, n_tokens long")
+    places = [(r.batch, r.slot) for r in packing.pack(same, budget=1000, buckets=3).collect()]
+    assert len(places) == len(set(places)) == 160 and max(b for b, _ in places) == 9
+
+
+def test_long_lengths_stay_in_bins(spark):
+    """Beyond the exact lengths, a bin's longest length bounds it, so no document is longer than its bucket says."""
+    rng = random.Random(7)
+    rows = [(i, int(1.3 ** rng.uniform(0, 45))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    ends = packing.boundaries(df, buckets=6)
+    assert sum(n for _, n in ends) == 400 and ends[-1][0] == max(n for _, n in rows)
+    assert all(r.n_tokens <= r.padded_len for r in packing.pack(df, buckets=6).collect())
 
 
 # -- quality and the pipeline
@@ -431,7 +458,7 @@ def test_quality_odd_rows(spark):
 
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
-    from loomstone.llm.common import store
+    from loomstone.llm.common import drop_stored, store
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = [docs]
@@ -446,4 +473,31 @@ def test_pipeline(spark):
     assert left.where("size(spans) > 0").count() == 0
     again = {r.doc_id for r in pipeline.near_duplicate_stage(spark, seen[2], SF).collect()}
     assert again == ids[2]
-    assert seen[5].count() == len(ids[4]) and pa is not None
+    assert seen[5].count() == len(ids[4])
+    for kind in ("ip", "card", "phone"):
+        assert all(kind not in base_spans(t or "") for t in texts.values())
+    assert drop_stored(spark) > 0 and drop_stored(spark) == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows and ids, empty tables and extra columns with clashing names."""
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans int, pii string, keep string, is_first int"
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(1, "a b c d e f g", "en", "s"), (1, "a b c d e f g", "en", "s"), (2, "a b c d e f g", None, None), (3, None, "en", "s"), (3, None, "en", "s"), (4, "", "en", "s"), (None, "a b c d e f g", "en", "s"), (5, long, "en", "s"), (6, long + " mail x@y.zz", "en", "s")]
+    docs = spark.createDataFrame([(*r, 0, 1, "p", "k", 2) for r in rows], schema)
+    spark.createDataFrame([(1, "w7 w8 w9 w10 w11 w12 w13 w14 w15 w16"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {name: stage(spark, docs, str(tmp_path)) for name, stage in pipeline.STAGES}
+    for name, got in list(kept.items())[:4]:
+        assert got.columns == docs.columns and {(r.spans, r.pii, r.keep, r.is_first) for r in got.collect()} == {(1, "p", "k", 2)}, name
+    assert kept["quality classifier"].count() == len(rows)
+    ids = sorted(str(r.doc_id) for r in kept["n-gram Jaccard join"].select("doc_id").collect())
+    assert ids == ["1", "3", "3", "4", "5", "None"]
+    cut = {str(r.doc_id): r.text for r in kept["benchmark decontamination"].collect()}
+    assert "w7 w8" not in cut["5"] and "w17" in cut["5"] and cut["3"] is None and cut["4"] == "" and len(cut) == 7
+    assert {r.text[-7:] for r in kept["PII"].where("doc_id = 6").collect()} == {"[EMAIL]"}
+    assert kept["packing"].count() == len(rows)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
