@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import store, table
+from loomstone.llm.common import free_name, store, table
 from loomstone.llm.decontaminate import decontaminate, free_marker, remove_spans
 from loomstone.llm.ngram_join import ngram_join
 from loomstone.llm.packing import pack
@@ -18,16 +18,28 @@ from loomstone.llm.quality import score, train
 from loomstone.llm.tokens import token_counts
 
 
+BASE = ("doc_id", "text", "lang", "source", "n_chars")  # columns of documents
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """The columns of documents, and any others in one struct, where no operator's columns clash with them."""
+    extra = [c for c in docs.columns if c not in BASE]
+    return docs.select(*BASE, F.struct(*extra).alias("apart")) if extra else docs
+
+
+def _back(out: DataFrame, columns: list[str]) -> DataFrame:
+    return out.select(*[F.col(c) if c in BASE else F.col(f"apart.{c}") for c in columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifiers find good and not toxic.
 
     A null text is judged as an empty one, null metadata as a value of its own;
     repeated rows are judged alike. Without labels of both classes nothing goes.
-    Columns beyond those of documents stay, but for p_quality, p_toxic, score
-    and keep, which are replaced.
+    Columns beyond those of documents stay as they are.
     """
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where("keep").select(docs.columns)
+    return _back(score(_apart(docs), model).where("keep"), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +54,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     twice = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = docs.join(dropped, "doc_id", "left_anti")
     same = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length(F.trim("text")) > 0), "source", "lang", "text")) == 1
-    once = kept.join(twice, "doc_id", "left_semi").withColumn("is_first", same).where("is_first").select(docs.columns)
+    first = free_name(docs, "is_first")
+    once = kept.join(twice, "doc_id", "left_semi").withColumn(first, same).where(first).select(docs.columns)
     return kept.join(twice, "doc_id", "left_anti").select(docs.columns).union(once)
 
 
@@ -51,21 +64,22 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Every row stays, also one whose whole text was cut; null and empty texts stay
     as they are, and so does everything where the benchmark is empty. ``n_chars``
-    is counted again. Columns called n_words, spans or items are replaced.
+    is counted again. Columns beyond those of documents stay as they are.
     """
     benchmark = table(spark, sf_dir, "benchmark")
-    cut = remove_spans(decontaminate(docs, benchmark), marker=free_marker(benchmark))
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    cut = remove_spans(decontaminate(_apart(docs), benchmark), marker=free_marker(benchmark))
+    return _back(cut.withColumn("n_chars", F.length("text").cast("bigint")), docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by the name of its kind.
 
     Every row stays; null and empty texts stay as they are, repeated rows are
-    masked alike. ``n_chars`` is counted again. A column called pii is replaced.
+    masked alike. ``n_chars`` is counted again. Columns beyond those of documents
+    stay as they are.
     """
-    masked = mask_pii(find_pii(docs))
-    return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    masked = mask_pii(find_pii(_apart(docs)))
+    return _back(masked.withColumn("n_chars", F.length("text").cast("bigint")), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

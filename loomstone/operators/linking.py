@@ -19,20 +19,20 @@ def link(candidates: DataFrame, approach: str, threshold: float = 0.0) -> DataFr
     the term, else the best score; ``mcp`` takes what its provider put first.
     The first wins ties. ``none`` links nothing; another name is an error.
     """
-    if approach not in APPROACHES:
-        raise ValueError(f"unknown approach {approach!r}")
-    if approach == "none":
-        return candidates.where(F.lit(False)).select("term", "id")
-    order = {
-        "naive": F.struct(-F.col("pos")),
-        "mcp": F.struct(-F.col("pos")),
-        "embedding": F.struct(F.col("score"), -F.col("pos")),
-        "cross-encoder": F.struct(F.col("score"), -F.col("pos")),
-        "ef": F.when(F.col("label") == F.col("term"), F.struct(F.lit(1).alias("e"), F.lit(0.0).alias("s"), (-F.col("pos")).alias("p"))).otherwise(F.struct(F.lit(0).alias("e"), F.col("score").alias("s"), (-F.col("pos")).alias("p"))),
-    }[approach]
-    best = candidates.groupBy("term").agg(F.max_by(F.struct("id", "score"), order).alias("best"))
-    chosen = F.when(F.col("best.score") > threshold, F.col("best.id")) if approach == "cross-encoder" else F.col("best.id")
-    return best.select("term", chosen.alias("id"))
+    linked = link_all(candidates, (approach,), threshold).withColumnRenamed(approach, "id")
+    return linked.where(F.lit(approach != "none"))
+
+
+def link_all(candidates: DataFrame, approaches: tuple[str, ...], threshold: float = 0.0) -> DataFrame:
+    """(term, one id column for each approach), from one grouping of the candidates."""
+    if unknown := set(approaches) - set(APPROACHES):
+        raise ValueError(f"unknown approach {sorted(unknown)}")
+    first, scored = F.struct(-F.col("pos")), F.struct(F.col("score"), -F.col("pos"))
+    named = lambda e, s: F.struct(F.lit(e).alias("e"), s.alias("s"), (-F.col("pos")).alias("p"))
+    order = {"none": first, "naive": first, "mcp": first, "embedding": scored, "cross-encoder": scored, "ef": F.when(F.col("label") == F.col("term"), named(1, F.lit(0.0))).otherwise(named(0, F.col("score")))}
+    best = candidates.groupBy("term").agg(*[F.max_by(F.struct("id", "score"), order[a]).alias(a) for a in approaches])
+    chosen = {"none": lambda c: F.lit(None).cast("string"), "cross-encoder": lambda c: F.when(c["score"] > threshold, c["id"])}
+    return best.select("term", *[chosen.get(a, lambda c: c["id"])(F.col(f"`{a}`")).alias(a) for a in approaches])
 
 
 def enrich(labels: DataFrame, links: DataFrame, label_col: str = "label") -> DataFrame:

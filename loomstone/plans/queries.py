@@ -464,19 +464,16 @@ _CANDIDATES_SQL = "SELECT p_brand AS term, p_partkey AS pos, 'Q' || p_partkey AS
 @query(f"""SELECT term, 'https://www.wikidata.org/wiki/' || arg_min(id, pos) AS naive, 'https://www.wikidata.org/wiki/' || arg_max(id, (score, -pos)) AS embedding,
   'https://www.wikidata.org/wiki/' || coalesce(arg_min(id, pos) FILTER (WHERE label = term), arg_max(id, (score, -pos))) AS ef FROM ({_CANDIDATES_SQL}) GROUP BY term""")
 def q_link(spark, d):
-    candidates = _candidates(spark, d)
-    out = candidates.select("term").distinct()
-    for approach in ("naive", "embedding", "ef"):
-        links = linking.link(candidates, approach)
-        out = linking.enrich(out, links, "term").withColumnRenamed("uri", approach)
-    return out
+    approaches = ("naive", "embedding", "ef")
+    linked = linking.link_all(_candidates(spark, d), approaches)
+    return linked.select("term", *[F.concat(F.lit("https://www.wikidata.org/wiki/"), a).alias(a) for a in approaches])
 
 
-@query("""SELECT p_brand, count(*) FILTER (WHERE p_partkey % 7 <> 0) AS total, count(*) FILTER (WHERE p_partkey % 7 <> 0 AND p_partkey % 2 = 0) AS correct,
+@query("""SELECT p_brand, count(*) FILTER (WHERE p_partkey % 7 <> 0) AS total, count(*) FILTER (WHERE p_partkey % 7 <> 0 AND p_partkey % 2 = 0 AND p_partkey % 3 <> 1) AS correct,
   count(*) FILTER (WHERE p_partkey % 7 <> 0 AND p_partkey % 3 <> 1) AS predicted,
   round(count(*) FILTER (WHERE p_partkey % 7 <> 0 AND p_partkey % 2 = 0 AND p_partkey % 3 <> 1) / greatest(1, count(*) FILTER (WHERE p_partkey % 7 <> 0)), 3) AS accuracy,
   round(count(*) FILTER (WHERE p_partkey % 7 <> 0 AND p_partkey % 3 <> 1) / greatest(1, count(*) FILTER (WHERE p_partkey % 7 <> 0)), 3) AS coverage
-FROM part GROUP BY p_brand""".replace("AND p_partkey % 2 = 0) AS correct", "AND p_partkey % 2 = 0 AND p_partkey % 3 <> 1) AS correct"))
+FROM part GROUP BY p_brand""")
 def q_uri_compare(spark, d):
     key = F.col("p_partkey").cast("string")
     expected = F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit("http://www.wikidata.org/entity/Q"), key))

@@ -45,6 +45,7 @@ def prompt_templates(spark: SparkSession, path: str, wanted: list[str], fallback
     if texts.limit(1).count() == 0:
         raise RuntimeError(f"no templates in {path}")
     names = spark.createDataFrame([(w,) for w in wanted], "wanted string")
+    texts = texts.groupBy("stem").agg(F.min("template").alias("template"))  # a name that several folders have counts once
     spare = texts.where(F.col("stem") == fallback).select(F.col("template").alias("spare"))
     own = names.join(texts, F.col("wanted") == F.col("stem"), "left")
     return own.join(F.broadcast(spare), F.lit(True), "left").select("wanted", F.coalesce("template", "spare").alias("template"))  # one spare row at most
