@@ -95,9 +95,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage through a reliable checkpoint in the shared folder.
+
+    Spark removes the shuffle files of a step when the driver's garbage collector
+    finds that nothing needs it any more, which may take long on an idle heap; so
+    it is called here, and the steps of an iteration do not pile up on the disks.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 _stored: dict[str, list[str]] = {}

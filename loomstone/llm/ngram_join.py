@@ -181,8 +181,16 @@ def _meet(postings: DataFrame) -> DataFrame:
     frequent as a link needs less one: two linked classes have their rarest common
     key among those that either keeps.
     """
+    return _rarest(_shared(postings))
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings (s, fp1, tag) whose s two or more classes have, with the first of those as ``leader``."""
     lists = arrow(postings.repartition("s").sortWithinPartitions("s", "fp1"), _lists, "s bigint, leader bigint, fp1 bigint, tag int")
-    lists = store(lists, "lists")
+    return store(lists, "lists")
+
+
+def _rarest(lists: DataFrame) -> DataFrame:
     often = lists.groupBy("s").agg(F.count("*").alias("sets"))
     mine = Window.partitionBy("fp1", "tag")
     ranked = lists.join(often, "s").select("leader", "fp1", "tag", F.count("*").over(mine).alias("shared"), F.row_number().over(mine.orderBy("sets", "s")).alias("rank"))
@@ -245,17 +253,26 @@ class _Group:
             x = p[x]
         return x
 
+    def largest(self, r: int, shared: int) -> int:
+        """The largest set that r can link with, if others have but ``shared`` of its shingles."""
+        return shared * (self.num + self.den) // self.num - self.size[r]
+
     def linked(self, r: int, tokens: list[int], which: int) -> Iterator[int]:
         """Earlier sets of an index that link with set r, by DivideSkip."""
         index, n = self.lists[which], self.size[r]
-        lists = [x for t in tokens if (x := index.get(t))]
         need = -((-self.num * n) // self.den)
+        most = self.largest(r, len(tokens))
+        if most < need:
+            return
+        lists = [x for t in tokens if (x := index.get(t))]
         if len(lists) < need:
             return
         lists.sort(key=len)
         long = min(need - 1, int(need / (MU * math.log2(len(lists[-1]) + 1) + 1)))
         short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
         for other, hits in merge_skip(short, need - long, bisect_left(self.size, need)):
+            if self.size[other] > most:
+                return
             if which and self.find(other) == self.find(r):
                 continue
             enough = -((-self.num * (n + self.size[other])) // (self.num + self.den))
@@ -283,6 +300,8 @@ class _Group:
                 self.join(r, other)
         if self.main is None and links:
             self.main = r
+        if self.largest(r, len(tokens)) < self.size[r]:  # no larger set can link with it
+            return links
         home = self.find(r)
         if self.main is not None and home == self.find(self.main):
             for one, its in self.rest.pop(home, []):
@@ -384,15 +403,26 @@ def _again(members: DataFrame, cells: DataFrame, found: DataFrame, texts: DataFr
     named = members.join(found, members["fp1"] == found["node"], "left").select("leader", "doc_id", "fp1", "n", F.coalesce("component", "fp1").alias("label"))
     cell = named.join(cells, "fp1").groupBy("leader").agg(F.min("cell").alias("a"), F.max("cell").alias("b"), F.count("cell").alias("in_one"), F.count("*").alias("all"))
     parted = cell.where("a <> b or in_one < all").select("leader")
-    sizes = named.groupBy("leader").agg(_blocks().alias("blocks"))
+    sizes = named.groupBy("leader").agg(_blocks().alias("blocks"), F.count("*").alias("count"))
     named = checkpoint(_open(named.join(parted, "leader")).join(sizes, "leader"))
+    # a group whose classes all have one larger group in common is searched as a part of that
+    whole = named.groupBy("fp1").agg(F.max_by("leader", F.struct("count", "leader")).alias("whole"))
+    part = named.select("leader", "fp1").join(whole, "fp1").groupBy("leader").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a = b and a <> leader").select("leader")
+    named = checkpoint(named.join(part, "leader", "left_anti"))
     large = named.where("blocks > 1")
     rows = named.where("blocks = 1").select(F.xxhash64("leader").alias("gkey"), "doc_id", "fp1", "label")
     if large.limit(1).count():
         keyed = large.select("leader", "doc_id", "fp1", "n", "label", F.xxhash64("leader", "fp1").alias("key"))
         postings = arrow(keyed.join(texts, "doc_id").select("leader", "key", "fp1", "text"), _all_shingles(k, num, den), "s bigint, fp1 bigint, tag int")
-        near = _meet(postings).withColumnsRenamed({"leader": "rarest", "fp1": "key"})
-        near = keyed.join(near, "key").select(F.col("rarest").alias("leader"), "doc_id", "fp1", "n", "label")
+        lists = _shared(postings)
+        # a set of n of whose shingles others have but s links with none of over s (num + den) / num - n
+        shared = lists.groupBy(F.col("fp1").alias("key")).agg(F.count("*").alias("shared"))
+        able = keyed.join(shared, "key").withColumns({"least": F.expr(f"(n * {num} + {den - 1}) div {den}"), "most": F.expr(f"shared * {num + den} div {num} - n")})
+        there = able.groupBy("leader").agg(F.collect_set("n").alias("sizes"))
+        able = able.join(there, "leader").where(F.exists("sizes", lambda x: (x >= F.col("least")) & (x <= F.col("most"))))
+        able = checkpoint(_open(able.select("leader", "doc_id", "fp1", "n", "label", "key")).drop("main"))
+        near = _rarest(lists.join(able.select(F.col("key").alias("fp1")), "fp1", "left_semi")).withColumnsRenamed({"leader": "rarest", "fp1": "key"})
+        near = able.join(near, "key").select(F.col("rarest").alias("leader"), "doc_id", "fp1", "n", "label")
         rows = rows.union(_tiles(checkpoint(_open(near))))
     elif not rows.limit(1).count():
         return None
