@@ -5,6 +5,7 @@ from collections import Counter
 from functools import lru_cache
 
 import duckdb
+import pandas as pd
 
 
 @lru_cache(maxsize=4)
@@ -16,7 +17,12 @@ def tables(sf_dir):
 
 
 def bag(df, cols):
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, float) else v
+    def plain(v):
+        """Whole numbers as int: columns with nulls come as floats from one side and as nullable integers from the other."""
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
+            return None
+        return v if not isinstance(v, float) else int(v) if v.is_integer() else float(v)
+
     return Counter(str([plain(v) for v in row]) for row in df[cols].astype(object).values.tolist())
 
 
