@@ -38,15 +38,16 @@ BATCH_BYTES = 4 << 20  # of an Arrow batch between the JVM and Python
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of few megabytes, as texts can be long.
-
-    Spark bounds batches by a session setting; it is lowered where it is higher.
-    """
-    conf = df.sparkSession.conf
-    size = re.match(r"(\d+)([bkmg]?)", conf.get(_BATCH_CONF, "64m").lower())
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ``BATCH_BYTES``, as texts can be long; Spark has a session setting for it, which is lowered where it is higher."""
+    size = re.match(r"(\d+)([bkmg]?)", spark.conf.get(_BATCH_CONF, "64m").lower())
     if size is None or int(size[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[size[2]] > BATCH_BYTES:
-        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of few megabytes."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
@@ -133,3 +134,17 @@ def drop_stored(spark: SparkSession) -> int:
         there = sc._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
     return len(paths)
+
+
+def crc32_sql(text: str) -> str:
+    """A DuckDB expression for the unsigned CRC-32 of a string's UTF-8 bytes, half a byte at a time."""
+
+    def turned(c: int) -> int:
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        return c
+
+    turns = ", ".join(f"{turned(i)}::BIGINT" for i in range(16))
+    half = lambda e: f"xor([{turns}][CAST(({e}) & 15 AS INT) + 1], ({e}) >> 4)"
+    all_bytes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: CAST('0x' || b AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {all_bytes}), lambda c, x: {half(half('xor(c, x)'))}), 4294967295)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.llm import chat, decontaminate, html_text, nearest, ngram_join, packing, pii, quality, tokens, url_filter
+from loomstone.llm import chat, decontaminate, html_text, infill, nearest, ngram_join, packing, pii, quality, runs, sharding, tokens, url_filter
 
 QUERIES = {
     "op1_nearest": nearest.op1_nearest,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_tokens": tokens.op9_tokens,
     "op10_pii": pii.op10_pii,
+    "op11_infill": infill.op11_infill,
+    "op12_runs": runs.op12_runs,
+    "op13_sharding": sharding.op13_sharding,
 }
 
 SQL = {
@@ -24,4 +27,7 @@ SQL = {
     "op6_ngram_join": ngram_join.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op10_pii": pii.OP10_SQL,
+    "op11_infill": infill.OP11_SQL,
+    "op12_runs": runs.OP12_SQL,
+    "op13_sharding": sharding.OP13_SQL,
 }
