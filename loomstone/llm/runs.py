@@ -90,7 +90,8 @@ def anchored_lags(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         own = ids[::q]
         same = own[1:] == own[:-1]
         k = np.flatnonzero(same[:-2] & same[1:-1] & same[2:])
-        _, k = _agree(ids, np.full(len(k), q), k)
+        if len(k):
+            k = _agree(ids, np.full(len(k), q), k)[1]
         if len(k):
             yield q, k
     # beyond, each multiple is looked at for all its lags at once
@@ -100,9 +101,12 @@ def anchored_lags(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         q = np.arange(few + 1, last + 1)
         for i in range(k, k + 3):
             q = q[ids[i * q] == ids[(i + 1) * q]]
-        q, m = _agree(ids, q, np.full(len(q), k))
-        lags.append(q)
-        multiples.append(m)
+            if not len(q):
+                break
+        else:
+            q, m = _agree(ids, q, np.full(len(q), k))
+            lags.append(q)
+            multiples.append(m)
         k += 1
     if sum(map(len, lags)):
         lag, multiple = np.concatenate(lags), np.concatenate(multiples)
