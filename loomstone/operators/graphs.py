@@ -11,6 +11,7 @@ from loomstone.functions.text import after_colon, local_name
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
+XSD = "http://www.w3.org/2001/XMLSchema#"
 
 
 def template(pattern: str, *cols: Column) -> Column:
@@ -36,8 +37,15 @@ def reference_join(child: DataFrame, parent: DataFrame, child_key: str, parent_k
 
 
 def n_triples(triples: DataFrame) -> DataFrame:
-    """One line of N-Triples for each row, in a column ``value``."""
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
+    """One line of N-Triples for each row, in a column ``value``; datatypes and languages are written where the rows have them."""
+    escaped = F.col("o")
+    for sign, said in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(said))
+    kind = F.lit("")
+    if {"datatype", "lang"} <= set(triples.columns):
+        typed = F.col("datatype").isNotNull() & (F.col("datatype") != XSD + "string")
+        kind = F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), F.col("lang"))).when(typed, F.concat(F.lit("^^<"), F.col("datatype"), F.lit(">"))).otherwise("")
+    quoted = F.concat(F.lit('"'), escaped, F.lit('"'), kind)
     node = lambda c: F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
     obj = F.when(F.col("o_kind") == "literal", quoted).otherwise(node(F.col("o")))
     return triples.select(F.concat_ws(" ", node(F.col("s")), F.concat(F.lit("<"), F.col("p"), F.lit(">")), obj, F.lit(".")).alias("value"))

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from urllib.parse import urljoin
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.records import parsed
+from loomstone.sources.turtle import turtle, turtle_triples  # noqa: F401
 
 
 def _texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -87,163 +85,6 @@ def distinct_or_list(rows: DataFrame, key: str, value: str, order: str) -> DataF
     return rows.select(key).distinct().join(lists, key, "left").select(key, shown.alias(value))
 
 
-_TURTLE = re.compile(
-    r'''(?P<skip>\s+|\#[^\n]*)
-    |(?P<text>"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^'\\]|\\.|'(?!\'\'))*\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
-    |<(?P<iri>[^<>"{}|^`\s]*)>
-    |(?P<dir>@prefix\b|@base\b|(?i:prefix|base)(?=\s+[^:\s]*:?\s*<))
-    |@(?P<lang>[A-Za-z]+(?:-[A-Za-z0-9]+)*)
-    |(?P<blank>_:[\w](?:[\w.-]*[\w-])?)
-    |(?P<number>[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)|\d*\.\d+|\d+))
-    |(?P<name>(?:[\w](?:[\w.-]*[\w-])?)?:(?:(?:[\w:%-]|\\.)(?:(?:[\w:%.-]|\\.)*(?:[\w:%-]|\\.))?)?)
-    |(?P<word>a\b|true\b|false\b)
-    |(?P<mark>\^\^|[;,.\[\]()])''',
-    re.S | re.X,
-)
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\(.)", re.S)
-_CONTROLS = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
-_RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
-
-
-def _unescaped(said: str) -> str:
-    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _CONTROLS.get(m[3], m[3]), said)
-
-
-class _Turtle:
-    """One pass over the tokens of a document; ``triples`` holds (s, p, o, kind)."""
-
-    def __init__(self, text: str):
-        self.tokens: list[tuple[str, str]] = []
-        at = 0
-        while at < len(text):
-            m = _TURTLE.match(text, at)
-            if m is None:
-                raise ValueError(f"not Turtle at {at}: {text[at : at + 30]!r}")
-            if m.lastgroup != "skip":
-                self.tokens.append((m.lastgroup, m.group(m.lastgroup)))
-            at = m.end()
-        self.written = {said for kind, said in self.tokens if kind == "blank"}
-        self.at = self.blanks = 0
-        self.base, self.prefixes, self.triples = "", {}, []
-        while self.at < len(self.tokens):
-            self.statement()
-
-    def next(self, wanted: str | None = None) -> tuple[str, str]:
-        kind, said = self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
-        if wanted is not None and said != wanted:
-            raise ValueError(f"not Turtle: {said!r} where {wanted!r} was due")
-        self.at += 1
-        return kind, said
-
-    def peek(self) -> str:
-        return self.tokens[self.at][1] if self.at < len(self.tokens) and self.tokens[self.at][0] in ("mark", "dir") else ""
-
-    def fresh(self) -> str:
-        """A blank node that the document does not name itself."""
-        while True:
-            self.blanks += 1
-            if (name := f"_:b{self.blanks}") not in self.written:
-                return name
-
-    def iri(self, said: str) -> str:
-        said = _unescaped(said)
-        return said if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", said) else urljoin(self.base, said)
-
-    def statement(self) -> None:
-        if self.tokens[self.at][0] == "dir":
-            kind = self.next()[1].lower()
-            if kind.endswith("prefix"):
-                name = self.next()[1]
-                self.prefixes[name.partition(":")[0]] = self.iri(self.next()[1])
-            else:
-                self.base = self.iri(self.next()[1])
-            if kind[0] == "@":
-                self.next(".")
-            return
-        opened = self.peek() == "["
-        subject = self.term()[0]
-        if not (opened and self.peek() == "."):
-            self.properties(subject)
-        self.next(".")
-
-    def properties(self, subject: str) -> None:
-        while True:
-            predicate, kind = self.term()
-            if kind != "iri":
-                raise ValueError(f"not Turtle: {predicate!r} as a predicate")
-            while True:
-                self.triples.append((subject, predicate, *self.term()))
-                if self.peek() != ",":
-                    break
-                self.next()
-            while self.peek() == ";":
-                self.next()
-            if self.peek() in (".", "]") or self.tokens[self.at - 1][1] != ";":
-                return
-
-    def term(self) -> tuple[str, str]:
-        kind, said = self.next()
-        if kind == "text":
-            size = 3 if said[:3] in ('"""', "'''") else 1
-            if self.at < len(self.tokens) and self.tokens[self.at][0] == "lang":
-                self.next()
-            elif self.peek() == "^^":
-                self.next()
-                self.term()
-            return _unescaped(said[size:-size]), "literal"
-        if kind == "iri":
-            return self.iri(said), "iri"
-        if kind == "blank":
-            return said, "blank"
-        if kind == "number" or said in ("true", "false") and kind == "word":
-            return said, "literal"
-        if kind == "word":
-            return _RDF + "type", "iri"
-        if kind == "name":
-            prefix, _, local = said.partition(":")
-            if prefix not in self.prefixes:
-                raise ValueError(f"not Turtle: no prefix {prefix!r}")
-            return self.prefixes[prefix] + re.sub(r"\\(.)", r"\1", local), "iri"
-        if said == "[":
-            node = self.fresh()
-            if self.peek() != "]":
-                self.properties(node)
-            self.next("]")
-            return node, "blank"
-        if said == "(":
-            items = []
-            while self.peek() != ")":
-                items.append(self.term())
-            self.next(")")
-            nodes = [self.fresh() for _ in items]
-            for i, (node, item) in enumerate(zip(nodes, items, strict=True)):
-                rest = (nodes[i + 1], "blank") if i + 1 < len(nodes) else (_RDF + "nil", "iri")
-                self.triples += [(node, _RDF + "first", *item), (node, _RDF + "rest", *rest)]
-            return (nodes[0], "blank") if nodes else (_RDF + "nil", "iri")
-        raise ValueError(f"not Turtle: {said!r}")
-
-
-def turtle_triples(text: str | None) -> list[tuple[str, str, str, str]]:
-    """(s, p, o, kind) of a Turtle document; kind is iri, blank or literal.
-
-    Prefixes, bases, lists, collections, blank nodes, both kinds of quotes and
-    escapes are read; languages and datatypes are dropped. Null and empty texts
-    have none. Anything else raises ``ValueError``.
-    """
-    return _Turtle(text or "").triples
-
-
-def turtle(spark: SparkSession, path: str) -> DataFrame:
-    """(graph_id, s, p, o, o_kind) of all Turtle files below a folder; a graph is a file."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(name, *t) for name, raw in zip(batch["name"], batch["raw"], strict=True) for t in turtle_triples(raw)]
-            yield pd.DataFrame(rows, columns=["graph_id", "s", "p", "o", "o_kind"])
-
-    return _texts(spark, path, "*.ttl").select("name", "raw").mapInPandas(run, "graph_id string, s string, p string, o string, o_kind string")
-
-
 def replayed(requests: DataFrame, answers: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
     """Answers of a model or service from a recorded table; requests without one get nulls."""
     return requests.join(answers.select(*on, *columns).dropDuplicates(on), on, "left")

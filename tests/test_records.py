@@ -148,7 +148,7 @@ def test_turtle(spark, tmp_path):
     (tmp_path / "g.ttl").write_text('@prefix ex: <http://e/> . # c\nex:a a ex:T ; ex:p "x;y"@en , """long "q" text""" ; ex:q [ ex:r ex:b ] .\n<http://e/c> ex:p 5 .\n')
     got = {(r.s, r.p, r.o) for r in scans.turtle(spark, str(tmp_path)).collect()}
     assert ("http://e/a", "http://e/p", "x;y") in got and ("http://e/a", "http://e/p", 'long "q" text') in got
-    assert ("http://e/c", "http://e/p", "5") in got and ("_:b1", "http://e/r", "http://e/b") in got and len(got) == 6
+    assert ("http://e/c", "http://e/p", "5") in got and any(s.startswith("_:") and (p, o) == ("http://e/r", "http://e/b") for s, p, o in got) and len(got) == 6
 
 
 def test_scans_and_stream(spark, tmp_path):
