@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.operators import graphs
+from loomstone.functions import dates
+from loomstone.operators import graphs, mappings, shapes
 from loomstone.plans.queries import EX, query, t
+from loomstone.sources.turtle import turtle_frame
 
 VARIABLE, OTHER = EX + "Variable", "http://example.com/other#Variable"
 
@@ -93,3 +95,115 @@ def q_shape_unlinked(spark, d):
 @query(f"""SELECT graph_id, s FROM {_S} WHERE k % 4 = 1 AND k % 3 <> 0""")
 def q_shape_ends(spark, d):
     return graphs.asymmetric_complete(_suppliers(spark, d), OTHER, [EX + "source", EX + "numerator"], [EX + "target", EX + "denominator"])
+
+
+# -- a mapping document, a shapes document and dates over customers, orders and nations
+
+_MAPPING = """
+prefixes:
+  ex: http://example.org/
+mappings:
+  nation:
+    sources: [[nation~table]]
+    s: ex:n/$(n_nationkey)
+    po:
+      - [a, ex:Nation]
+      - [ex:region, $(n_regionkey), xsd:integer]
+  customer:
+    sources: [[customer~table]]
+    s: ex:c/$(c_custkey)
+    po:
+      - [a, ex:$(kind)]
+      - [ex:label, "$(c_name), $(c_mktsegment)", en~lang]
+      - p: ex:home
+        o:
+          - mapping: nation
+            condition: {function: equal, parameters: [[str1, $(c_nationkey), s], [str2, $(n_nationkey), o]]}
+  order:
+    sources: [[orders~table]]
+    s: ex:o/$(o_orderkey)
+    po:
+      - [a, ex:Order]
+      - [ex:priority, $(o_orderpriority)]
+      - [ex:total, $(total), xsd:decimal]
+      - [ex:created, $(day), xsd:date]
+      - [ex:created, $(open_day)]
+      - p: ex:placedBy
+        o:
+          - mapping: customer
+            condition: {function: equal, parameters: [[str1, $(o_custkey), s], [str2, $(c_custkey), o]]}
+"""
+
+_SHAPES = """
+@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix ex: <http://example.org/> .
+ex:OrderShape sh:targetClass ex:Order ;
+  sh:property [ sh:path ex:placedBy ; sh:minCount 1 ; sh:maxCount 1 ; sh:nodeKind sh:IRI ; sh:class ex:Customer ] ;
+  sh:property [ sh:path ex:priority ; sh:or ( [ sh:pattern "^[1-3]-" ] [ sh:minLength 6 ] ) ; sh:message "short and late" ] ;
+  sh:property [ sh:path ex:created ; sh:datatype xsd:date ] ;
+  sh:property [ sh:path ex:total ; sh:maxExclusive 495000 ] .
+ex:CustomerShape sh:targetClass ex:Customer ;
+  sh:property [ sh:path [ sh:inversePath ex:placedBy ] ; sh:minCount 1 ; sh:maxCount 15 ; sh:class ex:Order ] ;
+  sh:property [ sh:path ex:home ; sh:node [ sh:property [ sh:path ex:region ; sh:in ( 0 1 2 ) ] ] ] ;
+  sh:or (
+    [ sh:path ex:label ; sh:pattern "BUILDING$|MACHINERY$" ]
+    [ sh:and ( [ sh:path [ sh:inversePath ex:placedBy ] ; sh:minCount 9 ] [ sh:not [ sh:path ex:home ; sh:hasValue <http://example.org/n/3> ] ] ) ]
+  ) .
+"""
+
+
+def _trade(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    total = F.col("o_totalprice").cast("decimal(15,2)").cast("string")
+    day, still_open = dates.date_text(F.col("o_orderdate")), F.col("o_orderstatus") == "P"
+    orders = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", total.alias("total"), F.when(~still_open, day).alias("day"), F.when(still_open, day).alias("open_day"))
+    customer = t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name", "c_mktsegment", F.when(F.col("c_acctbal") >= 0, "Customer").alias("kind"))
+    return {"orders": orders, "customer": customer, "nation": t(spark, d, "nation")}
+
+
+_XSD, _TOTAL, _DAY = graphs.XSD, "CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR)", "strftime(o_orderdate, '%Y-%m-%d')"
+
+
+@query(f"""
+WITH x AS (
+  SELECT 'n/' || n_nationkey AS s, 'type' AS p, '{EX}Nation' AS o, 'iri' AS o_kind, NULL AS datatype, NULL AS lang FROM nation
+  UNION SELECT 'n/' || n_nationkey, 'region', CAST(n_regionkey AS VARCHAR), 'literal', '{_XSD}integer', NULL FROM nation
+  UNION SELECT 'c/' || c_custkey, 'type', '{EX}Customer', 'iri', NULL, NULL FROM customer WHERE c_acctbal >= 0
+  UNION SELECT 'c/' || c_custkey, 'label', c_name || ', ' || c_mktsegment, 'literal', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString', 'en' FROM customer
+  UNION SELECT 'c/' || c_custkey, 'home', '{EX}n/' || n_nationkey, 'iri', NULL, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION SELECT 'o/' || o_orderkey, 'type', '{EX}Order', 'iri', NULL, NULL FROM orders
+  UNION SELECT 'o/' || o_orderkey, 'priority', o_orderpriority, 'literal', '{_XSD}string', NULL FROM orders
+  UNION SELECT 'o/' || o_orderkey, 'total', {_TOTAL}, 'literal', '{_XSD}decimal', NULL FROM orders
+  UNION SELECT 'o/' || o_orderkey, 'created', {_DAY}, 'literal', '{_XSD}' || CASE o_orderstatus WHEN 'P' THEN 'string' ELSE 'date' END, NULL FROM orders
+  UNION SELECT 'o/' || o_orderkey, 'placedBy', '{EX}c/' || c_custkey, 'iri', NULL, NULL FROM orders JOIN customer ON o_custkey = c_custkey
+)
+SELECT 'trade' AS graph_id, '{EX}' || s AS s, CASE p WHEN 'type' THEN '{graphs.RDF_TYPE}' ELSE '{EX}' || p END AS p, o, o_kind, datatype, lang FROM x""")
+def q_mapping(spark, d):
+    return mappings.run_mappings(_MAPPING, _trade(spark, d), "trade")
+
+
+@query(f"""
+WITH per AS (SELECT c_custkey AS k, c_acctbal, c_mktsegment, c_nationkey, (SELECT n_regionkey FROM nation WHERE n_nationkey = c_nationkey) AS region, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+c AS (SELECT *, '{EX}c/' || k AS s FROM per WHERE c_acctbal >= 0),
+o AS (SELECT orders.*, '{EX}o/' || o_orderkey AS s, c_custkey, c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+x AS (
+  SELECT 'Order' AS shape, s AS focus, 'placedBy' AS path, 'minCount' AS rule, '0' AS value, NULL AS message FROM o WHERE c_custkey IS NULL
+  UNION ALL SELECT 'Order', s, 'placedBy', 'class', '{EX}c/' || c_custkey, NULL FROM o WHERE c_acctbal < 0
+  UNION ALL SELECT 'Order', s, 'priority', 'or', o_orderpriority, 'short and late' FROM o WHERE left(o_orderpriority, 1) NOT IN ('1', '2', '3') AND length(o_orderpriority) < 6
+  UNION ALL SELECT 'Order', s, 'created', 'datatype', {_DAY}, NULL FROM o WHERE o_orderstatus = 'P'
+  UNION ALL SELECT 'Order', s, 'total', 'maxExclusive', {_TOTAL}, NULL FROM o WHERE CAST(o_totalprice AS DECIMAL(15,2)) >= 495000
+  UNION ALL SELECT 'Customer', s, '^placedBy', 'minCount', '0', NULL FROM c WHERE n = 0
+  UNION ALL SELECT 'Customer', s, '^placedBy', 'maxCount', CAST(n AS VARCHAR), NULL FROM c WHERE n > 15
+  UNION ALL SELECT 'Customer', s, 'home', 'node', '{EX}n/' || c_nationkey, NULL FROM c WHERE region NOT IN (0, 1, 2)
+  UNION ALL SELECT 'Customer', s, NULL, 'or', s, NULL FROM c WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AND NOT (n >= 9 AND c_nationkey <> 3)
+)
+SELECT 'trade' AS graph_id, '{EX}' || shape || 'Shape' AS shape, focus, CASE WHEN path LIKE '^%' THEN '^{EX}' || path[2:] ELSE '{EX}' || path END AS path, rule, value, message FROM x""")
+def q_shacl(spark, d):
+    return shapes.check(q_mapping(spark, d), turtle_frame(spark, _SHAPES))
+
+
+@query("""SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-01') AS month, year(o_orderdate) AS year, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL""")
+def q_dates(spark, d):
+    typed = q_mapping(spark, d).where(F.col("p") == EX + "created")
+    day = dates.as_date(F.col("o"), F.col("datatype"))
+    month = dates.as_date(F.substring("o", 1, 7), F.lit(graphs.XSD + "gYearMonth"))
+    found = typed.select(dates.date_text(day).alias("day"), dates.date_text(month).alias("month"), F.year(day).cast("bigint").alias("year")).where("day is not null")
+    return found.groupBy("day", "month", "year").agg(F.count("*").alias("n"))
