@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +14,11 @@ CONSTRAINTS = "array<struct<label:string,on:string>>"
 LEAVES = "array<struct<path:string,text:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once; null where the value is."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parsed(text: Column) -> Column:
     """The JSON value, null for text that is none or that goes on after it."""
     whole = text.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$")
@@ -118,33 +122,42 @@ def atoms(prop: Column, modifier: Column, obj: Column, items: Column, mode: str
     return F.array_distinct(F.filter(chosen, lambda x: x.isNotNull() & (x != "")))
 
 
-def _strings(value) -> list[tuple[str, str]]:
-    """(path, text) of the strings in a parsed JSON value; a stack, so that depth costs no recursion."""
-    out, todo = [], [("", value)]
-    while todo:
-        path, value = todo.pop()
-        if isinstance(value, dict):
-            todo += [(f"{path}.{k}" if path else k, v) for k, v in reversed(value.items())]
-        elif isinstance(value, list):
-            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(value)))]
-        elif isinstance(value, str):
-            out.append(tuple(x.encode("utf-8", "replace").decode() for x in (path, value)))
-    return out
+_NODE = "struct<path:string,node:variant,raw:string,text:string>"
+
+
+def depth(json_text: Column) -> Column:
+    """How deep objects and lists are nested in a JSON text."""
+    marks = F.regexp_extract_all(F.regexp_replace(json_text, r'"(?:[^"\\]|\\.)*+"', ""), F.lit(r"[\[\]{}]"), 0)
+    count = lambda s, m: let(s["now"] + F.when(m.isin("[", "{"), 1).otherwise(-1), lambda now: F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most")))
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), count)["most"]
 
 
 def string_leaves(doc: Column) -> Column:
     """(path, text) of every string in a JSON text, in document order; text that is no JSON has none.
 
-    Objects and lists of any depth are walked (``a.b[0].c``), in Arrow batches on the workers. Numbers, booleans and nulls are no strings.
+    Objects and lists of any depth are opened level by level, as many levels as
+    the text is deep (``a.b[0].c``). Numbers, booleans and nulls are no strings.
+    An object that names a key twice is no JSON here.
     """
-
-    def leaves(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[dict]:
-            try:
-                return [{"path": p, "text": t} for p, t in _strings(json.loads(text))] if text is not None else []
-            except ValueError:
-                return []
-
-        return texts.map(one)
-
-    return F.pandas_udf(leaves, LEAVES)(doc)
+    whole = doc.rlike(r'(?s)^\s*([\[{].*[\]}]|"(?:[^"\\]|\\.)*+")\s*$')
+    members = lambda x: x.try_cast("map<string,variant>")
+    items = lambda x: x.try_cast("array<variant>")
+    leaf = lambda x: members(x).isNull() & items(x).isNull()
+    said = lambda x: F.when(leaf(x) & (F.schema_of_variant(x) == "STRING"), F.try_variant_get(x, "$", "string"))
+    node = lambda path, x, raw: F.struct(path.alias("path"), x.alias("node"), raw.alias("raw"), said(x).alias("text"))
+    none = F.expr(f"cast(array() as array<{_NODE}>)")
+
+    def opened(x: Column) -> Column:
+        """What is in a container; a string stays, other scalars go. Variants know types, the raw text the order of keys."""
+        below = lambda key: F.when(x["path"] == "", key).otherwise(F.concat(x["path"], F.lit("."), key))
+        entries = F.map_entries(F.from_json(x["raw"], "map<string,string>"))
+        in_object = let(members(x["node"]), lambda m: F.transform(entries, lambda e: node(below(e["key"]), F.try_element_at(m, e["key"]), e["value"])))
+        raws = F.from_json(x["raw"], "array<string>")
+        in_list = let(raws, lambda rs: F.transform(items(x["node"]), lambda v, i: node(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")), v, F.get(rs, i))))
+        return F.when(x["text"].isNotNull(), F.array(x)).when(members(x["node"]).isNotNull(), in_object).when(items(x["node"]).isNotNull(), in_list).otherwise(none)
+
+    root = F.when(whole, F.try_parse_json(doc))
+    levels = let(F.when(root.isNotNull(), depth(doc)), lambda d: F.when(d > 0, F.sequence(F.lit(1), d)).otherwise(F.expr("cast(array() as array<int>)")))
+    all_nodes = F.aggregate(levels, F.array(node(F.lit(""), root, doc)).cast(f"array<{_NODE}>"), lambda nodes, _: F.flatten(F.transform(nodes, opened)))
+    told = F.transform(F.filter(all_nodes, lambda x: x["text"].isNotNull()), lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text")))
+    return F.when(root.isNotNull(), told).otherwise(F.expr(f"cast(array() as {LEAVES})"))

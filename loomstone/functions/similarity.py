@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from loomstone.functions.records import let
 from loomstone.functions.text import is_falsy, strip
 
 
@@ -62,25 +63,56 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(both, F.lit(1)))
 
 
-def _indel(a: str, b: str) -> float:
-    """Twice the longest common subsequence over both lengths, one bit of an integer for each character of ``a``."""
-    if not a and not b:
-        return 1.0
-    at: dict[str, int] = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    free = full
-    for y in b:
-        hit = free & at.get(y, 0)
-        free = (free + hit | free - hit) & full
-    return 2 * (len(a) - free.bit_count()) / (len(a) + len(b))
+BITS = 60  # of a long that stand for characters; a sum of two such words and a carry fits
 
 
-@F.pandas_udf(DoubleType())
-def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Indel ratio: twice the longest common subsequence over both lengths, on trimmed lower case."""
-    return pd.Series([_indel((x or "").lower().strip(), (y or "").lower().strip()) for x, y in zip(a, b, strict=True)])
+def _place_bits(chars: Column) -> Column:
+    """For each character of an array the words of bits that say where it stands."""
+    words = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(chars) / BITS).cast("int"), F.lit(1)) - 1)
+    distinct = F.array_distinct(chars)
+    one = lambda c, w: F.aggregate(F.transform(F.slice(chars, w * BITS + 1, F.lit(BITS)), lambda x, i: F.when(x == c, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return F.map_from_arrays(distinct, F.transform(distinct, lambda c: F.transform(words, lambda w: one(c, w))))
+
+
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of characters.
+
+    A bit for each character of ``a``, in words of ``BITS``, tells where the
+    length does not grow yet; a character of ``b`` is one addition with carries
+    over the words. Time is the product of the lengths over ``BITS``, space that
+    of ``a``'s distinct characters times the words.
+    """
+    full = F.lit((1 << BITS) - 1).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+
+    def taken(free: Column, hits: Column) -> Column:
+        def word(s: Column, i: Column) -> Column:
+            v, hit = F.get(free, i), F.get(free, i).bitwiseAND(F.get(hits, i))
+            total = v + hit + s["carry"]
+            return F.struct(F.call_function("shiftright", total, F.lit(BITS)).alias("carry"), F.concat(s["out"], F.array(total.bitwiseAND(full).bitwiseOR(v - hit))).alias("out"))
+
+        start = F.struct(zero.alias("carry"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(free) - 1), start, word)["out"]
+
+    def fold(places: Column) -> Column:
+        count = F.greatest(F.ceil(F.size(a) / BITS).cast("int"), F.lit(1))
+        start = F.transform(F.sequence(F.lit(0), count - 1), lambda _: full)
+        end = F.aggregate(b, start, lambda free, y: let(F.try_element_at(places, y), lambda hits: F.when(hits.isNull(), free).otherwise(taken(free, hits))))
+        return F.aggregate(F.transform(end, lambda w: F.lit(BITS).cast("bigint") - F.bit_count(w)), zero, lambda n, x: n + x)
+
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), zero).otherwise(let(_place_bits(a), fold))
+
+
+def fuzzy_ratio(a: str | Column, b: str | Column) -> Column:
+    """Indel ratio: twice the longest common subsequence over both lengths, on trimmed lower case; 1 where both are empty."""
+    chars = lambda x: let(strip(F.lower(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")))), lambda t: F.when(t == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(t, "")))
+
+    def ratio(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        n = F.size(x) + F.size(y)
+        return F.when(n == 0, 1.0).otherwise(2.0 * common_subsequence(x, y) / F.greatest(n, F.lit(1)))
+
+    return let(F.struct(chars(a).alias("x"), chars(b).alias("y")), ratio)
 
 
 def sequence_ratio(a: str | None, b: str | None) -> float:

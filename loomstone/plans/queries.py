@@ -441,6 +441,18 @@ def q_string_ratios(spark, d):
     return rows.select("p_partkey", F.round(similarity.fuzzy_ratio("p_name", "p_type"), 6).alias("fuzzy"), F.round(similarity.matcher_ratio("p_name", "p_type"), 6).alias("matcher"))
 
 
+@query("""WITH RECURSIVE dp(k, a, b, i, r) AS (
+  SELECT p_partkey, lower(trim(p_name)), lower(trim(p_type || ' ' || p_brand)), 0, list_transform(range(len(trim(p_name)) + 1), lambda x: 0) FROM part
+  UNION ALL
+  SELECT k, a, b, i + 1, list_prepend(0, list_transform(range(1, len(a) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda t: greatest(r[t + 1], r[t] + CAST(a[t] = b[i + 1] AS INT))))))
+  FROM dp WHERE i < len(b)
+)
+SELECT k AS p_partkey, round(2 * r[len(a) + 1] / (len(a) + len(b)), 6) AS fuzzy FROM dp WHERE i = len(b)""")
+def q_fuzzy_ratio(spark, d):
+    rows = t(spark, d, "part").select("p_partkey", "p_name", F.concat_ws(" ", "p_type", "p_brand").alias("said"))
+    return rows.select("p_partkey", F.round(similarity.fuzzy_ratio("p_name", "said"), 6).alias("fuzzy"))
+
+
 @query()
 def q_conformance(spark, d):
     listed = F.col("p_partkey") % 3 == 0  # these have the name in a list below objects, the others in an object

@@ -97,3 +97,24 @@ def test_ratios(spark):
     assert (got[1].f, got[1].m, got[2].f, got[2].m) == (1, 0, 1, 1)
     sets = spark.createDataFrame([([], []), (["a"], ["a", "b"])], "a array<string>, b array<string>")
     assert [r.j for r in sets.select(similarity.jaccard(F.col("a"), F.col("b")).alias("j")).collect()] == [1.0, 0.5]
+
+
+def test_fuzzy_ratio_by_brute_force(spark):
+    def common(a, b):
+        row = [0] * (len(a) + 1)
+        for y in b:
+            new = [0]
+            for i, x in enumerate(a):
+                new.append(row[i] + 1 if x == y else max(row[i + 1], new[i]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(0)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    sizes = [(0, 5), (5, 0), (0, 0), (60, 60), (59, 61), (61, 200), (120, 121), (180, 40)]
+    rows = [(text(n, s), text(m, s)) for n, m in sizes for s in ("ab", "abcé日\U0001f600 X")] + [("x" * 2000, "xy" * 1000), (text(2000, "abcd"), text(2000, "abcd")), (None, ""), (None, "a"), ("  A b", "a B \t")]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k int, a string, b string").select("k", similarity.fuzzy_ratio("a", "b").alias("f"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        a, b = ((x or "").lower().strip() for x in rows[r.k])
+        assert r.f == pytest.approx(2 * common(a, b) / (len(a) + len(b)) if a or b else 1.0)

@@ -87,6 +87,17 @@ def test_string_leaves_of_lists_and_deep_records(spark):
     assert [[(x.path, x.text) for x in r.x] for r in sorted(rows)] == want
 
 
+def test_string_leaves_fifty_deep(spark):
+    deep = {"s": "in", "n": 1}
+    for i in range(50):
+        deep = {'a "b"': deep, "x": f"at {i}"} if i % 2 else [deep, f"[{i}", "{"]
+    cases = [json.dumps(deep), '["' + "[" * 90 + '", {"k": "v"}]', '{"a": 1, "a": "twice"}', '["x"] y', json.dumps([{"k%d" % i: "v"} for i in range(300)])]
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, c string").select("k", records.string_leaves(F.col("c")).alias("x"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = [strings(json.loads(c)) if i not in (2, 3) else [] for i, c in enumerate(cases)]
+    assert [[(x.path, x.text) for x in r.x] for r in sorted(rows.collect())] == want
+
+
 def test_conformance_by_brute_force(spark):
     from difflib import SequenceMatcher
 
