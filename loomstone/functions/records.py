@@ -161,3 +161,36 @@ def string_leaves(doc: Column) -> Column:
     all_nodes = F.aggregate(levels, F.array(node(F.lit(""), root, doc)).cast(f"array<{_NODE}>"), lambda nodes, _: F.flatten(F.transform(nodes, opened)))
     told = F.transform(F.filter(all_nodes, lambda x: x["text"].isNotNull()), lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text")))
     return F.when(root.isNotNull(), told).otherwise(F.expr(f"cast(array() as {LEAVES})"))
+
+
+def coerced(json_text: Column, allowed: tuple[str, ...] = ("label", "comment", *ROLES)) -> Column:
+    """A record rewritten for evaluation, and what was done to it: struct<record, audit>.
+
+    Missing roles become an empty string, or an empty list for the constraints; a
+    property that is an object gives its label (empty where it has none), and the
+    audit keeps the object. All other values stay as they are, in the order of
+    the text, the added roles last. ``audit`` has missing_keys, extra_keys,
+    coerced_property and orig_property. Null where the text is no JSON object.
+    """
+    doc = parsed(json_text)
+    fields = F.from_json(json_text, "map<string,string>")
+    keys = F.map_keys(fields)
+    kind = kind_of(doc, "hasProperty")
+    node = lambda key: F.try_element_at(doc.try_cast("map<string,variant>"), key)
+    holds = lambda x: x.try_cast("map<string,variant>").isNotNull() | x.try_cast("array<variant>").isNotNull()
+    value = lambda key: F.when(holds(node(key)), F.try_element_at(fields, key)).otherwise(F.coalesce(F.to_json(node(key)), F.lit("null")))
+    label = F.coalesce(F.to_json(F.try_variant_get(doc, "$.hasProperty.label", "variant")), F.lit('""'))
+    is_object = kind.isin("object", "asym", "sym")
+    pair = lambda key, said: F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(":"), said)
+    given = F.transform(keys, lambda k: pair(k, F.when((k == "hasProperty") & is_object, label).otherwise(value(k))))
+    missing = F.array_except(F.array(*map(F.lit, ROLES)), keys)
+    added = F.transform(missing, lambda k: pair(k, F.when(k == "hasConstraint", "[]").otherwise('""')))
+    record = F.concat(F.lit("{"), F.array_join(F.concat(given, added), ","), F.lit("}"))
+    audit = F.struct(
+        missing.alias("missing_keys"),
+        F.array_except(keys, F.array(*map(F.lit, allowed))).alias("extra_keys"),
+        is_object.alias("coerced_property"),
+        F.when(is_object, value(F.lit("hasProperty"))).alias("orig_property"),
+    )
+    whole = F.struct(record.alias("record"), audit.alias("audit"))
+    return F.when(doc.try_cast("map<string,variant>").isNotNull(), whole)

@@ -159,3 +159,19 @@ def q_fixed_examples(spark, d):
 def q_role_totals(spark, d):
     rows = scoring.by_role(scoring.score_records(_mixed_records(spark, d), "gt", "pred"), ["k"])
     return rows.groupBy("role").agg(*[F.round(F.sum(c), 4).alias(c) for c in scoring.COUNTS])
+
+
+_OBJECT = """replace({pred}, '"hasProperty":"else"', concat('"other":1.5,"hasProperty":{{"z":[1,"a"],"label":"', seg, '","a":null}}'))"""
+
+
+@query(f"""{_BASE}, p AS (SELECT k, TRY_CAST({_OBJECT.format(pred="CAST(pred AS VARCHAR)")} AS JSON) AS pred FROM r WHERE pred IS NOT NULL),
+m AS (SELECT k, pred, json_keys(pred) AS keys, json_type(json_extract(pred, '$.hasProperty')) IS NOT DISTINCT FROM 'OBJECT' AS is_object,
+  list_filter([{", ".join(f"'{r}'" for r in text.ROLES)}], lambda x: NOT list_contains(json_keys(pred), x)) AS missing FROM p)
+SELECT k, '{{' || array_to_string(list_concat(
+    list_transform(keys, lambda x: '"' || x || '":' || CASE WHEN x = 'hasProperty' AND is_object THEN CAST(json_extract(pred, '$.hasProperty.label') AS VARCHAR) ELSE CAST(json_extract(pred, '$.' || x) AS VARCHAR) END),
+    list_transform(missing, lambda x: '"' || x || '":' || CASE x WHEN 'hasConstraint' THEN '[]' ELSE '""' END)), ',') || '}}' AS record,
+  array_to_string(missing, ',') AS missing, array_to_string(list_filter(keys, lambda x: x NOT IN ('label', 'comment', {", ".join(f"'{r}'" for r in text.ROLES)})), ',') AS extra,
+  is_object AS coerced, CASE WHEN is_object THEN CAST(json_extract(pred, '$.hasProperty') AS VARCHAR) END AS orig FROM m""")
+def q_coerce(spark, d):
+    rows = _mixed_records(spark, d).selectExpr("k", f"{_OBJECT.format(pred='pred')} AS pred").select("k", records.coerced(F.col("pred")).alias("c")).where("c is not null")
+    return rows.select("k", "c.record", F.array_join("c.audit.missing_keys", ",").alias("missing"), F.array_join("c.audit.extra_keys", ",").alias("extra"), F.col("c.audit.coerced_property").alias("coerced"), F.col("c.audit.orig_property").alias("orig"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
+import re
 import zipfile
 from pathlib import Path
 
@@ -13,22 +15,31 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def builder(app: str = "loomstone", cores: str = "*") -> SparkSession.Builder:
-    """A builder with the settings that the library is written for; a cluster's own settings win."""
+    """A builder with the settings that the library is written for; the master of ``spark-submit`` or of the environment wins."""
+    plain = SparkSession.builder.appName(app)
+    if "MASTER" not in os.environ and "--master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", "") and "PYSPARK_GATEWAY_PORT" not in os.environ:
+        plain = plain.master(f"local[{cores}]")
     return (
-        SparkSession.builder.appName(app)
-        .master(f"local[{cores}]")
-        .config("spark.sql.session.timeZone", "UTC")
+        plain.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session without one may take its warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
+
+
 def share_package(spark: SparkSession) -> None:
     """Ship this package to the Python workers, once for each session.
 
     Executors need no copy of the repository and share no local folder with the
-    driver: a zip of the sources goes into the shared folder (``spark.checkpoint.dir``,
-    else the warehouse) and from there, through Spark, to every worker.
+    driver: a zip of the sources goes into the shared folder and from there,
+    through Spark, to every worker.
     """
     sc = spark.sparkContext
     packed = io.BytesIO()
@@ -38,8 +49,7 @@ def share_package(spark: SparkSession) -> None:
     name = f"loomstone-{hashlib.sha256(packed.getvalue()).hexdigest()[:16]}.zip"
     if name in sc._python_includes:
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
     out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
     out.write(bytearray(packed.getvalue()))
     out.close()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.records import parsed
+from loomstone.sources.stores import Sorted, sort_out
 from loomstone.sources.turtle import turtle, turtle_triples  # noqa: F401
 
 
@@ -25,6 +26,12 @@ def json_files(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFram
     return rows.withColumn("doc", check)
 
 
+def json_files_sorted(spark: SparkSession, path: str, side: str) -> Sorted:
+    """JSON files as (path, name, raw), those that are none or blank in a side table, and the number of each; all below ``side``. A file of no bytes gives no row."""
+    value = F.col("raw")
+    return sort_out(_texts(spark, path, "*.json"), {"blank": F.trim(value).rlike(r"^\s*$"), "not json": parsed(value).isNull()}, side)
+
+
 def relative_path(path: Column, base: str) -> Column:
     """The part of a path after the last ``base/``."""
     return F.element_at(F.split(path, f"/{re.escape(base)}/"), -1)
@@ -61,6 +68,14 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select("r.*")
 
 
+def json_lines_sorted(spark: SparkSession, path: str, schema: str, side: str) -> Sorted:
+    """As ``json_lines``, with the lines that go in a side table and the number of each kind; all below ``side``."""
+    value = F.col("value")
+    found = sort_out(spark.read.text(path), {"blank": F.trim(value) == "", "footer": value.startswith("===="), "not json": parsed(value).isNull()}, side)
+    found.good = found.good.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return found
+
+
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header, all strings, with quoted line breaks, its file's ``path`` and the row's place ``pos`` in it.
 

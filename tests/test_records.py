@@ -177,3 +177,35 @@ def test_scans_and_stream(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("audit").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("audit").first().asDict() == {"model": "m", "rows": 2, "flag": 1}
+
+
+def coerced_plainly(said):
+    record = json.loads(said)
+    missing = [k for k in text.ROLES if k not in record]
+    extra = [k for k in record if k not in {"label", "comment", *text.ROLES}]
+    record |= {k: [] if k == "hasConstraint" else "" for k in missing}
+    prop = record["hasProperty"]
+    if isinstance(prop, dict):
+        record["hasProperty"] = prop.get("label", "")
+    return record, missing, extra, prop if isinstance(prop, dict) else None
+
+
+def test_coercion_of_whole_records(spark):
+    cases = [
+        {},
+        {"hasProperty": {"z": 1, "label": "L", "a": {"y": 2, "b": 1}}, "label": "x", "odd \"key\"": [1, {"q": None}]},
+        {"hasProperty": {"no": "label"}, "hasConstraint": "no list", "hasMatrix": {"SymmetricSystem": "s", "hasPart": ["b", "a"]}},
+        {"hasProperty": {"AsymmetricSystem": "s", "label": "t"}, "comment": None, "n": 1.5, "f": False},
+        {"hasProperty": None, "hasObjectOfInterest": "\u00e9\n\t\\"},
+        {"hasProperty": ["a"], "hasContextObject": {}},
+    ]
+    said = [json.dumps(c, ensure_ascii=i % 2 == 0) for i, c in enumerate(cases)] + ["[1]", "none", None, ""]
+    rows = spark.createDataFrame(list(enumerate(said)), "k int, c string").select("k", records.coerced(F.col("c")).alias("x")).orderBy("k").collect()
+    for r, case in zip(rows, said, strict=True):
+        if not case or case[0] != "{":
+            assert r.x is None
+            continue
+        record, missing, extra, prop = coerced_plainly(case)
+        assert list(json.loads(r.x.record).items()) == list(record.items())
+        a = r.x.audit
+        assert (a.missing_keys, a.extra_keys, a.coerced_property) == (missing, extra, prop is not None) and (a.orig_property and json.loads(a.orig_property)) == prop
