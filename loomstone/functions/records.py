@@ -87,12 +87,6 @@ def key_audit(json_text: Column, allowed: tuple[str, ...], required: tuple[str,
     return F.struct(F.array_except(F.array(*map(F.lit, required)), keys).alias("missing_keys"), F.array_except(keys, F.array(*map(F.lit, allowed))).alias("extra_keys"))
 
 
-def property_label(doc: Column) -> Column:
-    """The property's text; an object gives its label."""
-    kind = kind_of(doc, "hasProperty")
-    return F.when(kind == "object", F.try_variant_get(doc, "$.hasProperty.label", "string")).otherwise(F.try_variant_get(doc, "$.hasProperty", "string"))
-
-
 def overwritten(pred: Column, gt: Column) -> tuple[Column, Column]:
     """The label to keep (the ground truth's), and whether the prediction had another."""
     return gt, ~pred.eqNullSafe(gt)

@@ -81,8 +81,10 @@ def _with_cosines(rows: DataFrame, vectors: DataFrame, version: str) -> DataFram
     rows = rows.withColumn("scored_digest", digest)
     pairs = rows.select("scored_digest", F.explode(F.element_at(F.transform("scored", lambda x: _wanted(x, version)), 1)).alias("x")).select("scored_digest", "x.a", "x.b").distinct()
     known = vectors.select(F.col("text"), F.col("vector")).dropDuplicates(["text"])
-    found = pairs.join(known.withColumnsRenamed({"text": "a", "vector": "va"}), "a").join(known.withColumnsRenamed({"text": "b", "vector": "vb"}), "b")
-    found = found.select("scored_digest", F.struct(pair_key(F.col("a"), F.col("b")), cosine(F.col("va"), F.col("vb"))).alias("entry"))
+    # vectors meet each distinct pair once, whatever the number of rows that have it; rows get one number back
+    once = pairs.select("a", "b").distinct().join(known.withColumnsRenamed({"text": "a", "vector": "va"}), "a").join(known.withColumnsRenamed({"text": "b", "vector": "vb"}), "b")
+    found = pairs.join(once.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")), ["a", "b"])
+    found = found.select("scored_digest", F.struct(pair_key(F.col("a"), F.col("b")), F.col("cosine")).alias("entry"))
     maps = found.groupBy("scored_digest").agg(F.map_from_entries(F.collect_list("entry")).alias("scored_cosines"))
     return rows.join(maps, "scored_digest", "left").drop("scored_digest")
 

@@ -62,6 +62,20 @@ def stacked_means(frames: list[DataFrame], key: str, value: str) -> DataFrame:
     return stacked.groupBy(key).agg(F.round(F.avg(value), 3).alias("mean")).orderBy(F.desc("mean"), key)
 
 
+def matrix_by_mean(rows: DataFrame, index: str, shot: str, columns: str, value: str) -> DataFrame:
+    """A matrix of first values by index on top of means by shot, its columns by their mean over all cells, highest first.
+
+    Rows of means are named ``<shot>-shot | MEAN``. The names of the columns are
+    collected; Spark's limit on pivoted values bounds them. Ties of a cell go by
+    the least value, ties of columns by name.
+    """
+    cells = rows.groupBy(F.col(index).cast("string").alias("row"), columns).agg(F.round(F.min(value), 3).alias("cell"))
+    means = rows.groupBy(F.concat(F.col(shot).cast("string"), F.lit("-shot | MEAN")).alias("row"), columns).agg(F.round(F.avg(value), 3).alias("cell"))
+    both = means.unionByName(cells)
+    order = [r[0] for r in both.where(F.col(columns).isNotNull()).groupBy(columns).agg(F.avg("cell").alias("mean")).orderBy(F.desc("mean"), columns).select(columns).limit(10_001).collect()]
+    return both.groupBy("row").pivot(columns, order).agg(F.first("cell")) if order else both.select("row").distinct()
+
+
 def merge_summaries(left: DataFrame, right: DataFrame, on: str, suffixes: tuple[str, str]) -> DataFrame:
     """An inner join in which columns that both sides have get suffixes."""
     both = (set(left.columns) & set(right.columns)) - {on}

@@ -79,11 +79,13 @@ def json_lines_sorted(spark: SparkSession, path: str, schema: str, side: str) ->
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header, all strings, with quoted line breaks, its file's ``path`` and the row's place ``pos`` in it.
 
-    Files with quoted line breaks are not split, so a task reads a file in order and the ids of its rows rise.
+    Files with quoted line breaks are not split, so a task reads a file in order and
+    the ids of its rows rise by one; a row's place is its id less the file's least.
     """
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("at")).cast("bigint") - 1).drop("at")
+    placed = rows.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
+    firsts = placed.groupBy("path").agg(F.min("at").alias("first_at"))
+    return placed.join(firsts, "path").select(*rows.columns, "path", (F.col("at") - F.col("first_at")).alias("pos"))
 
 
 def forward_fill(rows: DataFrame, col: str, order: str, by: list[str]) -> DataFrame:
@@ -133,14 +135,18 @@ def write_records(df: DataFrame, path: str) -> None:
 
 
 def json_array(df: DataFrame, order: str) -> DataFrame:
-    """(value): one JSON array of all records in an order, a line for each, so that its lines can be written from many tasks."""
-    last = F.struct(F.col(order).alias("order"))
-    ends = df.agg(F.min(last).alias("lo"), F.max(last).alias("hi"))
-    line = df.select(F.col(order).alias("order"), F.to_json(F.struct(*df.columns)).alias("json"))
+    """(value): one JSON array of all records in an order, a line for each, so that its lines can be written from many tasks.
+
+    Records that tie go by their JSON; equal ones are told apart by their number.
+    """
+    line = df.select(F.col(order).alias("order"), F.to_json(F.struct(*df.columns)).alias("json")).groupBy("order", "json").agg(F.count("*").alias("times"))
+    ends = line.agg(F.min(F.struct("order", "json")).alias("lo"), F.max(F.struct("order", "json")).alias("hi"))
     rows = line.join(F.broadcast(ends), F.lit(True))  # one row of bounds
-    first, final = F.col("order").eqNullSafe(F.col("lo.order")), F.col("order").eqNullSafe(F.col("hi.order"))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    at = lambda end: F.struct("order", "json").eqNullSafe(F.col(end))
+    first, final = at("lo") & (F.col("nth") == 1), at("hi") & (F.col("nth") == F.col("times"))
     value = F.concat(F.when(first, "[").otherwise(""), "json", F.when(final, "]").otherwise(","))
-    return rows.select("order", value.alias("value")).orderBy("order").select("value")
+    return rows.select("order", "json", "nth", value.alias("value")).orderBy("order", "json", "nth").select("value")
 
 
 def write_one_per_key(df: DataFrame, key: str, path: str) -> None:

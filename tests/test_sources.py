@@ -87,6 +87,8 @@ def test_sinks(spark, tmp_path):
     lines = [r.value for r in scans.json_array(df, "id").collect()]
     assert json.loads("".join(lines)) == [{"id": 1, "kind": "a", "x": 0.5}, {"id": 2, "kind": "b"}, {"id": 3, "kind": "a", "x": 1.0}]
     assert scans.json_array(df.where("false"), "id").count() == 0
+    tied = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, "c"), (None, "n"), (None, "n")], "id int, v string")
+    assert json.loads("".join(r.value for r in scans.json_array(tied, "id").collect())) == [{"v": "n"}, {"v": "n"}, {"id": 1, "v": "a"}, {"id": 1, "v": "b"}, {"id": 2, "v": "c"}, {"id": 2, "v": "c"}]
     scans.write_one_per_key(df, "kind", f"{tmp_path}/keys")
     assert sorted(p.parent.name for p in (tmp_path / "keys").rglob("*.json")) == ["kind=a", "kind=b"]
     scans.write_records(df, f"{tmp_path}/records")
