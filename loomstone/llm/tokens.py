@@ -3,7 +3,9 @@
 The vocabulary becomes a trie with failure links; each link carries how many
 tokens are popped when it is taken, so greedy longest-match piece counts come
 out of one walk over a word, with no pieces built and nothing read twice. The
-automaton walks all distinct words of a chunk together, a byte at a time.
+automaton walks all distinct words of a chunk together, a byte at a time; once
+few are left, such as the long ones of scripts without spaces, each goes on alone
+over a table of edges, which costs nothing for the words that have ended.
 
 Words are runs of letters (ASCII letters and any non-ASCII character), single
 ASCII digits, and runs of other ASCII characters but white space; A-Z are
@@ -26,6 +28,8 @@ from loomstone.llm.words import FOLD, chunks, mix
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
+FEW = 96  # words that are left when each goes on alone
+
 _CLASS = np.full(256, 3, dtype=np.uint8)  # 0 white space, 1 letter, 2 digit, 3 other
 _CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
 _CLASS[0x61:0x7B] = _CLASS[0x80:] = 1
@@ -113,6 +117,29 @@ class LongestMatch:
             state[go] = self.fail[state[go]]
         return live[count[live] >= 0]
 
+    def _tables(self) -> tuple[dict[int, int], list[int], list[int]]:
+        """Edges by state and byte, failure links and popped counts, made once a process."""
+        if not hasattr(self, "_plain"):
+            self._plain = dict(zip(self.key.tolist(), self.to.tolist(), strict=True)), self.fail.tolist(), self.pops.tolist()
+        return self._plain
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_plain"}
+
+    def _walk(self, word: bytes, state: int, count: int) -> tuple[int, int]:
+        """Move one word on to its end; count -1 where it cannot go on."""
+        edges, fail, pops = self._tables()
+        for c in word:
+            to = edges.get(state << 8 | c)
+            while to is None:
+                if fail[state] < 0:
+                    return state, -1
+                count += pops[state]
+                state = fail[state]
+                to = edges.get(state << 8 | c)
+            state = to
+        return state, count
+
     def count(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Pieces of each word; a word that the vocabulary cannot spell counts as one unknown."""
         n = len(start)
@@ -120,10 +147,12 @@ class LongestMatch:
         symbol = np.zeros(n, dtype=np.int64)
         live = np.argsort(-size, kind="stable")
         step = 0
-        while len(live := live[size[live] > step]):
+        while len(live := live[size[live] > step]) > FEW:
             symbol[live] = data[start[live] + step]
             live = self._step(state, symbol, count, live)
             step += 1
+        for i in live.tolist():
+            state[i], count[i] = self._walk(data[start[i] + step : start[i] + size[i]].tobytes(), int(state[i]), int(count[i]))
         rest = np.flatnonzero((count >= 0) & (state > 0))  # pop what is left at the word's end
         while len(rest):
             lost = self.fail[state[rest]] < 0
