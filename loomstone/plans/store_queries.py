@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions.records import parsed
-from loomstone.plans.queries import query, t
+from loomstone.plans import summary
+from loomstone.plans.queries import _two_keys, query, t
 from loomstone.session import shared_folder
-from loomstone.sources import stores
+from loomstone.sources import stores, workbooks
 
 
 def _new_folder(spark: SparkSession) -> str:
@@ -58,3 +59,18 @@ def q_scan_counts(spark, d):
     counts = F.create_map(*[x for k, v in parted.counts.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])
     both = parted.good.withColumn("reason", F.lit("ok")).unionByName(parted.rejected)
     return both.groupBy("reason").agg(F.count("*").alias("found"), F.sum("event_id").alias("ids")).select("reason", F.try_element_at(counts, F.col("reason")).alias("counted"), "found", "ids")
+
+
+@query("""WITH k AS (SELECT c_nationkey, 'segment' AS key, CAST(c_custkey % 3 = 0 AS DOUBLE) AS tp, CAST(c_custkey % 3 = 2 AS DOUBLE) AS fp, CAST(c_custkey % 3 = 1 AS DOUBLE) AS fn, 0.0::DOUBLE AS tn FROM customer
+  UNION ALL SELECT c_nationkey, 'nothing', 0, CAST(c_custkey % 3 <> 1 AS DOUBLE), 0, CAST(c_custkey % 3 = 1 AS DOUBLE) FROM customer),
+b AS (SELECT unnest(['even.xlsx', 'odd.xlsx']) AS workbook, unnest([0, 1]) AS half)
+SELECT workbook, c_nationkey, key, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM k JOIN b ON c_nationkey % 2 = half GROUP BY ALL""")
+def q_workbooks(spark, d):
+    """Two runs' workbooks, written with all their sheets, and the counts of both read on top of each other."""
+    path = _new_folder(spark)
+    rows = _two_keys(spark, d)
+    for name, half in (("even", 0), ("odd", 1)):
+        mine = rows.where(F.col("c_nationkey") % 2 == half).groupBy("c_nationkey").agg(*[F.struct(*[F.sum(f"{k}.{c}").alias(c) for c in summary.COUNTS]).alias(k) for k in ("segment", "nothing")], F.count("*").alias("said"))
+        workbooks.write_workbook(summary.workbook_parts(mine, ["c_nationkey"], ["segment", "nothing"], ["said"], []), f"{path}/{name}.xlsx")
+    counts = [workbooks.read_workbooks(spark, path, f"{k} concepts", "c_nationkey int, tp double, fp double, fn double, tn double").withColumn("key", F.lit(k)) for k in ("segment", "nothing")]
+    return counts[0].unionByName(counts[1]).drop("pos")

@@ -76,6 +76,15 @@ def matrix_by_mean(rows: DataFrame, index: str, shot: str, columns: str, value:
     return both.groupBy("row").pivot(columns, order).agg(F.first("cell")) if order else both.select("row").distinct()
 
 
+def workbook_parts(scored: DataFrame, keys: list[str], structs: list[str], outputs: list[str], by: list[str]) -> dict[str, DataFrame]:
+    """The sheets of a run's workbook: one of counts for each key, the outputs, and the summary by group; none where nothing is scored."""
+    if scored.isEmpty():
+        return {}
+    long = long_counts(scored, [*keys, *by], structs)
+    parts = {f"{s} concepts": long.where(F.col("key") == s).drop("key").orderBy(*keys) for s in structs}
+    return parts | {"LLM outputs": scored.select(*keys, *outputs).orderBy(*keys), "Summary": micro(long, [*by, "key"]).orderBy(*by, "key")}
+
+
 def merge_summaries(left: DataFrame, right: DataFrame, on: str, suffixes: tuple[str, str]) -> DataFrame:
     """An inner join in which columns that both sides have get suffixes."""
     both = (set(left.columns) & set(right.columns)) - {on}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import reduce
 from uuid import uuid4
 
@@ -41,15 +42,28 @@ class Folder:
         finally:
             stream.close()
 
-    def commit(self, name: str, text: str) -> None:
-        """Write a small file whole or not at all: beside its place first, then renamed."""
-        hidden = self._at(f"{name.rpartition('/')[0]}/.{uuid4().hex}")
+    @contextmanager
+    def whole(self, name: str, replace: bool = True):
+        """A stream to a file that takes its place once it is written, and never does if that fails."""
+        hidden = self._at(f"{name.rpartition('/')[0]}/.{uuid4().hex}".lstrip("/"))
         stream = self._fs.create(hidden, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
+        try:
+            yield stream
+            stream.close()
+        except BaseException:
+            stream.close()
+            self._fs.delete(hidden, False)
+            raise
+        if replace and self._fs.exists(self._at(name)):
+            self._fs.delete(self._at(name), False)
         if not self._fs.rename(hidden, self._at(name)):
             raise OSError(f"{name} in {self.path} exists or can't be written")
 
+    def commit(self, name: str, text: str) -> None:
+        """Write a small file whole or not at all; it must not exist yet."""
+        with self.whole(name, replace=False) as stream:
+            stream.write(bytearray(text.encode()))
+
     def remove(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
