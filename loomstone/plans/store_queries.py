@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions.records import parsed
 from loomstone.plans import summary
 from loomstone.plans.queries import _two_keys, query, t
-from loomstone.session import shared_folder
+from loomstone.session import new_folder
 from loomstone.sources import stores, workbooks
 
 
-def _new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/stored-{uuid4().hex}"
-
-
 @query("""WITH k AS (SELECT o_custkey % 50 AS model, o_orderpriority AS shot, bool_or(o_orderstatus = 'F') AS early, count(*) FILTER (WHERE o_custkey % 5 <> 0) AS n FROM orders GROUP BY ALL)
 SELECT model, shot, CASE WHEN n > 0 THEN n END AS answer, CASE WHEN n > 0 THEN CASE WHEN early THEN 1 ELSE 2 END END AS asked_in FROM k""")
 def q_answers(spark, d):
     """Two runs that ask a recorded service through a store: the second asks only what the first did not."""
     orders = t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("model"), F.col("o_orderpriority").alias("shot"), "o_orderstatus", "o_custkey")
     recorded = orders.where("o_custkey % 5 <> 0").groupBy("model", "shot").agg(F.count("*").alias("answer"))
-    kept = stores.Answers(spark, _new_folder(spark), ["model", "shot"], "answer bigint, asked_in int", buckets=8)
+    kept = stores.Answers(spark, new_folder(spark), ["model", "shot"], "answer bigint, asked_in int", buckets=8)
     for run, wanted in ((1, orders.where("o_orderstatus = 'F'")), (2, orders)):
         kept.fill(wanted.select("model", "shot"), lambda missing, run=run: missing.join(recorded, ["model", "shot"]).withColumn("asked_in", F.lit(run)), steps=1)
     return kept.lookup(orders.select("model", "shot").distinct())
@@ -33,7 +27,7 @@ def q_answers(spark, d):
 @query("""SELECT o_orderstatus AS run_id, o_orderpriority, count(*) AS n, CASE o_orderstatus WHEN 'P' THEN 1 ELSE 2 END AS written FROM orders GROUP BY ALL""")
 def q_history(spark, d):
     """A history of a run for each status; two are written again, and a third attempt fails."""
-    path = _new_folder(spark)
+    path = new_folder(spark)
 
     def summary(status: str, written: int) -> DataFrame:
         found = t(spark, d, "orders").where(F.col("o_orderstatus") == status).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
@@ -55,7 +49,7 @@ def q_scan_counts(spark, d):
     """Lines parted from those that are no records in one pass, with the counts of that pass beside those of the tables."""
     lines = t(spark, d, "events").selectExpr("event_id", f"{_LINE} AS line")
     line = F.col("line")
-    parted = stores.sort_out(lines, {"blank": F.trim(line) == "", "footer": line.startswith("===="), "not json": parsed(line).isNull()}, _new_folder(spark))
+    parted = stores.sort_out(lines, {"blank": F.trim(line) == "", "footer": line.startswith("===="), "not json": parsed(line).isNull()}, new_folder(spark))
     counts = F.create_map(*[x for k, v in parted.counts.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])
     both = parted.good.withColumn("reason", F.lit("ok")).unionByName(parted.rejected)
     return both.groupBy("reason").agg(F.count("*").alias("found"), F.sum("event_id").alias("ids")).select("reason", F.try_element_at(counts, F.col("reason")).alias("counted"), "found", "ids")
@@ -67,7 +61,7 @@ b AS (SELECT unnest(['even.xlsx', 'odd.xlsx']) AS workbook, unnest([0, 1]) AS ha
 SELECT workbook, c_nationkey, key, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM k JOIN b ON c_nationkey % 2 = half GROUP BY ALL""")
 def q_workbooks(spark, d):
     """Two runs' workbooks, written with all their sheets, and the counts of both read on top of each other."""
-    path = _new_folder(spark)
+    path = new_folder(spark)
     rows = _two_keys(spark, d)
     for name, half in (("even", 0), ("odd", 1)):
         mine = rows.where(F.col("c_nationkey") % 2 == half).groupBy("c_nationkey").agg(*[F.struct(*[F.sum(f"{k}.{c}").alias(c) for c in summary.COUNTS]).alias(k) for k in ("segment", "nothing")], F.count("*").alias("said"))

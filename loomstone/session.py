@@ -8,6 +8,7 @@ import os
 import re
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -34,6 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
     return (path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The path of a folder below the shared one that nobody uses yet."""
+    return f"{shared_folder(spark)}/stored-{uuid4().hex}"
+
+
 def share_package(spark: SparkSession) -> None:
     """Ship this package to the Python workers, once for each session.
 
