@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstone.session import shared_folder
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,16 +84,10 @@ def map_columns(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where a session has none (tests) is one set, under the warehouse.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(path)
+    """The folder that driver and executors share; checkpoints go there, too, where a session has set no folder for them (tests)."""
+    path = shared_folder(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
@@ -126,14 +122,24 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Remove the tables that this application has stored; call it once its results are written. Returns their number."""
+def stored(spark: SparkSession) -> int:
+    """The number of tables that this application has stored and not removed."""
+    return len(_stored.get(spark.sparkContext.applicationId, []))
+
+
+def drop_stored(spark: SparkSession, since: int = 0, but_last: int = 0) -> int:
+    """Remove the tables that this application has stored; call it once its results are written.
+
+    Those stored before the number ``since`` and the last ``but_last`` stay. Returns the number of tables removed.
+    """
     sc = spark.sparkContext
-    paths = _stored.pop(sc.applicationId, [])
-    for path in paths:
+    paths = _stored.get(sc.applicationId, [])
+    end = max(since, len(paths) - but_last)
+    gone, paths[since:end] = paths[since:end], []
+    for path in gone:
         there = sc._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
-    return len(paths)
+    return len(gone)
 
 
 def crc32_sql(text: str) -> str:

@@ -194,3 +194,15 @@ def test_shards_of_odd_tables(spark, tmp_path):
 def test_sharding_is_native(spark):
     plan = registry.QUERIES["op13_sharding"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_stored_tables_go_by_age(spark):
+    from loomstone.llm import common
+
+    before = common.stored(spark)
+    tables = [common.store(spark.range(n), "kept") for n in (1, 2, 3)]
+    assert common.stored(spark) == before + 3 and common.drop_stored(spark, since=before, but_last=1) == 2
+    assert tables[2].count() == 3 and common.stored(spark) == before + 1
+    with pytest.raises(Exception, match="not exist|NOT_EXIST"):
+        tables[0].collect()
+    assert common.drop_stored(spark, since=before) == 1 and common.drop_stored(spark, since=before) == 0
