@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import free_name, store, table
+from loomstone.llm.common import drop_stored, free_name, store, stored, table
 from loomstone.llm.decontaminate import decontaminate, free_marker, remove_spans
 from loomstone.llm.ngram_join import ngram_join
 from loomstone.llm.packing import pack
@@ -104,9 +104,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; tables that earlier stages have stored go as soon as the next one's input is written."""
     docs = table(spark, sf_dir, "documents")
+    since = stored(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = store(docs, f"stage{k}")
+            drop_stored(spark, since, but_last=1)
     return docs
