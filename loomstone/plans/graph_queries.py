@@ -163,7 +163,7 @@ def _trade(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 _XSD, _TOTAL, _DAY = graphs.XSD, "CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR)", "strftime(o_orderdate, '%Y-%m-%d')"
 
 
-@query(f"""
+_TRADE_SQL = f"""
 WITH x AS (
   SELECT 'n/' || n_nationkey AS s, 'type' AS p, '{EX}Nation' AS o, 'iri' AS o_kind, NULL AS datatype, NULL AS lang FROM nation
   UNION SELECT 'n/' || n_nationkey, 'region', CAST(n_regionkey AS VARCHAR), 'literal', '{_XSD}integer', NULL FROM nation
@@ -176,7 +176,10 @@ WITH x AS (
   UNION SELECT 'o/' || o_orderkey, 'created', {_DAY}, 'literal', '{_XSD}' || CASE o_orderstatus WHEN 'P' THEN 'string' ELSE 'date' END, NULL FROM orders
   UNION SELECT 'o/' || o_orderkey, 'placedBy', '{EX}c/' || c_custkey, 'iri', NULL, NULL FROM orders JOIN customer ON o_custkey = c_custkey
 )
-SELECT 'trade' AS graph_id, '{EX}' || s AS s, CASE p WHEN 'type' THEN '{graphs.RDF_TYPE}' ELSE '{EX}' || p END AS p, o, o_kind, datatype, lang FROM x""")
+SELECT '{EX}' || s AS s, CASE p WHEN 'type' THEN '{graphs.RDF_TYPE}' ELSE '{EX}' || p END AS p, o, o_kind, datatype, lang FROM x"""
+
+
+@query(f"SELECT 'trade' AS graph_id, * FROM ({_TRADE_SQL})")
 def q_mapping(spark, d):
     return mappings.run_mappings(_MAPPING, _trade(spark, d), "trade")
 

@@ -262,15 +262,17 @@ def _of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(rows())
 
 
-def turtle(spark: SparkSession, path: str) -> DataFrame:
+def turtle(spark: SparkSession, path: str, pattern: str = "*.ttl") -> DataFrame:
     """(graph_id, s, p, o, o_kind, datatype, lang) of all Turtle files below a folder; a graph is a file's name.
 
+    Files of other names, such as lines of N-Triples that Spark wrote, are read with another ``pattern``.
+
     Files come as lines from Spark's text reader, from any store it reads; the
     lines of a file are put in order and streamed through one task; a line break
     in a literal is read as ``\\n``. A folder without such files gives none; a file
     that is not Turtle fails the query.
     """
-    read = spark.read.option("pathGlobFilter", "*.ttl").option("recursiveFileLookup", True).text(path)
+    read = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
     lines = read.select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     dealt = lines.repartition("path").sortWithinPartitions("path", "block", "at")
     return dealt.select("path", "value").mapInArrow(_of_lines, SCHEMA)
