@@ -7,8 +7,8 @@
    A signature deals the set by hash into ``d + c`` parts and keeps one hash of
    each part's content: linked sets agree in ``c`` parts or more. A part holds
    several shingles, so unrelated texts hardly ever agree in one, however large
-   the corpus. Lists of a part are streamed in sorted order; those of one class
-   go at once. A class with fewer shared parts than a link needs goes too, and of
+   the corpus. Lists of a part are streamed in sorted order, long ones by several
+   tasks, each of which has a range of the classes; those of one class go at once. A class with fewer shared parts than a link needs goes too, and of
    the others only the rarest parts stay that a link can not do without. Each
    class is joined to the first class (the leader) of its lists.
 3. Every class is first searched in its largest group alone: an inverted index,
@@ -141,8 +141,14 @@ def _signatures(k: int, num: int, den: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (s, fp1, tag) sorted by s, fp1 -> (s, leader, fp1, tag) of every s that two or more classes have."""
+    """Rows (s, fp1, tag) sorted by s, fp1 -> (s, leader, fp1, tag) of every s that two or more classes have.
+
+    The lists of the first and the last s may go on in other tasks: each gives a
+    row without a class, too, and a class that is alone in one gives a row with
+    its tag below zero.
+    """
     last_s = last_fp = leader = held = None
+    edges: dict[int, tuple[int, int, int]] = {}  # s -> its first class here, that class's tag and classes, two at most
     for batch in batches:
         s, fp, tag = (batch.column(i).to_numpy() for i in range(3))
         if held is not None:
@@ -166,12 +172,22 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         real = size > 1
         if goes_on:
             heads[0], real[0] = leader, True
+        if not edges:
+            first_s, edges[int(s[0])] = int(s[0]), (int(fp[0]), int(tag[0]), 0)
+        if int(s[0]) == first_s and real[0]:
+            edges[first_s] = (*edges[first_s][:2], 2)
         last_s, last_fp, leader = int(s[-1]), int(fp[-1]), int(heads[-1])
         held = None if real[-1] else (s[-1:], fp[-1:], tag[-1:])
         use = real[group]
         if use.any():
             columns = [s[use].astype(np.int64), heads[group][use], fp[use].astype(np.int64), tag[use].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["s", "leader", "fp1", "tag"])
+    if not edges:
+        return
+    if last_s != first_s:
+        edges[last_s] = (leader, 0, 2) if held is None else (int(held[1][0]), int(held[2][0]), 0)
+    rows = [(x, fp, None, 0) for x, (fp, _, _) in edges.items()] + [(x, fp, fp, -t) for x, (fp, t, several) in edges.items() if not several]
+    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["s", "leader", "fp1", "tag"])
 
 
 def _meet(postings: DataFrame) -> DataFrame:
@@ -185,9 +201,17 @@ def _meet(postings: DataFrame) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """The postings (s, fp1, tag) whose s two or more classes have, with the first of those as ``leader``."""
-    lists = arrow(postings.repartition("s").sortWithinPartitions("s", "fp1"), _lists, "s bigint, leader bigint, fp1 bigint, tag int")
-    return store(lists, "lists")
+    """The postings (s, fp1, tag) whose s two or more classes have, with the first of those as ``leader``.
+
+    Ranges of (s, class) go to the tasks, so a list that many classes share is
+    not one task's. What a task can not know of its first and its last list comes
+    from the rows without a class, of which there are two a task at most.
+    """
+    lists = arrow(postings.repartitionByRange("s", "fp1").sortWithinPartitions("s", "fp1"), _lists, "s bigint, leader bigint, fp1 bigint, tag int")
+    lists = store(lists, "lists")
+    parted = lists.where("fp1 is null").groupBy("s").agg(F.min("leader").alias("first"), F.count("*").alias("tasks")).where("tasks > 1").drop("tasks")
+    whole = lists.where("fp1 is not null").join(F.broadcast(parted), "s", "left").where("tag > 0 or first is not null")
+    return whole.select("s", F.coalesce("first", "leader").alias("leader"), "fp1", F.abs("tag").alias("tag"))
 
 
 def _rarest(lists: DataFrame) -> DataFrame:
@@ -513,8 +537,8 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_co
     again = _again(members, cells, found, texts, k, num, den)
     edges = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     # rows that share an id are one document: their classes hang together
-    twins = meta.where("n > 0").groupBy("doc_id").agg(F.min("fp1").alias("u"), F.collect_set("fp1").alias("all")).where("size(all) > 1")
-    edges = edges.union(twins.select("u", F.explode("all").alias("v")))
+    twins = meta.where("n > 0").groupBy("doc_id").agg(F.min("fp1").alias("u"), F.max("fp1").alias("v")).where("u < v").select("doc_id", "u")
+    edges = edges.union(meta.where("n > 0").join(twins, "doc_id").where("fp1 <> u").select("u", F.col("fp1").alias("v")).distinct())
     found = components(edges if again is None else edges.union(again))
     linked = classes.join(found, classes["fp1"] == found["node"]).select("fp1", "component", "rep")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
