@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import records, similarity, text
 from loomstone.operators import confusion, graphs, grids, linking, metrics, scoring
 from loomstone.plans import summary
+from loomstone.session import spread
 from loomstone.sources import scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -306,7 +307,7 @@ def q_record_totals(spark, d):
 
 
 def _mixed_records(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "customer").selectExpr("c_custkey AS k", "c_name AS name", "c_mktsegment AS seg")
+    rows = spread(t(spark, d, "customer").selectExpr("c_custkey AS k", "c_name AS name", "c_mktsegment AS seg"))
     return rows.selectExpr("k", "seg", f"{_GT_SQL} AS gt", f"{_PRED_SQL} AS pred")
 
 

@@ -10,7 +10,7 @@ import zipfile
 from pathlib import Path
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -40,6 +40,16 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stored-{uuid4().hex}"
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work that costs far more than its rows weigh: three for each core, or as many as a shuffle has."""
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt evenly over ``tasks``; a scan has one for each group of rows in a file, and a small file has but one group."""
+    return rows.repartition(tasks(rows.sparkSession))
+
+
 def share_package(spark: SparkSession) -> None:
     """Ship this package to the Python workers, once for each session.
 
