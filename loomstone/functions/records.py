@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import ROLES, canonical_target, is_blank, normalise
@@ -19,6 +19,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unnest(rows: DataFrame, items: Column | str, *keep: Column | str, name: str = "x") -> DataFrame:
+    """``keep`` and each element of an array in a column ``name``, as ``explode`` gives them.
+
+    Before a plain explode Spark tests the array's size and whether it is null, and
+    works the array out anew for each test; here it is worked out once.
+    """
+    return rows.select(*keep, F.posexplode_outer(items).alias("_place", name)).where("_place is not null").drop("_place")
+
+
 def parsed(text: Column) -> Column:
     """The JSON value, null for text that is none or that goes on after it."""
     whole = text.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.functions.records import CONSTRAINTS, normal_constraints, parsed
+from loomstone.functions.records import CONSTRAINTS, normal_constraints, parsed, unnest
 from loomstone.functions.similarity import asymmetric, cosine, fold, near, pair_key, same, symmetric
 from loomstone.functions.text import ROLES
 from loomstone.operators.confusion import CLOSE, EXACT, match_constraints, role_confusion
@@ -138,7 +138,7 @@ def _sides(x: Column) -> Column:
 
 def by_role(scored: DataFrame, keys: list[str]) -> DataFrame:
     """One row (keys, role, tp, fp, fn, tn) for each role of each scored record."""
-    return scored.select(*keys, F.explode("roles").alias("r")).select(*keys, "r.*")
+    return unnest(scored, "roles", *keys, name="r").select(*keys, "r.*")
 
 
 def reuse(tasks: DataFrame, answers: DataFrame, key: list[str], approach: str) -> DataFrame:

@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.catalog import QUERIES
+from loomstone.functions.records import unnest
 from loomstone.session import spread, tasks
 
 SF = "/root/testdata/sf0.001"
 DEALT = [
     "q_record_totals",
+    "q_role_totals",
 ]
 
 
@@ -22,3 +24,9 @@ def test_rows_are_dealt_and_arrays_worked_out_once(spark, name):
 def test_spread_gives_every_task_rows(spark):
     counts = spread(spark.range(1200).coalesce(1)).groupBy(F.spark_partition_id()).count().collect()
     assert len(counts) == tasks(spark) and max(c["count"] for c in counts) <= 2 * 1200 // tasks(spark)
+
+
+def test_unnest_equals_explode(spark):
+    rows = spark.createDataFrame([(1, ["a", None, "b"]), (2, []), (3, None), (4, [None])], "k int, v array<string>")
+    want = rows.select("k", F.explode("v").alias("x")).collect()
+    assert sorted(map(str, unnest(rows, "v", "k").collect())) == sorted(map(str, want)) and len(want) == 4
