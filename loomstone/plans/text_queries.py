@@ -173,5 +173,6 @@ SELECT k, '{{' || array_to_string(list_concat(
   array_to_string(missing, ',') AS missing, array_to_string(list_filter(keys, lambda x: x NOT IN ('label', 'comment', {", ".join(f"'{r}'" for r in text.ROLES)})), ',') AS extra,
   is_object AS coerced, CASE WHEN is_object THEN CAST(json_extract(pred, '$.hasProperty') AS VARCHAR) END AS orig FROM m""")
 def q_coerce(spark, d):
-    rows = _mixed_records(spark, d).selectExpr("k", f"{_OBJECT.format(pred='pred')} AS pred").select("k", records.coerced(F.col("pred")).alias("c")).where("c is not null")
+    rows = _mixed_records(spark, d).selectExpr("k", f"{_OBJECT.format(pred='pred')} AS pred")
+    rows = records.unnest(rows, F.filter(F.array(records.coerced(F.col("pred"))), lambda c: c.isNotNull()), "k", name="c")
     return rows.select("k", "c.record", F.array_join("c.audit.missing_keys", ",").alias("missing"), F.array_join("c.audit.extra_keys", ",").alias("extra"), F.col("c.audit.coerced_property").alias("coerced"), F.col("c.audit.orig_property").alias("orig"))
