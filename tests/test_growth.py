@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 DEALT = [
     "q_record_totals",
     "q_role_totals",
+    "q_record_confusion",
     "q_coerce",
 ]
 
