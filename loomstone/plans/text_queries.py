@@ -119,8 +119,9 @@ def q_string_leaves(spark, d):
 
 @query(f"""{_BASE} SELECT k, array_to_string(list_sort(list(substr(fullkey, 3))), ' ') AS paths FROM r, json_tree(pred) AS j WHERE j.type = 'VARCHAR' AND atom ->> '$' = seg GROUP BY k""")
 def q_value_paths(spark, d):
-    rows = _mixed_records(spark, d).select("k", F.array_sort(metrics.value_paths(F.col("seg"), F.col("pred"))).alias("paths"))
-    return rows.where(F.size("paths") > 0).select("k", F.array_join("paths", " ").alias("paths"))
+    paths = F.array_sort(metrics.value_paths(F.col("seg"), F.col("pred")))
+    rows = records.unnest(_mixed_records(spark, d), F.filter(F.array(paths), lambda x: F.size(x) > 0), "k", name="paths")
+    return rows.select("k", F.array_join("paths", " ").alias("paths"))
 
 
 @query("""WITH s AS (SELECT a.vec_id, a.label AS x, b.label AS y, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)

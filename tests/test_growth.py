@@ -13,6 +13,7 @@ DEALT = [
     "q_role_totals",
     "q_record_confusion",
     "q_coerce",
+    "q_value_paths",
 ]
 
 
