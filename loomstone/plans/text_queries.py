@@ -87,7 +87,7 @@ SELECT k, label, array_to_string(list_filter([CASE WHEN json_type(json_extract(p
     AND list_contains({_ITEMS.format(x="pred", f="label")}, label) THEN 'hasConstraint.label' END], lambda x: x IS NOT NULL), ',') AS found FROM l""")
 def q_locate_constraints(spark, d):
     rows = _mixed_records(spark, d).select("k", records.parsed(F.col("gt")).alias("gt"), records.parsed(F.col("pred")).alias("pred"))
-    each = rows.select("k", F.explode(metrics.locate_constraints(F.col("gt"), F.col("pred"))).alias("x"))
+    each = records.unnest(rows, metrics.locate_constraints(F.col("gt"), F.col("pred")), "k")
     return each.select("k", "x.label", F.array_join("x.found_in", ",").alias("found"))
 
 
@@ -114,7 +114,7 @@ def q_hallucinations_mixed(spark, d):
 
 @query(f"""{_BASE} SELECT k, substr(fullkey, 3) AS path, atom ->> '$' AS text FROM r, json_tree(pred) AS j WHERE j.type = 'VARCHAR'""")
 def q_string_leaves(spark, d):
-    return _mixed_records(spark, d).select("k", F.explode(records.string_leaves(F.col("pred"))).alias("x")).select("k", "x.*")
+    return records.unnest(_mixed_records(spark, d), records.string_leaves(F.col("pred")), "k").select("k", "x.*")
 
 
 @query(f"""{_BASE} SELECT k, array_to_string(list_sort(list(substr(fullkey, 3))), ' ') AS paths FROM r, json_tree(pred) AS j WHERE j.type = 'VARCHAR' AND atom ->> '$' = seg GROUP BY k""")

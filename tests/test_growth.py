@@ -14,6 +14,7 @@ DEALT = [
     "q_record_confusion",
     "q_coerce",
     "q_value_paths",
+    "q_string_leaves",
 ]
 
 
