@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.functions.records import constraints, entity, kind_of, parsed, string_leaves, value_is_empty
+from loomstone.functions.records import constraints, entity, kind_of, parsed, string_leaves, unnest, value_is_empty
 from loomstone.functions.similarity import sequence_ratio
 from loomstone.functions.text import ROLES, contains_folded
 
@@ -100,7 +100,7 @@ def value_paths(needle: Column, record: Column) -> Column:
 
 def location_counts(rows: DataFrame, found_in: str = "found_in") -> DataFrame:
     """(location, n): how often each place occurs."""
-    return rows.select(F.explode(found_in).alias("location")).groupBy("location").agg(F.count("*").alias("n"))
+    return unnest(rows, found_in, name="location").groupBy("location").agg(F.count("*").alias("n"))
 
 
 def best_matches(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -172,7 +172,7 @@ def q_locate(spark, d):
     here = lambda n: F.when(F.col("event_id") % n == 0, F.col("event_type")).otherwise("-")
     rule = F.array(F.struct(here(5).alias("label"), F.lit("-").alias("on")))
     record = F.to_json(F.struct(here(2).alias("hasProperty"), here(3).alias("hasObjectOfInterest"), rule.alias("hasConstraint")))
-    rows = t(spark, d, "events").select("event_type", records.parsed(record).alias("doc"))
+    rows = spread(t(spark, d, "events").select("event_id", "event_type")).select("event_type", records.parsed(record).alias("doc"))
     return metrics.location_counts(rows.select(metrics.locate(F.col("event_type"), F.col("doc")).alias("found_in")))
 
 

@@ -15,6 +15,7 @@ DEALT = [
     "q_coerce",
     "q_value_paths",
     "q_string_leaves",
+    "q_locate",
 ]
 
 
