@@ -461,7 +461,8 @@ def q_conformance(spark, d):
     deep = F.struct(F.struct(F.struct(F.struct(F.array(F.col("p_type"), F.when(listed, F.upper("p_name"))).alias("hasPart")).alias("z")).alias("y")).alias("x"))
     constraint = F.struct(F.col("p_brand").alias("label"), F.col("p_size").alias("on"))
     record = F.to_json(F.struct(F.struct(label.alias("label"), F.col("p_type").alias("kind")).alias("a"), F.col("p_brand").alias("b"), F.array(constraint, constraint).alias("hasConstraint"), deep.alias("d")))
-    pairs = t(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("gt"), records.string_leaves(record).alias("leaves"))
+    parts = spread(t(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"))
+    pairs = parts.select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("gt"), records.string_leaves(record).alias("leaves"))
     return metrics.best_matches(pairs)
 
 

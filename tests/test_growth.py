@@ -16,6 +16,7 @@ DEALT = [
     "q_value_paths",
     "q_string_leaves",
     "q_locate",
+    "q_conformance",
 ]
 
 
