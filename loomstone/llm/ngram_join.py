@@ -425,10 +425,16 @@ def _open(named: DataFrame) -> DataFrame:
 def _again(members: DataFrame, cells: DataFrame, found: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
     """Links inside groups that hold several components and were not searched whole."""
     named = members.join(found, members["fp1"] == found["node"], "left").select("leader", "doc_id", "fp1", "n", F.coalesce("component", "fp1").alias("label"))
-    cell = named.join(cells, "fp1").groupBy("leader").agg(F.min("cell").alias("a"), F.max("cell").alias("b"), F.count("cell").alias("in_one"), F.count("*").alias("all"))
-    parted = cell.where("a <> b or in_one < all").select("leader")
-    sizes = named.groupBy("leader").agg(_blocks().alias("blocks"), F.count("*").alias("count"))
-    named = checkpoint(_open(named.join(parted, "leader")).join(sizes, "leader"))
+    # all that is asked of a group comes from one grouping, so its members meet it once
+    each = named.join(cells, "fp1").groupBy("leader", "label").agg(F.min("cell").alias("a"), F.max("cell").alias("b"), F.count("cell").alias("in_one"), F.count("*").alias("count"), F.sum("n").alias("n"))
+    group = each.groupBy("leader").agg(
+        F.max_by("label", F.struct("count", "label")).alias("main"),
+        *[F.min("a").alias("a"), F.max("b").alias("b"), F.sum("in_one").alias("in_one"), F.count("*").alias("kinds")],
+        F.greatest(F.ceil(F.sum("count") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        F.sum("count").alias("count"),
+    )
+    group = group.where("kinds > 1 and (a <> b or in_one < count)").select("leader", "main", "blocks", "count")
+    named = checkpoint(named.join(group, "leader"))
     # a group whose classes all have one larger group in common is searched as a part of that
     whole = named.groupBy("fp1").agg(F.max_by("leader", F.struct("count", "leader")).alias("whole"))
     part = named.select("leader", "fp1").join(whole, "fp1").groupBy("leader").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a = b and a <> leader").select("leader")
@@ -525,7 +531,7 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_co
     # from here on only the texts of classes that may link move
     texts = store(known.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "suspects")
     sizes = members.groupBy("leader").agg(F.count("*").alias("count"))
-    home = members.join(sizes, "leader").groupBy("fp1", "doc_id", "n").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    home = checkpoint(members.join(sizes, "leader").groupBy("fp1", "doc_id", "n").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader")))
     homes = home.groupBy("leader").agg(_blocks().alias("blocks"), F.count("*").alias("count")).where("count > 1")
     home = checkpoint(home.join(homes, "leader").withColumn("own", _own_block()))
     pilot = F.pmod(F.xxhash64("fp1"), F.greatest(F.lit(1), F.floor(F.col("count") / PILOTS))) == 0

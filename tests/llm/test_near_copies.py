@@ -93,3 +93,21 @@ def test_whole(spark, monkeypatch, held):
         want = sorted((-s, i) for i, s in enumerate(score) if i != q)[:6]
         assert got.pop(q) == [i for _, i in want]
     assert not got
+
+
+def test_members_meet_their_group_once(spark, monkeypatch):
+    """What a second search asks of its groups comes from one join, however many classes they have."""
+    from loomstone.llm import ngram_join as module
+
+    plans, plain = [], module.checkpoint
+
+    def checkpoint(df):
+        if {"leader", "main", "blocks"} <= set(df.columns):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(module, "checkpoint", checkpoint)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(j, " ".join([*words[: j % 50], f"x{j}", f"y{j}", *words[j % 50 + 2 :]])) for j in range(120)]
+    assert module.ngram_join(spark.createDataFrame(texts, "doc_id bigint, text string"), k=3, num=90, den=100).count() == 120
+    assert plans and all(sum("Join Inner, (leader" in line for line in p.splitlines()) <= 1 for p in plans)
