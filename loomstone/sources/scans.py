@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.records import parsed
+from loomstone.session import tasks
 from loomstone.sources.stores import Sorted, sort_out
 from loomstone.sources.turtle import turtle, turtle_triples  # noqa: F401
 
@@ -150,8 +151,12 @@ def json_array(df: DataFrame, order: str) -> DataFrame:
 
 
 def write_one_per_key(df: DataFrame, key: str, path: str) -> None:
-    """A folder ``key=<value>`` with the key's records as JSON lines; the rows of a key meet in one file."""
-    df.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
+    """A folder ``key=<value>`` with the key's records as JSON lines; the rows of a key meet in one file.
+
+    A file costs far more than its bytes, so the number of tasks is fixed: few
+    bytes would be put together in one. Tasks move their own files into place.
+    """
+    df.repartition(tasks(df.sparkSession), key).write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key).json(path)
 
 
 def workbook(spark: SparkSession, paths: list[str], sheet: str) -> DataFrame:

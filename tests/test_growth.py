@@ -36,3 +36,11 @@ def test_unnest_equals_explode(spark):
     rows = spark.createDataFrame([(1, ["a", None, "b"]), (2, []), (3, None), (4, [None])], "k int, v array<string>")
     want = rows.select("k", F.explode("v").alias("x")).collect()
     assert sorted(map(str, unnest(rows, "v", "k").collect())) == sorted(map(str, want)) and len(want) == 4
+
+
+def test_files_of_keys_are_written_by_many_tasks(spark, tmp_path):
+    from loomstone.sources.scans import write_one_per_key
+
+    write_one_per_key(spark.range(200).selectExpr("id as k", "id as v"), "k", f"{tmp_path}/out")
+    files = [p.name for p in (tmp_path / "out").rglob("part-*.json")]
+    assert len(files) == 200 and len({name.split("-")[1] for name in files}) > 4
