@@ -26,6 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.functions.records import unnest
 from loomstone.operators.graphs import RDF_TYPE, XSD
 
 SH = "http://www.w3.org/ns/shacl#"
@@ -193,7 +194,7 @@ class _Plan:
         back = F.struct(F.col("o").alias("focus"), F.concat(F.lit("^"), F.col("p")).alias("path"), F.col("s").alias("value"), kind_of(F.col("s")).alias("kind"), F.lit(None).cast("string").alias("datatype"))
         forward = F.when(F.lit(closed) | F.col("p").isin(sorted(p for p in paths if p[0] != "^")), ahead)
         inverse = F.when((F.col("o_kind") != "literal") & F.col("p").isin(sorted(p[1:] for p in paths if p[0] == "^")), back)
-        rows = t.select("graph_id", F.explode(F.filter(F.array(forward, inverse), lambda e: e.isNotNull())).alias("e")).select("graph_id", "e.*").distinct()
+        rows = unnest(t, F.filter(F.array(forward, inverse), lambda e: e.isNotNull()), "graph_id", name="e").select("graph_id", "e.*").distinct()
         edges = rows.withColumn("focus_kind", kind_of(F.col("focus")))
         self.classes = sorted({c for s in self._every() for c in [*s.params.get("class", []), *s.params.get("targetClass", [])]})
         on = ["graph_id", "value"]
@@ -329,13 +330,13 @@ def check(triples: DataFrame, shapes: DataFrame) -> DataFrame:
         broken = [told(top, p.path, rule, found, p.message, holds) for p in top.properties for rule, holds, found in plan.count_rules(p)]
         broken += [told(top, None, rule, value, top.message or " ".join(sorted({s.message for r, members in top.logic if r == rule for s in members if s.message})) or None, holds) for rule, value, holds in plan.node_rules(top) if rule != "closed"]
         by_node += [F.when(plan.target(top), row) for row in broken]
-    some = lambda rows: F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")
+    some = lambda df, rows: unnest(df, F.filter(F.array(*rows), lambda r: r.isNotNull()), "graph_id", "focus", name="r").select("graph_id", "focus", "r.*")
     parts = []
     if by_node:
-        parts.append(facts.select("graph_id", "focus", some(by_node)).select("graph_id", "focus", "r.*"))
+        parts.append(some(facts, by_node))
     if by_edge:
-        aimed = facts.select("graph_id", "focus", F.explode(F.filter(F.array(*[F.when(plan.target(t), t.name) for t in tops]), lambda s: s.isNotNull())).alias("shape"))
-        failing = plan.edges.select("graph_id", "focus", some(by_edge)).select("graph_id", "focus", "r.*")
+        aimed = unnest(facts, F.filter(F.array(*[F.when(plan.target(t), t.name) for t in tops]), lambda s: s.isNotNull()), "graph_id", "focus", name="shape")
+        failing = some(plan.edges, by_edge)
         parts.append(failing.join(aimed, ["graph_id", "focus", "shape"], "left_semi"))
     columns = [c.split()[0] for c in schema.split(", ")]
     return reduce(DataFrame.unionByName, [p.select(columns) for p in parts]) if parts else triples.sparkSession.createDataFrame([], schema)
