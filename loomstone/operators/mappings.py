@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.functions.records import unnest
 from loomstone.operators.graphs import RDF_TYPE, XSD
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -166,7 +167,7 @@ def _triple(s: Column, p: Column, o: Column, kind: str, datatype: str | None, la
 
 
 def _exploded(rows: DataFrame, items: list[Column]) -> DataFrame:
-    return rows.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    return unnest(rows, F.filter(F.array(*items), lambda x: x.isNotNull())).select("x.*")
 
 
 def run_mappings(document: str | dict, sources: dict[str, DataFrame], graph_id: str | None = None) -> DataFrame:

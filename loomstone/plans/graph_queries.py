@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import dates
 from loomstone.operators import graphs, mappings, shapes
 from loomstone.plans.queries import EX, query, t
-from loomstone.session import new_folder
+from loomstone.session import new_folder, spread
 from loomstone.sources.turtle import turtle_frame
 
 VARIABLE, OTHER = EX + "Variable", "http://example.com/other#Variable"
@@ -155,8 +155,8 @@ ex:CustomerShape sh:targetClass ex:Customer ;
 def _trade(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     total = F.col("o_totalprice").cast("decimal(15,2)").cast("string")
     day, still_open = dates.date_text(F.col("o_orderdate")), F.col("o_orderstatus") == "P"
-    orders = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", total.alias("total"), F.when(~still_open, day).alias("day"), F.when(still_open, day).alias("open_day"))
-    customer = t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name", "c_mktsegment", F.when(F.col("c_acctbal") >= 0, "Customer").alias("kind"))
+    orders = spread(t(spark, d, "orders")).select("o_orderkey", "o_custkey", "o_orderpriority", total.alias("total"), F.when(~still_open, day).alias("day"), F.when(still_open, day).alias("open_day"))
+    customer = spread(t(spark, d, "customer")).select("c_custkey", "c_nationkey", "c_name", "c_mktsegment", F.when(F.col("c_acctbal") >= 0, "Customer").alias("kind"))
     return {"orders": orders, "customer": customer, "nation": t(spark, d, "nation")}
 
 

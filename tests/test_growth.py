@@ -17,6 +17,7 @@ DEALT = [
     "q_string_leaves",
     "q_locate",
     "q_conformance",
+    "q_mapping",
 ]
 
 
