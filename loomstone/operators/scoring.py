@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.functions.records import CONSTRAINTS, normal_constraints, parsed, unnest
+from loomstone.functions.records import CONSTRAINTS, let, normal_constraints, parsed, unnest
 from loomstone.functions.similarity import asymmetric, cosine, fold, near, pair_key, same, symmetric
 from loomstone.functions.text import ROLES
 from loomstone.operators.confusion import CLOSE, EXACT, match_constraints, role_confusion
@@ -17,22 +17,31 @@ _TEXTS = {"system": "AsymmetricSystem", "label": "SymmetricSystem", "source": "h
 
 
 def role_side(doc: Column, role: str) -> Column:
-    """One side of a role: whether it is set, its kind, and every text by which it may be compared."""
-    value = F.try_variant_get(doc, f"$.{role}", "variant")
-    at = lambda path, kind: F.try_variant_get(doc, f"$.{role}{path}", kind)
-    shown = F.to_json(value)
-    text = F.when(F.schema_of_variant(value) == "STRING", at("", "string")).otherwise(shown)
-    parts = at(".hasPart", "array<string>")
-    fields = {k: at(f".{name}", "string") for k, name in _TEXTS.items()}
-    fields["label"] = F.when(at(".hasPart", "variant").isNotNull(), fields["label"])  # a symmetric system without parts is none
-    kind = F.when(at(".AsymmetricSystem", "variant").isNotNull(), "asym").when(at(".SymmetricSystem", "variant").isNotNull(), "sym").otherwise("text")
-    return F.struct(
-        (value.isNull() | shown.isin(*NOTHING)).alias("empty"),
-        kind.alias("kind"),
-        fold(text).alias("text"),
-        *[fold(v).alias(k) for k, v in fields.items()],
-        F.coalesce(parts, F.expr("cast(array() as array<string>)")).alias("parts"),
-    )
+    """One side of a role: whether it is set, its kind, and every text by which it may be compared.
+
+    The role's value is looked up once, its shape and its JSON are worked out once,
+    and the fields of a system are looked for in objects alone.
+    """
+    look = lambda value: F.struct(value.alias("value"), F.schema_of_variant(value).alias("shape"), F.to_json(value).alias("shown"))
+    return let(F.try_variant_get(doc, f"$.{role}", "variant"), lambda value: let(look(value), _side))
+
+
+def _side(x: Column) -> Column:
+    value, shown = x["value"], x["shown"]
+    at = lambda path, kind: F.try_variant_get(value, f"${path}", kind)
+    folded = lambda text: let(text, fold)
+    text = F.when(x["shape"] == "STRING", at("", "string")).otherwise(shown)
+
+    def system() -> Column:
+        fields = {k: at(f".{name}", "string") for k, name in _TEXTS.items()}
+        fields["label"] = F.when(at(".hasPart", "variant").isNotNull(), fields["label"])  # a symmetric system without parts is none
+        kind = F.when(at(".AsymmetricSystem", "variant").isNotNull(), "asym").when(at(".SymmetricSystem", "variant").isNotNull(), "sym").otherwise("text")
+        parts = F.coalesce(at(".hasPart", "array<string>"), F.expr("cast(array() as array<string>)"))
+        return F.struct(kind.alias("kind"), *[folded(v).alias(k) for k, v in fields.items()], parts.alias("parts"))
+
+    bare = F.struct(F.lit("text").alias("kind"), *[fold(F.lit(None).cast("string")).alias(k) for k in _TEXTS], F.expr("cast(array() as array<string>)").alias("parts"))
+    seen = lambda y: F.struct((value.isNull() | shown.isin(*NOTHING)).alias("empty"), y["kind"].alias("kind"), folded(text).alias("text"), *[y[k].alias(k) for k in (*_TEXTS, "parts")])
+    return let(F.when(x["shape"].startswith("OBJECT"), system()).otherwise(bare), seen)
 
 
 def constraint_items(doc: Column) -> Column:

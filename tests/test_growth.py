@@ -45,3 +45,9 @@ def test_files_of_keys_are_written_by_many_tasks(spark, tmp_path):
     write_one_per_key(spark.range(200).selectExpr("id as k", "id as v"), "k", f"{tmp_path}/out")
     files = [p.name for p in (tmp_path / "out").rglob("part-*.json")]
     assert len(files) == 200 and len({name.split("-")[1] for name in files}) > 4
+
+
+@pytest.mark.parametrize("name", ["q_record_confusion", "q_record_totals"])
+def test_a_roles_value_is_looked_up_once_a_side(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.hasMatrix") == 2
