@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import arrow, checkpoint, store, table
+from loomstone.llm.common import arrow, checkpoint, drop_stored, store, stored, table
 from loomstone.llm.components import components
 from loomstone.llm.words import NONSPACE, chunks, mix, shingles
 
@@ -190,6 +190,14 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["s", "leader", "fp1", "tag"])
 
 
+def _edged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_lists`` with a column that is false for lists that surely begin and end in this task."""
+    for batch in _lists(batches):
+        s, tag = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+        edge = (s == s[0]) | (s == s[-1]) | (tag <= 0)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edge)], names=[*batch.schema.names, "edge"])
+
+
 def _meet(postings: DataFrame) -> DataFrame:
     """(leader, fp1) of the classes that can link, from postings (s, fp1, tag).
 
@@ -205,13 +213,21 @@ def _shared(postings: DataFrame) -> DataFrame:
 
     Ranges of (s, class) go to the tasks, so a list that many classes share is
     not one task's. What a task can not know of its first and its last list comes
-    from the rows without a class, of which there are two a task at most.
+    from the rows without a class, of which there are two a task at most; only
+    rows that may be in such a list are joined to them. The
+    result is stored, as several steps read it; what it was made from goes.
     """
-    lists = arrow(postings.repartitionByRange("s", "fp1").sortWithinPartitions("s", "fp1"), _lists, "s bigint, leader bigint, fp1 bigint, tag int")
+    spark = postings.sparkSession
+    since = stored(spark)
+    lists = arrow(postings.repartitionByRange("s", "fp1").sortWithinPartitions("s", "fp1"), _edged, "s bigint, leader bigint, fp1 bigint, tag int, edge boolean")
     lists = store(lists, "lists")
     parted = lists.where("fp1 is null").groupBy("s").agg(F.min("leader").alias("first"), F.count("*").alias("tasks")).where("tasks > 1").drop("tasks")
-    whole = lists.where("fp1 is not null").join(F.broadcast(parted), "s", "left").where("tag > 0 or first is not null")
-    return whole.select("s", F.coalesce("first", "leader").alias("leader"), "fp1", F.abs("tag").alias("tag"))
+    rows = lists.where("fp1 is not null")
+    ends = rows.where("edge").join(F.broadcast(parted), "s", "left").where("tag > 0 or first is not null")
+    ends = ends.select("s", F.coalesce("first", "leader").alias("leader"), "fp1", F.abs("tag").alias("tag"))
+    whole = store(rows.where("not edge").select("s", "leader", "fp1", "tag").union(ends), "shared")
+    drop_stored(spark, since, but_last=1)
+    return whole
 
 
 def _rarest(lists: DataFrame) -> DataFrame:
@@ -448,11 +464,13 @@ def _again(members: DataFrame, cells: DataFrame, found: DataFrame, texts: DataFr
         # a set of n of whose shingles others have but s links with none of over s (num + den) / num - n
         shared = lists.groupBy(F.col("fp1").alias("key")).agg(F.count("*").alias("shared"))
         able = keyed.join(shared, "key").withColumns({"least": F.expr(f"(n * {num} + {den - 1}) div {den}"), "most": F.expr(f"shared * {num + den} div {num} - n")})
+        able = checkpoint(able)
         there = able.groupBy("leader").agg(F.collect_set("n").alias("sizes"))
         able = able.join(there, "leader").where(F.exists("sizes", lambda x: (x >= F.col("least")) & (x <= F.col("most"))))
         able = checkpoint(_open(able.select("leader", "doc_id", "fp1", "n", "label", "key")).drop("main"))
-        near = _rarest(lists.join(able.select(F.col("key").alias("fp1")), "fp1", "left_semi")).withColumnsRenamed({"leader": "rarest", "fp1": "key"})
-        near = able.join(near, "key").select(F.col("rarest").alias("leader"), "doc_id", "fp1", "n", "label")
+        # frequencies are those in the whole group: any one order of the keys will do
+        near = _rarest(lists).withColumnsRenamed({"leader": "rarest", "fp1": "key"})
+        near = checkpoint(able.join(near, "key").select(F.col("rarest").alias("leader"), "doc_id", "fp1", "n", "label"))
         rows = rows.union(_tiles(checkpoint(_open(near))))
     elif not rows.limit(1).count():
         return None

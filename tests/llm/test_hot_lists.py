@@ -80,3 +80,25 @@ def test_join_over_many_tasks(many_tasks):
     least = min(docs[i][0] for i in near)
     copies = {docs[i][0] for i in near}
     assert got == {(i, least if i in copies else i) for i, _ in docs}
+
+
+def test_shared_lists_are_worked_out_once(many_tasks):
+    """Steps that read shared lists read a table, and not a join that each of them would run again."""
+    df = many_tasks.createDataFrame(postings(random.Random(2), 3000, 0.3), "s long, fp1 long, tag int")
+    plan = ngram_join._shared(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_only_lists_at_an_edge_are_marked(seed):
+    """A list without the mark begins and ends in its task; nearly all lists are such."""
+    rng = random.Random(seed)
+    rows = sorted((i // 3, fp, 300) for i, fp in enumerate(rng.sample(range(10**6), 3000)))
+    cut = rng.randint(1400, 1600)
+    out = []
+    for part in (rows[:cut], rows[cut:]):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part[i : i + 500], strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["s", "fp1", "tag"]) for i in range(0, len(part), 500)]
+        out.append([r for x in ngram_join._edged(iter(batches)) for r in zip(*x.to_pydict().values(), strict=True)])
+    ends = {s for part in out for s in (min(r[0] for r in part), max(r[0] for r in part))}
+    assert all(r[4] for part in out for r in part if r[0] in ends or r[2] is None or r[3] <= 0)
+    assert sum(r[4] for part in out for r in part) < 100
