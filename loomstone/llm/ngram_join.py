@@ -209,31 +209,29 @@ def _meet(postings: DataFrame) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """The postings (s, fp1, tag) whose s two or more classes have, with the first of those as ``leader``.
+    """The postings (s, fp1, tag) whose s two or more classes have, with the first of those as ``leader`` and their number as ``sets``.
 
     Ranges of (s, class) go to the tasks, so a list that many classes share is
-    not one task's. What a task can not know of its first and its last list comes
-    from the rows without a class, of which there are two a task at most; only
-    rows that may be in such a list are joined to them. The
+    not one task's: it has a piece in each of several, named by its first class
+    there. What is asked of a list is worked out from its pieces, and a posting
+    meets its piece, once, so that no list comes together again. The
     result is stored, as several steps read it; what it was made from goes.
     """
     spark = postings.sparkSession
     since = stored(spark)
-    lists = arrow(postings.repartitionByRange("s", "fp1").sortWithinPartitions("s", "fp1"), _edged, "s bigint, leader bigint, fp1 bigint, tag int, edge boolean")
-    lists = store(lists, "lists")
-    parted = lists.where("fp1 is null").groupBy("s").agg(F.min("leader").alias("first"), F.count("*").alias("tasks")).where("tasks > 1").drop("tasks")
-    rows = lists.where("fp1 is not null")
-    ends = rows.where("edge").join(F.broadcast(parted), "s", "left").where("tag > 0 or first is not null")
-    ends = ends.select("s", F.coalesce("first", "leader").alias("leader"), "fp1", F.abs("tag").alias("tag"))
-    whole = store(rows.where("not edge").select("s", "leader", "fp1", "tag").union(ends), "shared")
+    lists = arrow(postings.repartitionByRange("s", "fp1").sortWithinPartitions("s", "fp1"), _lists, "s bigint, leader bigint, fp1 bigint, tag int")
+    rows = store(lists.withColumnRenamed("leader", "piece"), "lists").where("fp1 is not null")
+    whole = Window.partitionBy("s")
+    pieces = rows.groupBy("s", "piece").agg(F.count("*").alias("sets"))
+    pieces = pieces.withColumns({"leader": F.min("piece").over(whole), "sets": F.sum("sets").over(whole)}).where("sets > 1")
+    shared = store(rows.join(pieces, ["s", "piece"]).select("s", "leader", "fp1", F.abs("tag").alias("tag"), "sets"), "shared")
     drop_stored(spark, since, but_last=1)
-    return whole
+    return shared
 
 
 def _rarest(lists: DataFrame) -> DataFrame:
-    often = lists.groupBy("s").agg(F.count("*").alias("sets"))
     mine = Window.partitionBy("fp1", "tag")
-    ranked = lists.join(often, "s").select("leader", "fp1", "tag", F.count("*").over(mine).alias("shared"), F.row_number().over(mine.orderBy("sets", "s")).alias("rank"))
+    ranked = lists.select("leader", "fp1", "tag", F.count("*").over(mine).alias("shared"), F.row_number().over(mine.orderBy("sets", "s")).alias("rank"))
     return ranked.where(F.col("rank") <= F.col("shared") - F.floor(F.col("tag") / _TAG) + 1).select("leader", "fp1").distinct()
 
 

@@ -102,3 +102,23 @@ def test_only_lists_at_an_edge_are_marked(seed):
     ends = {s for part in out for s in (min(r[0] for r in part), max(r[0] for r in part))}
     assert all(r[4] for part in out for r in part if r[0] in ends or r[2] is None or r[3] <= 0)
     assert sum(r[4] for part in out for r in part) < 100
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.6, 1.0])
+def test_a_posting_meets_its_list_once(many_tasks, monkeypatch, hot):
+    """Leader and length of a list reach its postings in one inner join, as many rows as postings, however long lists are."""
+    made, plain = {}, ngram_join.store
+
+    def store(df, name):
+        made[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(ngram_join, "store", store)
+    rows = postings(random.Random(3), 3000, hot)
+    lists = ngram_join._shared(many_tasks.createDataFrame(rows, "s long, fp1 long, tag int"))
+    made["rarest"] = ngram_join._rarest(lists)._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.split("Join ")[1][:5] for plan in made.values() for line in plan.splitlines() if "Join " in line] == ["Inner"]
+    sets = {}
+    for s, _, _, _ in wanted(rows):
+        sets[s] = sets.get(s, 0) + 1
+    assert sorted((r.s, r.sets) for r in lists.collect()) == sorted((s, n) for s, n in sets.items() for _ in range(n))
