@@ -5,7 +5,8 @@ objects, and references to other mappings under conditions of equality. The
 plan has one scan and one explode for each source, whatever the number of
 mappings on it, and one join for all conditioned references: children and
 parents of every reference are exploded with the number of what they refer to,
-reduced to distinct keys, and meet on that number and the keys.
+reduced to distinct keys, and meet on that number and the keys. Until they are
+distinct, triples have a number for what many have in common.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from loomstone.functions.records import unnest
 from loomstone.operators.graphs import RDF_TYPE, XSD
@@ -151,32 +153,67 @@ def read_mappings(document: str | dict) -> dict[str, Mapping]:
     return found
 
 
-def _text(template: str, encode: bool) -> Column:
-    """A template's text; null where a cell it names is null or blank. Cells inside a longer IRI are percent-encoded."""
-    cell = lambda name: F.nullif(F.col(f"`{name}`").cast("string"), F.lit(""))
+def _text(template: str, encode: bool, numbers: frozenset[str] = frozenset()) -> Column:
+    """A template's text; null where a cell it names is null or blank. Cells inside a longer IRI are percent-encoded, but for whole ``numbers``."""
+
+    def cell(name: str) -> Column:
+        said = F.col(f"`{name}`").cast("string")
+        return said if name in numbers else F.nullif(said, F.lit(""))
+
     if whole := _REF.fullmatch(template):
         return cell(whole[1])
     parts = _REF.split(template)
-    safe = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")) if encode else c
-    return F.concat(*[safe(cell(x)) if i % 2 else F.lit(x) for i, x in enumerate(parts) if i % 2 or x]) if len(parts) > 1 else F.lit(template)
+    safe = lambda name: F.replace(F.url_encode(cell(name)), F.lit("+"), F.lit("%20")) if encode and name not in numbers else cell(name)
+    return F.concat(*[safe(x) if i % 2 else F.lit(x) for i, x in enumerate(parts) if i % 2 or x]) if len(parts) > 1 else F.lit(template)
+
+
+class _Items:
+    """What each row of a source makes, over the texts of templates, each of which is worked out once for a row."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.names, self.items = rows, {}, []
+        self.numbers = frozenset(f.name for f in rows.schema if isinstance(f.dataType, IntegralType))
+
+    def text(self, template: str, encode: bool) -> Column:
+        if not _REF.search(template):
+            return F.lit(template)
+        return F.col(self.names.setdefault((template, encode), f"text{len(self.names)}"))
 
+    def put(self, known: list[Column], *columns: Column) -> None:
+        """An item, but none where one of ``known`` is null."""
+        self.items.append(F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in known]), F.struct(*columns)))
 
-def _triple(s: Column, p: Column, o: Column, kind: str, datatype: str | None, lang: str | None) -> Column:
-    whole = F.struct(s.alias("s"), p.alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("datatype"), F.lit(lang).cast("string").alias("lang"))
-    return F.when(s.isNotNull() & p.isNotNull() & o.isNotNull(), whole)
+    def opened(self) -> DataFrame:
+        texts = [_text(template, encode, self.numbers).alias(name) for (template, encode), name in self.names.items()]
+        return unnest(self.rows.select(*texts), F.array(*self.items)).where("x is not null").select("x.*")
 
 
-def _exploded(rows: DataFrame, items: list[Column]) -> DataFrame:
-    return unnest(rows, F.filter(F.array(*items), lambda x: x.isNotNull())).select("x.*")
+class _Forms:
+    """What triples have in common (predicate, kind, datatype, language), by number; a predicate that cells make stands in the rows."""
 
+    def __init__(self, constant: bool):
+        self.constant, self.numbers = constant, {}
 
-def run_mappings(document: str | dict, sources: dict[str, DataFrame], graph_id: str | None = None) -> DataFrame:
+    def columns(self, p: str, predicate: Column, kind: str, datatype: str | None, lang: str | None) -> list[Column]:
+        form = self.numbers.setdefault((p if self.constant else None, kind, datatype, lang), len(self.numbers))
+        return [F.lit(form).alias("form")] + ([] if self.constant else [predicate.alias("p")])
+
+    def told(self, rows: DataFrame, graph_id: str | None) -> DataFrame:
+        text = lambda v: F.lit(v).cast("string")
+        fields = ("p", "o_kind", "datatype", "lang")
+        form = F.get(F.array(*[F.struct(*[text(v).alias(n) for n, v in zip(fields, f)]) for f in self.numbers]), F.col("form"))
+        p = form["p"] if self.constant else F.col("p")
+        return rows.select(text(graph_id).alias("graph_id"), "s", p.alias("p"), "o", *[form[n].alias(n) for n in fields[1:]])
+
+
+def run_mappings(document: str | dict, sources: dict[str, DataFrame], graph_id: str | None = None, by_subject: bool = False) -> DataFrame:
     """(graph_id, s, p, o, o_kind, datatype, lang): the distinct triples that a mapping document makes of its sources.
 
     ``sources`` has a table for each path that the document names. Null and blank
     cells make no triple and meet no key; a reference without a condition points
     at the subject of the same row. A source without rows, and a mapping without
-    predicates, make none. Cells are taken as their text.
+    predicates, make none. Cells are taken as their text. ``by_subject`` leaves the
+    triples of a subject side by side; it is for documents whose subjects have few each.
     """
     found = read_mappings(document)
     paths = sorted({s for m in found.values() for s in m.sources})
@@ -185,37 +222,41 @@ def run_mappings(document: str | dict, sources: dict[str, DataFrame], graph_id:
         for _, o in m.values:
             if o.mapping is not None and o.equal:
                 groups.setdefault((o.mapping, tuple(theirs for _, theirs in o.equal)), len(groups))
+    forms = _Forms(not any(_REF.search(p) for m in found.values() for p, _ in m.values))
     plain, children, parents = [], [], []
-    iri = lambda t: _text(t, True)
-    keys = lambda templates: F.array(*[_text(t, False) for t in templates])
-    known = lambda templates: reduce(lambda a, b: a & b, [_text(t, False).isNotNull() for t in templates])
+
+    def triple(into: _Items, s: str, p: str, o: str, kind: str, datatype: str | None, lang: str | None) -> None:
+        subject, predicate, value = into.text(s, True), into.text(p, True), into.text(o, kind == "iri")
+        into.put([subject, predicate, value], *forms.columns(p, predicate, kind, datatype, lang), subject.alias("s"), value.alias("o"))
+
     for path in paths:
-        triples, child, parent = [], [], []
+        own, child, parent = (_Items(sources[path]) for _ in range(3))
         for m in (m for m in found.values() if path in m.sources):
-            for s in map(iri, m.subjects):
+            for s in m.subjects:
                 for p, o in m.values:
                     if o.mapping is None:
-                        triples.append(_triple(s, iri(p), _text(o.template, o.kind == "iri"), o.kind, o.datatype, o.lang))
+                        triple(own, s, p, o.template, o.kind, o.datatype, o.lang)
                     elif not o.equal:
-                        triples += [_triple(s, iri(p), iri(t), "iri", None, None) for t in found[o.mapping].subjects]
+                        for other in found[o.mapping].subjects:
+                            triple(own, s, p, other, "iri", None, None)
                     else:
-                        own = [mine for mine, _ in o.equal]
                         group = groups[o.mapping, tuple(theirs for _, theirs in o.equal)]
-                        child.append(F.when(s.isNotNull() & iri(p).isNotNull() & known(own), F.struct(F.lit(group).alias("group"), keys(own).alias("keys"), s.alias("s"), iri(p).alias("p"))))
+                        subject, predicate, keys = child.text(s, True), child.text(p, True), [child.text(mine, False) for mine, _ in o.equal]
+                        child.put([subject, predicate, *keys], F.lit(group).alias("group"), F.array(*keys).alias("keys"), *forms.columns(p, predicate, "iri", None, None), subject.alias("s"))
                 for (name, theirs), group in groups.items():
                     if name == m.name:
-                        parent.append(F.when(s.isNotNull() & known(theirs), F.struct(F.lit(group).alias("group"), keys(theirs).alias("keys"), s.alias("o"))))
-        for items, into in ((triples, plain), (child, children), (parent, parents)):
-            if items:
-                into.append(_exploded(sources[path], items))
+                        node, keys = parent.text(s, True), [parent.text(t, False) for t in theirs]
+                        parent.put([node, *keys], F.lit(group).alias("group"), F.array(*keys).alias("keys"), node.alias("o"))
+        for items, into in ((own, plain), (child, children), (parent, parents)):
+            if items.items:
+                into.append(items.opened())
     if children and parents:
         union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
-        joined = union(children).join(union(parents), ["group", "keys"])
-        none = F.lit(None).cast("string")
-        plain.append(joined.select("s", "p", "o", F.lit("iri").alias("o_kind"), none.alias("datatype"), none.alias("lang")))
+        plain.append(union(children).join(union(parents), ["group", "keys"]).drop("group", "keys"))
     if not plain:
         raise ValueError("a mapping document without triples")
-    return reduce(DataFrame.unionByName, plain).distinct().select(F.lit(graph_id).cast("string").alias("graph_id"), "s", "p", "o", "o_kind", "datatype", "lang")
+    rows = reduce(DataFrame.unionByName, plain)
+    return forms.told((rows.repartition("s") if by_subject else rows).distinct(), graph_id)
 
 
 def mapped_folder(spark: SparkSession, document: str | dict, base: str, graph_id: str | None = None) -> DataFrame:

@@ -107,6 +107,10 @@ class _Node:
     conforms: Callable[[Shape], Column]  # to a shape that looks at the node's own edges
 
 
+def _kind_of(node: Column) -> Column:
+    return F.when(node.startswith("_:"), "blank").otherwise("iri")
+
+
 def _all(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
@@ -164,15 +168,31 @@ def _inside(shape: Shape) -> list[Shape]:
     return out
 
 
+def _classes(shape: Shape) -> set[str]:
+    """The classes that a value's own tests ask for."""
+    return set(shape.params.get("class", [])).union(*(_classes(s) for _, members in shape.logic for s in members if not _looks_at_edges(s)))
+
+
+def _targets(shape: Shape) -> list[tuple[str, str | None]]:
+    """(path, value) of the edges that make a node one the shape is for; None stands for any value."""
+    said = lambda rule: shape.params.get(rule, [])
+    return [(RDF_TYPE, c) for c in said("targetClass")] + [(p, None) for p in said("targetSubjectsOf")] + [(f"^{p}", None) for p in said("targetObjectsOf")]
+
+
 class _Plan:
     """The edges, sums and conformity of one set of shapes that are evaluated on the same nodes."""
 
-    def __init__(self, triples: DataFrame, shapes: list[Shape]):
-        self.triples, self.shapes = triples, shapes
+    def __init__(self, triples: DataFrame, shapes: list[Shape], repeats: bool):
+        self.triples, self.shapes, self.repeats = triples, shapes, repeats
         self.names: dict[tuple, str] = {}
         self.sums: dict[str, Column] = {}  # partial sums over a node's edges, by name
-        self.flags: dict[int, str] = {}  # columns that say whether a value conforms to an inner shape
-        self.edges = self._edges()
+        self.paths: set[str | None] = set()  # that the sums look at; None: all predicates
+        self.deep = False  # whether the sums ask for classes or flags of values
+        local = [s for top in shapes for s in self._walk(top) if s.path is not None]
+        self.classes = sorted(set().union(*map(_classes, local)))
+        self.inner = [inner for s in local for inner in _inside(s)]
+        self.flags = {id(shape): f"flag{i}" for i, shape in enumerate(self.inner)}  # columns that say whether a value conforms to an inner shape
+        self.known = {s.path for s in local if _classes(s) or _inside(s)}  # paths whose values have to be looked up
 
     def _walk(self, shape: Shape):
         """The shape and those evaluated on the same focus node."""
@@ -181,58 +201,65 @@ class _Plan:
             for child in [*shape.properties, *(s for _, members in shape.logic for s in members)]:
                 yield from self._walk(child)
 
-    def _edges(self) -> DataFrame:
-        """(graph_id, focus, focus_kind, path, value, kind, datatype, classes, flags)."""
-        local = [s for top in self.shapes for s in self._walk(top)]
-        targets = {t for s in local for t in s.params.get("targetSubjectsOf", [])} | {f"^{t}" for s in local for t in s.params.get("targetObjectsOf", [])}
-        paths = {s.path for s in local if s.path} | targets | {RDF_TYPE}
-        closed = any(s.one("closed") == "true" for s in local)
+    def edges(self, paths: set[str | None], repeats: bool = False) -> DataFrame:
+        """(graph_id, focus, path, value, kind, datatype) on some paths, None being all predicates; with ``repeats`` where repeated ones do no harm."""
         t = self.triples
         datatype = F.coalesce("datatype", F.lit(XSD + "string")) if "datatype" in t.columns else F.lit(XSD + "string")
-        kind_of = lambda c: F.when(c.startswith("_:"), "blank").otherwise("iri")
-        ahead = F.struct(F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), F.col("o_kind").alias("kind"), datatype.alias("datatype"))
-        back = F.struct(F.col("o").alias("focus"), F.concat(F.lit("^"), F.col("p")).alias("path"), F.col("s").alias("value"), kind_of(F.col("s")).alias("kind"), F.lit(None).cast("string").alias("datatype"))
-        forward = F.when(F.lit(closed) | F.col("p").isin(sorted(p for p in paths if p[0] != "^")), ahead)
-        inverse = F.when((F.col("o_kind") != "literal") & F.col("p").isin(sorted(p[1:] for p in paths if p[0] == "^")), back)
-        rows = unnest(t, F.filter(F.array(forward, inverse), lambda e: e.isNotNull()), "graph_id", name="e").select("graph_id", "e.*").distinct()
-        edges = rows.withColumn("focus_kind", kind_of(F.col("focus")))
-        self.classes = sorted({c for s in self._every() for c in [*s.params.get("class", []), *s.params.get("targetClass", [])]})
-        on = ["graph_id", "value"]
-        if any("class" in s.params for s in self._every()):
-            typed = t.where((F.col("p") == RDF_TYPE) & F.col("o").isin(self.classes)).groupBy("graph_id", F.col("s").alias("value")).agg(F.collect_set("o").alias("classes"))
-            edges = edges.join(typed, on, "left")
+        ahead = [p for p in sorted(paths - {None}) if p[0] != "^"]
+        back = [p[1:] for p in sorted(paths - {None}) if p[0] == "^"]
+        parts = []
+        if ahead or None in paths:
+            rows = t if None in paths else t.where(F.col("p").isin(ahead))
+            parts.append(rows.select("graph_id", F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), F.col("o_kind").alias("kind"), datatype.alias("datatype")))
+        if back:
+            rows = t.where(F.col("p").isin(back) & (F.col("o_kind") != "literal"))
+            parts.append(rows.select("graph_id", F.col("o").alias("focus"), F.concat(F.lit("^"), F.col("p")).alias("path"), F.col("s").alias("value"), _kind_of(F.col("s")).alias("kind"), F.lit(None).cast("string").alias("datatype")))
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows if repeats or not self.repeats else rows.distinct()
+
+    def looked_up(self, paths: set[str | None]) -> DataFrame:
+        """The distinct edges on some paths with classes and flags of their values. Only values on paths that ask for them are looked up, no literals."""
+        every, asked = None in paths, paths & self.known
+        if not self.known or not (every or asked):
+            return self.edges(paths)
+        wanted = F.coalesce(F.col("path").isin(sorted(self.known)), F.lit(False)) & ~F.coalesce(F.col("kind") == "literal", F.lit(False))
+        no = F.lit(None).cast("boolean")
+        classes = {f"class{i}": c for i, c in enumerate(self.classes)}
+        parts = []
+        if classes:
+            typed = self.triples.where((F.col("p") == RDF_TYPE) & F.col("o").isin(self.classes))
+            parts.append(typed.select("graph_id", F.col("s").alias("value"), *[(F.col("o") == c).alias(n) for n, c in classes.items()], *[no.alias(f) for f in self.flags.values()]))
+        for shape in self.inner:
+            own = _Plan(self.triples, [shape], self.repeats)
+            holds = own.conforms(shape)
+            flags = [(holds if f == self.flags[id(shape)] else no).alias(f) for f in self.flags.values()]
+            if own.sums:  # else it does not depend on edges
+                parts.append(own.facts().select("graph_id", F.col("focus").alias("value"), *[no.alias(n) for n in classes], *flags))
+        names = [*classes, *self.flags.values()]
+        found = self.edges(paths if every else asked).where(wanted)
+        if parts:
+            about = reduce(DataFrame.unionByName, parts).groupBy("graph_id", "value").agg(*[F.max(n).alias(n) for n in names])
+            found = found.join(about, ["graph_id", "value"], "left")
         else:
-            edges = edges.withColumn("classes", F.array().cast("array<string>"))
-        for shape in [inner for s in local for inner in _inside(s) if s.path is not None]:
-            flag = f"flag{len(self.flags)}"
-            own = _Plan(t, [shape])
-            self.flags[id(shape)] = flag
-            found = own.facts().select("graph_id", F.col("focus").alias("value"), own.conforms(shape).alias(flag))
-            none = _of_nothing(shape)
-            edges = edges.join(found, on, "left").withColumn(flag, F.when(F.col("kind") == "literal", none).otherwise(F.coalesce(flag, none)))
-        return edges
-
-    def _every(self) -> list[Shape]:
-        out, todo = [], list(self.shapes)
-        while todo:
-            s = todo.pop()
-            out.append(s)
-            todo += [*s.properties, *(x for _, members in s.logic for x in members)]
-        return out
+            found = found.select("*", *[no.alias(n) for n in names])
+        if others := paths - {p for p in self.known if p[0] == "^"}:  # what an inverse path leads to is no literal
+            found = found.unionByName(self.edges(others).where(~wanted).select("*", *[no.alias(n) for n in names]))
+        told = {f: F.coalesce(f, _of_nothing(shape)) for shape in self.inner for f in [self.flags[id(shape)]]}
+        return found.withColumns({f: F.when(F.col("path").isin(sorted(self.known)), c) for f, c in told.items()})
 
     def value(self) -> _Node:
         """The value of an edge."""
         flag = lambda shape: F.col(self.flags[id(shape)])
-        return _Node(F.col("value"), F.col("kind"), F.coalesce("datatype", F.lit("")), lambda c: F.coalesce(F.array_contains("classes", c), F.lit(False)), flag)
+        return _Node(F.col("value"), F.col("kind"), F.coalesce("datatype", F.lit("")), lambda c: F.coalesce(F.col(f"class{self.classes.index(c)}"), F.lit(False)), flag)
 
     def focus(self) -> _Node:
         """The node itself, over its sums."""
-        kind = F.when(F.col("focus").startswith("_:"), "blank").otherwise("iri")
         is_a = lambda c: self._has(RDF_TYPE, c) > 0
-        return _Node(F.col("focus"), kind, F.lit(""), is_a, self.conforms)
+        return _Node(F.col("focus"), _kind_of(F.col("focus")), F.lit(""), is_a, self.conforms)
 
-    def _sum(self, key: tuple, test: Column) -> Column:
-        """The number of a node's edges that pass a test, as a column of ``facts``; equal keys stand for equal tests."""
+    def _sum(self, key: tuple, path: str | None, test: Column) -> Column:
+        """The number of a node's edges on a path that pass a test, as a column of ``facts``; equal keys stand for equal tests."""
+        self.paths.add(path)
         name = self.names.setdefault(key, f"sum{len(self.names)}")
         self.sums[name] = F.count_if(F.coalesce(test, F.lit(False))).alias(name)
         return F.col(name)
@@ -240,18 +267,19 @@ class _Plan:
     def _has(self, path: str, value: str | None = None) -> Column:
         """The number of values a node has on a path, or of those equal to one."""
         on = F.col("path") == path
-        return self._sum((path, value), on if value is None else on & (F.col("value") == value))
+        return self._sum((path, value), path, on if value is None else on & (F.col("value") == value))
 
     def count_rules(self, shape: Shape) -> list[tuple[str, Column, Column]]:
         """(rule, whether it holds, the number found) of a property shape's constraints on all its values."""
-        n = self._has(shape.path)
-        out = [("minCount", n >= int(v), n) for v in shape.params.get("minCount", [])] + [("maxCount", n <= int(v), n) for v in shape.params.get("maxCount", [])]
+        n = lambda: self._has(shape.path)
+        out = [("minCount", n() >= int(v), n()) for v in shape.params.get("minCount", [])] + [("maxCount", n() <= int(v), n()) for v in shape.params.get("maxCount", [])]
         return out + [("hasValue", self._has(shape.path, v) > 0, self._has(shape.path, v)) for v in shape.params.get("hasValue", [])]
 
     def conforms(self, shape: Shape) -> Column:
         """Whether a node conforms, over its sums."""
         if shape.path is not None:
-            bad = [self._sum((id(shape), i), (F.col("path") == shape.path) & ~F.coalesce(holds, F.lit(False))) == 0 for i, (_, holds) in enumerate(self.value_rules(shape))]
+            self.deep |= bool(_classes(shape) or _inside(shape))
+            bad = [self._sum((id(shape), i), shape.path, (F.col("path") == shape.path) & ~F.coalesce(holds, F.lit(False))) == 0 for i, (_, holds) in enumerate(self.value_rules(shape))]
             return _all([holds for _, holds, _ in self.count_rules(shape)] + bad)
         return _all([holds for _, _, holds in self.node_rules(shape)] + [self.conforms(p) for p in shape.properties])
 
@@ -263,7 +291,7 @@ class _Plan:
         """(rule, offending value, whether it holds) of a node shape's constraints on the node itself."""
         out = [(rule, F.col("focus"), holds) for rule, holds in _tests(shape, self.focus())]
         if shape.one("closed") == "true":
-            out.append(("closed", F.col("focus"), self._sum((id(shape), "stray"), self.stray(shape)) == 0))
+            out.append(("closed", F.col("focus"), self._sum((id(shape), "stray"), None, self.stray(shape)) == 0))
         return out
 
     def stray(self, shape: Shape) -> Column:
@@ -273,20 +301,12 @@ class _Plan:
 
     def target(self, shape: Shape) -> Column:
         """Whether a node is one the shape is for."""
-        has = [self._has(RDF_TYPE, c) for c in shape.params.get("targetClass", [])]
-        has += [self._has(p) for p in shape.params.get("targetSubjectsOf", [])] + [self._has(f"^{p}") for p in shape.params.get("targetObjectsOf", [])]
-        return reduce(lambda a, b: a | b, [n > 0 for n in has])
+        return reduce(lambda a, b: a | b, [self._has(path, value) > 0 for path, value in _targets(shape)])
 
     def facts(self) -> DataFrame:
-        """One row per (graph_id, focus) with all sums that the shapes need."""
-        for shape in self.shapes:
-            self.conforms(shape)
-            if any(t in shape.params for t in ("targetClass", "targetSubjectsOf", "targetObjectsOf")):
-                self.target(shape)
-            for p in self._walk(shape):
-                if p.path is not None:
-                    self.count_rules(p)
-        return self.edges.groupBy("graph_id", "focus").agg(*self.sums.values())
+        """One row per (graph_id, focus) that has edges on the paths of the sums asked for so far, with these sums."""
+        edges = self.looked_up(self.paths) if self.deep else self.edges(self.paths)
+        return edges.groupBy("graph_id", "focus").agg(*self.sums.values())
 
 
 def _of_nothing(shape: Shape) -> Column:
@@ -298,45 +318,54 @@ def _of_nothing(shape: Shape) -> Column:
     return _all([holds for _, holds in _tests(shape, x)] + [_of_nothing(p) for p in shape.properties])
 
 
-def check(triples: DataFrame, shapes: DataFrame) -> DataFrame:
+def check(triples: DataFrame, shapes: DataFrame, repeats: bool = True) -> DataFrame:
     """(graph_id, shape, focus, path, rule, value, message) of everything in ``triples`` that breaks a shape.
 
     ``triples`` has graph_id, s, p, o, o_kind and may have datatype (missing or
     null: xsd:string); ``shapes`` are the triples of a shapes document, of at most
     ``MOST_TRIPLES``. Values that fail a rule give a row each; counts give one with
     the number found; rules on a node give one with the node; a closed shape gives
-    one for each value of a stray predicate. Repeated triples count once. Graphs are checked
+    one for each value of a stray predicate. Repeated triples count once; whoever knows that
+    there are none, languages left aside, says so by ``repeats``. Graphs are checked
     apart. Documents without targets, and tables without triples, give no rows.
     """
     tops = read_shapes(shapes)
     schema = "graph_id string, shape string, focus string, path string, rule string, value string, message string"
     if not tops:
         return triples.sparkSession.createDataFrame([], schema)
-    plan = _Plan(triples, tops)
+    plan = _Plan(triples, tops, repeats)
 
-    def told(shape: Shape, path: str | Column | None, rule: str, value: Column, message: str | None, holds: Column) -> Column:
+    def told(shape: Shape, path: str | Column | None, rule: str, value: Column, message: str | None) -> Column:
         text = lambda v: F.lit(v).cast("string")
-        row = F.struct(F.lit(shape.name).alias("shape"), (path if isinstance(path, Column) else text(path)).alias("path"), F.lit(rule).alias("rule"), value.cast("string").alias("value"), text(message).alias("message"))
-        return F.when(~F.coalesce(holds, F.lit(False)), row)
+        return F.struct(F.lit(shape.name).alias("shape"), (path if isinstance(path, Column) else text(path)).alias("path"), F.lit(rule).alias("rule"), value.cast("string").alias("value"), text(message).alias("message"))
+
+    def some(rows: DataFrame, cases: list[tuple[Column, Column]]) -> DataFrame:
+        """A row for each case that is true, of the rows that have one."""
+        hit = rows.where(reduce(lambda a, b: a | b, [holds for holds, _ in cases]))
+        return unnest(hit, F.array(*[F.when(holds, said) for holds, said in cases]), "graph_id", "focus", name="r").where("r is not null")
 
-    by_edge, by_node = [], []
+    breaks = lambda holds: ~F.coalesce(holds, F.lit(False))
+    by_edge, by_node, paths = [], [], set()
     for top in tops:
         for p in top.properties:
-            by_edge += [told(top, p.path, rule, F.col("value"), p.message, (F.col("path") != p.path) | holds) for rule, holds in plan.value_rules(p)]
+            rules = plan.value_rules(p)
+            by_edge += [((F.col("path") == p.path) & breaks(holds), told(top, p.path, rule, F.col("value"), p.message)) for rule, holds in rules]
+            paths |= {p.path} if rules else set()
         if top.one("closed") == "true":
-            by_edge.append(told(top, F.col("path"), "closed", F.col("value"), top.message, ~plan.stray(top)))
-    facts = plan.facts()
+            by_edge.append((F.coalesce(plan.stray(top), F.lit(True)), told(top, F.col("path"), "closed", F.col("value"), top.message)))
+            paths.add(None)
     for top in tops:
-        broken = [told(top, p.path, rule, found, p.message, holds) for p in top.properties for rule, holds, found in plan.count_rules(p)]
-        broken += [told(top, None, rule, value, top.message or " ".join(sorted({s.message for r, members in top.logic if r == rule for s in members if s.message})) or None, holds) for rule, value, holds in plan.node_rules(top) if rule != "closed"]
-        by_node += [F.when(plan.target(top), row) for row in broken]
-    some = lambda df, rows: unnest(df, F.filter(F.array(*rows), lambda r: r.isNotNull()), "graph_id", "focus", name="r").select("graph_id", "focus", "r.*")
+        broken = [(holds, told(top, p.path, rule, found, p.message)) for p in top.properties for rule, holds, found in plan.count_rules(p)]
+        broken += [(holds, told(top, None, rule, value, top.message or " ".join(sorted({s.message for r, members in top.logic if r == rule for s in members if s.message})) or None)) for rule, value, holds in plan.node_rules(top) if rule != "closed"]
+        by_node += [(plan.target(top) & breaks(holds), row) for holds, row in broken]
     parts = []
     if by_node:
-        parts.append(some(facts, by_node))
+        parts.append(some(plan.facts(), by_node).select("graph_id", "focus", "r.*"))
     if by_edge:
-        aimed = unnest(facts, F.filter(F.array(*[F.when(plan.target(t), t.name) for t in tops]), lambda s: s.isNotNull()), "graph_id", "focus", name="shape")
-        failing = some(plan.edges, by_edge)
+        failing = some(plan.looked_up(paths), by_edge).select("graph_id", "focus", "r.*")
+        aims = [(path, value, top) for top in tops for path, value in _targets(top)]
+        ends = [((F.col("path") == path) & (F.lit(True) if value is None else F.col("value") == value), F.lit(top.name)) for path, value, top in aims]
+        aimed = some(plan.edges({path for path, _, _ in aims}, repeats=True), ends).select("graph_id", "focus", F.col("r").alias("shape"))
         parts.append(failing.join(aimed, ["graph_id", "focus", "shape"], "left_semi"))
     columns = [c.split()[0] for c in schema.split(", ")]
     return reduce(DataFrame.unionByName, [p.select(columns) for p in parts]) if parts else triples.sparkSession.createDataFrame([], schema)

@@ -202,8 +202,8 @@ x AS (
 SELECT 'trade' AS graph_id, '{EX}' || shape || 'Shape' AS shape, focus, CASE WHEN path LIKE '^%' THEN '^{EX}' || path[2:] ELSE '{EX}' || path END AS path, rule, value, message FROM x""")
 def q_shacl(spark, d):
     path = new_folder(spark)  # the triples are looked at from several sides, so they are a table
-    q_mapping(spark, d).write.parquet(path)
-    return shapes.check(spark.read.parquet(path), turtle_frame(spark, _SHAPES))
+    mappings.run_mappings(_MAPPING, _trade(spark, d), "trade", by_subject=True).write.parquet(path)
+    return shapes.check(spark.read.parquet(path), turtle_frame(spark, _SHAPES), repeats=False)
 
 
 @query("""SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-01') AS month, year(o_orderdate) AS year, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL""")

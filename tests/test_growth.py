@@ -51,3 +51,17 @@ def test_files_of_keys_are_written_by_many_tasks(spark, tmp_path):
 def test_a_roles_value_is_looked_up_once_a_side(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("$.hasMatrix") == 2
+
+
+def test_shapes_look_up_the_values_they_ask_for_alone(spark):
+    plan = QUERIES["q_shacl"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and plan.count("Aggregate [") == 3
+    assert "lambdafunction" not in plan
+    looked_up = plan[plan.index("Join LeftOuter") : plan.index("Aggregate [", plan.index("Join LeftOuter"))]
+    assert "IN (http://example.org/home,http://example.org/placedBy)" in looked_up and "priority" not in looked_up
+
+
+def test_mapped_triples_have_a_number_for_what_many_share(spark):
+    plan = QUERIES["q_mapping"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    distinct = next(line for line in plan.splitlines() if "Aggregate [" in line)
+    assert "form#" in distinct and "datatype" not in distinct.split("], [")[0] and "lambdafunction" not in plan

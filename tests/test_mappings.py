@@ -124,3 +124,19 @@ def test_dates(spark):
     assert [r.t for r in got] == [None] * 5 + ["2024-05-06 23:30:00", "2024-05-07 01:30:00.5"] + [None] * 5
     text = spark.sql("select timestamp'2024-01-02 03:04:05' as t").select(dates.date_text(F.col("t")).alias("d"), dates.date_time_text(F.col("t")).alias("t")).first()
     assert tuple(text) == ("2024-01-02", "2024-01-02T03:04:05Z")
+
+
+def test_predicates_from_cells_and_numbers(spark):
+    doc = {"mappings": {"m": {"sources": [["t"]], "s": ["http://e/$(n)/$(k)", "http://e/all"], "po": [["http://e/$(p)", "$(k)"], ["http://e/q", "b"]]}}}
+    rows = spark.createDataFrame([(-1, "a/b", "q"), (-1, "b", "q"), (None, "b", "r"), (3, None, "q")], "n int, k string, p string")
+    e = "http://e/"
+    want = {(e + "-1/a%2Fb", e + "q", "a/b"), (e + "-1/a%2Fb", e + "q", "b"), (e + "-1/b", e + "q", "b"), (e + "all", e + "q", "a/b"), (e + "all", e + "q", "b"), (e + "all", e + "r", "b")}
+    for by_subject in (False, True):
+        got = [(r.s, r.p, r.o) for r in mappings.run_mappings(doc, {"t": rows}, by_subject=by_subject).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_the_triples_of_a_subject_lie_side_by_side(spark):
+    found = mappings.run_mappings(DOC, tables(spark), "g", by_subject=True)
+    places = found.withColumn("at", F.spark_partition_id()).groupBy("s").agg(F.count_distinct("at").alias("n"))
+    assert found.count() == mappings.run_mappings(DOC, tables(spark), "g").count() and places.where("n > 1").count() == 0

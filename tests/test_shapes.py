@@ -75,3 +75,15 @@ def test_message_graphs_and_repeats(spark):
 def test_unknown_parts_fail_loudly(spark, bad):
     with pytest.raises(ValueError, match="understood"):
         broken(spark, f"e:S sh:targetClass e:T ; {bad} .")
+
+
+@pytest.mark.parametrize("name", ["class", "closed", "deep", "node of values", "nested", "or of values"])
+def test_triples_known_to_be_distinct_give_the_same(spark, name):
+    data, doc = turtle_frame(spark, DATA, "g").distinct(), turtle_frame(spark, HEAD + CASES[name][0])
+    assert sorted(map(str, shapes.check(data, doc, repeats=False).collect())) == sorted(map(str, shapes.check(data, doc).collect())) != []
+
+
+def test_an_inner_shape_without_rules_holds(spark):
+    inner = "e:S sh:targetClass e:T ; sh:property [ sh:path e:to ; sh:node [ sh:property [ sh:path e:p ] ] ; sh:property [ sh:path e:n ] ; {rule} ] ."
+    assert broken(spark, inner.format(rule="")) == []
+    assert broken(spark, inner.format(rule="sh:class e:U")) == broken(spark, CASES["class"][0])
