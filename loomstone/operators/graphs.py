@@ -19,6 +19,11 @@ def template(pattern: str, *cols: Column) -> Column:
     return F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in cols], F.lit(True)), F.format_string(pattern, *cols))
 
 
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A hash of join keys as ``number``, to go first among them: IRIs begin alike, and numbers sort faster than they do."""
+    return rows.withColumn("number", F.xxhash64(*keys))
+
+
 def map_rows(rows: DataFrame, graph_id: str, subject: Column, predicates: list[tuple[str, Column, str]]) -> DataFrame:
     """Triples of a declarative mapping: (predicate, object, kind) for each row; null subjects and objects give none.
 

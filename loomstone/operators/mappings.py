@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from loomstone.functions.records import unnest
-from loomstone.operators.graphs import RDF_TYPE, XSD
+from loomstone.operators.graphs import RDF_TYPE, XSD, numbered
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
@@ -212,8 +212,9 @@ def run_mappings(document: str | dict, sources: dict[str, DataFrame], graph_id:
     ``sources`` has a table for each path that the document names. Null and blank
     cells make no triple and meet no key; a reference without a condition points
     at the subject of the same row. A source without rows, and a mapping without
-    predicates, make none. Cells are taken as their text. ``by_subject`` leaves the
-    triples of a subject side by side; it is for documents whose subjects have few each.
+    predicates, make none. Cells are taken as their text. ``by_subject`` is for tables
+    that are read by predicate or grouped by subject: all triples of a subject, few for
+    each, are in one part, and those of a predicate side by side in it.
     """
     found = read_mappings(document)
     paths = sorted({s for m in found.values() for s in m.sources})
@@ -251,12 +252,15 @@ def run_mappings(document: str | dict, sources: dict[str, DataFrame], graph_id:
             if items.items:
                 into.append(items.opened())
     if children and parents:
-        union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
-        plain.append(union(children).join(union(parents), ["group", "keys"]).drop("group", "keys"))
+        on = ["group", "keys"]
+        union = lambda parts: numbered(reduce(DataFrame.unionByName, parts).distinct(), on)
+        plain.append(union(children).join(union(parents), ["number", *on]).drop("number", *on))
     if not plain:
         raise ValueError("a mapping document without triples")
     rows = reduce(DataFrame.unionByName, plain)
-    return forms.told((rows.repartition("s") if by_subject else rows).distinct(), graph_id)
+    if by_subject:
+        return forms.told(rows.repartition("s").distinct().sortWithinPartitions("form"), graph_id)
+    return forms.told(rows.distinct(), graph_id)
 
 
 def mapped_folder(spark: SparkSession, document: str | dict, base: str, graph_id: str | None = None) -> DataFrame:

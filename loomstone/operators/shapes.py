@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.records import unnest
-from loomstone.operators.graphs import RDF_TYPE, XSD
+from loomstone.operators.graphs import RDF_TYPE, XSD, numbered
 
 SH = "http://www.w3.org/ns/shacl#"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -238,8 +238,9 @@ class _Plan:
         names = [*classes, *self.flags.values()]
         found = self.edges(paths if every else asked).where(wanted)
         if parts:
-            about = reduce(DataFrame.unionByName, parts).groupBy("graph_id", "value").agg(*[F.max(n).alias(n) for n in names])
-            found = found.join(about, ["graph_id", "value"], "left")
+            on = ["graph_id", "value"]
+            about = numbered(reduce(DataFrame.unionByName, parts), on).groupBy("number", *on).agg(*[F.max(n).alias(n) for n in names])
+            found = numbered(found, on).join(about, ["number", *on], "left").drop("number")
         else:
             found = found.select("*", *[no.alias(n) for n in names])
         if others := paths - {p for p in self.known if p[0] == "^"}:  # what an inverse path leads to is no literal
@@ -366,6 +367,7 @@ def check(triples: DataFrame, shapes: DataFrame, repeats: bool = True) -> DataFr
         aims = [(path, value, top) for top in tops for path, value in _targets(top)]
         ends = [((F.col("path") == path) & (F.lit(True) if value is None else F.col("value") == value), F.lit(top.name)) for path, value, top in aims]
         aimed = some(plan.edges({path for path, _, _ in aims}, repeats=True), ends).select("graph_id", "focus", F.col("r").alias("shape"))
-        parts.append(failing.join(aimed, ["graph_id", "focus", "shape"], "left_semi"))
+        on = ["graph_id", "focus", "shape"]
+        parts.append(numbered(failing, on).join(numbered(aimed, on), ["number", *on], "left_semi"))
     columns = [c.split()[0] for c in schema.split(", ")]
     return reduce(DataFrame.unionByName, [p.select(columns) for p in parts]) if parts else triples.sparkSession.createDataFrame([], schema)

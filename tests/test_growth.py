@@ -65,3 +65,10 @@ def test_mapped_triples_have_a_number_for_what_many_share(spark):
     plan = QUERIES["q_mapping"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     distinct = next(line for line in plan.splitlines() if "Aggregate [" in line)
     assert "form#" in distinct and "datatype" not in distinct.split("], [")[0] and "lambdafunction" not in plan
+
+
+@pytest.mark.parametrize("name", ["q_shacl", "q_mapping"])
+def test_iris_are_joined_by_a_number_first(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if " Join " in line]
+    assert joins and all("(number#" in line for line in joins)

@@ -136,7 +136,7 @@ def test_predicates_from_cells_and_numbers(spark):
         assert set(got) == want and len(got) == len(want)
 
 
-def test_the_triples_of_a_subject_lie_side_by_side(spark):
+def test_the_triples_of_a_subject_are_in_one_part(spark):
     found = mappings.run_mappings(DOC, tables(spark), "g", by_subject=True)
     places = found.withColumn("at", F.spark_partition_id()).groupBy("s").agg(F.count_distinct("at").alias("n"))
     assert found.count() == mappings.run_mappings(DOC, tables(spark), "g").count() and places.where("n > 1").count() == 0
